@@ -41,10 +41,14 @@ class BatchPlan:
         """The same batches in another order of delivery."""
         return replace(
             self,
-            knobs={**self.knobs, "order": order},
+            knobs={**self.knobs, "order": order, "seed": seed},
             batches=order_batches(self.batches, order, seed),
         )
 
+    def rebased(self, assignment: DataFrame) -> "BatchPlan":
+        """The plan on a stored copy of its assignment, so that nothing is planned again."""
+        return _plan(self.policy, self.knobs, assignment)
+
 
 def _at_least_one(**knobs: int) -> None:
     for name, value in knobs.items():
@@ -105,9 +109,14 @@ def order_batches(batches: DataFrame, order: str = "none", seed: int = 0) -> Dat
     return out.select(*_BATCH_COLUMNS)
 
 
-def _plan(policy: str, knobs: dict, assignment: DataFrame, order: str = "none", seed: int = 0):
-    batches = order_batches(batch_table(assignment), order, seed)
-    return BatchPlan(policy, knobs, assignment, batches)
+def _plan(policy: str, knobs: dict, assignment: DataFrame) -> BatchPlan:
+    batches = batch_table(assignment)
+    return BatchPlan(
+        policy,
+        knobs,
+        assignment,
+        order_batches(batches, knobs.get("order", "none"), knobs.get("seed", 0)),
+    )
 
 
 def _lengths(df: DataFrame) -> DataFrame:
@@ -149,9 +158,8 @@ def plan_capacity(lengths: DataFrame, limit: int, order: str = "none", seed: int
     """
     _at_least_one(limit=limit)
     ranked = _by_length(lengths, attach_capacity_runs(limit))
-    return _plan(
-        CAPACITY, {"limit": limit, "order": order}, _assignment(ranked, *batch_of()), order, seed
-    )
+    knobs = {"limit": limit, "order": order, "seed": seed}
+    return _plan(CAPACITY, knobs, _assignment(ranked, *batch_of()))
 
 
 def plan_difference(lengths: DataFrame, max_token_diff: int, max_plan_size: int) -> BatchPlan:
@@ -165,12 +173,17 @@ def plan_difference(lengths: DataFrame, max_token_diff: int, max_plan_size: int)
 
 
 def plan_max_length(
-    lengths: DataFrame, max_field_length: int, batch_size: int, smart: bool = False
+    lengths: DataFrame,
+    max_field_length: int,
+    batch_size: int,
+    smart: bool = False,
+    key: str | None = None,
 ) -> BatchPlan:
     """Records over ``max_field_length`` are cut into chunks; ``batch_size`` chunks per batch.
 
     Chunks of one record may fall into two batches. ``smart`` sorts by the uncut length first.
-    A chunk keeps the planned field alone, so its ``row_len`` is its own length.
+    A chunk keeps the planned field alone, so its ``row_len`` is its own length. ``key`` is the name
+    of that field, which collation needs to cut the records.
     """
     _at_least_one(max_field_length=max_field_length, batch_size=batch_size)
     ranked = with_ordinal(
@@ -196,7 +209,12 @@ def plan_max_length(
         F.expr(f"(ordinal + chunk) div {batch_size}").alias("batch_id"),
         ((F.col("ordinal") + F.col("chunk")) % F.lit(batch_size)).alias("pos"),
     )
-    knobs = {"max_field_length": max_field_length, "batch_size": batch_size, "smart": smart}
+    knobs = {
+        "max_field_length": max_field_length,
+        "batch_size": batch_size,
+        "smart": smart,
+        "key": key,
+    }
     return _plan(MAX_LENGTH, knobs, assignment)
 
 
@@ -205,7 +223,7 @@ _KNOBS: dict[str, tuple[Sequence[str], Sequence[str]]] = {
     FIXED: (("batch_size",), ("smart",)),
     CAPACITY: (("limit",), ("order", "seed")),
     DIFFERENCE: (("max_token_diff", "max_plan_size"), ()),
-    MAX_LENGTH: (("max_field_length", "batch_size"), ("smart",)),
+    MAX_LENGTH: (("max_field_length", "batch_size"), ("smart", "key")),
 }
 _BUILDERS = {
     FIXED: plan_fixed,
