@@ -31,11 +31,9 @@ def split_records(tokens: DataFrame, key: str, max_field_length: int) -> DataFra
     cut = field_length(tokens, key) > max_field_length
     pieces = F.when(cut, chunk_array(F.col(key), max_field_length)).otherwise(F.array(F.col(key)))
     rest = [f for f in fields if f != key]
-    exploded = tokens.select(
-        "seq_id",
-        *(F.when(~cut, F.col(f)).alias(f) for f in rest),
-        F.posexplode(pieces).alias("chunk", key),
-    )
+    # The pieces replace the record before they are exploded: no chunk carries the whole array.
+    cut_up = tokens.select("seq_id", *(F.when(~cut, F.col(f)).alias(f) for f in rest), pieces.alias("__pieces"))
+    exploded = cut_up.select("seq_id", *rest, F.posexplode("__pieces").alias("chunk", key))
     return exploded.select("seq_id", "chunk", *fields)
 
 

@@ -16,30 +16,30 @@ on a key that is unique on the aggregate side and bounded on the other.
 
 A group of rows is named by its first id at every level, so that the level tables all have the
 columns ``(key, first, n)`` and the two readers of a level (its prefix sums, the next level's totals)
-ask for the same columns. Spark then plans one exchange per level and the input is read once.
+ask for the same columns. Spark then plans one exchange per level and the input is read once. Carried
+columns would break that, as only one reader needs them, so the totals keep a digest of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 18
 
 
-def _sum_before(value: str, *, partition: Sequence[str], order: Sequence[str]) -> Column:
-    window = (
-        Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return F.coalesce(F.sum(value).over(window), F.lit(0).cast("bigint"))
+def _sum_before(value: str, *, partition: Sequence[str], order: Sequence[str]) -> str:
+    by = f"PARTITION BY {', '.join(partition)}" if partition else ""
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"coalesce(sum({value}) OVER ({by} ORDER BY {', '.join(order)} {frame}), 0L)"
 
 
-def never_null(column: Column, what: str, kind: str = "bigint") -> Column:
-    """``column``, or an error where it is null. Spark also learns that it cannot be null, and
-    infers no filters that would tell two readers of one exchange apart."""
-    return F.coalesce(column.cast(kind), F.raise_error(F.lit(f"{what} is null")).cast(kind), F.lit(0).cast(kind))
+def never_null(column: str) -> str:
+    """``column`` as BIGINT, or an error where it is null. Spark also learns that it cannot be null,
+    and infers no filters that would tell two readers of one exchange apart."""
+    return f"coalesce(cast({column} AS bigint), cast(raise_error('{column} is null') AS bigint), 0L)"
 
 
 def with_ordinal(
@@ -56,65 +56,65 @@ def with_ordinal(
     """Add ``out``, the sum of ``weight`` over all rows before a row in the order ``(key, seq)``.
 
     With the default weight 1 this is the 0-based position. ``seq`` is a unique non-negative BIGINT;
-    ``key`` an integer column, or None for the order of ``seq`` alone. ``carry`` names integer
-    columns that are kept; everything else is dropped.
+    ``key`` an integer column, or None for the order of ``seq`` alone. ``carry`` names columns that
+    are kept; everything else is dropped.
 
     ``per_key`` may extend the key table ``(key, n, base)`` (rows, first position) with columns
     that then arrive on every record; it needs a ``key``.
     """
     keys = [key] if key else []
-    carry = list(carry)
-    level = df.select(
-        *[never_null(F.col(k), k).alias(k) for k in keys],
-        never_null(F.col(seq), seq).alias("__first"),
+    if weight is not None:
+        df = df.withColumn("__weight", weight)
+    records = df.selectExpr(
+        *[f"{never_null(k)} AS {k}" for k in keys],
+        f"{never_null(seq)} AS __first",
         *carry,
-        (F.lit(1) if weight is None else weight).cast("bigint").alias("__n"),
+        f"{'1L' if weight is None else 'cast(__weight AS bigint)'} AS __n",
     )
-    before = []
-    for bits in (block_bits, 2 * block_bits):
-        level, prefix = _level(level, keys, carry, bits)
-        before.append(prefix)
+    digest = f"xxhash64({', '.join(carry)})" if carry else "0L"
+    widths = [block_bits, 2 * block_bits]
+    level, before = _level(records, keys, widths[0], carry=carry, digest=digest)
+    befores = [before]
+    level, before = _level(level, keys, widths[1])
+    befores.append(before)
 
     kept: list[str] = []
+    order = ["__first", "__digest"]
     if key:
-        totals, prefix = _level(level, keys, carry, None)
-        before.append(prefix)
-        table = totals.select(
-            key,
-            F.col("__n").alias("n"),
-            _sum_before("__n", partition=[], order=[key, "__first", *carry]).alias("base"),
+        level, before = _level(level, keys, None)
+        befores.append(before)
+        table = level.selectExpr(
+            key, "__n AS n", f"{_sum_before('__n', partition=[], order=[key, *order])} AS base"
         )
         if per_key:
             table = per_key(table)
             kept = [c for c in table.columns if c not in (key, "n", "base")]
-        offsets = table.select(key, F.col("base").alias("__base"), *kept)
+        offsets = table.selectExpr(key, "base AS __base", *kept)
     else:
         # One row per super-block is left, 2^36 ids each.
-        top = level.select(
-            _group("__first", 2 * block_bits),
-            _sum_before("__n", partition=[], order=["__first", *carry]).alias("__base"),
-        )
-        offsets = top
+        group = f"shiftright(__first, {widths.pop()})"
+        base = _sum_before("__n", partition=[], order=order)
+        offsets = level.selectExpr(f"{group} AS __group", f"{base} AS __base")
 
-    while before:
-        prefix = before.pop()
+    while befores:
+        before = befores.pop()
         on = [c for c in offsets.columns if c in keys or c == "__group"]
-        if before:
-            rest = [*keys, _group("__first", block_bits * len(before))]
+        if befores:
+            rest = [f"shiftright(__first, {widths.pop()}) AS __group"]
         else:
-            rest = [*keys, F.col("__first").alias(seq), *carry]
-        offsets = prefix.join(offsets, on).select(
-            *rest, (F.col("__base") + F.col("__before")).alias("__base"), *kept
+            rest = [f"__first AS {seq}", *carry]
+        offsets = before.join(offsets, on).selectExpr(
+            *keys, *rest, f"__base + __before AS {'__base' if befores else out}", *kept
         )
-    return offsets.select(*keys, seq, *carry, F.col("__base").alias(out), *kept)
-
-
-def _group(first: str, bits: int) -> Column:
-    return F.shiftright(first, bits).alias("__group")
+    return offsets
 
 
 def _level(
-    rows: DataFrame, keys: list[str], carry: list[str], bits: int | None
+    rows: DataFrame,
+    keys: list[str],
+    bits: int | None,
+    carry: Sequence[str] = (),
+    digest: str = "__digest",
 ) -> tuple[DataFrame, DataFrame]:
     """(totals per group, rows with the sum before each inside its group) of one level.
 
@@ -122,18 +122,19 @@ def _level(
     """
     by = list(keys)
     if bits is not None:
-        rows = rows.withColumn("__group", F.shiftright("__first", bits))
+        rows = rows.selectExpr("*", f"shiftright(__first, {bits}) AS __group")
         by.append("__group")
     spread = rows.repartition(*by)
     totals = spread.groupBy(*by).agg(
-        F.coalesce(F.min("__first"), F.lit(0).cast("bigint")).alias("__first"),
-        *(F.max(c).alias(c) for c in carry),
-        F.sum("__n").alias("__n"),
+        F.expr("coalesce(min(__first), 0L) AS __first"),
+        F.expr(f"max({digest}) AS __digest"),
+        F.expr("sum(__n) AS __n"),
     )
-    prefix = spread.withColumn(
-        "__before", _sum_before("__n", partition=by, order=["__first", *carry])
+    order = ["__first"] if carry or "__digest" not in rows.columns else ["__first", "__digest"]
+    before = spread.selectExpr(
+        *by, "__first", *carry, f"{_sum_before('__n', partition=by, order=order)} AS __before"
     )
-    return totals.select(*keys, "__first", *carry, "__n"), prefix
+    return totals.drop("__group"), before
 
 
 def random_ordinal(
@@ -144,22 +145,19 @@ def random_ordinal(
     The order is that of ``(hash(seed, seq), seq)``. The top 16 bits of the hash are the buckets, so
     buckets are even whatever the ids look like, and one pass of bucket totals gives the offsets.
     """
-    hashed = df.select(
-        never_null(F.col(seq), seq).alias(seq),
-        *carry,
-        F.xxhash64(F.lit(seed), F.col(seq).cast("bigint")).alias("__hash"),
-    ).withColumn("__bucket", F.shiftright("__hash", 48))
-    rows = hashed.repartition("__bucket")
+    hashed = df.selectExpr(f"{never_null(seq)} AS {seq}", *carry).selectExpr(
+        "*", f"xxhash64({int(seed)}, {seq}) AS __hash"
+    )
+    rows = hashed.selectExpr("*", "shiftright(__hash, 48) AS __bucket").repartition("__bucket")
     sizes = rows.groupBy("__bucket").agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.min("__hash").alias("__first"),
-        F.min(seq).alias("__seq"),
-        *(F.max(c).alias(f"__top_{c}") for c in carry),
+        F.expr("count(1) AS __n"),
+        F.expr("min(__hash) AS __first"),
+        F.expr(f"max(xxhash64({', '.join([seq, *carry])})) AS __digest"),
     )
-    order = ["__first", "__seq", *(f"__top_{c}" for c in carry)]
-    offsets = sizes.select("__bucket", _sum_before("__n", partition=[], order=order).alias("__off"))
-    inner = Window.partitionBy("__bucket").orderBy("__hash", seq)
-    ranked = rows.withColumn("__in", F.row_number().over(inner) - 1)
-    return ranked.join(offsets, "__bucket").select(
-        seq, *carry, (F.col("__off") + F.col("__in")).cast("bigint").alias(out)
+    offset = _sum_before("__n", partition=[], order=["__first", "__digest"])
+    offsets = sizes.selectExpr("__bucket", f"{offset} AS __off")
+    inner = f"row_number() OVER (PARTITION BY __bucket ORDER BY __hash, {seq}) - 1"
+    ranked = rows.selectExpr("*", f"{inner} AS __in")
+    return ranked.join(offsets, "__bucket").selectExpr(
+        seq, *carry, f"cast(__off + __in AS bigint) AS {out}"
     )

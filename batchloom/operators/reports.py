@@ -1,4 +1,7 @@
-"""Metrics of training runs: steps over ranks, devices, scalar logs and comparisons."""
+"""Metrics of training runs: steps over ranks, devices, scalar logs and comparisons.
+
+A rate over no time at all and a share of nothing are null.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +23,7 @@ def throughput(
 ) -> Column:
     """TFLOPS of a step; ``base_tflop`` is the work for one token."""
     base = base_tflop * (RECOMPUTE_FACTOR if recompute else 1.0)
-    return F.lit(base) * batch_size * seq_len / step_time
+    return F.try_divide(F.lit(base) * batch_size * seq_len, step_time)
 
 
 def step_metrics(log: DataFrame, batch_per_device: int) -> DataFrame:
@@ -38,9 +41,9 @@ def step_metrics(log: DataFrame, batch_per_device: int) -> DataFrame:
             "epoch",
             "step",
             "batch_size",
-            (F.col("__loss") / F.col("batch_size") * batch_per_device).alias("loss"),
+            (F.try_divide("__loss", "batch_size") * batch_per_device).alias("loss"),
             "mean_time",
-            (F.col("batch_size") / F.col("mean_time")).alias("records_per_second"),
+            F.try_divide("batch_size", "mean_time").alias("records_per_second"),
             "mean_tflops",
         )
     )
@@ -57,7 +60,7 @@ def memory_utilisation(samples: DataFrame, by: str) -> DataFrame:
     """Used share of the memory of all devices, per ``by`` (a time or a step)."""
     return samples.groupBy(by).agg(
         F.sum("used").alias("used"),
-        (F.sum("used") / F.sum(F.col("used") + F.col("free"))).alias("utilisation"),
+        F.try_divide(F.sum("used"), F.sum(F.col("used") + F.col("free"))).alias("utilisation"),
     )
 
 
@@ -81,7 +84,7 @@ def run_summary(scalars: DataFrame) -> DataFrame:
     return scalars.agg(
         F.avg(F.when(tag == TFLOPS_TAG, value)).alias("tflops"),
         F.sum(F.when(tag == TIME_TAG, value)).alias("total_time"),
-        (used / (used + free)).alias("memory_utilisation"),
+        F.try_divide(used, used + free).alias("memory_utilisation"),
     )
 
 
@@ -91,7 +94,7 @@ def probe_log(log: DataFrame) -> DataFrame:
         "batch_size",
         "seq_len",
         (F.col("batch_size").cast("bigint") * F.col("seq_len")).alias("token_count"),
-        (F.col("used") / (F.col("used") + F.col("free"))).alias("utilisation"),
+        F.try_divide(F.col("used"), F.col("used") + F.col("free")).alias("utilisation"),
     )
 
 
@@ -108,8 +111,8 @@ def compare_runs(base: DataFrame, other: DataFrame) -> DataFrame:
     joined = base.alias("a").join(other.alias("b"), "dataset")
     return joined.select(
         "dataset",
-        (F.col("b.tflops") / F.col("a.tflops")).alias("throughput_ratio"),
+        F.try_divide("b.tflops", "a.tflops").alias("throughput_ratio"),
         ((F.col("b.memory_utilisation") - F.col("a.memory_utilisation")) * 100).alias("memory_points"),
-        (F.col("b.time") / F.col("a.time")).alias("time_ratio"),
+        F.try_divide("b.time", "a.time").alias("time_ratio"),
         (F.col("b.loss") - F.col("a.loss")).alias("loss_delta"),
     )

@@ -86,10 +86,17 @@ def build_vocabulary(
     """(token, id) of the ``size`` most frequent words; ties go to the smaller word.
 
     Words are counted before the shuffle, so a word that fills a third of the corpus costs one row
-    per task. What is ranked is at most ``size`` rows.
+    per task. Words too rare to be chosen are dropped by a count read off the table of counts, so
+    what is sorted and ranked is ``size`` rows and the ties of the last place.
     """
-    counts = texts.select(F.explode(words(F.col(text), pattern)).alias("token")).groupBy("token").count()
-    top = counts.orderBy(F.desc("count"), "token").limit(size)
+    token = F.explode(words(F.col(text), pattern)).alias("token")
+    counts = texts.select(token).groupBy("token").agg(F.count("token").alias("count"))
+    # One row per distinct count; the words counted that often or more.
+    table = counts.groupBy("count").agg(F.count("token").alias("n"))
+    at_least = F.sum("n").over(Window.orderBy(F.desc("count")))
+    enough = table.select("count", at_least.alias("at_least")).where(F.col("at_least") >= size)
+    cutoff = enough.agg(F.coalesce(F.max("count"), F.lit(0)).alias("cutoff")).scalar()
+    top = counts.where(F.col("count") >= cutoff).orderBy(F.desc("count"), "token").limit(size)
     rank = F.row_number().over(Window.orderBy(F.desc("count"), "token"))
     return top.select("token", (rank - 1 + first_id).cast("int").alias("id"))
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Capacity of a class of empty records: any number of them fits.
@@ -87,23 +87,18 @@ def fold_classes(classes: DataFrame, max_diff: int | None = None) -> DataFrame:
     return ordered.mapInPandas(walk, schema=RUN_SCHEMA)
 
 
-def capacity_of(length: str, limit: int) -> Column:
-    """Records of ``length`` a batch of ``limit`` padded tokens holds; one if it is over the limit."""
-    return F.expr(
-        f"CASE WHEN {length} > 0 THEN greatest({limit}L div {length}, 1L) ELSE {NO_LIMIT}L END"
-    )
-
-
 def attach_capacity_runs(limit: int):
     """``per_key`` hook: adds the run of each length class under a token capacity."""
+    # Records of a length that a batch holds; one if the length is over the limit.
+    capacity = f"CASE WHEN len > 0 THEN greatest({limit}L div len, 1L) ELSE {NO_LIMIT}L END"
 
     def hook(table: DataFrame) -> DataFrame:
-        by_length = table.withColumn("class_key", capacity_of("len", limit))
+        by_length = table.selectExpr("*", f"{capacity} AS class_key")
         classes = by_length.groupBy("class_key").agg(
-            F.min("base").alias("class_base"),
-            F.max("len").alias("length"),
-            F.sum("n").alias("n"),
-            F.max("class_key").alias("cap"),
+            F.expr("min(base) AS class_base"),
+            F.expr("max(len) AS length"),
+            F.expr("sum(n) AS n"),
+            F.expr("max(class_key) AS cap"),
         )
         runs = fold_classes(classes)
         # At most 2 * sqrt(limit) + 2 rows: small by the knob, not by luck.
@@ -116,27 +111,20 @@ def attach_difference_runs(max_diff: int, max_size: int):
     """``per_key`` hook: adds the run of each length under a length difference and a size limit."""
 
     def hook(table: DataFrame) -> DataFrame:
-        classes = table.select(
-            F.col("len").alias("class_key"),
-            F.col("base").alias("class_base"),
-            F.col("len").alias("length"),
-            "n",
-            F.lit(max_size).cast("bigint").alias("cap"),
+        classes = table.selectExpr(
+            "len AS class_key", "base AS class_base", "len AS length", "n", f"{max_size}L AS cap"
         )
-        runs = fold_classes(classes, max_diff).withColumnRenamed("class_key", "__len")
+        runs = fold_classes(classes, max_diff).withColumnRenamed("class_key", "len")
         # One row per distinct length on both sides; left to Spark to broadcast if it proves small.
-        return table.join(runs, F.col("len") == F.col("__len")).drop("__len")
+        return table.join(runs, "len")
 
     return hook
 
 
-def batch_of(ordinal: str = "ordinal") -> tuple[Column, Column]:
+def batch_of(ordinal: str = "ordinal") -> tuple[str, str]:
     """(batch_id, pos) of a record from its position and the run of its class."""
-    rank = F.col(ordinal) - F.col("class_base")
-    over = rank - F.col("run_room")
-    first = over < 0
-    batch = F.when(first, F.col("run_batch")).otherwise(
-        F.col("run_batch") + 1 + F.expr(f"({ordinal} - class_base - run_room) div run_cap")
-    )
-    pos = F.when(first, F.col("run_filled") + rank).otherwise(over % F.col("run_cap"))
+    rank = f"({ordinal} - class_base)"
+    over = f"({ordinal} - class_base - run_room)"
+    batch = f"CASE WHEN {over} < 0 THEN run_batch ELSE run_batch + 1 + {over} div run_cap END"
+    pos = f"CASE WHEN {over} < 0 THEN run_filled + {rank} ELSE {over} % run_cap END"
     return batch, pos

@@ -83,7 +83,7 @@ def padding_summary(plans: dict[str, BatchPlan], pad_to: int | None = None) -> D
         )
     report = reduce(DataFrame.unionByName, parts)
     return report.withColumn(
-        "waste_ratio", F.round(1 - F.col("real_tokens") / F.col("padded_tokens"), 6)
+        "waste_ratio", F.round(1 - F.try_divide("real_tokens", "padded_tokens"), 6)
     )
 
 

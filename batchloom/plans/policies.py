@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.operators.ordinal import random_ordinal, with_ordinal
@@ -56,35 +56,35 @@ def _at_least_one(**knobs: int) -> None:
             raise ValueError(f"{name} must be a whole number of at least 1, not {value!r}")
 
 
-def _chunks(length: Column, size: int) -> Column:
-    """Pieces a record falls into; one for a record that is not split, also when empty."""
-    return F.greatest(F.ceil(length / F.lit(size)).cast("bigint"), F.lit(1).cast("bigint"))
-
-
-def _assignment(df: DataFrame, batch: Column, pos: Column) -> DataFrame:
-    return df.select(
+def _assignment(df: DataFrame, batch: str, pos: str) -> DataFrame:
+    return df.selectExpr(
         "seq_id",
-        F.lit(0).alias("chunk"),
-        F.col("len").cast("int").alias("len"),
-        F.col("row_len").cast("int").alias("row_len"),
-        batch.cast("bigint").alias("batch_id"),
-        pos.cast("bigint").alias("pos"),
+        "0 AS chunk",
+        "cast(len AS int) AS len",
+        "cast(row_len AS int) AS row_len",
+        f"cast({batch} AS bigint) AS batch_id",
+        f"cast({pos} AS bigint) AS pos",
     )
 
 
 def batch_table(assignment: DataFrame) -> DataFrame:
     """One row per batch. Partial aggregation keeps a batch of any size off a single task."""
-    return (
-        assignment.groupBy("batch_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_records"),
-            F.min("len").alias("min_len"),
-            F.max("len").alias("max_len"),
-            F.max("row_len").alias("max_row_len"),
-            F.sum("row_len").cast("bigint").alias("tokens"),
-        )
-        .withColumn("plan_pos", F.col("batch_id"))
-        .withColumn("padded_tokens", F.col("n_records") * F.col("max_row_len"))
+    grouped = assignment.groupBy("batch_id").agg(
+        F.expr("count(1) AS n_records"),
+        F.expr("min(len) AS min_len"),
+        F.expr("max(len) AS max_len"),
+        F.expr("max(row_len) AS max_row_len"),
+        F.expr("cast(sum(row_len) AS bigint) AS tokens"),
+    )
+    return grouped.selectExpr(
+        "batch_id",
+        "batch_id AS plan_pos",
+        "n_records",
+        "min_len",
+        "max_len",
+        "max_row_len",
+        "tokens",
+        "n_records * max_row_len AS padded_tokens",
     )
 
 
@@ -99,12 +99,13 @@ def order_batches(batches: DataFrame, order: str = "none", seed: int = 0) -> Dat
         raise ValueError(f"unknown order {order!r}, use one of {ORDERS}")
     body = [c for c in _BATCH_COLUMNS if c not in ("batch_id", "plan_pos")]
     if order == "none":
-        return batches.withColumn("plan_pos", F.col("batch_id")).select(*_BATCH_COLUMNS)
+        return batches.selectExpr("batch_id", "batch_id AS plan_pos", *body)
     if order == "random":
         out = random_ordinal(batches, seq="batch_id", seed=seed, carry=body, out="plan_pos")
         return out.select(*_BATCH_COLUMNS)
-    measure = F.col("n_records" if order.startswith("rc") else "padded_tokens").cast("bigint")
-    keyed = batches.withColumn("__key", -measure if order.endswith("desc") else measure)
+    measure = "n_records" if order.startswith("rc") else "padded_tokens"
+    sign = "-" if order.endswith("desc") else ""
+    keyed = batches.selectExpr("batch_id", *body, f"{sign}{measure} AS __key")
     out = with_ordinal(keyed, key="__key", seq="batch_id", carry=body, out="plan_pos")
     return out.select(*_BATCH_COLUMNS)
 
@@ -121,8 +122,7 @@ def _plan(policy: str, knobs: dict, assignment: DataFrame) -> BatchPlan:
 
 def _lengths(df: DataFrame) -> DataFrame:
     """(seq_id, len, row_len); without a ``row_len`` the planned length is the whole record."""
-    row = F.col("row_len") if "row_len" in df.columns else F.col("len")
-    return df.select("seq_id", F.col("len"), row.alias("row_len"))
+    return df.selectExpr("seq_id", "len", "row_len" if "row_len" in df.columns else "len AS row_len")
 
 
 def plan_fixed(lengths: DataFrame, batch_size: int, smart: bool = True) -> BatchPlan:
@@ -132,9 +132,7 @@ def plan_fixed(lengths: DataFrame, batch_size: int, smart: bool = True) -> Batch
         ranked = _by_length(lengths)
     else:
         ranked = with_ordinal(_lengths(lengths), seq="seq_id", carry=["len", "row_len"])
-    assignment = _assignment(
-        ranked, F.expr(f"ordinal div {batch_size}"), F.col("ordinal") % F.lit(batch_size)
-    )
+    assignment = _assignment(ranked, f"ordinal div {batch_size}", f"ordinal % {batch_size}")
     return _plan(FIXED, {"batch_size": batch_size, "smart": smart}, assignment)
 
 
@@ -148,7 +146,7 @@ def _by_length(lengths: DataFrame, per_key=None) -> DataFrame:
         carry=["row_len"] if own_row else [],
         per_key=per_key,
     )
-    return ranked if own_row else ranked.withColumn("row_len", F.col("len"))
+    return ranked if own_row else ranked.selectExpr("*", "len AS row_len")
 
 
 def plan_capacity(lengths: DataFrame, limit: int, order: str = "none", seed: int = 0) -> BatchPlan:
@@ -186,28 +184,24 @@ def plan_max_length(
     of that field, which collation needs to cut the records.
     """
     _at_least_one(max_field_length=max_field_length, batch_size=batch_size)
+    # A record that is not cut, also an empty one, is one piece.
+    count = f"greatest((len + {max_field_length - 1}) div {max_field_length}, 1)"
     ranked = with_ordinal(
         _lengths(lengths),
         key="len" if smart else None,
         seq="seq_id",
         carry=["row_len"] if smart else ["len", "row_len"],
-        weight=_chunks(F.col("len"), max_field_length),
-    )
-    pieces = ranked.withColumn(
-        "chunk",
-        F.explode(
-            F.sequence(F.lit(0), (_chunks(F.col("len"), max_field_length) - 1).cast("int"))
-        ),
+        weight=F.expr(count),
     )
-    cut = F.col("len") > max_field_length
-    piece = F.least(F.col("len") - F.col("chunk") * max_field_length, F.lit(max_field_length))
-    assignment = pieces.select(
+    pieces = ranked.selectExpr("*", f"explode(sequence(0, cast({count} - 1 AS int))) AS chunk")
+    piece = f"least(len - chunk * {max_field_length}, {max_field_length})"
+    assignment = pieces.selectExpr(
         "seq_id",
         "chunk",
-        F.when(cut, piece).otherwise(F.col("len")).cast("int").alias("len"),
-        F.when(cut, piece).otherwise(F.col("row_len")).cast("int").alias("row_len"),
-        F.expr(f"(ordinal + chunk) div {batch_size}").alias("batch_id"),
-        ((F.col("ordinal") + F.col("chunk")) % F.lit(batch_size)).alias("pos"),
+        f"cast(if(len > {max_field_length}, {piece}, len) AS int) AS len",
+        f"cast(if(len > {max_field_length}, {piece}, row_len) AS int) AS row_len",
+        f"(ordinal + chunk) div {batch_size} AS batch_id",
+        f"(ordinal + chunk) % {batch_size} AS pos",
     )
     knobs = {
         "max_field_length": max_field_length,

@@ -17,6 +17,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The last of repeated JSON keys counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -18,6 +18,10 @@ EMPTY_JSON = ("{}", "[]", "null", '""', "false")
 ZERO_JSON = r"^-?0(\.0*)?([eE][+-]?[0-9]+)?$"
 
 
+# JSON line files by name, and the part files Spark writes JSON lines to.
+JSONL_NAMES = NameFilter(regex=r".*jsonl$|part-.*\.json$")
+
+
 def _is_empty(parsed: Column) -> Column:
     text = F.to_json(parsed)
     return text.isin(*EMPTY_JSON) | text.rlike(ZERO_JSON)
@@ -52,7 +56,7 @@ def read_jsonl(
     spark: SparkSession,
     folder: str,
     fields: Sequence[str],
-    names: NameFilter = NameFilter(suffix="jsonl"),
+    names: NameFilter = JSONL_NAMES,
     recursive: bool = True,
     observation: Observation | None = None,
 ) -> DataFrame:
@@ -96,9 +100,18 @@ def read_texts(
     return files.select(*path, unix_newlines(F.col("value")).alias("content"))
 
 
-def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
+def read_parquet(
+    spark: SparkSession, path: str, columns: Sequence[str] = (), spread_by: str | None = None
+) -> DataFrame:
+    """A table. ``spread_by`` names a unique column to deal the rows out by where the files give
+    fewer scan tasks than there are cores, as one file with a single row group does. Larger tables
+    have more tasks than that and are not moved."""
     table = spark.read.parquet(path)
-    return table.select(*columns) if columns else table
+    table = table.select(*columns) if columns else table
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by is not None and table.rdd.getNumPartitions() < cores:
+        table = table.repartition(cores, spread_by)
+    return table
 
 
 def read_keyed_json(
@@ -120,7 +133,7 @@ def read_dataset(
         raise ValueError("this spec describes no files")
     names = NameFilter(suffix=spec.file_format)
     if spec.file_format == "jsonl":
-        records = read_jsonl(spark, spec.folder_path, spec.field_names, names, observation=observation)
+        records = read_jsonl(spark, spec.folder_path, spec.field_names, observation=observation)
     elif spec.file_format == "json":
         records = read_json_arrays(spark, spec.folder_path, spec.field_names, names)
     else:

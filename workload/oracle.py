@@ -156,7 +156,7 @@ LOG = f"""
 log AS (SELECT event_id, event_type, event_id // 8 // {STEPS_PER_EPOCH} AS epoch, event_id // 8 % {STEPS_PER_EPOCH} AS step,
                event_id % 8 AS rank, user_id % 16 + 1 AS batch_size, length(props) AS seq_len,
                value / 10 AS normalized_loss, value AS step_time, value + 20 AS used, user_id + 5.0::DOUBLE AS free,
-               {BASE_TFLOP}::DOUBLE * (user_id % 16 + 1) * length(props) / value AS tflops FROM events)"""
+               {BASE_TFLOP}::DOUBLE * (user_id % 16 + 1) * length(props) / nullif(value, 0) AS tflops FROM events)"""
 STEPS = """
 steps AS (SELECT epoch, step, sum(batch_size)::BIGINT AS batch_size, sum(normalized_loss) / sum(batch_size) * 4 AS loss,
                  avg(step_time) AS mean_time, avg(tflops) AS mean_tflops FROM log GROUP BY epoch, step)"""
@@ -334,10 +334,10 @@ ORACLE: dict[str, str] = {
         UNION ALL {padding_row('capacity', 'cap')} UNION ALL {padding_row('length difference', 'dif')}""",
     "padding_report_fixed_length": f"WITH {FIXED_BATCHES} {padding_row('fixed length', 'smart', 'n * 16384')}",
     "step_metrics": f"""WITH {LOG}, {STEPS} SELECT epoch, step, batch_size, round(loss, 6) AS loss,
-        round(mean_time, 6) AS mean_time, round(batch_size / mean_time, 6) AS records_per_second,
+        round(mean_time, 6) AS mean_time, round(batch_size / nullif(mean_time, 0), 6) AS records_per_second,
         round(mean_tflops, 6) AS mean_tflops FROM steps""",
     "throughput": f"""WITH {LOG} SELECT event_id, round(tflops, 6) AS tflops,
-        round(({BASE_TFLOP}::DOUBLE * 4 / 3) * batch_size * seq_len / step_time, 6) AS recomputed FROM log""",
+        round(({BASE_TFLOP}::DOUBLE * 4 / 3) * batch_size * seq_len / nullif(step_time, 0), 6) AS recomputed FROM log""",
     "global_step": f"WITH {LOG} SELECT event_id, epoch * {STEPS_PER_EPOCH} + step AS global_step FROM log",
     "memory_utilisation": f"""WITH {LOG} SELECT step, round(sum(used), 6) AS used,
         round(sum(used) / sum(used + free), 6) AS utilisation FROM log GROUP BY step""",

@@ -40,6 +40,7 @@ from batchloom.sources.records import (
     read_json_arrays,
     read_jsonl,
     read_keyed_json,
+    read_parquet,
     read_strict_jsonl,
     read_texts,
 )
@@ -62,9 +63,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents")
-    return docs.select(F.col("doc_id").alias("seq_id"), F.col("text").alias("content"), "lang", "source")
+def _documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Documents as records: seq_id, content and ``columns``."""
+    path = f"{folder}/documents.parquet"
+    docs = read_parquet(spark, path, ["doc_id", "text", *columns], spread_by="doc_id")
+    return docs.select(F.col("doc_id").alias("seq_id"), F.col("text").alias("content"), *columns)
 
 
 def _word_lengths(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,7 +134,7 @@ def prep_reasoning_pairs(spark, folder):
 
 def project_fields(spark, folder):
     return bl.project_fields(
-        _documents(spark, folder).withColumnRenamed("seq_id", "doc_id"), ["source", "content"], keep=["doc_id"]
+        _documents(spark, folder, "lang", "source").withColumnRenamed("seq_id", "doc_id"), ["source", "content"], keep=["doc_id"]
     )
 
 
@@ -385,7 +388,8 @@ def _exhausted_query(on_exhausted: str) -> Query:
             field_max_lengths=[None, None, 2],
             field_truncation_sides=["left", "right", "right"],
         )
-        tokens = bl.tokenize(_documents(spark, folder), spec, bl.CodepointTokenizer(), on_exhausted)
+        docs = _documents(spark, folder, "source", "lang")
+        tokens = bl.tokenize(docs, spec, bl.CodepointTokenizer(), on_exhausted)
         return _big(
             tokens.select(
                 F.col("seq_id").alias("doc_id"), "content_len", "source_len", "lang_len", "total_len"
@@ -485,7 +489,7 @@ def plan_order_random(spark, folder):
 
 def _probe_ranges(spark, folder, *by: str) -> DataFrame:
     """Token counts to probe: from the longest document of a corpus to three times as much."""
-    docs = _documents(spark, folder).select(*by, word_count(F.col("content")).alias("len"))
+    docs = _documents(spark, folder, *by).select(*by, word_count(F.col("content")).alias("len"))
     longest = F.max("len").cast("bigint")
     return docs.groupBy(*by).agg(longest.alias("start"), (longest * 3).alias("end"))
 
@@ -599,7 +603,7 @@ def token_total(spark, folder):
 
 
 def dataset_profile(spark, folder):
-    docs = _documents(spark, folder).select("source", word_count(F.col("content")).alias("len"))
+    docs = _documents(spark, folder, "source").select("source", word_count(F.col("content")).alias("len"))
     return measures.dataset_profile(docs, "source")
 
 
