@@ -22,6 +22,7 @@ from batchloom.operators.shard import accumulation_steps, place_rows, shard_batc
 from batchloom.operators.tokenize import (
     CodepointTokenizer,
     ObjectTokenizer,
+    SpecialTokens,
     Tokenizer,
     VocabularyTokenizer,
     build_vocabulary,

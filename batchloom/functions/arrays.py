@@ -47,13 +47,6 @@ def fill_like(ids: Column, value: int) -> Column:
     return F.array_repeat(F.lit(value).cast("int"), F.size(ids))
 
 
-def chunk_array(ids: Column, size: int) -> Column:
-    """Consecutive pieces of ``size`` entries; an empty array is one empty piece."""
-    last = F.greatest(F.size(ids) - 1, F.lit(0))
-    starts = F.sequence(F.lit(0), last, F.lit(size))
-    return F.transform(starts, lambda start: F.slice(ids, start + 1, F.lit(size)))
-
-
 def pad(ids: Column, width: Column, value: Column, side: str) -> Column:
     """``ids`` filled up with ``value`` to ``width`` entries on one side."""
     if side not in ("left", "right"):

@@ -8,7 +8,7 @@ from operator import itemgetter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.functions.arrays import chunk_array, fill_like, pad
+from batchloom.functions.arrays import fill_like, pad
 from batchloom.operators.lengths import field_length, token_fields
 from batchloom.plans.policies import MAX_LENGTH, BatchPlan
 
@@ -28,13 +28,18 @@ def split_records(tokens: DataFrame, key: str, max_field_length: int) -> DataFra
     fields are null. The others stay whole as chunk 0. Pieces add up to the input: no row is copied.
     """
     fields = token_fields(tokens)
-    cut = field_length(tokens, key) > max_field_length
-    pieces = F.when(cut, chunk_array(F.col(key), max_field_length)).otherwise(F.array(F.col(key)))
     rest = [f for f in fields if f != key]
-    # The pieces replace the record before they are exploded: no chunk carries the whole array.
-    cut_up = tokens.select("seq_id", *(F.when(~cut, F.col(f)).alias(f) for f in rest), pieces.alias("__pieces"))
-    exploded = cut_up.select("seq_id", *rest, F.posexplode("__pieces").alias("chunk", key))
-    return exploded.select("seq_id", "chunk", *fields)
+    cut = field_length(tokens, key) > max_field_length
+    last = F.when(cut, F.size(key) - 1).otherwise(0)
+    # Start positions are exploded, not arrays of pieces: a piece is cut where it is needed.
+    starts = F.sequence(F.lit(0), last, F.lit(max_field_length))
+    pieces = tokens.select(
+        "seq_id", key, *(F.when(~cut, F.col(f)).alias(f) for f in rest), F.posexplode(starts).alias("chunk", "__at")
+    )
+    piece = F.when(
+        F.size(key) > max_field_length, F.slice(key, F.col("__at") + 1, F.lit(max_field_length))
+    ).otherwise(F.col(key))
+    return pieces.withColumn(key, piece).select("seq_id", "chunk", *fields)
 
 
 def join_batches(rows: DataFrame, batches: DataFrame, columns: Sequence[str] = ()) -> DataFrame:

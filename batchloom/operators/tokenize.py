@@ -9,6 +9,7 @@ thousand tokens therefore never become long id arrays.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
@@ -29,9 +30,20 @@ MAX_SHIPPED_VOCABULARY = 500_000
 JOIN_SALT = 32
 
 
+@dataclass(frozen=True)
+class SpecialTokens:
+    """Ids a tokenizer reserves. They are never added to a text, and rows are padded with 0."""
+
+    bos_id: int | None = None
+    eos_id: int | None = None
+    pad_id: int | None = None
+
+
 class Tokenizer:
     """Interface: column expressions from text to units, and from units to ids."""
 
+    special = SpecialTokens()
+
     def units(self, text: Column) -> Column:
         raise NotImplementedError
 
@@ -115,7 +127,9 @@ class VocabularyTokenizer(Tokenizer):
         unknown_id: int = 0,
         pattern: str = WORD_PATTERN,
         max_shipped: int = MAX_SHIPPED_VOCABULARY,
+        special: SpecialTokens = SpecialTokens(),
     ):
+        self.special = special
         self.vocabulary = vocabulary.select("token", F.col("id").cast("int").alias("id"))
         self.unknown_id = unknown_id
         self.pattern = pattern
@@ -200,7 +214,12 @@ class ObjectTokenizer(Tokenizer):
     data is, on Arrow batches; no special tokens are added here.
     """
 
-    def __init__(self, factory: Callable[[], Callable[[list[str]], list[list[int]]]]):
+    def __init__(
+        self,
+        factory: Callable[[], Callable[[list[str]], list[list[int]]]],
+        special: SpecialTokens = SpecialTokens(),
+    ):
+        self.special = special
         made: list[Callable[[list[str]], list[list[int]]]] = []
 
         @F.arrow_udf("array<int>")

@@ -30,20 +30,24 @@ def get_session(app_name: str = "batchloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+# Folders made for local sessions, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a local folder is created and remembered.
+    Only where a local session (a test, a laptop) names none is a folder made for it.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="batchloom-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="batchloom-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

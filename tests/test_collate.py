@@ -124,3 +124,12 @@ def test_a_batch_of_many_empty_records_is_spread(spark, monkeypatch):
     matrices = bl.batch_matrices(rows, slice_rows=16).orderBy("batch_id", "part").collect()
     assert [m["n_rows"] for m in matrices] == [16] * 6 + [5]
     assert sum((m["input_ids"] for m in matrices), []) == [[0, 0]] * 100 + [[1, 2]]
+
+
+def test_computed_ids_are_made_once_per_record_not_once_per_chunk(spark):
+    records = spark.range(4).selectExpr("id AS seq_id", "repeat('ab', 500) AS content").repartition(2, "seq_id")
+    df = bl.tokenize(records, bl.pretrain_spec(), bl.CodepointTokenizer())
+    rows = C.split_records(df, "content", 10)
+    below = rows._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")
+    assert "transform(" not in below[0] and below[1].count("transform(") == 1
+    assert rows.agg(F.count("*"), F.sum(F.size("content"))).first()[:] == (400, 4000)

@@ -122,7 +122,9 @@ def test_user_tokenizer(spark):
 
     spec = bl.pretrain_spec(max_seq_len=3, field_truncation_sides=["left"])
     df = records(spark, [("aab",), ("baaa",), ("",)], ["content"])
-    rows = bl.tokenize(df, spec, bl.ObjectTokenizer(factory)).orderBy("seq_id").collect()
+    tokenizer = bl.ObjectTokenizer(factory, bl.SpecialTokens(bos_id=6, eos_id=2, pad_id=0))
+    assert tokenizer.special.eos_id == 2 and bl.CodepointTokenizer().special.bos_id is None
+    rows = bl.tokenize(df, spec, tokenizer).orderBy("seq_id").collect()
     assert [r["content"] for r in rows] == [[1, 1, 9], [1, 1, 1], []]
 
 

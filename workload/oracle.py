@@ -333,11 +333,11 @@ ORACLE: dict[str, str] = {
         {padding_row('fixed', 'fixed')} UNION ALL {padding_row('fixed sorted', 'smart')}
         UNION ALL {padding_row('capacity', 'cap')} UNION ALL {padding_row('length difference', 'dif')}""",
     "padding_report_fixed_length": f"WITH {FIXED_BATCHES} {padding_row('fixed length', 'smart', 'n * 16384')}",
-    "step_metrics": f"""WITH {LOG}, {STEPS} SELECT epoch, step, batch_size, round(loss, 6) AS loss,
-        round(mean_time, 6) AS mean_time, round(batch_size / nullif(mean_time, 0), 6) AS records_per_second,
-        round(mean_tflops, 6) AS mean_tflops FROM steps""",
-    "throughput": f"""WITH {LOG} SELECT event_id, round(tflops, 6) AS tflops,
-        round(({BASE_TFLOP}::DOUBLE * 4 / 3) * batch_size * seq_len / nullif(step_time, 0), 6) AS recomputed FROM log""",
+    "step_metrics": f"""WITH {LOG}, {STEPS} SELECT epoch, step, batch_size, round(loss, 9) AS loss,
+        round(mean_time, 9) AS mean_time, round(batch_size / nullif(mean_time, 0), 9) AS records_per_second,
+        round(mean_tflops, 9) AS mean_tflops FROM steps""",
+    "throughput": f"""WITH {LOG} SELECT event_id, tflops,
+        ({BASE_TFLOP}::DOUBLE * (4::DOUBLE / 3)) * batch_size * seq_len / nullif(step_time, 0) AS recomputed FROM log""",
     "global_step": f"WITH {LOG} SELECT event_id, epoch * {STEPS_PER_EPOCH} + step AS global_step FROM log",
     "memory_utilisation": f"""WITH {LOG} SELECT step, round(sum(used), 6) AS used,
         round(sum(used) / sum(used + free), 6) AS utilisation FROM log GROUP BY step""",

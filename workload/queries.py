@@ -685,7 +685,7 @@ def _step_log(spark, folder) -> DataFrame:
 
 def step_metrics(spark, folder):
     out = reports.step_metrics(_step_log(spark, folder), batch_per_device=4)
-    rounded = [F.round(c, 6).alias(c) for c in ("loss", "mean_time", "records_per_second", "mean_tflops")]
+    rounded = [F.round(c, 9).alias(c) for c in ("loss", "mean_time", "records_per_second", "mean_tflops")]
     return out.select("epoch", "step", "batch_size", *rounded)
 
 
@@ -694,7 +694,7 @@ def throughput(spark, folder):
     again = reports.throughput(
         BASE_TFLOP, F.col("batch_size"), F.col("seq_len"), F.col("step_time"), recompute=True
     )
-    return log.select("event_id", F.round("tflops", 6).alias("tflops"), F.round(again, 6).alias("recomputed"))
+    return log.select("event_id", "tflops", again.alias("recomputed"))
 
 
 def global_step(spark, folder):
