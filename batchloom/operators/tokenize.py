@@ -259,6 +259,8 @@ def tokenize(
     """
     if on_exhausted not in ON_EXHAUSTED:
         raise ValueError(f"on_exhausted must be one of {ON_EXHAUSTED}")
+    if not keep:
+        raise ValueError("keep needs the id column")
     fields = list(spec.field_names)
     absent = [f for f in fields if f not in df.columns]
     if absent:

@@ -78,3 +78,22 @@ def test_random_order_is_a_seeded_permutation(spark):
     assert first == again != other
     assert sorted(first.values()) == list(range(500))
     assert [s for s, _ in sorted(first.items(), key=lambda e: e[1])] != list(range(500))
+
+
+def test_a_key_of_all_rows_is_spread(spark):
+    """No task of the planning stage sees more than a block of a hot key."""
+    df = spark.range(1 << 16).selectExpr("id AS seq", "7 AS k")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = with_ordinal(df, seq="seq", key="k", block_bits=10)
+        sizes = [
+            r["count"]
+            for r in out.groupBy(F.spark_partition_id().alias("p"), F.shiftright("seq", 10).alias("b")).count().collect()
+        ]
+        assert sizes == [1 << 10] * 64
+        assert out.select(F.spark_partition_id()).distinct().count() == 8
+        assert out.where("ordinal != seq").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

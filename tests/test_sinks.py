@@ -25,6 +25,27 @@ def test_planning_reads_lengths_only(spark, tmp_path):
     assert plan.batches.agg({"tokens": "sum"}).first()[0] == sum(i % 5 + 1 for i in range(50))
 
 
+def test_a_bucketed_set_is_not_shuffled_to_its_plan(spark, tmp_path):
+    rows = [(i, list(range(i % 5))) for i in range(200)]
+    df = spark.createDataFrame(rows, "seq_id bigint, content array<int>")
+    W.write_token_set(df, str(tmp_path / "t"), table="bucketed_tokens", buckets=8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stored = spark.table("bucketed_tokens")
+        plan = bl.plan_fixed(lengths_of(stored), 4)
+        rows = bl.collate(stored, plan)
+        text = rows._jdf.queryExecution().executedPlan().toString()
+        wide = next(i for i, line in enumerate(text.splitlines()) if "content:array<int>" in line)
+        above = text.splitlines()[wide - 3 : wide]
+        assert "Sort [seq_id" in above[0] and not any("Exchange" in line for line in above)
+        assert rows.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sql("DROP TABLE bucketed_tokens")
+
+
 def test_plan_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(i, i % 9) for i in range(60)], "seq_id bigint, len int")
     plan = bl.plan_capacity(df, 20, order="pc_desc")
