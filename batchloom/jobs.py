@@ -102,7 +102,7 @@ def collate(spark: SparkSession, args: argparse.Namespace) -> None:
         masked,
         padding_side=args.padding_side,
         placement=bl.place_rows(made, shards),
-        partition_by=["rank", "micro_step", "pos"],
+        partition_by=writers.ARRANGED,
     )
     writers.write_training_rows(rows, args.output)
 

@@ -88,10 +88,14 @@ def read_plan(spark: SparkSession, path: str) -> BatchPlan:
     )
 
 
+# The columns training rows are arranged by.
+ARRANGED = ("rank", "micro_step", "pos")
+
+
 def write_training_rows(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Padded rows by rank, each rank in the order of its steps.
 
-    ``rows`` come from ``collate`` over sharded batches, range-partitioned by (rank, micro_step).
+    ``rows`` come from ``collate`` with ``partition_by=ARRANGED``, which sorts them while they are
+    small; they are not sorted again here.
     """
-    ordered = rows.sortWithinPartitions("rank", "micro_step", "pos")
-    ordered.write.mode(mode).partitionBy("rank").parquet(path)
+    rows.write.mode(mode).partitionBy("rank").parquet(path)

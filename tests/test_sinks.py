@@ -69,7 +69,7 @@ def test_training_rows_by_rank(spark, tmp_path):
     df = spark.createDataFrame(rows, "seq_id bigint, content array<int>")
     plan = bl.plan_fixed(lengths_of(df), 4)
     placed = bl.place_rows(plan, bl.shard_batches(plan.batches, 3))
-    out = bl.collate(df, plan, placement=placed, partition_by=["rank", "micro_step", "pos"])
+    out = bl.collate(df, plan, placement=placed, partition_by=W.ARRANGED)
     W.write_training_rows(out, str(tmp_path / "rows"))
     back = spark.read.parquet(str(tmp_path / "rows"))
     # 11 batches on 3 ranks: the first one is delivered twice.

@@ -29,6 +29,7 @@ from batchloom.plans.policies import POLICIES, BatchPlan, plan as plan_by_name
 from batchloom.session import scratch_path
 from batchloom.sinks.mirror import process_to_mirror
 from batchloom.sinks.writers import (
+    ARRANGED,
     read_plan,
     write_jsonl,
     write_plan,
@@ -278,7 +279,7 @@ def sink_training_rows(spark, folder):
         ["prompt", "chosen"],
         ["prompt"],
         placement=placed,
-        partition_by=["rank", "micro_step", "pos"],
+        partition_by=ARRANGED,
     )
     write_training_rows(rows, path)
     back = spark.read.parquet(path)
