@@ -22,8 +22,7 @@ from batchloom.functions.arrays import head, no_tokens, tail
 from batchloom.functions.text import WORD_PATTERN, required, words
 from batchloom.spec import DatasetSpec
 
-# Vocabularies up to this many entries travel to the executors whole (some 10 MB); larger ones are
-# joined instead.
+# Entries of a vocabulary that travel to the executors (some 10 MB); the rest of it is joined.
 MAX_SHIPPED_VOCABULARY = 500_000
 
 # Spread of one word over the join with a large vocabulary.
@@ -114,11 +113,13 @@ def build_vocabulary(
 
 
 class VocabularyTokenizer(Tokenizer):
-    """Words looked up in a vocabulary ``(token, id)``; others get ``unknown_id``.
+    """Words looked up in a vocabulary ``(token, id)`` of distinct words; others get ``unknown_id``.
 
-    A vocabulary of at most ``max_shipped`` entries is sent to the executors once and looked up
-    column-wise on Arrow batches: no shuffle, and ids never leave their row. A larger one is joined,
-    with the text salted so that frequent words do not pile up in one task.
+    The ``max_shipped`` entries of the lowest ids, which are the most frequent words where ids are
+    ranks, are sent to the executors once and looked up column-wise on Arrow batches: no shuffle, and
+    ids never leave their row. If the vocabulary is larger, only words not found there are joined
+    with the rest of it, salted so that a word that is in no vocabulary but in many records does not
+    pile up in one task.
     """
 
     def __init__(
@@ -130,57 +131,71 @@ class VocabularyTokenizer(Tokenizer):
         special: SpecialTokens = SpecialTokens(),
     ):
         self.special = special
-        self.vocabulary = vocabulary.select("token", F.col("id").cast("int").alias("id"))
         self.unknown_id = unknown_id
         self.pattern = pattern
+        entries = vocabulary.select("token", F.col("id").cast("int").alias("id"))
         # Asks for one row more than may be shipped, so the answer is bounded either way.
-        rows = self.vocabulary.limit(max_shipped + 1).toArrow()
-        self._lookup = None
-        if rows.num_rows <= max_shipped:
-            self._lookup = _vocabulary_lookup(vocabulary.sparkSession, rows, unknown_id)
+        rows = entries.orderBy("id").limit(max_shipped + 1).toArrow()
+        self._rest = None
+        if rows.num_rows > max_shipped:
+            first = rows.column("id")[max_shipped].as_py()
+            self._rest = entries.where(F.col("id") >= first)
+            rows = rows.slice(0, max_shipped)
+        missing = None if self._rest is not None else unknown_id
+        self._lookup = _vocabulary_lookup(vocabulary.sparkSession, rows, missing)
 
     def units(self, text: Column) -> Column:
         return words(text, self.pattern)
 
     def ids(self, units: Column) -> Column:
-        if self._lookup is None:
-            raise ValueError("this vocabulary is joined; use tokenize() or finish()")
+        if self._rest is not None:
+            raise ValueError("a part of this vocabulary is joined; use tokenize() or finish()")
         return self._lookup(units)
 
     def finish(self, df: DataFrame, fields: Sequence[str], seq: str) -> DataFrame:
-        if self._lookup is not None:
+        if self._rest is None:
             return super().finish(df, fields, seq)
         for field in fields:
             df = self._joined(df, field, seq)
         return df
 
     def _joined(self, df: DataFrame, field: str, seq: str) -> DataFrame:
+        looked_up = df.withColumn("__found", self._lookup(F.col(field)))
+        words_left = F.filter(
+            F.transform(
+                F.arrays_zip(F.col(field).alias("w"), F.col("__found").alias("i")),
+                lambda e, p: F.struct(p.alias("p"), e["w"].alias("w"), e["i"].alias("i")),
+            ),
+            lambda e: e["i"].isNull(),
+        )
         # One row per distinct word of a record, holding all its places.
         places = (
-            df.select(seq, F.posexplode(field).alias("__pos", "token"))
-            .groupBy(seq, "token")
-            .agg(F.collect_list("__pos").alias("__places"))
+            looked_up.select(seq, F.explode(words_left).alias("__e"))
+            .groupBy(seq, F.col("__e.w").alias("token"))
+            .agg(F.collect_list("__e.p").alias("__places"))
             .withColumn("__salt", F.pmod(F.xxhash64(F.col(seq)), F.lit(JOIN_SALT)))
         )
         salts = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALT - 1)).cast("array<bigint>"))
-        salted = self.vocabulary.withColumn("__salt", salts)
+        salted = self._rest.withColumn("__salt", salts)
         known = F.coalesce(F.col("id"), F.lit(self.unknown_id))
         numbered = places.join(salted, ["token", "__salt"], "left").select(
             seq,
             F.transform("__places", lambda p: F.struct(p.alias("p"), known.alias("i"))).alias("__part"),
         )
-        ids = numbered.groupBy(seq).agg(
-            F.transform(
-                F.array_sort(F.flatten(F.collect_list("__part"))), lambda e: e["i"]
-            ).alias("__ids")
-        )
+        joined = numbered.groupBy(seq).agg(F.flatten(F.collect_list("__part")).alias("__joined"))
         others = [c for c in df.columns if c != field]
-        return df.join(ids, seq, "left").select(
-            *others, F.coalesce("__ids", no_tokens()).alias(field)
-        ).select(*df.columns)
+        found = F.filter(
+            F.transform("__found", lambda i, p: F.struct(p.alias("p"), i.alias("i"))),
+            lambda e: e["i"].isNotNull(),
+        )
+        every = F.when(F.col("__joined").isNull(), found).otherwise(F.concat(found, F.col("__joined")))
+        merged = looked_up.select(*others, "__found").join(joined, seq, "left")
+        ids = F.transform(F.array_sort(every), lambda e: e["i"])
+        return merged.select(*others, ids.alias(field)).select(*df.columns)
 
 
-def _vocabulary_lookup(spark: SparkSession, rows: pa.Table, unknown_id: int):
+def _vocabulary_lookup(spark: SparkSession, rows: pa.Table, missing: int | None):
+    """Word arrays to id arrays; words that are not in ``rows`` become ``missing``."""
     shipped = spark.sparkContext.broadcast(
         (rows.column("token").to_pylist(), rows.column("id").to_pylist())
     )
@@ -194,7 +209,9 @@ def _vocabulary_lookup(spark: SparkSession, rows: pa.Table, unknown_id: int):
         tokens, ids = cache["table"]
         flat = batch.flatten()
         place = pc.index_in(flat.cast(pa.string()), value_set=tokens)
-        found = pc.fill_null(ids.take(place), pa.scalar(unknown_id, pa.int32()))
+        found = ids.take(place)
+        if missing is not None:
+            found = pc.fill_null(found, pa.scalar(missing, pa.int32()))
         sizes = pc.fill_null(pc.list_value_length(batch), 0)
         ends = pc.cumulative_sum(sizes.cast(pa.int32()))
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), _one_chunk(ends)])
