@@ -56,6 +56,9 @@ def conversation_pairs(
 
     short = ready.where(F.size(messages) <= spread_turns).select(*others, turns.alias("__turns"))
     step = spread_turns + spread_turns % 2
+    # A fixed number of partitions: the ranges are small, their work is not, and adaptive execution
+    # would put them together again by size.
+    partitions = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = (
         ready.where(F.size(messages) > spread_turns)
         .select(
@@ -68,7 +71,7 @@ def conversation_pairs(
             "__from",
             F.slice("__all", F.lit(1), F.col("__from") + step).alias("__turns"),
         )
-        .repartition(*others, "__from")
+        .repartition(partitions, *others, "__from")
     )
     every = pairs(short, F.lit(1), F.size("__turns") - 1)
     return every.unionByName(pairs(long, F.col("__from"), F.size("__turns") - 1))
