@@ -142,19 +142,19 @@ def random_ordinal(
 ) -> DataFrame:
     """Add ``out``, the 0-based position in a seeded pseudo-random order.
 
-    The order is that of ``(hash(seed, seq), seq)``. The top 16 bits of the hash are the buckets, so
-    buckets are even whatever the ids look like, and one pass of bucket totals gives the offsets.
+    The order is that of the text ``md5(seed:seq)``, which any engine can reproduce. The first 16
+    bits are the buckets, so buckets are even whatever the ids look like, and one pass of bucket
+    totals gives the offsets.
     """
     hashed = df.selectExpr(f"{never_null(seq)} AS {seq}", *carry).selectExpr(
-        "*", f"xxhash64({int(seed)}, {seq}) AS __hash"
+        "*", f"coalesce(md5(concat('{int(seed)}:', {seq})), '') AS __hash"
     )
-    rows = hashed.selectExpr("*", "shiftright(__hash, 48) AS __bucket").repartition("__bucket")
+    rows = hashed.selectExpr("*", "substring(__hash, 1, 4) AS __bucket").repartition("__bucket")
     sizes = rows.groupBy("__bucket").agg(
         F.expr("count(1) AS __n"),
-        F.expr("min(__hash) AS __first"),
-        F.expr(f"max(xxhash64({', '.join([seq, *carry])})) AS __digest"),
+        F.expr(f"max(xxhash64({', '.join([seq, '__hash', *carry])})) AS __digest"),
     )
-    offset = _sum_before("__n", partition=[], order=["__first", "__digest"])
+    offset = _sum_before("__n", partition=[], order=["__bucket", "__digest"])
     offsets = sizes.selectExpr("__bucket", f"{offset} AS __off")
     inner = f"row_number() OVER (PARTITION BY __bucket ORDER BY __hash, {seq}) - 1"
     ranked = rows.selectExpr("*", f"{inner} AS __in")

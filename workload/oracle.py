@@ -266,6 +266,7 @@ ORACLE: dict[str, str] = {
     "plan_order_pc_desc": ordered("padded DESC, batch_id"),
     "plan_order_rc_asc": ordered("n, batch_id"),
     "plan_order_rc_desc": ordered("n DESC, batch_id"),
+    "plan_order_random": ordered("md5('7:' || batch_id), batch_id"),
     "probe_grid": f"""WITH {probes('source', 500)} SELECT source, target, seq_len, n_records, param_count,
         printf('%6d: %4d * %4d', param_count, n_records, seq_len) AS summary FROM grid""",
     "probe_order": f"""WITH {probes('', 500)}
@@ -297,6 +298,10 @@ ORACLE: dict[str, str] = {
     "shard_ranks": f"""WITH RECURSIVE {CAPACITY}, n AS (SELECT count(*) AS n FROM g),
         o AS (SELECT unnest(range((n + 6) // 7 * 7)) AS p, n FROM n)
         SELECT p % n AS batch_id, p % 7 AS rank, p // 7 AS micro_step, p // 14 AS optimizer_step FROM o""",
+    "shard_ranks_shuffled": f"""WITH RECURSIVE {CAPACITY},
+        q AS (SELECT batch_id, row_number() OVER (ORDER BY md5('3:' || batch_id), batch_id) - 1 AS p FROM g),
+        n AS (SELECT count(*) AS n FROM g), o AS (SELECT unnest(range((n + 6) // 7 * 7)) AS o, n FROM n)
+        SELECT o % 7 AS rank, o // 7 AS micro_step, batch_id FROM o JOIN q ON o % n = p""",
     "step_layout": f"""WITH RECURSIVE {CAPACITY}, n AS (SELECT count(*) AS n FROM g)
         SELECT n AS n_batches, (n + 7) // 8 AS n_per_rank, ((n + 7) // 8 + 1) // 2 AS steps_per_epoch,
                ((n + 7) // 8 + 1) // 2 * 3 AS total_steps FROM n""",

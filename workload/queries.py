@@ -480,7 +480,6 @@ def _order_query(order: str) -> Query:
 
 
 def plan_order_random(spark, folder):
-    """The batches in random order, joined to what stands at their position in plan order."""
     batches = _capacity(spark, folder, "random").batches
     return _big(batches.select("batch_id", "plan_pos", "n_records", "padded_tokens"))
 
