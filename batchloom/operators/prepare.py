@@ -40,7 +40,9 @@ def conversation_pairs(
     turns is first cut into ranges of pairs that other tasks take over.
     """
     others = [c for c in conversations.columns if c != messages]
-    turns = F.transform(messages, lambda m: templated(m["role"], m["content"]))
+    turns = F.transform(
+        messages, lambda m: templated(required(m["role"], "role"), required(m["content"], "content"))
+    )
     ready = conversations.where(F.size(messages) >= 2)
 
     def pairs(rows: DataFrame, first: Column, last: Column) -> DataFrame:
@@ -71,7 +73,7 @@ def conversation_pairs(
             "__from",
             F.slice("__all", F.lit(1), F.col("__from") + step).alias("__turns"),
         )
-        .repartition(partitions, *others, "__from")
+        .repartition(partitions, F.xxhash64("__turns"))
     )
     every = pairs(short, F.lit(1), F.size("__turns") - 1)
     return every.unionByName(pairs(long, F.col("__from"), F.size("__turns") - 1))

@@ -57,6 +57,11 @@ def test_pairs_of_tables(spark):
 
 
 def test_missing_parts_abort(spark):
+    nested = bl.nest_turns(conversations(spark, "ua")).selectExpr(
+        "transform(messages, m -> struct(m.role, if(m.role = 'u', m.content, null) AS content)) AS messages"
+    )
+    with pytest.raises(Exception, match="content is missing"):
+        bl.conversation_pairs(nested).collect()
     df = spark.createDataFrame([("q", None)], "question string, answer string")
     with pytest.raises(Exception, match="answer is missing"):
         bl.question_pairs(df).collect()
