@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 # Functions of this package travel to the executors with their code: nothing to install there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from batchloom.operators.collate import batch_matrices, collate, split_records
+from batchloom.operators.collate import batch_matrices, collate, plan_over_fields, split_records
 from batchloom.operators.lengths import lengths_of, sort_by_length
 from batchloom.operators.ordinal import with_ordinal
 from batchloom.operators.prepare import (

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 import batchloom as bl
+from batchloom.operators.collate import plan_over_fields
 from batchloom.operators.lengths import lengths_of
 from batchloom.operators.shard import TASKS, task_fields
 from batchloom.plans.measures import token_total
@@ -94,6 +95,7 @@ def plan(spark: SparkSession, args: argparse.Namespace) -> None:
 def collate(spark: SparkSession, args: argparse.Namespace) -> None:
     tokens, made = read_token_set(spark, args.tokens), writers.read_plan(spark, args.plan)
     fields, masked = task_fields(args.task, bl.DatasetSpec.from_file(args.spec) if args.spec else None)
+    made = plan_over_fields(made, tokens, fields)
     shards = bl.shard_batches(made.batches, args.world_size, args.accumulation, args.shuffle, args.seed)
     rows = bl.collate(
         tokens,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from operator import itemgetter
 
 from pyspark.sql import DataFrame
@@ -74,23 +75,18 @@ def collate(
 
     Fields are concatenated in order. Ids are padded with 0 and labels with -100, to the longest row
     of the batch or to the fixed length ``pad_to``; the labels of ``loss_masked`` fields are -100.
-    Only integers are shuffled to find the widths. Token arrays move once, to their batch, and
+    Only integers are shuffled to find the widths. Token arrays move once, to their places, and
     padding, mask and labels are made after that move. ``partition_by`` range-partitions the result
-    by those columns in between; ``placement`` replaces the assignment, for rows placed elsewhere.
+    by those columns in between. ``placement``, from ``place_rows``, gives places and widths for
+    rows that are delivered to ranks; to collate some of the fields, shard ``plan_over_fields``.
     """
     if padding_side not in ("left", "right"):
         raise ValueError(f"unknown padding side {padding_side!r}")
-    every = token_fields(tokens)
-    fields = list(fields or every)
-    on = ["seq_id"]
-    if plan.policy == MAX_LENGTH:
-        if not plan.knobs.get("key"):
-            raise ValueError("plan_max_length needs the name of the split field (key) to be collated")
-        tokens = split_records(tokens, plan.knobs["key"], plan.knobs["max_field_length"])
-        on.append("chunk")
+    fields = list(fields or token_fields(tokens))
     if placement is None:
-        used = plan if set(fields) == set(every) else _replanned(plan, tokens, fields, on)
+        used = plan_over_fields(plan, tokens, fields)
         placement = join_batches(used.assignment, used.batches)
+    tokens, on = chunked(tokens, plan)
     extra = [c for c in placement.columns if c not in ("seq_id", "chunk", "len", "row_len")]
     body = tokens.select(*on, *fields)
     rows = placement.select(*on, *extra).join(body, on)
@@ -140,10 +136,14 @@ def _present(field: str):
     return F.coalesce(F.col(field), lost.cast("array<int>"))
 
 
-def _replanned(plan: BatchPlan, tokens: DataFrame, fields: Sequence[str], on: list[str]) -> BatchPlan:
-    """The plan with row lengths over ``fields`` only, for collating some of the fields."""
-    from dataclasses import replace
+def plan_over_fields(plan: BatchPlan, tokens: DataFrame, fields: Sequence[str]) -> BatchPlan:
+    """The plan with row lengths over ``fields`` only, for collating some of the fields.
 
+    The batches and their order stay; what is padded to is the longest row of those fields.
+    """
+    if set(fields) == set(token_fields(tokens)):
+        return plan
+    tokens, on = chunked(tokens, plan)
     total = F.lit(0)
     for field in fields:
         total = total + F.coalesce(field_length(tokens, field), F.lit(0))
@@ -157,6 +157,16 @@ def _replanned(plan: BatchPlan, tokens: DataFrame, fields: Sequence[str], on: li
     return replace(plan, assignment=assignment, batches=batches)
 
 
+def chunked(tokens: DataFrame, plan: BatchPlan) -> tuple[DataFrame, list[str]]:
+    """The tokens as the plan places them, and the columns that name a row of them."""
+    if plan.policy != MAX_LENGTH:
+        return tokens, ["seq_id"]
+    if not plan.knobs.get("key"):
+        raise ValueError("plan_max_length needs the name of the split field (key) to be collated")
+    split = split_records(tokens, plan.knobs["key"], plan.knobs["max_field_length"])
+    return split, ["seq_id", "chunk"]
+
+
 def batch_matrices(rows: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per batch with its matrices, as a trainer takes them.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.functions.arrays import head, tail
+from batchloom.operators.collate import chunked
 from batchloom.operators.lengths import record_length, token_fields
 from batchloom.plans.policies import BatchPlan
 
@@ -94,12 +95,7 @@ def preview(tokens: DataFrame, plan: BatchPlan, edge: int = 5) -> DataFrame:
         F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("ids")) for f in fields])
     )
     placed = plan.assignment.select("seq_id", "chunk", "batch_id", "pos")
-    on = ["seq_id"]
-    if plan.knobs.get("max_field_length"):
-        from batchloom.operators.collate import split_records
-
-        tokens = split_records(tokens, plan.knobs["key"], plan.knobs["max_field_length"])
-        on.append("chunk")
+    tokens, on = chunked(tokens, plan)
     edges = tokens.select(*on, ids.alias("__f")).where(F.col("__f.ids").isNotNull())
     shown = edges.select(
         *on,

@@ -73,6 +73,10 @@ def test_some_fields_only(spark):
     plan = bl.plan_fixed(lengths_of(df), 2)
     rows = bl.collate(df, plan, ["chosen"]).orderBy("pos").collect()
     assert sorted(r["input_ids"] for r in rows) == [[2, 0], [4, 5]]
+    narrow = bl.plan_over_fields(plan, df, ["chosen"])
+    placed = bl.place_rows(narrow, bl.shard_batches(narrow.batches, 2))
+    rows = bl.collate(df, narrow, ["chosen"], placement=placed).collect()
+    assert sorted((r["rank"], r["input_ids"]) for r in rows) == [(k, x) for k in (0, 1) for x in ([2, 0], [4, 5])]
 
 
 def split_case(spark):
