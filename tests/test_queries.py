@@ -19,13 +19,13 @@ def tables():
     con.close()
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", entry.QUERIES)
 def test_query(spark, tables, name):
-    assert compare(spark, tables, name, entry.queries()[name], entry.oracle_sql().get(name), FOLDER) == ""
+    assert compare(spark, tables, name, entry.QUERIES[name], entry.ORACLE.get(name), FOLDER) == ""
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLE) <= set(entry.queries())
 
 
 def test_flagship(spark):
