@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from batchloom.llm import bpe
+from batchloom.llm import bpe, decontaminate, langid, lines, minhash, quality, secret_scan, toxicity, warc
+from batchloom.llm.common import crc_fold
+from batchloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,8 +36,86 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), "doc_id", "text", vocabulary_path())
 
 
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), "doc_id", "text")[0]
+
+
+def _labelled(spark: SparkSession, folder: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """All documents with their fold, and the labelled rows that may be learned from."""
+    docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", crc_fold(F.col("doc_id"), 4) == 2)
+    labels = table(spark, folder, "labels").select("doc_id", label)
+    return docs, docs.where(~F.col("held_out")).join(labels, "doc_id")
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality of every document; label 1 is good."""
+    docs, labelled = _labelled(spark, folder, "quality")
+    model = quality.fit(docs, labelled, "doc_id", "text", "quality")
+    return quality.score(docs, "doc_id", "text", model, keep=("held_out",))
+
+
+def language_model(docs: DataFrame) -> langid.LanguageModel:
+    """Trained on the documents with a language whose fold is not held out."""
+    return langid.fit(docs.where(crc_fold(F.col("doc_id"), 3) != 1), "text", "lang", "doc_id")
+
+
+def op5_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_fold(F.col("doc_id"), 3) == 1)
+    return langid.identify(docs, "doc_id", "text", language_model(docs), keep=("held_out",))
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as it comes back from the archives."""
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), "page_id", "url", "html", path)
+    return warc.read_archives(spark, path)
+
+
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document: counts, a digest of the base spans, and all spans."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, "text", scratch_path(spark, "ledger"))
+    kinds = [r.kind for r in secret_scan.BASE_RULES]
+    base = F.filter("secrets", lambda s: s["kind"].isin(kinds))
+    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("secrets")).alias("spans"),
+    )
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document; label 1 is toxic."""
+    docs, labelled = _labelled(spark, folder, "toxic")
+    index = toxicity.fit(docs, labelled, "doc_id", "text", "toxic")
+    return toxicity.score(docs, "doc_id", "text", index, keep=("held_out",))
+
+
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark items that each document holds."""
+    items = table(spark, folder, "benchmark").withColumnRenamed("text", "item_text")
+    return decontaminate.find_items(table(spark, folder, "documents"), "doc_id", "text", items, "item_id", "item_text")
+
+
+def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality rules on every document; the host is its source."""
+    return lines.apply_rules(table(spark, folder, "documents"), "doc_id", "text", "source").drop("host")
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
+    "op2_minhash": op2_minhash,
+    "op3_quality": op3_quality,
+    "op5_langid": op5_langid,
+    "op6_warc": op6_warc,
+    "op7_secrets": op7_secrets,
+    "op8_toxicity": op8_toxicity,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_lines": op10_lines,
 }
 
 ORACLE: dict[str, str] = {}
