@@ -231,27 +231,39 @@ def _shared(spark: SparkSession, vocabulary: Vocabulary | str):
     return spark.sparkContext.broadcast(vars(whole) | {"words": {}})
 
 
-def encode(df: DataFrame, text: str, vocabulary: Vocabulary | str, into: str = "ids") -> DataFrame:
-    """``df`` with the ids of ``text`` as ``into`` (array of int); a column of that name is replaced."""
-    shared, rest = _shared(df.sparkSession, vocabulary), [c for c in df.columns if c != into]
+def encode(
+    df: DataFrame, text: str, vocabulary: Vocabulary | str, into: str = "ids", verified: str | None = None
+) -> DataFrame:
+    """``df`` with the ids of ``text`` as ``into`` (array of int); a column of that name is replaced.
+
+    ``verified`` names a column that says whether the ids decode to the text.
+    """
+    extra = [into] if verified is None else [into, verified]
+    shared, rest = _shared(df.sparkSession, vocabulary), [c for c in df.columns if c not in extra]
 
     def make():
-        encoder = Encoder(Vocabulary(**shared.value))
+        vocabulary = Vocabulary(**shared.value)
+        encoder = Encoder(vocabulary)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            packed = encoder.packed(batch.column(batch.schema.get_field_index(key)).to_pylist())
+            texts = batch.column(batch.schema.get_field_index(key)).to_pylist()
+            packed = encoder.packed(texts)
             ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32))
             names = [n for n in batch.schema.names if n != key]
             keep = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != key]
-            return pa.RecordBatch.from_arrays([*keep, pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*names, into])
+            made = [pa.ListArray.from_arrays(pa.array(ends), flat)]
+            if verified is not None:
+                made.append(pa.array([decode_packed(p, vocabulary) == t for p, t in zip(packed, texts)], pa.bool_()))
+            return pa.RecordBatch.from_arrays([*keep, *made], names=[*names, *extra])
 
         return work
 
     key = fresh(df, "text to encode")
     chosen = pick(df, *rest).withColumn(key, F.col(f"`{text}`"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != key)
-    return map_texts(chosen, key, make, f"{fields}, `{into}` array<int>")
+    more = [f"`{into}` array<int>"] if verified is None else [f"`{into}` array<int>", f"`{verified}` boolean"]
+    return map_texts(chosen, key, make, ", ".join([f for f in [fields, *more] if f]))
 
 
 def decode(df: DataFrame, ids: str, vocabulary: Vocabulary | str, into: str = "decoded") -> DataFrame:

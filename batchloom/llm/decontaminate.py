@@ -17,14 +17,16 @@ matched: they would be found everywhere. Repeated items and rows each get their
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import map_texts
+from batchloom.llm.common import map_texts, slices
 
 #: Edits allowed for each character of an item.
 RATE = 0.1
@@ -54,7 +56,7 @@ def best_match(pattern: str, masks: dict[str, int], text: str, budget: int) -> t
     plus, minus, score, best, end = full, 0, m, budget + 1, -1
     for i, c in enumerate(text):
         match = masks.get(c, 0)
-        diagonal = (((match & plus) + plus) ^ plus) | match | minus
+        diagonal = ((((match & plus) + plus) ^ plus) | match | minus) & full
         right_plus = minus | (full & ~(diagonal | plus))
         right_minus = plus & diagonal
         if right_plus & top:
@@ -64,9 +66,8 @@ def best_match(pattern: str, masks: dict[str, int], text: str, budget: int) -> t
         # The match may begin anywhere, so the row above the first one stays 0.
         right_plus = (right_plus << 1) & full
         right_minus = (right_minus << 1) & full
-        plus = right_minus | (full & ~(diagonal | minus | right_plus))
-        plus &= full
-        minus = right_plus & (diagonal | minus)
+        plus = right_minus | (full & ~(diagonal | right_plus))
+        minus = right_plus & diagonal
         if score < best:
             best, end = score, i + 1
     return (best, end) if best <= budget else None
@@ -180,7 +181,31 @@ def find_items(
     return found
 
 
-def drop_contaminated(df: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, **options) -> DataFrame:
-    """``df`` without the documents that hold an item; rows without an id are judged together."""
-    hits = find_items(df, doc_id, text, items, item_id, item_text, **options).select(F.col(f"`{doc_id}`").alias("found")).distinct()
-    return df.join(hits, F.col(f"`{doc_id}`").eqNullSafe(hits["found"]), "left_anti")
+def drop_contaminated(
+    df: DataFrame,
+    text: str,
+    items: DataFrame,
+    item_id: str,
+    item_text: str,
+    rate: float = RATE,
+    min_chars: int = MIN_CHARS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``df`` whose text holds no item, with their columns as they are."""
+    for block in _blocks(items, item_id, item_text, rate, min_chars, block_bytes):
+        df = df.where(_holds_none(df.sparkSession.sparkContext.broadcast(block), rate)(F.col(f"`{text}`")))
+    return df
+
+
+def _holds_none(shared, rate: float):
+    """A condition on texts: none of the items of a block is in them."""
+
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(shared.value, rate)
+        for part in parts:
+            batch = pa.RecordBatch.from_arrays([pa.array(part, pa.string(), from_pandas=True)], names=["t"])
+            free = [not matcher.find(t) for piece in slices(batch, "t") for t in normal_text(piece.column(0)).to_pylist()]
+            yield pd.Series(free, dtype=bool)
+
+    return clean

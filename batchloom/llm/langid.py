@@ -9,7 +9,7 @@ words of a slice once, each document as the sum over its words. There is no shuf
 
 A document goes to the language of the lowest cross-entropy per letter. It is rejected if that entropy
 is above what the language's own calibration documents have, by more than ``reject_sigma`` standard
-deviations for a text of that length.
+deviations for a text of that length and by at least ``least_excess`` nats a letter.
 
 Null texts and texts without a letter give ``und`` with score 0 and are rejected. Ties go to the language
 that is first in the alphabet.
@@ -17,21 +17,25 @@ that is first in the alphabet.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import map_texts, mix64, pick, sums_of, starts_of
+from batchloom.llm.common import map_texts, mix64, pick, slices, starts_of, sums_of
 
 UNKNOWN = "und"
 #: Longest n-gram, in characters.
 ORDER = 4
 #: Labelled documents of each language that the counts are made from, and the entropies calibrated on.
 SAMPLE, CALIBRATION = 3000, 1000
+#: How far above its language's usual entropy a document is rejected: in standard deviations, and in nats.
+REJECT_SIGMA, LEAST_EXCESS = 8.0, 0.5
 #: Words beyond which a worker forgets the word scores that it has.
 CACHE_WORDS = 300_000
 
@@ -229,8 +233,8 @@ def _look_up(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nda
     return slot, hashes[slot] == wanted
 
 
-def score_words(model: LanguageModel, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of every word in every language, and the letters scored (its end is one)."""
+def letter_scores(model: LanguageModel, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of every letter in every language, and how many each word has (its end is one)."""
     points, lengths = _letters(words)
     depth = _depth(lengths)
     spot = np.flatnonzero(depth > 0)
@@ -255,13 +259,13 @@ def score_words(model: LanguageModel, words: pa.Array) -> tuple[np.ndarray, np.n
         weight[hit] = model.log_back[order - 1][slot[hit]]
         total[open_] += weight[open_] if order > 1 else 0.0
     total += np.where(open_, model.log_unseen, 0.0)
-    return sums_of(total, lengths - 1), lengths - 1
+    return total, lengths - 1
 
 
 class Scorer:
     """Sums of word scores for documents in one worker."""
 
-    def __init__(self, model: LanguageModel, cache: dict[str, int] | None = None):
+    def __init__(self, model: LanguageModel):
         self.model = model
         self.place: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.languages)))
@@ -273,7 +277,8 @@ class Scorer:
         strings = words.to_pylist()
         new = [w for w in strings if w not in self.place]
         if new:
-            scores, sizes = score_words(self.model, pa.array(new))
+            letters, sizes = letter_scores(self.model, pa.array(new))
+            scores = sums_of(letters, sizes)
             self.place.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
             self.scores, self.sizes = np.concatenate([self.scores, scores]), np.concatenate([self.sizes, sizes])
         return np.fromiter((self.place[w] for w in strings), np.int64, len(strings))
@@ -327,43 +332,75 @@ def _calibrate(model: LanguageModel, held: DataFrame, chosen: DataFrame, text: s
     return model
 
 
+def _judge(model: LanguageModel, reject_sigma: float, least_excess: float):
+    """A function of texts that gives language, score, cross-entropy and rejection."""
+    scorer, k = Scorer(model), len(model.languages)
+    names = np.array([*model.languages, UNKNOWN], dtype=object)
+
+    def judge(texts: pa.Array) -> list[pa.Array]:
+        entropy, letters = scorer.documents(texts)
+        if k:
+            best = entropy.argmin(axis=1)
+            low = entropy[np.arange(len(best)), best]
+            score = 1 / np.exp(8 * (low[:, None] - entropy)).sum(axis=1)
+            limit = np.sqrt(model.spread[best] ** 2 + model.noise[best] ** 2 / np.maximum(letters, 1))
+            rejected = low - model.mean[best] > np.maximum(reject_sigma * limit, least_excess)
+        else:
+            best, low, score, rejected = (np.zeros(len(letters), t) for t in (np.int64, float, float, bool))
+        none = (letters == 0) | (k == 0)
+        best, score, rejected = np.where(none, k, best), np.where(none, 0.0, score), rejected | none
+        return [pa.array(names[best], pa.string()), pa.array(score), pa.array(low, mask=none), pa.array(rejected)]
+
+    return judge
+
+
+def keep_identified(
+    df: DataFrame, text: str, model: LanguageModel, reject_sigma: float = REJECT_SIGMA, least_excess: float = LEAST_EXCESS
+) -> DataFrame:
+    """The rows of ``df`` that are not rejected, with their columns as they are."""
+    shared = df.sparkSession.sparkContext.broadcast(vars(model))
+
+    @F.pandas_udf("boolean")
+    def accepted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        judge = _judge(LanguageModel(**shared.value), reject_sigma, least_excess)
+        for part in parts:
+            batch = pa.RecordBatch.from_arrays([pa.array(part, pa.string(), from_pandas=True)], names=["t"])
+            found = [judge(piece.column(0))[3].to_numpy(zero_copy_only=False) for piece in slices(batch, "t")]
+            yield pd.Series(~np.concatenate(found) if found else np.zeros(0, bool))
+
+    return df.where(accepted(F.col(f"`{text}`")))
+
+
 def identify(
-    df: DataFrame, doc_id: str, text: str, model: LanguageModel, reject_sigma: float = 8.0, keep: tuple[str, ...] = ()
+    df: DataFrame,
+    doc_id: str,
+    text: str,
+    model: LanguageModel,
+    reject_sigma: float = REJECT_SIGMA,
+    least_excess: float = LEAST_EXCESS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Language of every text: ``doc_id``, ``keep`` columns, lang_pred, score, cross_entropy, rejected.
 
+    A kept column of one of the last four names gives way to it.
+
     ``score`` is the posterior of the language for an average word count of eight letters, so that it
     does not saturate with the length of the text.
     """
     shared = df.sparkSession.sparkContext.broadcast(vars(model))
 
     def make():
-        model = LanguageModel(**shared.value)
-        scorer = Scorer(model)
-        names = np.array([*model.languages, UNKNOWN], dtype=object)
+        judge = _judge(LanguageModel(**shared.value), reject_sigma, least_excess)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            entropy, letters = scorer.documents(batch.column(batch.num_columns - 1))
-            if len(model.languages):
-                best = entropy.argmin(axis=1)
-                low = entropy[np.arange(len(best)), best]
-                score = 1 / np.exp(8 * (low[:, None] - entropy)).sum(axis=1)
-                limit = np.sqrt(model.spread[best] ** 2 + model.noise[best] ** 2 / np.maximum(letters, 1))
-                rejected = low - model.mean[best] > reject_sigma * limit
-            else:
-                best, low, score, rejected = (np.zeros(len(letters), t) for t in (np.int64, float, float, bool))
-            none = (letters == 0) | (len(model.languages) == 0)
-            best, score, rejected = np.where(none, len(model.languages), best), np.where(none, 0.0, score), rejected | none
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            made = [pa.array(names[best], pa.string()), pa.array(score), pa.array(np.where(none, np.nan, low), mask=none), pa.array(rejected)]
-            return pa.RecordBatch.from_arrays([*kept, *made], names=[*batch.schema.names[:-1], "lang_pred", "score", "cross_entropy", "rejected"])
+            results = judge(batch.column(batch.num_columns - 1))
+            return pa.RecordBatch.from_arrays([*kept, *results], names=[*batch.schema.names[:-1], *made])
 
         return work
 
-    columns = [doc_id, *(c for c in keep if c != doc_id)]
-    made = {"lang_pred", "score", "cross_entropy", "rejected"}
-    if made & set(columns):
-        raise ValueError(f"rename the columns {sorted(made & set(columns))} first")
+    made = ("lang_pred", "score", "cross_entropy", "rejected")
+    columns = [doc_id, *(c for c in keep if c != doc_id and c not in made)]
     hidden = "text to identify"
     chosen = df.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text}`").alias(hidden))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != hidden)

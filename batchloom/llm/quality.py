@@ -200,9 +200,7 @@ def fit(documents: DataFrame, labelled: DataFrame, key: str, text: str, label: s
 
 def score(df: DataFrame, doc_id: str, text: str, model: QualityModel, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``keep`` columns, score (probability of label 1) and predicted for every row."""
-    columns = [doc_id, *(c for c in keep if c != doc_id)]
-    if {"score", "predicted"} & set(columns):
-        raise ValueError("rename the columns score and predicted first")
+    columns = [doc_id, *(c for c in keep if c != doc_id and c not in ("score", "predicted"))]
     shared = df.sparkSession.sparkContext.broadcast(vars(model))
     hidden = "text to score"
     chosen = df.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text}`").alias(hidden))

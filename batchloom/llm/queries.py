@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import bpe, decontaminate, langid, lines, minhash, quality, secret_scan, toxicity, warc
+from batchloom.llm import bpe, decontaminate, langid, lines, minhash, quality, secret_scan, suffix, toxicity, warc
 from batchloom.llm.common import crc_fold
 from batchloom.session import scratch_path
 
@@ -55,6 +55,11 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, "doc_id", "text", model, keep=("held_out",))
 
 
+def op4_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every document without the strings of 100 bytes that start earlier."""
+    return suffix.remove_repeats(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def language_model(docs: DataFrame) -> langid.LanguageModel:
     """Trained on the documents with a language whose fold is not held out."""
     return langid.fit(docs.where(crc_fold(F.col("doc_id"), 3) != 1), "text", "lang", "doc_id")
@@ -110,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
     "op3_quality": op3_quality,
+    "op4_suffix": op4_suffix,
     "op5_langid": op5_langid,
     "op6_warc": op6_warc,
     "op7_secrets": op7_secrets,
