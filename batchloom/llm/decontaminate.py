@@ -4,8 +4,10 @@ Texts are compared in normal form: lower case, every run of other characters tha
 one space. An item of n characters may occur with up to ``int(rate * n)`` edits. Cut into one piece more
 than that, at least one piece occurs unchanged. The pieces of a block of items form an automaton that is
 broadcast; each task finds all their hits in one pass over its texts, and only the stretches of text
-around a hit are verified, by Myers' bit-parallel edit distance on Python's long integers. Hits that
-overlap are verified together, so that a text of one repeated phrase costs no more than its length.
+around a hit are verified, by Myers' bit-parallel edit distance on Python's long integers. The same
+principle holds for the halves of an item and their halves: of some piece that occurs, every larger part
+around it keeps to one edit less than it has pieces. So a hit is first verified with its neighbour, then
+with two more, and few get as far as the whole item. What does is verified together where it overlaps.
 
 Items are taken in blocks of about ``block_bytes`` by a hash of their id, each in one pass over the
 documents: what a task holds does not grow with the benchmark. There is no shuffle of texts.
@@ -46,10 +48,11 @@ def pieces_of(length: int, rate: float) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:]))
 
 
-def best_match(pattern: str, masks: dict[str, int], text: str, budget: int) -> tuple[int, int] | None:
+def best_match(pattern: str, masks: dict[str, int], text: str, budget: int, enough: int = -1) -> tuple[int, int] | None:
     """Least edit distance of ``pattern`` to a substring of ``text`` and where the first such ends.
 
-    ``masks`` has the positions of every character in the pattern as bits. None above ``budget``.
+    ``masks`` has the positions of every character in the pattern as bits. None above ``budget``; the
+    search ends at a distance of ``enough`` or less.
     """
     m = len(pattern)
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -70,6 +73,8 @@ def best_match(pattern: str, masks: dict[str, int], text: str, budget: int) -> t
         minus = right_plus & diagonal
         if score < best:
             best, end = score, i + 1
+            if best <= enough:
+                break
     return (best, end) if best <= budget else None
 
 
@@ -87,24 +92,58 @@ class Matcher:
         import ahocorasick
 
         self.items = [(item, text, int(rate * len(text)), _masks(text)) for item, text in items]
+        self.parts: list[list[list[tuple[int, int, int, str, dict[str, int]]]]] = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(items):
-            for a, b in pieces_of(len(text), rate):
-                pieces.setdefault(text[a:b], []).append((k, b))
+            bounds = pieces_of(len(text), rate)
+            for j, (a, b) in enumerate(bounds):
+                pieces.setdefault(text[a:b], []).append((k, j))
+            self.parts.append(self._around(text, bounds))
+        self.bounds = [pieces_of(len(text), rate) for _, text in items]
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, places)
         if pieces:
             self.automaton.make_automaton()
 
+    @staticmethod
+    def _around(text: str, bounds: list[tuple[int, int]]) -> list:
+        """For every piece, the parts of the item around it, small ones first, without the whole:
+        start, stop, budget, text and masks.
+        """
+        out: list[list] = [[] for _ in bounds]
+        spans = [(0, len(bounds))]
+        while spans:
+            low, high = spans.pop()
+            if high - low < 2:
+                continue
+            middle = (low + high) // 2
+            spans += [(low, middle), (middle, high)]
+            if high - low < len(bounds):
+                a, b = bounds[low][0], bounds[high - 1][1]
+                part = (a, b, high - low - 1, text[a:b], _masks(text[a:b]))
+                for j in range(low, high):
+                    out[j].insert(0, part)
+        return out
+
+    def _holds(self, text: str, k: int, j: int, end: int) -> bool:
+        """Do the parts around piece ``j``, which ends before ``end``, keep to their budgets?"""
+        stop = self.bounds[k][j][1]
+        for a, b, budget, part, masks in self.parts[k][j]:
+            around = text[max(0, end - stop + a - budget) : end - stop + b + budget]
+            if best_match(part, masks, around, budget, budget) is None:
+                return False
+        return True
+
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(index of the item, distance, end of the best match in the normal text) for items found."""
         if not len(self.automaton):
             return []
         starts: dict[int, list[int]] = {}
-        for end, places in self.automaton.iter(text):
-            for k, offset in places:
-                starts.setdefault(k, []).append(end + 1 - offset)
+        for last, places in self.automaton.iter(text):
+            for k, j in places:
+                if self._holds(text, k, j, last + 1):
+                    starts.setdefault(k, []).append(last + 1 - self.bounds[k][j][1])
         found = []
         for k, begin in starts.items():
             _, pattern, budget, masks = self.items[k]
@@ -115,7 +154,7 @@ class Matcher:
                     high = b
                     continue
                 left = max(0, low - budget)
-                hit = best_match(pattern, masks, text[left : high + len(pattern) + budget], budget)
+                hit = best_match(pattern, masks, text[left : high + len(pattern) + budget], budget, 0)
                 if hit and (best is None or hit[0] < best[0]):
                     best = hit[0], left + hit[1]
                 low = high = b
