@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from batchloom.llm import bpe, decontaminate, langid, lines, minhash, quality, secret_scan, suffix, toxicity, warc
 from batchloom.llm.common import crc_fold
+from batchloom.llm.oracle import ORACLE  # noqa: F401
 from batchloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,5 +124,3 @@ QUERIES: dict[str, Query] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_lines": op10_lines,
 }
-
-ORACLE: dict[str, str] = {}

@@ -43,10 +43,10 @@ def edited(rng, text, edits):
 def case():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
-    items = [(i, " ".join(word() for _ in range(rng.randrange(9, 40)))) for i in range(12)]
+    items = [(i, " ".join(word() for _ in range(rng.randrange(9, 30)))) for i in range(12)]
     items += [(50, None), (51, ""), (52, "short"), (53, items[3][1]), (None, items[4][1].upper())]
     docs = []
-    for k in range(60):
+    for k in range(25):
         parts = [" ".join(word() for _ in range(30))]
         for _ in range(rng.randrange(3)):
             text = rng.choice(items[:12])[1]
