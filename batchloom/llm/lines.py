@@ -180,9 +180,9 @@ def remove_lines(
     lines = figures.select("doc_id", "host", F.explode("line_hash").alias("line_hash"))
     hits = lines.join(frequent_lines(figures, max_documents), ["host", "line_hash"])
     # The frequent lines of one document are no more than its lines.
-    gone = hits.groupBy("doc_id", "host").agg(F.collect_set("line_hash").alias("gone"))
-    key_id = F.col(f"`{doc_id}`").eqNullSafe(gone["doc_id"])
-    key_host = F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")) == gone["host"]
+    gone = hits.groupBy(F.col("doc_id").alias("hit doc"), F.col("host").alias("hit host")).agg(F.collect_set("line_hash").alias("hit lines"))
+    key_id = df[f"`{doc_id}`"].eqNullSafe(gone["`hit doc`"])
+    key_host = F.coalesce(df[f"`{host}`"].cast("string"), F.lit("")) == gone["`hit host`"]
     whole = df.join(gone, key_id & key_host, "left")
 
     @F.pandas_udf("string")
@@ -199,4 +199,4 @@ def remove_lines(
 
         return pd.Series(out, dtype=object)
 
-    return whole.select(*(df[f"`{c}`"] for c in df.columns if c != into), cleaned(df[f"`{text}`"], gone["gone"]).alias(into))
+    return whole.select(*(df[f"`{c}`"] for c in df.columns if c != into), cleaned(df[f"`{text}`"], gone["`hit lines`"]).alias(into))
