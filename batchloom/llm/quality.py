@@ -117,7 +117,8 @@ def features(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     mean = sums_of(own * times[:, None], per_text) / n
     square = sums_of(own**2 * times[:, None], per_text) / n
     out[:, :SIZE] = mean
-    out[:, SIZE : 2 * SIZE] = np.sqrt(np.maximum(square - mean**2, 0))
+    # The floor keeps rounding, which depends on the slice, out of the root.
+    out[:, SIZE : 2 * SIZE] = np.sqrt(np.maximum(square - mean**2, 1e-6))
     if len(code):
         text = np.repeat(np.arange(len(counts)), counts)
         again = np.zeros(len(code), dtype=np.int64)
