@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.llm import bpe, decontaminate, langid, lines, minhash, quality, secret_scan, suffix, toxicity, warc
@@ -79,13 +79,17 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(spark, path)
 
 
+def _number_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: counts, a digest of the base spans, and all spans."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs, "text", scratch_path(spark, "ledger"))
     kinds = [r.kind for r in secret_scan.BASE_RULES]
     base = F.filter("secrets", lambda s: s["kind"].isin(kinds))
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    counts = [_number_of("secrets", kind).alias(f"n_{kind}") for kind in kinds]
     return found.select(
         "doc_id",
         *counts,
