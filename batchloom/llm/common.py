@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.session import materialize
+
 #: Bytes of text that a task works on at a time; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 
@@ -112,3 +114,32 @@ def hash_strings(strings: pa.Array) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
     return np.fromiter((xxh3_64_intdigest(s) for s in strings.to_pylist()), np.uint64, len(strings))
+
+
+def sample_rows(df: DataFrame, key: str, group: str, size: int) -> Column:
+    """A condition that about ``size`` rows of each group meet, chosen by a hash of ``key``.
+
+    One pass over the two columns counts the groups; where a group is not larger, all its rows are in.
+    """
+    counts = df.groupBy(F.col(f"`{group}`").alias("g")).count().toArrow().to_pylist()
+    share = F.lit(0.0)
+    for row in counts:
+        share = F.when(F.col(f"`{group}`") == row["g"], min(1.0, size / row["count"])).otherwise(share)
+    return (F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(1 << 20)) / float(1 << 20)) < share
+
+
+def labelled_sample(
+    documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, size: int
+) -> tuple[DataFrame, dict[int, int]]:
+    """(key, label, text) of about ``size`` documents of each label, and how many labels there are of each.
+
+    The keys are chosen among the labels alone. Their number is bounded by ``size``, so they are sent to
+    the tasks that read the documents: no text moves, and what is found is written once.
+    """
+    known = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("long").alias("label"))
+    known = known.where(F.col("label").isNotNull() & F.col("key").isNotNull())
+    chosen = known.where(sample_rows(known, "key", "label", size))
+    counts = {row["label"]: row["count"] for row in known.groupBy("label").count().collect()}
+    docs = documents.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    sample = materialize(docs.join(F.broadcast(chosen), "key").select("key", "label", "text"), "sample")
+    return sample, counts

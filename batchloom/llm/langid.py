@@ -24,10 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import map_texts, mix64, pick, slices, starts_of, sums_of
+from batchloom.llm.common import map_texts, mix64, pick, sample_rows, slices, starts_of, sums_of
 
 UNKNOWN = "und"
 #: Longest n-gram, in characters.
@@ -91,18 +91,6 @@ def _depth(lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) - np.repeat(starts_of(lengths), lengths)
 
 
-def sample_rows(df: DataFrame, key: str, group: str, size: int) -> Column:
-    """A condition that about ``size`` rows of each group meet, chosen by a hash of ``key``.
-
-    One pass over the two columns counts the groups; where a group is not larger, all its rows are in.
-    """
-    counts = df.groupBy(F.col(f"`{group}`").alias("g")).count().toArrow().to_pylist()
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(f"`{group}`") == row["g"], min(1.0, size / row["count"])).otherwise(share)
-    return (F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(1 << 20)) / float(1 << 20)) < share
-
-
 def _count_grams(df: DataFrame, text: str, lang: str) -> pa.Table:
     """Counts of the longest n-grams in each language, as (lang, points of the n-gram, count)."""
 

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import code_words, gather, hash_strings, map_texts, mix64, slices, starts_of, sums_of
-from batchloom.llm.langid import sample_rows
+from batchloom.llm.common import code_words, gather, hash_strings, labelled_sample, map_texts, mix64, slices, starts_of, sums_of
 
 #: Hashed rows of the vector table, numbers in a vector, entries of an index vector, neighbours each way.
 ROWS, SIZE, ENTRIES, REACH = 4096, 32, 2, 2
@@ -170,15 +169,14 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, vectors: np.ndarray,
     return model
 
 
-def fit(documents: DataFrame, labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> QualityModel:
-    """Vectors from all ``documents``; network from about ``sample`` labelled rows of each class.
+def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> QualityModel:
+    """Vectors from all ``documents``; network from about ``sample`` labelled documents of each class.
 
-    The rows are chosen by a hash of ``key``; each weighs as many rows as it stands for.
+    ``labels`` has the keys that may be learned from. They are chosen by a hash of ``key``; each weighs as
+    many rows as it stands for.
     """
     vectors = word_vectors(documents, text)
-    known = labelled.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("long").alias("label"), F.col(f"`{text}`").alias("text"))
-    known = known.where(F.col("label").isNotNull())
-    chosen = known.where(sample_rows(known, "key", "label", sample))
+    chosen, counts = labelled_sample(documents, labels, key, text, label, sample)
     shared = documents.sparkSession.sparkContext.broadcast(vectors)
 
     def make():
@@ -189,9 +187,8 @@ def fit(documents: DataFrame, labelled: DataFrame, key: str, text: str, label: s
 
         return work
 
-    kind = known.schema["key"].dataType.simpleString()
+    kind = chosen.schema["key"].dataType.simpleString()
     rows = map_texts(chosen, "text", make, f"key {kind}, label long, x array<double>").toArrow().sort_by("key")
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     y = rows.column("label").to_numpy().astype(np.int64)
     x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(len(y), N_FEATURES)
     held = {c: max(1, int((y == c).sum())) for c in set(y.tolist())}

@@ -43,16 +43,16 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, folder: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """All documents with their fold, and the labelled rows that may be learned from."""
+    """All documents with their fold, and the labels that may be learned from."""
     docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", crc_fold(F.col("doc_id"), 4) == 2)
     labels = table(spark, folder, "labels").select("doc_id", label)
-    return docs, docs.where(~F.col("held_out")).join(labels, "doc_id")
+    return docs, labels.where(crc_fold(F.col("doc_id"), 4) != 2)
 
 
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """The quality of every document; label 1 is good."""
-    docs, labelled = _labelled(spark, folder, "quality")
-    model = quality.fit(docs, labelled, "doc_id", "text", "quality")
+    docs, labels = _labelled(spark, folder, "quality")
+    model = quality.fit(docs, labels, "doc_id", "text", "quality")
     return quality.score(docs, "doc_id", "text", model, keep=("held_out",))
 
 
@@ -100,8 +100,8 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """The toxicity of every document; label 1 is toxic."""
-    docs, labelled = _labelled(spark, folder, "toxic")
-    index = toxicity.fit(docs, labelled, "doc_id", "text", "toxic")
+    docs, labels = _labelled(spark, folder, "toxic")
+    index = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
     return toxicity.score(docs, "doc_id", "text", index, keep=("held_out",))
 
 

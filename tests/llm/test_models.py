@@ -34,7 +34,7 @@ SCHEMA = "doc_id long, text string, score string"
 def test_toxicity(spark):
     rows = toxic_rows()
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(*o, "x") for o in ODD] + [(3, rows[3][1], "x")], SCHEMA)
-    labelled = spark.createDataFrame(rows[:250], "doc_id long, text string, toxic long")
+    labelled = spark.createDataFrame([(i, y, "x") for i, _, y in rows[:250]], "doc_id long, toxic long, text string")
     index = toxicity.fit(docs, labelled, "doc_id", "text", "toxic")
     assert {"idiot", "scum", "moron", "trash"} <= set(index.terms)
     out = toxicity.score(docs, "doc_id", "text", index, keep=("score",)).collect()
@@ -97,7 +97,7 @@ def quality_rows(n=500, seed=2):
 def test_quality(spark):
     rows = quality_rows()
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(*o, "x") for o in ODD] + [(3, rows[3][1], "x")], SCHEMA)
-    labelled = spark.createDataFrame(rows[:300], "doc_id long, text string, good long")
+    labelled = spark.createDataFrame([(i, y, "x") for i, _, y in rows[:300]], "doc_id long, good long, text string")
     model = quality.fit(docs, labelled, "doc_id", "text", "good")
     out = quality.score(docs, "doc_id", "text", model, keep=("score",)).collect()
     assert len(out) == len(rows) + len(ODD) + 1
