@@ -35,7 +35,7 @@ ORDER = 4
 #: Labelled documents of each language that the counts are made from, and the entropies calibrated on.
 SAMPLE, CALIBRATION = 3000, 1000
 #: How far above its language's usual entropy a document is rejected: in standard deviations, and in nats.
-REJECT_SIGMA, LEAST_EXCESS = 8.0, 0.5
+REJECT_SIGMA, LEAST_EXCESS = 8.0, 1.0
 #: Words beyond which a worker forgets the word scores that it has.
 CACHE_WORDS = 300_000
 
