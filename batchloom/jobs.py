@@ -25,7 +25,7 @@ from batchloom.plans.policies import CAPACITY, DIFFERENCE, FIXED, MAX_LENGTH, OR
 from batchloom.session import get_session
 from batchloom.sinks import writers
 from batchloom.sources.files import ANY_NAME
-from batchloom.sources.records import read_keyed_json, read_parquet, read_strict_jsonl
+from batchloom.sources.records import JSONL_OR_PARTS, read_keyed_json, read_parquet, read_strict_jsonl
 from batchloom.sources.tokensets import read_token_folder, read_token_set
 
 
@@ -58,9 +58,10 @@ def tokenize(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.spec:
         spec = bl.DatasetSpec.from_file(args.spec)
     else:
-        preset = bl.pretrain_spec if args.task == "pt" else bl.sft_spec
-        spec = preset(args.input, args.max_seq_len, file_format=args.file_format)
-    records = bl.number_records(bl.read_dataset(spark, spec))
+        preset = {"pt": bl.pretrain_spec, "inference": bl.inference_spec}.get(args.task, bl.sft_spec)
+        spec = preset(args.input, args.max_seq_len, **({"file_format": args.file_format} if args.file_format else {}))
+    names = JSONL_OR_PARTS if args.spark_parts else None
+    records = bl.read_dataset(spark, spec, names=names, numbered=True)
     tokens = bl.tokenize(records, spec, _tokenizer(spark, args.tokenizer, args.vocabulary), args.on_exhausted)
     writers.write_token_set(tokens, args.output or writers.token_set_path(spec.folder_path))
 
@@ -122,9 +123,10 @@ def parser() -> argparse.ArgumentParser:
     where = job.add_mutually_exclusive_group(required=True)
     where.add_argument("--spec", help="JSON file of a dataset spec")
     where.add_argument("--input", help="dataset folder, read by the preset of --task")
-    job.add_argument("--task", choices=TASKS, default="sft")
+    job.add_argument("--task", choices=(*TASKS, "inference"), default="sft")
     job.add_argument("--max-seq-len", type=int)
     job.add_argument("--file-format")
+    job.add_argument("--spark-parts", action="store_true", help="read the part files of `prepare` too")
     job.add_argument("--tokenizer", default="codepoint", help="codepoint, or module:factory")
     job.add_argument("--vocabulary", help="Parquet table (token, id)")
     job.add_argument("--on-exhausted", default="keep")

@@ -21,6 +21,12 @@ IGNORED_LABEL = -100
 # records has no upper limit.
 SLICE_ROWS = 1 << 16
 
+# Steps of one rank that are written by one task.
+STEPS_TOGETHER = 256
+
+# Cells of a matrix in one row of the result: some 150 MB with mask and labels.
+MAX_CELLS = 1 << 24
+
 
 def split_records(tokens: DataFrame, key: str, max_field_length: int) -> DataFrame:
     """Tokenized records as chunks: (seq_id, chunk, fields).
@@ -70,14 +76,16 @@ def collate(
     pad_to: int | None = None,
     partition_by: Sequence[str] = (),
     placement: DataFrame | None = None,
+    pad_id: int = PAD_ID,
 ) -> DataFrame:
     """Padded rows: (plan_pos, batch_id, pos, n_tokens, pad_to, input_ids, attention_mask, labels).
 
-    Fields are concatenated in order. Ids are padded with 0 and labels with -100, to the longest row
+    Fields are concatenated in order. Ids are padded with ``pad_id`` and labels with -100, to the longest row
     of the batch or to the fixed length ``pad_to``; the labels of ``loss_masked`` fields are -100.
     Only integers are shuffled to find the widths. Token arrays move once, to their places, and
-    padding, mask and labels are made after that move. ``partition_by`` range-partitions the result
-    by those columns in between. ``placement``, from ``place_rows``, gives places and widths for
+    padding, mask and labels are made after that move. ``partition_by`` deals the result out by those
+    columns in between, each rank's steps in ranges of STEPS_TOGETHER, sorted. Bucketed tokens
+    (``write_token_set(table=…)``) make that the only move of the arrays. ``placement``, from ``place_rows``, gives places and widths for
     rows that are delivered to ranks; to collate some of the fields, shard ``plan_over_fields``.
     """
     if padding_side not in ("left", "right"):
@@ -91,7 +99,9 @@ def collate(
     body = tokens.select(*on, *fields)
     rows = placement.select(*on, *extra).join(body, on)
     if partition_by:
-        rows = rows.repartitionByRange(*partition_by).sortWithinPartitions(*partition_by)
+        # By arithmetic from the place, so that no range is sampled and the join runs once.
+        together = [F.expr(f"{c} div {STEPS_TOGETHER}") if c == "micro_step" else F.col(c) for c in partition_by if c != "pos"]
+        rows = rows.repartition(*together).sortWithinPartitions(*partition_by)
     width = F.lit(pad_to) if pad_to is not None else F.col("pad_to")
     ids = F.concat(*[_present(f) for f in fields])
     masked = set(loss_masked)
@@ -118,7 +128,7 @@ def collate(
     columns = [
         F.size("__ids").alias("n_tokens"),
         "pad_to",
-        pad(F.col("__ids"), F.col("pad_to"), F.lit(PAD_ID), padding_side).alias("input_ids"),
+        pad(F.col("__ids"), F.col("pad_to"), F.lit(pad_id), padding_side).alias("input_ids"),
         pad(
             F.array_repeat(F.lit(True), F.size("__ids")), F.col("pad_to"), F.lit(False), padding_side
         ).alias("attention_mask"),
@@ -167,17 +177,18 @@ def chunked(tokens: DataFrame, plan: BatchPlan) -> tuple[DataFrame, list[str]]:
     return split, ["seq_id", "chunk"]
 
 
-def batch_matrices(rows: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """One row per batch with its matrices, as a trainer takes them.
+def batch_matrices(rows: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+    """The matrices of every batch, as a trainer takes them, in parts of at most ``max_cells`` cells.
 
-    A batch of more than ``slice_rows`` rows comes in several rows, ``part`` 0, 1, …, which
-    concatenate to it; nothing but empty records fills a batch that far under a token capacity.
+    ``part`` is 0 for a batch that fits, as one under any usual capacity does; the parts 0, 1, … of a
+    larger one concatenate to it. A part has at least one row, and as many as its width allows, so
+    that a row of the result stays within what Spark stores in one.
     """
     names = [c for c in ("input_ids", "attention_mask", "labels") if c in rows.columns]
     others = [c for c in rows.columns if c not in (*names, "pos", "n_tokens")]
     entry = F.struct("pos", *names)
     grouped = (
-        rows.withColumn("part", F.expr(f"pos div {slice_rows}"))
+        rows.withColumn("part", F.expr(f"pos div greatest(1, {max_cells} div greatest(1, pad_to))"))
         .groupBy(*others, "part")
         .agg(F.array_sort(F.collect_list(entry)).alias("__rows"))
     )

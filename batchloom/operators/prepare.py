@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from batchloom.functions.text import required, templated
 
-# Turns of a conversation whose pairs one row-local step may build. Longer ones are spread.
+# Turns of a conversation in a range of pairs that one task builds.
 SPREAD_TURNS = 512
 
 
@@ -19,8 +19,10 @@ def nest_turns(
     """(conv, messages): the turns of each conversation in the order of ``turn``.
 
     ``messages`` is ``array<struct<role, content>>``, the shape conversation corpora are stored in.
-    A conversation is one row by definition: its last prompt repeats all of it.
+    A conversation is one row by definition: its last prompt repeats all of it. Turns without a
+    conversation are an error, as they would all be one.
     """
+    turns = turns.withColumn(conv, required(F.col(conv), conv))
     entry = F.struct(F.col(turn), F.col(role).alias("role"), F.col(text).alias("content"))
     ordered = F.array_sort(F.collect_list(entry))
     messages = F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
@@ -35,48 +37,32 @@ def conversation_pairs(
     Turns 1, 3, 5, … by position are the answers, whatever their role, and all turns before one
     are its prompt. Conversations of fewer than two turns give nothing.
 
-    The prompts of a conversation grow with the square of its length. Rows are therefore exploded
-    to pair numbers before any text is joined, and a conversation of more than ``spread_turns``
-    turns is first cut into ranges of pairs that other tasks take over.
+    The prompts of a conversation grow with the square of its length. Every conversation is therefore
+    cut into ranges of pairs for ``spread_turns`` turns, one range for a short one, and the ranges are
+    dealt out before any text is joined: the input is read once, whatever the lengths.
     """
     others = [c for c in conversations.columns if c != messages]
     turns = F.transform(
         messages, lambda m: templated(required(m["role"], "role"), required(m["content"], "content"))
     )
-    ready = conversations.where(F.size(messages) >= 2)
-
-    def pairs(rows: DataFrame, first: Column, last: Column) -> DataFrame:
-        exploded = rows.select(
-            *others, "__turns", F.explode(F.sequence(first, last, F.lit(2))).alias("turn")
-        )
-        return exploded.select(
-            *others,
-            "turn",
-            F.array_join(F.slice("__turns", F.lit(1), F.col("turn")), "").alias("prompt"),
-            F.element_at("__turns", F.col("turn") + 1).alias("chosen"),
-        )
-
-    short = ready.where(F.size(messages) <= spread_turns).select(*others, turns.alias("__turns"))
     step = spread_turns + spread_turns % 2
-    # A fixed number of partitions: the ranges are small, their work is not, and adaptive execution
-    # would put them together again by size.
+    # A fixed number of partitions: a range can be small and its work not, and adaptive execution would
+    # put ranges together again by size.
     partitions = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    long = (
-        ready.where(F.size(messages) > spread_turns)
-        .select(
-            *others,
-            turns.alias("__all"),
-            F.explode(F.sequence(F.lit(1), F.size(messages) - 1, F.lit(step))).alias("__from"),
-        )
-        .select(
-            *others,
-            "__from",
-            F.slice("__all", F.lit(1), F.col("__from") + step).alias("__turns"),
-        )
+    starts = F.explode(F.sequence(F.lit(1), F.size(messages) - 1, F.lit(step)))
+    ranges = (
+        conversations.where(F.size(messages) >= 2)
+        .select(*others, turns.alias("__all"), starts.alias("__from"))
+        .select(*others, "__from", F.slice("__all", F.lit(1), F.col("__from") + step).alias("__turns"))
         .repartition(partitions, F.xxhash64("__turns"))
     )
-    every = pairs(short, F.lit(1), F.size("__turns") - 1)
-    return every.unionByName(pairs(long, F.col("__from"), F.size("__turns") - 1))
+    numbers = F.explode(F.sequence(F.col("__from"), F.size("__turns") - 1, F.lit(2)))
+    return ranges.select(*others, "__turns", numbers.alias("turn")).select(
+        *others,
+        "turn",
+        F.array_join(F.slice("__turns", F.lit(1), F.col("turn")), "").alias("prompt"),
+        F.element_at("__turns", F.col("turn") + 1).alias("chosen"),
+    )
 
 
 def _pair(df: DataFrame, prompt: Column, chosen: Column, keep: Sequence[str]) -> DataFrame:

@@ -20,23 +20,33 @@ from pyspark.sql import types as T
 
 from batchloom.functions.arrays import head, no_tokens, tail
 from batchloom.functions.text import WORD_PATTERN, required, words
+from batchloom.session import materialize
 from batchloom.spec import DatasetSpec
 
 # Entries of a vocabulary that travel to the executors (some 10 MB); the rest of it is joined.
 MAX_SHIPPED_VOCABULARY = 500_000
 
-# Spread of one word over the join with a large vocabulary.
-JOIN_SALT = 32
+# Words of a vocabulary, in bytes, that may travel where ids are asked for in place.
+MAX_SENT_BYTES = 1 << 28
 
 
 @dataclass(frozen=True)
 class SpecialTokens:
-    """Ids a tokenizer reserves. They are never added to a text, and rows are padded with 0."""
+    """Ids a tokenizer reserves. ``tokenize`` adds the first two to a field only if it is asked to;
+    rows are padded with 0 unless ``collate`` is given ``pad_id``."""
 
     bos_id: int | None = None
     eos_id: int | None = None
     pad_id: int | None = None
 
+    def added(self) -> int:
+        return (self.bos_id is not None) + (self.eos_id is not None)
+
+    def around(self, ids: Column) -> Column:
+        """Ids between the two."""
+        ends = [F.array() if i is None else F.array(F.lit(i)) for i in (self.bos_id, self.eos_id)]
+        return F.concat(ends[0].cast("array<int>"), ids, ends[1].cast("array<int>"))
+
 
 class Tokenizer:
     """Interface: column expressions from text to units, and from units to ids."""
@@ -74,6 +84,9 @@ class Tokenizer:
 class CodepointTokenizer(Tokenizer):
     """One id per Unicode code point."""
 
+    def __init__(self, special: SpecialTokens = SpecialTokens()):
+        self.special = special
+
     def units(self, text: Column) -> Column:
         return text
 
@@ -115,11 +128,11 @@ def build_vocabulary(
 class VocabularyTokenizer(Tokenizer):
     """Words looked up in a vocabulary ``(token, id)`` of distinct words; others get ``unknown_id``.
 
-    The ``max_shipped`` entries of the lowest ids, which are the most frequent words where ids are
-    ranks, are sent to the executors once and looked up column-wise on Arrow batches: no shuffle, and
-    ids never leave their row. If the vocabulary is larger, only words not found there are joined
-    with the rest of it, salted so that a word that is in no vocabulary but in many records does not
-    pile up in one task.
+    The vocabulary is stored once. The ``max_shipped`` entries of the lowest ids, which are the most
+    frequent words where ids are ranks, are sent to the executors and looked up column-wise on Arrow
+    batches: ids never leave their row. If the vocabulary is larger, words not found there are joined
+    with the rest of it by ``finish``. Ids are a function of the words alone, so that what is joined
+    goes back by the words, and the result does not depend on the other columns or on ``max_shipped``.
     """
 
     def __init__(
@@ -133,63 +146,80 @@ class VocabularyTokenizer(Tokenizer):
         self.special = special
         self.unknown_id = unknown_id
         self.pattern = pattern
-        entries = vocabulary.select("token", F.col("id").cast("int").alias("id"))
+        self._entries = materialize(vocabulary.select("token", F.col("id").cast("int").alias("id")), "vocabulary")
         # Asks for one row more than may be shipped, so the answer is bounded either way.
-        rows = entries.orderBy("id").limit(max_shipped + 1).toArrow()
+        rows = self._entries.orderBy("id").limit(max_shipped + 1).toArrow()
         self._rest = None
         if rows.num_rows > max_shipped:
             first = rows.column("id")[max_shipped].as_py()
-            self._rest = entries.where(F.col("id") >= first)
+            self._rest = self._entries.where(F.col("id") >= first)
             rows = rows.slice(0, max_shipped)
         missing = None if self._rest is not None else unknown_id
         self._lookup = _vocabulary_lookup(vocabulary.sparkSession, rows, missing)
+        self._whole = None
 
     def units(self, text: Column) -> Column:
         return words(text, self.pattern)
 
     def ids(self, units: Column) -> Column:
-        if self._rest is not None:
-            raise ValueError("a part of this vocabulary is joined; use tokenize() or finish()")
-        return self._lookup(units)
+        """Ids in place. A vocabulary that is otherwise joined is sent as a whole for this, up to
+        MAX_SENT_BYTES of words."""
+        return self._complete()(units)
+
+    def _complete(self):
+        if self._rest is None:
+            return self._lookup
+        if self._whole is None:
+            if self._entries.agg(F.sum(F.octet_length("token"))).head()[0] > MAX_SENT_BYTES:
+                raise ValueError(f"a vocabulary of over {MAX_SENT_BYTES} bytes is only joined; use tokenize() or finish()")
+            self._whole = _vocabulary_lookup(
+                self._entries.sparkSession, self._entries.orderBy("id").toArrow(), self.unknown_id
+            )
+        return self._whole
 
     def finish(self, df: DataFrame, fields: Sequence[str], seq: str) -> DataFrame:
         if self._rest is None:
             return super().finish(df, fields, seq)
         for field in fields:
-            df = self._joined(df, field, seq)
+            df = self._joined(df, field)
         return df
 
-    def _joined(self, df: DataFrame, field: str, seq: str) -> DataFrame:
+    def _joined(self, df: DataFrame, field: str) -> DataFrame:
+        spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         looked_up = df.withColumn("__found", self._lookup(F.col(field)))
-        words_left = F.filter(
+        left_over = F.filter(
             F.transform(
                 F.arrays_zip(F.col(field).alias("w"), F.col("__found").alias("i")),
                 lambda e, p: F.struct(p.alias("p"), e["w"].alias("w"), e["i"].alias("i")),
             ),
             lambda e: e["i"].isNull(),
         )
-        # One row per distinct word of a record, holding all its places.
+        # Records of the same words share their key, and one of them is joined.
+        looked_up = looked_up.withColumn("__key", F.sha2(F.to_json(F.col(field)), 256))
         places = (
-            looked_up.select(seq, F.explode(words_left).alias("__e"))
-            .groupBy(seq, F.col("__e.w").alias("token"))
-            .agg(F.collect_list("__e.p").alias("__places"))
-            .withColumn("__salt", F.pmod(F.xxhash64(F.col(seq)), F.lit(JOIN_SALT)))
+            looked_up.select("__key", F.explode(left_over).alias("__e"))
+            .groupBy("__key", F.col("__e.w").alias("token"))
+            .agg(F.collect_set("__e.p").alias("__places"))
+            .withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(spread)))
         )
-        salts = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALT - 1)).cast("array<bigint>"))
-        salted = self._rest.withColumn("__salt", salts)
+        # As many copies of the rest as tasks, so that a word in no vocabulary but in most records is
+        # joined in all of them.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>"))
+        words_left = places.select("token").distinct()
+        salted = self._rest.join(words_left, "token", "left_semi").withColumn("__salt", salts)
         known = F.coalesce(F.col("id"), F.lit(self.unknown_id))
         numbered = places.join(salted, ["token", "__salt"], "left").select(
-            seq,
+            "__key",
             F.transform("__places", lambda p: F.struct(p.alias("p"), known.alias("i"))).alias("__part"),
         )
-        joined = numbered.groupBy(seq).agg(F.flatten(F.collect_list("__part")).alias("__joined"))
+        joined = numbered.groupBy("__key").agg(F.flatten(F.collect_list("__part")).alias("__joined"))
         others = [c for c in df.columns if c != field]
         found = F.filter(
             F.transform("__found", lambda i, p: F.struct(p.alias("p"), i.alias("i"))),
             lambda e: e["i"].isNotNull(),
         )
         every = F.when(F.col("__joined").isNull(), found).otherwise(F.concat(found, F.col("__joined")))
-        merged = looked_up.select(*others, "__found").join(joined, seq, "left")
+        merged = looked_up.select(*others, "__found", "__key").join(joined, "__key", "left")
         ids = F.transform(F.array_sort(every), lambda e: e["i"])
         return merged.select(*others, ids.alias(field)).select(*df.columns)
 
@@ -228,7 +258,7 @@ class ObjectTokenizer(Tokenizer):
     """Any Python tokenizer, made by ``factory`` once per Python worker.
 
     ``factory`` returns a function from a list of texts to a list of id lists. It runs where the
-    data is, on Arrow batches; no special tokens are added here.
+    data is, on Arrow batches.
     """
 
     def __init__(
@@ -266,9 +296,12 @@ def tokenize(
     tokenizer: Tokenizer,
     on_exhausted: str = "keep",
     keep: Sequence[str] = ("seq_id",),
+    add_special: bool = False,
 ) -> DataFrame:
     """Tokenize the fields of ``spec``: (keep…, field…, field_len…, total_len).
 
+    ``add_special`` puts the tokenizer's BOS and EOS ids around every field, within its limits.
+
     Fields are cut in their order. A field without a maximum gets what the earlier ones left of
     ``max_seq_len``; one with a maximum gets the smaller of the two. A budget of exactly nothing
     does not cut (``on_exhausted="keep"``, as a maximum of 0 means none to a tokenizer); ``"empty"``
@@ -286,6 +319,7 @@ def tokenize(
         *keep, *(tokenizer.units(required(F.col(f), f)).alias(f) for f in fields)
     )
     used: Column = F.lit(0)
+    extra = tokenizer.special.added() if add_special else 0
     for field in spec:
         units, length = F.col(field.name), f"{field.name}_len"
         size = tokenizer.size(units)
@@ -296,14 +330,20 @@ def tokenize(
             if field.max_len:
                 budget = F.least(F.lit(field.max_len), budget)
             left_over = size if on_exhausted == "keep" else F.lit(0)
-            kept = F.when(budget <= 0, left_over).otherwise(F.least(size, budget))
+            room = F.greatest(budget - extra, F.lit(0))
+            kept = F.when(budget <= 0, left_over).otherwise(F.least(size, room))
             df = df.withColumn(length, kept.cast("int"))
             cut = tokenizer.last if field.side == "left" else tokenizer.first
             df = df.withColumn(field.name, cut(units, F.col(length)))
-        used = used + F.col(length)
+        used = used + F.col(length) + F.lit(extra)
     lengths = [f"{f}_len" for f in fields]
     df = df.withColumn("total_len", used.cast("int"))
-    return tokenizer.finish(df, fields, keep[0]).select(*keep, *fields, *lengths, "total_len")
+    out = tokenizer.finish(df, fields, keep[0])
+    if extra:
+        out = out.withColumns(
+            {f: tokenizer.special.around(F.col(f)) for f in fields} | {n: F.col(n) + F.lit(extra) for n in lengths}
+        )
+    return out.select(*keep, *fields, *lengths, "total_len")
 
 
 def map_records(

@@ -89,12 +89,13 @@ def padding_summary(plans: dict[str, BatchPlan], pad_to: int | None = None) -> D
 
 
 def preview(tokens: DataFrame, plan: BatchPlan, edge: int = 5) -> DataFrame:
-    """Per record and field, in plan order: size, and the first and last ``edge`` ids."""
+    """Per record and field: place in the plan (``plan_pos``, ``pos``), size, first and last ``edge`` ids."""
     fields = token_fields(tokens)
     ids = F.explode(
         F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("ids")) for f in fields])
     )
-    placed = plan.assignment.select("seq_id", "chunk", "batch_id", "pos")
+    positions = plan.batches.select("batch_id", "plan_pos")
+    placed = plan.assignment.select("seq_id", "chunk", "batch_id", "pos").join(positions, "batch_id")
     tokens, on = chunked(tokens, plan)
     edges = tokens.select(*on, ids.alias("__f")).where(F.col("__f.ids").isNotNull())
     shown = edges.select(
@@ -105,7 +106,7 @@ def preview(tokens: DataFrame, plan: BatchPlan, edge: int = 5) -> DataFrame:
         tail(F.col("__f.ids"), edge).alias("last_ids"),
     )
     return shown.join(placed, on).select(
-        "batch_id", "pos", "field", "seq_id", "chunk", "size", "first_ids", "last_ids"
+        "plan_pos", "batch_id", "pos", "field", "seq_id", "chunk", "size", "first_ids", "last_ids"
     )
 
 

@@ -51,7 +51,10 @@ def probe_grid(
 
 def order_probes(grid: DataFrame) -> DataFrame:
     """``plan_pos`` by token count; ties by target, then by length, as they are made."""
-    made = grid.withColumn("__seq", F.col("target") * F.lit(1 << 26) + F.col("seq_len"))
+    packed = F.col("target") * F.lit(1 << 26) + F.col("seq_len")
+    fits = (F.col("seq_len") < (1 << 26)) & (F.col("target") < (1 << 37))
+    beyond = F.raise_error(F.lit("probes take lengths below 2^26 and targets below 2^37")).cast("bigint")
+    made = grid.withColumn("__seq", F.when(fits, packed).otherwise(beyond))
     out = with_ordinal(
         made,
         key="param_count",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,24 +29,14 @@ def get_session(app_name: str = "batchloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-# Folders made for local sessions, by application.
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where a local session (a test, a laptop) names none is a folder made for it.
+    A session without one keeps its stages beside its tables, in the warehouse folder, which Spark
+    shares in the same way.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    if context.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="batchloom-")
-    return _LOCAL_FOLDERS[context.applicationId]
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/batchloom-stages"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from batchloom.functions.text import unix_newlines
@@ -18,8 +18,15 @@ EMPTY_JSON = ("{}", "[]", "null", '""', "false")
 ZERO_JSON = r"^-?0(\.0*)?([eE][+-]?[0-9]+)?$"
 
 
-# JSON line files by name, and the part files Spark writes JSON lines to.
-JSONL_NAMES = NameFilter(regex=r".*jsonl$|part-.*\.json$")
+# JSON line files by name; and with the part files Spark writes JSON lines to, for who asks for them.
+JSONL_NAMES = NameFilter(suffix="jsonl")
+JSONL_OR_PARTS = NameFilter(regex=r".*jsonl$|part-.*\.json$")
+
+# Fixed value: the longest string that Spark's variant parser takes, in characters.
+VARIANT_STRING = 20_000_000
+
+# Where a row comes from: file, split and place in the split, as a scan gives them.
+POSITION = ("__path", "__block", "__row")
 
 
 def _is_empty(parsed: Column) -> Column:
@@ -34,21 +41,30 @@ def parse_json_lines(
 
     Lines that are not JSON are dropped and counted, and so are empty values such as ``{}`` or
     ``null``. ``observation`` receives the counts ``lines``, ``undecodable`` and ``empty``. Fields
-    that are not strings come as their JSON text; absent ones as null.
+    that are not strings come as their JSON text; absent ones as null. Objects with strings that are
+    too long for the first parser are read by one without that limit, so that no line is lost by size.
     """
     others = [c for c in lines.columns if c != value]
-    parsed = lines.select(*others, F.try_parse_json(value).alias("__json"))
+    parsed = lines.select(*others, value, F.try_parse_json(value).alias("__json"))
+    schema = ", ".join([*(f"`{field}` STRING" for field in fields), "__bad STRING"])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad", "maxStringLen": str(2**31 - 1)}
+    refused = F.col("__json").isNull() & (F.octet_length(value) > VARIANT_STRING)
+    parsed = parsed.withColumn("__long", F.when(refused, F.from_json(value, schema, options)))
+    long = F.col("__long").isNotNull() & F.col("__long.__bad").isNull()
     if observation is not None:
         parsed = parsed.observe(
             observation,
             F.count(F.lit(1)).alias("lines"),
-            F.count_if(F.col("__json").isNull()).alias("undecodable"),
+            F.count_if(F.col("__json").isNull() & ~long).alias("undecodable"),
             F.count_if(F.col("__json").isNotNull() & _is_empty(F.col("__json"))).alias("empty"),
         )
-    kept = parsed.where(F.col("__json").isNotNull() & ~_is_empty(F.col("__json")))
+    kept = parsed.where(long | (F.col("__json").isNotNull() & ~_is_empty(F.col("__json"))))
     return kept.select(
         *others,
-        *(F.try_variant_get("__json", f"$['{field}']", "string").alias(field) for field in fields),
+        *(
+            F.coalesce(F.try_variant_get("__json", f"$['{field}']", "string"), F.col("__long")[field]).alias(field)
+            for field in fields
+        ),
     )
 
 
@@ -64,6 +80,40 @@ def read_jsonl(
     return parse_json_lines(lines.select("value"), fields, observation=observation)
 
 
+def positioned(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of a scan with the POSITION of every row."""
+    path, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    return rows.select(
+        *columns, path.alias(POSITION[0]), block.alias(POSITION[1]), F.monotonically_increasing_id().alias(POSITION[2])
+    )
+
+
+def number_positions(records: DataFrame, rows: DataFrame) -> DataFrame:
+    """``records`` with ``seq_id`` instead of their POSITION: the number of the row in the input.
+
+    ``rows`` are all rows of the scan, so ids have gaps where rows were dropped. Files come in the order
+    of their paths, and rows in the order of their file, however the files are split, packed and read.
+    Rows are counted by split first; one pass over the records follows, in which none of them moves if
+    the table of splits is small enough for Spark to send it along.
+    """
+    path, block, row = POSITION
+    splits = materialize(rows.groupBy(path, block).agg(F.count(F.lit(1)).alias("__n"), F.min(row).alias("__first")), "splits")
+
+    def sums(column: str, window) -> Column:
+        return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+    # One row for a file in the only window without a key.
+    files = splits.groupBy(path).agg(F.sum("__n").alias("__rows"))
+    bases = files.select(path, sums("__rows", Window.orderBy(path).rowsBetween(Window.unboundedPreceding, -1)).alias("__base"))
+    inner = Window.partitionBy(path).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    places = splits.withColumn("__before", sums("__n", inner)).join(bases, path)
+    place = F.col(row) - F.col("__first")
+    moved = F.raise_error(F.lit("the files were split in another way while they were numbered")).cast("bigint")
+    seq = F.when((place >= 0) & (place < F.col("__n")), F.col("__base") + F.col("__before") + place).otherwise(moved)
+    others = [c for c in records.columns if c not in POSITION]
+    return records.join(places, [path, block]).select(seq.alias("seq_id"), *others)
+
+
 def read_json_arrays(
     spark: SparkSession,
     folder: str,
@@ -100,18 +150,10 @@ def read_texts(
     return files.select(*path, unix_newlines(F.col("value")).alias("content"))
 
 
-def read_parquet(
-    spark: SparkSession, path: str, columns: Sequence[str] = (), spread_by: str | None = None
-) -> DataFrame:
-    """A table. ``spread_by`` names a unique column to deal the rows out by where the files give
-    fewer scan tasks than there are cores, as one file with a single row group does. Larger tables
-    have more tasks than that and are not moved."""
+def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
+    """A table, or some columns of it."""
     table = spark.read.parquet(path)
-    table = table.select(*columns) if columns else table
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by is not None and table.rdd.getNumPartitions() < cores:
-        table = table.repartition(cores, spread_by)
-    return table
+    return table.select(*columns) if columns else table
 
 
 def read_keyed_json(
@@ -126,26 +168,41 @@ def read_keyed_json(
 
 
 def read_dataset(
-    spark: SparkSession, spec: DatasetSpec, observation: Observation | None = None
+    spark: SparkSession,
+    spec: DatasetSpec,
+    observation: Observation | None = None,
+    names: NameFilter | None = None,
+    numbered: bool = False,
 ) -> DataFrame:
-    """The fields of a file dataset, by its format. Every record must have all of them."""
+    """The fields of a file dataset, by its format. Every record must have all of them.
+
+    Files are those whose name ends with the format, unless ``names`` says otherwise. ``numbered``
+    adds ``seq_id``, the position in the files in the order of their paths (``number_positions``).
+    """
     if spec.file_format is None:
         raise ValueError("this spec describes no files")
-    names = NameFilter(suffix=spec.file_format)
+    names = names or NameFilter(suffix=spec.file_format)
+    fields, reader = list(spec.field_names), folder_reader(spark, names)
     if spec.file_format == "jsonl":
-        records = read_jsonl(spark, spec.folder_path, spec.field_names, observation=observation)
+        rows = positioned(matching(reader.text(spec.folder_path), names), "value")
+        records = parse_json_lines(rows, fields, observation=observation)
     elif spec.file_format == "json":
-        records = read_json_arrays(spark, spec.folder_path, spec.field_names, names)
+        strict = reader.schema(", ".join(f"`{f}` STRING" for f in fields)).option("multiLine", "true")
+        rows = positioned(matching(strict.option("mode", "FAILFAST").json(spec.folder_path), names), *fields)
+        records = rows
     else:
-        records = read_texts(spark, spec.folder_path, names)
-    return project_fields(records, spec.field_names, keep=())
+        rows = positioned(matching(reader.text(spec.folder_path, wholetext=True), names), "value")
+        records = rows.withColumn("content", unix_newlines(F.col("value")))
+    if not numbered:
+        return project_fields(records, fields, keep=())
+    return number_positions(project_fields(records, fields, keep=POSITION), rows)
 
 
 def number_records(records: DataFrame) -> DataFrame:
-    """Give every record its ``seq_id`` once, and write the result so that it never changes.
+    """Give every record of any DataFrame a ``seq_id`` once, and write the result so that it never changes.
 
-    Ids rise with the position in the files as Spark lists them. They come from the partition number
-    and so are written down here rather than made again by every reader.
+    Ids rise in the order in which this run reads the records. Where they shall follow the files,
+    whatever the cluster, use ``read_dataset(…, numbered=True)``.
     """
     if "seq_id" in records.columns:
         raise ValueError("the records have a seq_id already")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from batchloom.sources.files import NameFilter, list_files
-
 # Fixed value: what a tokenized set is called, beside the folder it was made from.
 TOKEN_SUFFIX = ".tokens.parquet"
 
@@ -36,10 +34,24 @@ def merge_token_sets(*sets: DataFrame) -> DataFrame:
 
 
 def read_token_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """All tokenized sets directly in ``folder``, merged in the order of their names."""
-    root = folder.rstrip("/")
-    files = list_files(spark, f"{root}/*{TOKEN_SUFFIX}", NameFilter(suffix=".parquet"))
-    name = F.regexp_extract("path", r"([^/]*" + TOKEN_SUFFIX.replace(".", r"\.") + ")/[^/]*$", 1)
-    # One name per set: a directory listing, not data.
-    names = sorted(row["name"] for row in files.select(name.alias("name")).distinct().collect())
-    return merge_token_sets(*(read_token_set(spark, f"{root}/{n}") for n in names))
+    """All tokenized sets directly in ``folder``, merged in the order of their names.
+
+    One scan over all sets; the highest id of each comes from one aggregate over the id column, and
+    the offsets of the sets, one row for each, are joined. Sets with other columns are an error.
+    """
+    paths = f"{folder.rstrip('/')}/*{TOKEN_SUFFIX}"
+    tokens = spark.read.parquet(paths)
+    merged = spark.read.option("mergeSchema", "true").parquet(paths)
+    if sorted(merged.dtypes) != sorted(tokens.dtypes):
+        raise ValueError(f"sets have different columns: {tokens.dtypes} and {merged.dtypes}")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*" + TOKEN_SUFFIX.replace(".", r"\.") + ")/[^/]*$", 1)
+    columns = tokens.columns
+    named = tokens.select(*columns, name.alias("__set"))
+    sizes = named.groupBy("__set").agg((F.max("seq_id") + 1).alias("__n"))
+    before = Window.orderBy("__set").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__set", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    present = [
+        F.coalesce(F.col(c), F.raise_error(F.lit(f"a set has no {c}")).cast(t)).alias(c) for c, t in tokens.dtypes if c != "seq_id"
+    ]
+    moved = named.join(offsets, "__set").select((F.col("seq_id") + F.col("__offset")).alias("seq_id"), *present)
+    return moved.select(*columns)

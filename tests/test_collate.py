@@ -125,7 +125,7 @@ def test_a_batch_of_many_empty_records_is_spread(spark, monkeypatch):
     plan = bl.plan_capacity(lengths_of(df), 300)
     rows = bl.collate(df, plan, ["content"])
     assert rows.count() == 101
-    matrices = bl.batch_matrices(rows, slice_rows=16).orderBy("batch_id", "part").collect()
+    matrices = bl.batch_matrices(rows, max_cells=33).orderBy("batch_id", "part").collect()
     assert [m["n_rows"] for m in matrices] == [16] * 6 + [5]
     assert sum((m["input_ids"] for m in matrices), []) == [[0, 0]] * 100 + [[1, 2]]
 

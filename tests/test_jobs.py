@@ -28,7 +28,7 @@ def test_pipeline(spark, corpus, capsys):
         "folder_path": f"{root}/chat",
     }
     (root / "spec.json").write_text(json.dumps(spec))
-    jobs.main(["tokenize", "--spec", f"{root}/spec.json"])
+    jobs.main(["tokenize", "--spec", f"{root}/spec.json", "--spark-parts"])
     tokens = spark.read.parquet(f"{root}/chat.tokens.parquet")
     assert tokens.count() == pairs
     assert tokens.agg({"total_len": "max"}).first()[0] <= 80
@@ -36,7 +36,7 @@ def test_pipeline(spark, corpus, capsys):
     jobs.main(["count", "--input", f"{root}/chat.tokens.parquet"])
     assert str(tokens.agg({"total_len": "sum"}).first()[0]) in capsys.readouterr().out
 
-    jobs.main(["tokenize", "--input", f"{root}/chat", "--output", f"{root}/sets/more.tokens.parquet"])
+    jobs.main(["tokenize", "--input", f"{root}/chat", "--output", f"{root}/sets/more.tokens.parquet", "--spark-parts"])
     tokens.write.parquet(f"{root}/sets/first.tokens.parquet")
     jobs.main(["merge", "--input", f"{root}/sets", "--output", f"{root}/merged"])
     assert spark.read.parquet(f"{root}/merged").count() == 2 * pairs

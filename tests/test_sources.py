@@ -111,6 +111,43 @@ def test_keyed_json(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("7", "s", "r", "t"), ("8", "x", "y", "z")]
 
 
+def test_lines_are_not_lost_by_their_size(spark, tmp_path):
+    """Strings over the limit of the first parser come back whole; long lines that are no JSON are counted."""
+    folder = tmp_path / "long"
+    folder.mkdir()
+    sizes = (1_000_000, 21_000_000, 150_000_000)
+    for size in sizes:
+        (folder / f"{size}.jsonl").write_text('{"a": "' + "x" * size + '", "n": 1}\n')
+    (folder / "bad.jsonl").write_text('{"a": "' + "x" * 21_000_000 + "\n{}\n")
+    (folder / "part-0.json").write_text('{"a": "foreign"}\n')
+    seen = Observation()
+    records = R.read_jsonl(spark, str(folder), ["a", "n"], observation=seen)
+    rows = records.selectExpr("length(a) AS size", "n").collect()
+    assert sorted(r["size"] for r in rows) == list(sizes) and {r["n"] for r in rows} == {"1"}
+    assert seen.get == {"lines": 5, "undecodable": 1, "empty": 1}
+
+
+def test_numbers_follow_the_files(spark, tmp_path):
+    """The same ids for any split size, and files one after another in the order of their paths."""
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    want = []
+    for name, n in (("b", 700), ("a", 500), ("c", 1)):
+        lines = [f'{{"prompt": "{name}{i}", "chosen": "x"}}' if i % 7 else "no json" for i in range(n)]
+        (folder / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    at = 0
+    for name, n in (("a", 500), ("b", 700), ("c", 1)):
+        want += [(at + i, f"{name}{i}") for i in range(n) if i % 7]
+        at += n
+    for split in ("128m", "3000", "777"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            records = bl.read_dataset(spark, bl.sft_spec(str(folder), file_format="jsonl"), numbered=True)
+            assert sorted((r["seq_id"], r["prompt"]) for r in records.collect()) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_numbered_records_keep_their_ids(spark):
     records = spark.createDataFrame([(f"t{i}",) for i in range(100)], "content string").repartition(7)
     numbered = bl.number_records(records)
@@ -141,6 +178,13 @@ def test_merged_sets(spark):
         merge_token_sets(tokens(spark, 1), tokens(spark, 1).withColumnRenamed("content", "x"))
 
 
+def test_sets_with_other_columns_are_refused(spark, tmp_path):
+    tokens(spark, 3).write.parquet(f"{tmp_path}/a.tokens.parquet")
+    tokens(spark, 3).withColumnRenamed("content", "other").write.parquet(f"{tmp_path}/b.tokens.parquet")
+    with pytest.raises(ValueError):
+        read_token_folder(spark, str(tmp_path))
+
+
 def test_folder_of_sets(spark, tmp_path):
     assert token_set_path("/data/chat/") == "/data/chat.tokens.parquet"
     for name, n in (("b", 2), ("a", 3)):

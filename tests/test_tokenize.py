@@ -115,6 +115,35 @@ def test_a_frequent_word_joined(spark):
     }
 
 
+@pytest.mark.parametrize("max_shipped", [10, 1, 0])
+def test_ids_depend_on_the_words_alone(spark, max_shipped):
+    """Repeated keys, repeated records and ids in place, whatever part of the vocabulary is joined."""
+    df = spark.createDataFrame([(1, "a b c"), (1, "c d"), (2, "c d"), (2, "c d")], "g int, content string")
+    vocabulary = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "token string, id int")
+    tokenizer = bl.VocabularyTokenizer(vocabulary, max_shipped=max_shipped)
+    rows = bl.tokenize(df, bl.pretrain_spec(), tokenizer, keep=("g",)).collect()
+    assert sorted((r["g"], r["content"]) for r in rows) == [(1, [1, 2, 3]), (1, [3, 4]), (2, [3, 4]), (2, [3, 4])]
+    ids = df.select(tokenizer.encode(F.col("content")).alias("ids"), tokenizer.count(F.col("content")).alias("n"))
+    assert sorted((r["ids"], r["n"]) for r in ids.collect()) == [([1, 2, 3], 3)] + [([3, 4], 2)] * 3
+
+
+def test_a_vocabulary_too_large_for_ids_in_place(spark, monkeypatch):
+    vocabulary = spark.createDataFrame([("a", 1), ("b", 2)], "token string, id int")
+    tokenizer = bl.VocabularyTokenizer(vocabulary, max_shipped=1)
+    monkeypatch.setattr("batchloom.operators.tokenize.MAX_SENT_BYTES", 1)
+    with pytest.raises(ValueError, match="only joined"):
+        tokenizer.encode(F.col("content"))
+
+
+def test_special_tokens(spark):
+    tokenizer = bl.CodepointTokenizer(bl.SpecialTokens(bos_id=6, eos_id=2))
+    df = records(spark, [("abcdef",), ("",)], ["content"])
+    spec = bl.pretrain_spec(max_seq_len=4, field_truncation_sides=["right"])
+    rows = bl.tokenize(df, spec, tokenizer, add_special=True).orderBy("seq_id").collect()
+    assert [(r["content"], r["content_len"], r["total_len"]) for r in rows] == [([6, 97, 98, 2], 4, 4), ([6, 2], 2, 2)]
+    assert bl.tokenize(df, spec, tokenizer).orderBy("seq_id").first()["content"] == [97, 98, 99, 100]
+
+
 def test_user_tokenizer(spark):
     def factory():
         table = {"a": 1}

@@ -207,6 +207,19 @@ ORACLE: dict[str, str] = {
     "mirror_tree": f"WITH {FILES} SELECT bucket, md5(replace(content, ' ', '_')) AS content FROM files",
     "map_records": """SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines,
         list_max(list_transform(string_split(text, chr(10)), lambda x: length(x)))::BIGINT AS longest FROM documents""",
+    "source_numbered": f"""SELECT row_number() OVER (ORDER BY doc_id // {DOCS_PER_FILE} % 7, doc_id) - 1 AS seq_id,
+        doc_id, md5(text) AS text FROM documents""",
+    "merge_token_folder": f"""WITH a AS (SELECT doc_id AS seq_id, text FROM documents
+        UNION ALL SELECT item_id + (SELECT max(doc_id) + 1 FROM documents), text FROM benchmark
+        UNION ALL SELECT doc_id + (SELECT max(doc_id) + 1 FROM documents) + (SELECT max(item_id) + 1 FROM benchmark), source
+                  FROM documents)
+        SELECT seq_id, length(text)::BIGINT AS n_tokens, {joined(codes('text'))} AS ids FROM a""",
+    "tokenize_special": f"""WITH {PAIRS},
+        cut AS (SELECT seq_id, right(prompt, {SFT_MAX * 3 // 4} - 2) AS prompt, chosen FROM pairs),
+        tok AS (SELECT seq_id, prompt, left(chosen, {SFT_MAX} - len(prompt) - 4) AS chosen FROM cut)
+        SELECT seq_id, (len(prompt) + len(chosen) + 4)::BIGINT AS n_tokens,
+               {joined(f"list_concat([6], list_concat({codes('prompt')}, [2]))")} AS prompt,
+               {joined(f"list_concat([6], list_concat({codes('chosen')}, [2]))")} AS chosen FROM tok""",
     "merge_token_sets": f"""WITH a AS (SELECT doc_id AS seq_id, text FROM documents
         UNION ALL SELECT item_id + (SELECT max(doc_id) + 1 FROM documents), text FROM benchmark)
         SELECT seq_id, length(text)::BIGINT AS n_tokens, {joined(codes('text'))} AS ids FROM a""",
@@ -217,7 +230,9 @@ ORACLE: dict[str, str] = {
         n AS (SELECT count(DISTINCT batch_id) AS n FROM b),
         o AS (SELECT unnest(range((n + 3) // 4 * 4)) AS p, n FROM n)
         SELECT p % 4 AS rank, p // 4 AS micro_step, p // 8 AS optimizer_step, batch_id, pos,
-               {joined("list_concat(" + codes('prompt || chosen') + ", " + fill('0', 'w - l') + ")")} AS ids
+               {joined("list_concat(" + codes('prompt || chosen') + ", " + fill('0', 'w - l') + ")")} AS ids,
+               {joined(f"list_concat({fill('1', 'l')}, {fill('0', 'w - l')})")} AS mask,
+               {joined(f"list_concat(list_concat({fill('-100', 'pl')}, {codes('chosen')}), {fill('-100', 'w - l')})")} AS labels
         FROM o JOIN b ON p % n = batch_id""",
     "tokenize_codepoint": documents_cut("text"),
     "vocabulary": r"""WITH e AS (SELECT unnest(regexp_extract_all(text, '[^ \t\n\r]+')) AS token FROM documents)
@@ -226,8 +241,8 @@ ORACLE: dict[str, str] = {
     "tokenize_vocabulary": vocabulary_tokens(),
     "tokenize_vocabulary_joined": vocabulary_tokens(),
     "tokenize_user_object": """SELECT doc_id, strlen(text)::BIGINT AS n_tokens,
-        list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'),
-                 lambda h: ('0x' || h)::BIGINT))::BIGINT AS id_sum FROM documents""",
+        md5(array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'),
+                 lambda h: ('0x' || h)::BIGINT), ',')) AS ids FROM documents""",
     "truncate_left": documents_cut("right(text, 256)"),
     "truncate_right": documents_cut("left(text, 256)"),
     "budget_sft": f"""WITH {PAIR_TOKENS} SELECT seq_id, pl AS prompt_len, cl AS chosen_len, l AS total_len,
@@ -286,7 +301,9 @@ ORACLE: dict[str, str] = {
         x AS (SELECT c.*, o // {BATCH} AS batch_id, o % {BATCH} AS pos, max(len) OVER (PARTITION BY o // {BATCH}) AS w,
                      substr(text, (chunk * 512 + 1)::BIGINT, 512) AS t FROM c JOIN documents USING (doc_id))
         SELECT batch_id, pos, len AS n_tokens, w AS pad_to,
-               {joined("list_concat(" + codes('t') + ", " + fill('0', 'w - len') + ")")} AS input_ids FROM x""",
+               {joined("list_concat(" + codes('t') + ", " + fill('0', 'w - len') + ")")} AS input_ids,
+               {joined(f"list_concat({fill('1', 'len')}, {fill('0', 'w - len')})")} AS attention_mask,
+               {joined(f"list_concat({codes('t')}, {fill('-100', 'w - len')})")} AS labels FROM x""",
     "collate_matrices": f"""WITH {PAIR_BATCHES},
         x AS (SELECT batch_id, pos, w,
                      array_to_string(list_concat({codes('prompt || chosen')}, {fill('0', 'w - l')}), ',') AS i,
@@ -321,10 +338,11 @@ ORACLE: dict[str, str] = {
     "batch_measures": f"""WITH RECURSIVE {CAPACITY} SELECT batch_id, n AS n_records, padded::BIGINT AS padded_tokens,
         mx - mn AS length_difference FROM g""",
     "plan_preview": f"""WITH {PAIR_BATCHES},
+        g AS (SELECT batch_id, row_number() OVER (ORDER BY count(*) * max(l) DESC, batch_id) - 1 AS plan_pos FROM b GROUP BY 1),
         f AS (SELECT batch_id, pos, 'prompt' AS field, {codes('prompt')} AS i FROM b
               UNION ALL SELECT batch_id, pos, 'chosen', {codes('chosen')} FROM b)
-        SELECT batch_id, pos, field, len(i)::BIGINT AS size, array_to_string(i[1:5], ',') AS first_ids,
-               array_to_string(i[greatest(len(i) - 4, 1):len(i)], ',') AS last_ids FROM f""",
+        SELECT plan_pos, batch_id, pos, field, len(i)::BIGINT AS size, array_to_string(i[1:5], ',') AS first_ids,
+               array_to_string(i[greatest(len(i) - 4, 1):len(i)], ',') AS last_ids FROM f JOIN g USING (batch_id)""",
     "plan_item_first": plan_item("0"),
     "plan_item_last": plan_item("(SELECT count(*) - 1 FROM g)"),
     "padding_report": f"""WITH RECURSIVE {CAPACITY},

@@ -7,6 +7,7 @@ their comma-joined entries.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from batchloom.operators.shard import (
     with_loss_weight,
 )
 from batchloom.plans import measures, probe
-from batchloom.plans.policies import POLICIES, BatchPlan, plan as plan_by_name
+from batchloom.plans.policies import POLICIES, BatchPlan, order_batches, plan as plan_by_name
 from batchloom.session import scratch_path
 from batchloom.sinks.mirror import process_to_mirror
 from batchloom.sinks.writers import (
@@ -39,13 +40,13 @@ from batchloom.sinks.writers import (
 from batchloom.sources.files import NameFilter, list_files
 from batchloom.sources.records import (
     read_json_arrays,
-    read_jsonl,
+    read_dataset,
     read_keyed_json,
     read_parquet,
     read_strict_jsonl,
     read_texts,
 )
-from batchloom.sources.tokensets import merge_token_sets, read_token_set
+from batchloom.sources.tokensets import merge_token_sets, read_token_folder, read_token_set
 
 LIMIT = 4000
 BATCH = 8
@@ -67,7 +68,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def _documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Documents as records: seq_id, content and ``columns``."""
     path = f"{folder}/documents.parquet"
-    docs = read_parquet(spark, path, ["doc_id", "text", *columns], spread_by="doc_id")
+    docs = read_parquet(spark, path, ["doc_id", "text", *columns])
     return docs.select(F.col("doc_id").alias("seq_id"), F.col("text").alias("content"), *columns)
 
 
@@ -77,7 +78,9 @@ def _word_lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     pairs = bl.conversation_pairs(bl.nest_turns(_table(spark, folder, "conversations")))
-    seq = F.col("conv_id") * PAIR_SHIFT + F.col("turn")
+    beyond = F.raise_error(F.lit("a conversation is too long, or its number too large, for one id")).cast("bigint")
+    fits = (F.col("turn") < PAIR_SHIFT) & (F.col("conv_id") < (1 << 43))
+    seq = F.when(fits, F.col("conv_id") * PAIR_SHIFT + F.col("turn")).otherwise(beyond)
     return pairs.select(seq.alias("seq_id"), "prompt", "chosen")
 
 
@@ -143,17 +146,33 @@ def project_fields(spark, folder):
 
 
 def source_jsonl(spark, folder):
-    """Good lines, lines that are not JSON and empty values go out; the good ones come back."""
+    """Good lines, lines that are not JSON and empty values go out beside files of other kinds; the good
+    ones come back."""
     path = scratch_path(spark, "jsonl")
     docs = _table(spark, folder, "documents")
+    write_jsonl(docs.select(F.lit("-1").alias("doc_id"), F.col("text").alias("content")), f"{path}/parts")
     good = F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content")))
     bad = F.concat(F.lit("not json "), F.regexp_replace("text", "[\r\n]", " "))
     lines = docs.select(
         F.explode(F.array(good, bad, F.lit("{}"), F.lit("null"), F.lit("0.0"), F.lit('""'))).alias("value")
     )
-    lines.write.text(path)
-    records = read_jsonl(spark, path, ["doc_id", "content"], NameFilter(suffix="txt"))
-    return records.select(F.col("doc_id").cast("bigint").alias("doc_id"), "content")
+    lines.write.option("compression", "none").text(f"{path}/lines.jsonl")
+    spec = bl.DatasetSpec("documents", ["doc_id", "content"], file_format="txt", folder_path=path)
+    records = read_dataset(spark, replace(spec, file_format="jsonl"), names=NameFilter(suffix="txt"))
+    left = read_dataset(spark, replace(spec, file_format="jsonl"))
+    every = records.unionByName(left)  # nothing in the folder ends with jsonl
+    return every.select(F.col("doc_id").cast("bigint").alias("doc_id"), "content")
+
+
+def source_numbered(spark, folder):
+    """Several files of documents, numbered by file and line whatever the splits: the order is checked."""
+    path = scratch_path(spark, "numbered")
+    docs = _table(spark, folder, "documents").withColumn("part", F.expr(f"lpad(doc_id div {DOCS_PER_FILE} % 7, 3, '0')"))
+    value = F.to_json(F.struct(F.col("doc_id").cast("string").alias("prompt"), F.col("text").alias("chosen")))
+    lines = docs.select("part", "doc_id", value.alias("value")).repartition(4, "part").sortWithinPartitions("part", "doc_id")
+    lines.drop("doc_id").write.partitionBy("part").text(path)
+    records = read_dataset(spark, bl.sft_spec(path, SFT_MAX, file_format="jsonl"), names=NameFilter(suffix="txt"), numbered=True)
+    return records.select("seq_id", F.col("prompt").cast("bigint").alias("doc_id"), F.md5("chosen").alias("text"))
 
 
 def sink_jsonl(spark, folder):
@@ -258,6 +277,17 @@ def merge_token_sets_query(spark, folder):
     return merged.select("seq_id", F.col("total_len").cast("bigint").alias("n_tokens"), _joined(F.col("content")).alias("ids"))
 
 
+def merge_token_folder(spark, folder):
+    """Three tokenized sets in one folder, read in one scan under common ids."""
+    path, tokenizer, spec = scratch_path(spark, "sets"), bl.CodepointTokenizer(), bl.pretrain_spec()
+    bench = _table(spark, folder, "benchmark").select(F.col("item_id").alias("seq_id"), F.col("text").alias("content"))
+    sources = _documents(spark, folder, "source").select("seq_id", F.col("source").alias("content"))
+    for name, records in (("a", _documents(spark, folder)), ("b", bench), ("c", sources)):
+        write_token_set(bl.tokenize(records, spec, tokenizer), f"{path}/{name}.tokens.parquet")
+    merged = read_token_folder(spark, path)
+    return merged.select("seq_id", F.col("total_len").cast("bigint").alias("n_tokens"), _joined(F.col("content")).alias("ids"))
+
+
 def sink_plan(spark, folder):
     """A plan written and read again."""
     path = scratch_path(spark, "plan")
@@ -285,7 +315,14 @@ def sink_training_rows(spark, folder):
     back = spark.read.parquet(path)
     return _big(
         back.select(
-            "rank", "micro_step", "optimizer_step", "batch_id", "pos", _joined(F.col("input_ids")).alias("ids")
+            "rank",
+            "micro_step",
+            "optimizer_step",
+            "batch_id",
+            "pos",
+            _joined(F.col("input_ids")).alias("ids"),
+            _joined(F.col("attention_mask").cast("array<int>")).alias("mask"),
+            _joined(F.col("labels")).alias("labels"),
         )
     )
 
@@ -332,7 +369,19 @@ def tokenize_user_object(spark, folder):
     return tokens.select(
         F.col("seq_id").alias("doc_id"),
         F.col("content_len").cast("bigint").alias("n_tokens"),
-        F.aggregate("content", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
+        _joined(F.col("content")).alias("ids"),
+    )
+
+
+def tokenize_special(spark, folder):
+    """BOS and EOS around every field, within the limits of the fields."""
+    tokenizer = bl.CodepointTokenizer(bl.SpecialTokens(bos_id=6, eos_id=2, pad_id=0))
+    tokens = bl.tokenize(_pairs(spark, folder), bl.sft_spec(max_seq_len=SFT_MAX), tokenizer, add_special=True)
+    return tokens.select(
+        "seq_id",
+        F.col("total_len").cast("bigint").alias("n_tokens"),
+        _joined(F.col("prompt")).alias("prompt"),
+        _joined(F.col("chosen")).alias("chosen"),
     )
 
 
@@ -551,7 +600,15 @@ def collate_split_records(spark, folder):
     plan = bl.plan_max_length(lengths_of(tokens, key="content"), 512, BATCH, key="content")
     rows = collate(tokens, plan, ["content"])
     return _big(
-        rows.select("batch_id", "pos", "n_tokens", "pad_to", _joined(F.col("input_ids")).alias("input_ids"))
+        rows.select(
+            "batch_id",
+            "pos",
+            "n_tokens",
+            "pad_to",
+            _joined(F.col("input_ids")).alias("input_ids"),
+            _joined(F.col("attention_mask").cast("array<int>")).alias("attention_mask"),
+            _joined(F.col("labels")).alias("labels"),
+        )
     )
 
 
@@ -626,14 +683,17 @@ def batch_measures(spark, folder):
 def plan_preview(spark, folder):
     tokens = _pair_tokens(spark, folder)
     plan = bl.plan_fixed(lengths_of(tokens), BATCH)
+    plan = replace(plan, batches=order_batches(plan.batches, "pc_desc"))
     rows = measures.preview(tokens, plan)
     text = lambda name: F.array_join(F.col(name).cast("array<string>"), ",").alias(name)
-    return _big(rows.select("batch_id", "pos", "field", "size", text("first_ids"), text("last_ids")))
+    return _big(rows.select("plan_pos", "batch_id", "pos", "field", "size", text("first_ids"), text("last_ids")))
 
 
 def _plan_item_query(position: int) -> Query:
     def query(spark, folder):
-        rows = measures.plan_item(_capacity(spark, folder, "pc_desc"), position)
+        path = scratch_path(spark, "plan")
+        write_plan(_capacity(spark, folder, "pc_desc"), path)
+        rows = measures.plan_item(read_plan(spark, path), position)
         return _big(rows.select(F.col("seq_id").alias("doc_id"), "batch_id", "pos", "len"))
 
     return query
@@ -757,6 +817,7 @@ QUERIES: dict[str, Query] = {
     "prep_reasoning_pairs": prep_reasoning_pairs,
     "project_fields": project_fields,
     "source_jsonl": source_jsonl,
+    "source_numbered": source_numbered,
     "source_json_array": source_json_array,
     "source_keyed_json": source_keyed_json,
     "source_whole_text": source_whole_text,
@@ -767,11 +828,13 @@ QUERIES: dict[str, Query] = {
     "mirror_tree": mirror_tree,
     "map_records": map_records,
     "merge_token_sets": merge_token_sets_query,
+    "merge_token_folder": merge_token_folder,
     "tokenize_codepoint": tokenize_codepoint,
     "vocabulary": vocabulary,
     "tokenize_vocabulary": _vocabulary_query(500_000),
     "tokenize_vocabulary_joined": _vocabulary_query(100),
     "tokenize_user_object": tokenize_user_object,
+    "tokenize_special": tokenize_special,
     "truncate_left": _truncate_query("left"),
     "truncate_right": _truncate_query("right"),
     "budget_sft": budget_sft,
