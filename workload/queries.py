@@ -157,9 +157,9 @@ def source_jsonl(spark, folder):
         F.explode(F.array(good, bad, F.lit("{}"), F.lit("null"), F.lit("0.0"), F.lit('""'))).alias("value")
     )
     lines.write.option("compression", "none").text(f"{path}/lines.jsonl")
-    spec = bl.DatasetSpec("documents", ["doc_id", "content"], file_format="txt", folder_path=path)
-    records = read_dataset(spark, replace(spec, file_format="jsonl"), names=NameFilter(suffix="txt"))
-    left = read_dataset(spark, replace(spec, file_format="jsonl"))
+    spec = bl.sft_spec(path, SFT_MAX, field_names=("doc_id", "content"), loss_masked_field_names=(), file_format="jsonl")
+    records = read_dataset(spark, spec, names=NameFilter(suffix="txt"))
+    left = read_dataset(spark, spec)
     every = records.unionByName(left)  # nothing in the folder ends with jsonl
     return every.select(F.col("doc_id").cast("bigint").alias("doc_id"), "content")
 
