@@ -61,31 +61,24 @@ def plan_path(token_path: str, policy: str, knobs: dict) -> str:
 
 
 def write_plan(plan: BatchPlan, path: str, mode: str = "errorifexists") -> None:
-    """Assignment and batch table, the latter in plan order; policy and knobs as columns.
+    """Assignment and batch table, the latter in plan order, and one row about the plan.
 
     Planning runs once: the batch table is made from the written assignment.
     """
     spark = plan.assignment.sparkSession
     plan.assignment.write.mode(mode).parquet(f"{path}/assignment")
     stored = plan.rebased(spark.read.parquet(f"{path}/assignment"))
-    described = stored.batches.withColumns(
-        {"policy": F.lit(plan.policy), "knobs": F.lit(json.dumps(plan.knobs))}
-    )
-    ordered = described.repartitionByRange("plan_pos").sortWithinPartitions("plan_pos")
+    ordered = stored.batches.repartitionByRange("plan_pos").sortWithinPartitions("plan_pos")
     ordered.write.mode(mode).parquet(f"{path}/batches")
+    about = spark.range(1, numPartitions=1).select(F.lit(plan.policy).alias("policy"), F.lit(json.dumps(plan.knobs)).alias("knobs"))
+    about.write.mode(mode).parquet(f"{path}/about")
 
 
 def read_plan(spark: SparkSession, path: str) -> BatchPlan:
-    batches = spark.read.parquet(f"{path}/batches")
-    first = batches.select("policy", "knobs").first()
-    if first is None:
-        raise ValueError(f"the plan at {path} is empty")
-    return BatchPlan(
-        first["policy"],
-        json.loads(first["knobs"]),
-        spark.read.parquet(f"{path}/assignment"),
-        batches.drop("policy", "knobs"),
-    )
+    """A written plan, which may be empty."""
+    about = spark.read.parquet(f"{path}/about").first()
+    assignment, batches = (spark.read.parquet(f"{path}/{part}") for part in ("assignment", "batches"))
+    return BatchPlan(about["policy"], json.loads(about["knobs"]), assignment, batches)
 
 
 # The columns training rows are arranged by.

@@ -57,6 +57,13 @@ def test_plan_round_trip(spark, tmp_path):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
 
 
+def test_an_empty_plan_comes_back(spark, tmp_path):
+    df = spark.createDataFrame([], "seq_id bigint, content array<int>")
+    W.write_plan(bl.plan_fixed(lengths_of(df), 4), str(tmp_path / "plan"))
+    stored = W.read_plan(spark, str(tmp_path / "plan"))
+    assert stored.policy == "FixedBatchSize" and stored.knobs["batch_size"] == 4 and stored.batches.count() == 0
+
+
 def test_plan_names():
     assert (
         W.plan_path("/d/chat.tokens.parquet", "FixedBatchSize", {"smart": True, "batch_size": 4, "key": None})
