@@ -13,11 +13,16 @@ positions that the threshold allows are looked at, and the longest chain of them
 How the work stays small:
 
 1. Equal word sequences collapse into classes first; one text of each class takes part in what follows.
-2. Every member of a bucket is compared with the bucket's first member. Verified pairs are joined to
-   components, which settles nearly all buckets, however many copies they hold.
-3. In buckets that still hold several components, members of *different* components are compared, if their
-   lengths allow the threshold at all. Pairs within a component could not change the classes. So no link
-   between classes is lost, and no group is expanded into all pairs.
+2. Every member of a bucket is compared with the bucket's leader, the member that shares most buckets with
+   others, as the original of many edited copies does. Verified pairs are joined to components.
+3. Members of different components that are near to one leader L (``NEAR`` or more) are compared if they can
+   be similar at all. Two texts match at most what both match with L and what they share beside L; so they
+   are compared if they share a shingle that L does not have, or if what each shares with L is enough for
+   the threshold. Other pairs, such as copies of L with different edits, cannot be links, and pairs within
+   a component could not change the classes: no group is expanded into all pairs.
+
+What is lost is what MinHash loses: pairs that meet in no band whose leader is near to them, for texts of
+similarity 0.8 less than one pair in 10,000 (with half of the text in a passage that many others share).
 
 Only texts that share a bucket with another one travel. Words are what stands between ASCII white space, in
 lower case. A text of fewer than five words is one shingle. Null texts and texts without words are like
@@ -42,6 +47,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Shingles in an element, elements in a band, bands. Two texts of similarity s agree in an element with
 #: about s ** TAKEN, and meet in some band with 1 - (1 - s ** (TAKEN * ROWS)) ** BANDS: 0.9999 at 0.8.
 TAKEN, ROWS, BANDS = 2, 2, 20
+#: Similarity to a leader from which members of its buckets are compared among each other.
+NEAR = 0.5
 _BLOCK = 1 << 15
 
 
@@ -168,23 +175,62 @@ def _sketch(df: DataFrame) -> DataFrame:
     return map_texts(df, "text", make, f"id {kind}, n long, k1 long, k2 long, keys array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b), those whose texts are as similar as ``threshold``, with the similarity."""
+def _compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b) of texts: shingles of each, those in both, the similarity (0 below the threshold),
+    and the shingles of b that a does not have, where the two are near.
+    """
     kind = texts.schema["id"].dataType.simpleString()
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     whole = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    names = ["a", "b", "n_a", "n_b", "common", "similarity", "beside"]
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch, "text_a"):
                 both = [shingles(piece.column(k).fill_null("")) for k in (2, 3)]
                 parts = [np.split(h, np.cumsum(n)[:-1]) for h, n in both]
-                value = np.array([similarity(x, y, threshold) for x, y in zip(*parts)])
-                keep = pa.array(np.flatnonzero(value > 0))
-                made = [piece.column(0).take(keep), piece.column(1).take(keep), pa.array(value[value > 0])]
-                yield pa.RecordBatch.from_arrays(made, names=["a", "b", "similarity"])
+                common, value, beside = [], [], []
+                for x, y in zip(*parts):
+                    new = ~np.isin(y, x, assume_unique=True)
+                    shared = len(y) - int(new.sum())
+                    common.append(shared)
+                    value.append(similarity(x, y, threshold))
+                    beside.append(y[new].astype(np.int64) if shared >= NEAR * (len(x) + len(y) - shared) else None)
+                counts = [pa.array(v, pa.int64()) for v in (both[0][1], both[1][1], common)]
+                made = [piece.column(0), piece.column(1), *counts, pa.array(value, pa.float64()), pa.array(beside, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(made, names=names)
+
+    return whole.mapInArrow(run, f"a {kind}, b {kind}, n_a long, n_b long, common long, similarity double, beside array<long>")
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where("similarity > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+
+
+def _open_pairs(compared: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of texts near to one leader, in different components, that may be similar."""
+    known = components.withColumnRenamed("node", "b")
+    members = compared.where("beside IS NOT NULL").join(known, "b", "left")
+    members = materialize(
+        members.select("a", "b", F.col("n_b").alias("n"), "n_a", "common", "similarity", "beside", F.coalesce("component", "b").alias("component")),
+        "members",
+    )
 
-    return whole.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    def side(rows: DataFrame, end: str, *keys: str) -> DataFrame:
+        return rows.select(*keys, *(F.col(c).alias(f"{c}_{end}") for c in ("b", "n", "common", "component")))
+
+    apart = F.col("component_x") != F.col("component_y")
+    sizes = (F.col("n_x") >= threshold * F.col("n_y")) & (F.col("n_y") >= threshold * F.col("n_x"))
+    beside = members.withColumn("shingle", F.explode("beside"))
+    keys = ["a", "shingle"]
+    sharing = side(beside, "x", *keys).join(side(beside, "y", *keys), keys).where(apart & sizes & (F.col("b_x") < F.col("b_y")))
+    # Without such a shingle, one of the two is no link of the leader and the other is shorter than it.
+    need = (F.col("n_x") + F.col("n_y")) * (threshold / (1 + threshold)) - 1e-6
+    enough = F.least("common_x", "common_y") >= need
+    short, loose = members.where("n < n_a"), members.where("similarity = 0")
+    within = side(loose, "x", "a").join(side(short, "y", "a"), "a").where(apart & sizes & enough)
+    pairs = sharing.select("b_x", "b_y").unionAll(within.select("b_x", "b_y"))
+    return pairs.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -205,26 +251,24 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     rows = alone.select("id", "n", F.posexplode("keys").alias("band", "key"))
     sizes = F.col("n_a") >= threshold * F.col("n_b"), F.col("n_b") >= threshold * F.col("n_a")
 
-    leaders = rows.groupBy("band", "key").agg(F.min(F.struct("id", "n")).alias("l"), F.max("id").alias("last")).where("l.id < last")
-    buckets = materialize(rows.join(leaders.drop("last"), ["band", "key"]), "buckets")
-    # Only texts in a bucket with another one travel.
-    texts = materialize(docs.join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
-    star = buckets.select(F.col("l.id").alias("a"), F.col("id").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
+    counts = rows.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
+    buckets = materialize(rows.join(counts, ["band", "key"]), "buckets")
+    popular = buckets.groupBy("id").agg(F.sum("m").alias("popular"))
+    ranked = buckets.drop("m").join(popular, "id")
+    leaders = ranked.groupBy("band", "key").agg(F.max(F.struct("popular", "id", "n")).alias("l"))
+    star = buckets.drop("m").join(leaders, ["band", "key"])
+    star = star.select(F.col("l.id").alias("a"), F.col("id").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
     star = materialize(star.where(F.col("a") != F.col("b")).where(sizes[0] & sizes[1]).select("a", "b").distinct(), "pairs")
-    links = materialize(_verified(star, texts, threshold), "links")
+    # Only texts in a bucket with another one travel.
+    texts = materialize(docs.join(star.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "texts")
+    compared = materialize(_compared(star, texts, threshold), "compared")
+    links = _links(compared)
     found = materialize(connected_components(links, "a", "b"), "components")
 
-    # What is left to compare: members of a bucket that are in different components.
-    settled = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = settled.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band", "key")
-    open_rows = materialize(settled.join(mixed, ["band", "key"], "left_semi").drop("l"), "open")
-    left = open_rows.select("band", "key", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "component")))
-    right = open_rows.select("band", "key", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "component")))
-    cross = left.join(right, ["band", "key"]).where(F.col("component_a") < F.col("component_b")).where(sizes[0] & sizes[1])
-    cross = cross.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    cross = materialize(cross.join(star, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(_verified(cross, texts, threshold), "links")
-    links = links.unionAll(more)
+    # What is left to compare: texts near to a leader that are in different components.
+    seen = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = materialize(_open_pairs(compared, found, threshold).join(seen, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionAll(_links(materialize(_compared(cross, texts, threshold), "compared")))
     classes = connected_components(links, "a", "b").withColumnRenamed("node", "representative")
     out = members.join(classes, "representative", "left")
     return (
