@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import code_words, hash_strings, map_texts, pick, starts_of, sums_of
+from batchloom.llm.common import code_words, hash_strings, map_texts, sums_of
 from batchloom.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
