@@ -44,11 +44,21 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_archives(pages: DataFrame, page_id: str, url: str, html: str, path: str, least: int = 0) -> None:
+def write_archives(
+    pages: DataFrame,
+    page_id: str,
+    url: str,
+    html: str,
+    path: str,
+    least: int = 0,
+    compression: str = "gzip",
+    records_per_file: int = 20_000,
+) -> None:
     """Write one record for every page: of equal payloads of ``least`` bytes or more, the page of the
     smallest id is the response and the others revisit it.
 
-    Payloads are compared by SHA-256 and length; rows that repeat the smallest id are all responses.
+    Payloads are compared by SHA-256 and length; rows that repeat the smallest id are all responses. A
+    compressed file is read by one task, so files have a bounded number of records.
     """
     chosen = pages.select(
         F.col(f"`{page_id}`").cast("long").alias("page_id"),
@@ -80,7 +90,9 @@ def write_archives(pages: DataFrame, page_id: str, url: str, html: str, path: st
         F.lit(END),
         F.when(revisit, "").otherwise(F.col("payload")),
     )
-    rows.where("page_id IS NOT NULL").select(head.alias("value")).write.option("lineSep", END).text(path)
+    rows.where("page_id IS NOT NULL").select(head.alias("value")).write.options(
+        lineSep=END, compression=compression, maxRecordsPerFile=records_per_file
+    ).text(path)
 
 
 def _first(pattern: re.Pattern, head: bytes) -> bytes | None:

@@ -28,15 +28,15 @@ def expected(rows, least=0):
     return sorted(out)
 
 
-@pytest.mark.parametrize("split,files,least", [("128m", 1, 0), ("700", 2, 5)])
-def test_round_trip(spark, tmp_path, split, files, least):
+@pytest.mark.parametrize("split,files,least,compression", [("128m", 1, 0, "gzip"), ("700", 2, 5, "none")])
+def test_round_trip(spark, tmp_path, split, files, least, compression):
     rows = pages()
     df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string").coalesce(1)
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     spark.conf.set("spark.sql.files.openCostInBytes", "10")
     try:
         path = str(tmp_path / "a")
-        warc.write_archives(df.repartition(files), "page_id", "url", "html", path, least)
+        warc.write_archives(df.repartition(files), "page_id", "url", "html", path, least, compression, 6)
         got = sorted(tuple(r) for r in warc.read_archives(spark, path).collect())
         assert got == expected(rows, least)
     finally:
