@@ -15,14 +15,16 @@ How the work stays small:
 1. Equal word sequences collapse into classes first; one text of each class takes part in what follows.
 2. Every member of a bucket is compared with the bucket's leader, the member that shares most buckets with
    others, as the original of many edited copies does. Verified pairs are joined to components.
-3. Members of different components that are near to one leader L (``NEAR`` or more) are compared if they can
-   be similar at all. Two texts match at most what both match with L and what they share beside L; so they
-   are compared if they share a shingle that L does not have, or if what each shares with L is enough for
-   the threshold. Other pairs, such as copies of L with different edits, cannot be links, and pairs within
-   a component could not change the classes: no group is expanded into all pairs.
+3. Every pair of members of a bucket that is in different components then is settled as well, whatever the
+   two have to do with the leader. The texts of buckets with more than one component are joined by prefixes:
+   the shingles of each are put in one order, rare ones first, and of two similar texts the first shingle in
+   both stands among the first fifth of either. Rows of that join that cannot be a link are dropped by exact
+   bounds: what is left behind the common shingle, and the least difference that the parity bitmaps of both
+   texts show. The pairs left are aligned. Pairs within a component could not change the classes: no group of
+   near copies is expanded into all pairs.
 
-What is lost is what MinHash loses: pairs that meet in no band whose leader is near to them, for texts of
-similarity 0.8 less than one pair in 10,000 (with half of the text in a passage that many others share).
+What is lost is what MinHash loses, pairs that meet in no band: of similarity 0.8 less than one pair in
+10,000 by the formula at ``BANDS``.
 
 Only texts that share a bucket with another one travel. Words are what stands between ASCII white space, in
 lower case. A text of fewer than five words is one shingle. Null texts and texts without words are like
@@ -47,8 +49,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Shingles in an element, elements in a band, bands. Two texts of similarity s agree in an element with
 #: about s ** TAKEN, and meet in some band with 1 - (1 - s ** (TAKEN * ROWS)) ** BANDS: 0.9999 at 0.8.
 TAKEN, ROWS, BANDS = 2, 2, 20
-#: Similarity to a leader from which members of its buckets are compared among each other.
-NEAR = 0.5
+#: Counters by which rare shingles come first (how many they are decides the cost alone), and 64-bit words
+#: of the parity bitmap of a text.
+COUNTERS, WORDS = 1 << 18, 8
 _BLOCK = 1 << 15
 
 
@@ -176,61 +179,107 @@ def _sketch(df: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b) of texts: shingles of each, those in both, the similarity (0 below the threshold),
-    and the shingles of b that a does not have, where the two are near.
-    """
+    """Pairs (a, b) of texts with their similarity, 0 below the threshold."""
     kind = texts.schema["id"].dataType.simpleString()
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     whole = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    names = ["a", "b", "n_a", "n_b", "common", "similarity", "beside"]
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch, "text_a"):
                 both = [shingles(piece.column(k).fill_null("")) for k in (2, 3)]
                 parts = [np.split(h, np.cumsum(n)[:-1]) for h, n in both]
-                common, value, beside = [], [], []
-                for x, y in zip(*parts):
-                    new = ~np.isin(y, x, assume_unique=True)
-                    shared = len(y) - int(new.sum())
-                    common.append(shared)
-                    value.append(similarity(x, y, threshold))
-                    beside.append(y[new].astype(np.int64) if shared >= NEAR * (len(x) + len(y) - shared) else None)
-                counts = [pa.array(v, pa.int64()) for v in (both[0][1], both[1][1], common)]
-                made = [piece.column(0), piece.column(1), *counts, pa.array(value, pa.float64()), pa.array(beside, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(made, names=names)
+                value = [similarity(x, y, threshold) for x, y in zip(*parts)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(value, pa.float64())], names=["a", "b", "similarity"])
 
-    return whole.mapInArrow(run, f"a {kind}, b {kind}, n_a long, n_b long, common long, similarity double, beside array<long>")
+    return whole.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
 def _links(compared: DataFrame) -> DataFrame:
     return compared.where("similarity > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
-def _open_pairs(compared: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of texts near to one leader, in different components, that may be similar."""
-    known = components.withColumnRenamed("node", "b")
-    members = compared.where("beside IS NOT NULL").join(known, "b", "left")
-    members = materialize(
-        members.select("a", "b", F.col("n_b").alias("n"), "n_a", "common", "similarity", "beside", F.coalesce("component", "b").alias("component")),
-        "members",
-    )
+def _open_texts(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """(id, component) of the members of all buckets that hold more than one component."""
+    placed = buckets.join(components.withColumnRenamed("node", "id"), "id", "left")
+    placed = placed.select("band", "key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    return placed.join(mixed.select("band", "key"), ["band", "key"], "left_semi").select("id", "component").distinct()
+
+
+def _counters(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(20)).astype(np.int64) % COUNTERS
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How many shingles of ``texts`` fall on each of COUNTERS counters."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                total += np.bincount(_counters(shingles(piece.column(0))[0]), minlength=COUNTERS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["counter", "n"])
+
+    counted = texts.select("text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    return out
+
+
+def parity_bitmaps(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of every text, which of 64 * WORDS bits an odd number of its shingles has: shape (texts, WORDS).
+
+    Shingles in both texts cancel out, so two bitmaps differ in no more bits than the texts in shingles.
+    """
+    bits = 64 * WORDS
+    text = np.repeat(np.arange(len(n)), n)
+    odd = np.bincount(text * bits + (hashes % np.uint64(bits)).astype(np.int64), minlength=len(n) * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(n), WORDS)
+
+
+def prefixes(hashes: np.ndarray, n: np.ndarray, frequency: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest shingles of every text, as many as are needed to meet any similar one: text, place, hash."""
+    text = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((hashes, frequency[_counters(hashes)], text))
+    place = np.arange(len(hashes)) - np.repeat(starts_of(n), n)
+    first = place < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n)
+    return text[first], place[first], hashes[order][first]
+
+
+def _open_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ``texts`` (id, component, text) in different components that may be similar; none that is fails."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(_frequencies(texts))
+    kind = texts.schema["id"].dataType.simpleString()
+    bitmap = [f"bits{i}" for i in range(WORDS)]
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            hashes, n = shingles(batch.column(2))
+            text, place, shingle = prefixes(hashes, n, shared.value, threshold)
+            maps = parity_bitmaps(hashes, n)[text]
+            ids = [batch.column(i).take(pa.array(text)) for i in (0, 1)]
+            numbers = [pa.array(v) for v in (shingle.astype(np.int64), n[text], place, *maps.T.copy())]
+            return pa.RecordBatch.from_arrays([*ids, *numbers], names=["id", "component", "shingle", "n", "place", *bitmap])
+
+        return work
+
+    schema = f"id {kind}, component {kind}, shingle long, n long, place long, " + ", ".join(f"{b} long" for b in bitmap)
+    rows = materialize(map_texts(texts.select("id", "component", "text"), "text", make, schema), "prefixes")
 
-    def side(rows: DataFrame, end: str, *keys: str) -> DataFrame:
-        return rows.select(*keys, *(F.col(c).alias(f"{c}_{end}") for c in ("b", "n", "common", "component")))
+    def side(end: str) -> DataFrame:
+        return rows.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in rows.columns if c != "shingle"))
 
-    apart = F.col("component_x") != F.col("component_y")
+    n = F.col("n_x") + F.col("n_y")
+    need = n * (threshold / (1 + threshold)) - 1e-6
+    apart = (F.col("component_x") != F.col("component_y")) & (F.col("id_x") < F.col("id_y"))
     sizes = (F.col("n_x") >= threshold * F.col("n_y")) & (F.col("n_y") >= threshold * F.col("n_x"))
-    beside = members.withColumn("shingle", F.explode("beside"))
-    keys = ["a", "shingle"]
-    sharing = side(beside, "x", *keys).join(side(beside, "y", *keys), keys).where(apart & sizes & (F.col("b_x") < F.col("b_y")))
-    # Without such a shingle, one of the two is no link of the leader and the other is shorter than it.
-    need = (F.col("n_x") + F.col("n_y")) * (threshold / (1 + threshold)) - 1e-6
-    enough = F.least("common_x", "common_y") >= need
-    short, loose = members.where("n < n_a"), members.where("similarity = 0")
-    within = side(loose, "x", "a").join(side(short, "y", "a"), "a").where(apart & sizes & enough)
-    pairs = sharing.select("b_x", "b_y").unionAll(within.select("b_x", "b_y"))
-    return pairs.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+    behind = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= need
+    differ = sum((F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y"))) for b in bitmap[1:]), F.bit_count(F.col("bits0_x").bitwiseXOR(F.col("bits0_y"))))
+    met = side("x").join(side("y"), "shingle").where(apart & sizes & behind & (differ <= n - 2 * need))
+    return met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -260,14 +309,14 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     star = star.select(F.col("l.id").alias("a"), F.col("id").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
     star = materialize(star.where(F.col("a") != F.col("b")).where(sizes[0] & sizes[1]).select("a", "b").distinct(), "pairs")
     # Only texts in a bucket with another one travel.
-    texts = materialize(docs.join(star.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "texts")
-    compared = materialize(_compared(star, texts, threshold), "compared")
-    links = _links(compared)
+    texts = materialize(docs.join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
+    links = _links(materialize(_compared(star, texts, threshold), "compared"))
     found = materialize(connected_components(links, "a", "b"), "components")
 
-    # What is left to compare: texts near to a leader that are in different components.
-    seen = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = materialize(_open_pairs(compared, found, threshold).join(seen, ["a", "b"], "left_anti"), "pairs")
+    # What is left to compare: texts in one bucket but in different components.
+    left = materialize(texts.join(_open_texts(buckets, found), "id"), "open")
+    seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = materialize(_open_pairs(left, threshold).join(seen, ["a", "b"], "left_anti"), "pairs")
     links = links.unionAll(_links(materialize(_compared(cross, texts, threshold), "compared")))
     classes = connected_components(links, "a", "b").withColumnRenamed("node", "representative")
     out = members.join(classes, "representative", "left")

@@ -120,6 +120,42 @@ def test_classes_against_all_pairs(spark):
     assert {r.doc_id for r in kept.collect()} == set(brute_classes(rows, 0.8).values())
 
 
+def test_copies_of_an_article_that_longer_documents_quote(spark):
+    """The leaders of their buckets are longer than the copies by more than a fifth."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(50000)}" for _ in range(n))
+    article = text(300)
+    rows = list(enumerate([f"{article} {text(85)}" for _ in range(600)] + [vary(rng, article, 3) for _ in range(2)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes, _ = minhash.near_duplicates(df, "doc_id", "text")
+    want = brute_classes(rows, 0.8)
+    assert want[601] == 600
+    assert {r.doc_id: r.class_id for r in classes.collect()} == want
+
+
+def test_bounds_let_every_similar_pair_through():
+    rng = random.Random(10)
+    texts = []
+    for _ in range(40):
+        texts.append(" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(8, 120))))
+        texts += [vary(rng, texts[-1], rng.randrange(1, 5)) for _ in range(3)]
+    texts = [t for t in texts if t]
+    hashes, n = minhash.shingles(pa.array(texts))
+    frequency = np.bincount(minhash._counters(hashes), minlength=minhash.COUNTERS)
+    text, place, value = minhash.prefixes(hashes, n, frequency, 0.8)
+    held = [dict(zip(value[text == i].tolist(), place[text == i].tolist())) for i in range(len(texts))]
+    maps = minhash.parity_bitmaps(hashes, n)
+    parts = np.split(hashes, np.cumsum(n)[:-1])
+    similar = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if minhash.similarity(parts[i], parts[j]):
+            similar += 1
+            need = (n[i] + n[j]) * 0.8 / 1.8 - 1e-6
+            assert any(min(n[i] - held[i][v], n[j] - held[j][v]) >= need for v in held[i].keys() & held[j].keys())
+            assert sum(int(x).bit_count() for x in (maps[i] ^ maps[j]).view(np.uint64)) <= n[i] + n[j] - 2 * need
+    assert similar > 20
+
+
 def test_empty_table_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, None)], "doc_id long, text string")
     classes, _ = minhash.near_duplicates(df, "doc_id", "text")
