@@ -12,13 +12,16 @@ with two more, and few get as far as the whole item. What does is verified toget
 Items are taken in blocks of about ``block_bytes`` by a hash of their id, each in one pass over the
 documents: what a task holds does not grow with the benchmark. There is no shuffle of texts.
 
-Null and empty texts match nothing. Items of fewer than ``min_chars`` characters in normal form are not
-matched: they would be found everywhere. Repeated items and rows each get their own result rows.
+Null and empty texts match nothing. Items of fewer than ``min_chars`` characters in normal form are matched
+without edits and as whole words (scripts that set no spaces have no such bounds). A short item may be a
+common phrase: ``drop_contaminated`` measures in how many documents the short ones are, and leaves out those up
+to the length at which one is found too often. Repeated items and rows each get their own result rows.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,13 @@ from batchloom.llm.common import map_texts, slices
 
 #: Edits allowed for each character of an item.
 RATE = 0.1
+#: Items below are matched without edits.
 MIN_CHARS = 40
+#: A short item in more documents than this number and this share of all is a phrase and no leak.
+PHRASE_DOCUMENTS, PHRASE_SHARE = 5, 0.001
 BLOCK_BYTES = 1 << 20
+#: Letters of scripts without spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal_text(texts: pa.Array) -> pa.Array:
@@ -85,21 +93,33 @@ def _masks(pattern: str) -> dict[str, int]:
     return masks
 
 
+def _whole(text: str, start: int, stop: int) -> bool:
+    """Does this stretch of a normal text begin and end between words?"""
+
+    def between(at: int) -> bool:
+        pair = text[at - 1 : at + 1] if 0 < at < len(text) else " "
+        return " " in pair or _UNSPACED.search(pair) is not None
+
+    return between(start) and between(stop)
+
+
 class Matcher:
-    """The automaton of a block of items."""
+    """The automaton of a block of items; those below ``min_chars`` have no edits."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float):
+    def __init__(self, items: list[tuple[object, str]], rate: float, min_chars: int = MIN_CHARS):
         import ahocorasick
 
-        self.items = [(item, text, int(rate * len(text)), _masks(text)) for item, text in items]
+        rates = [rate if len(text) >= min_chars else 0.0 for _, text in items]
+        self.short = [len(text) < min_chars for _, text in items]
+        self.items = [(item, text, int(r * len(text)), _masks(text)) for (item, text), r in zip(items, rates)]
         self.parts: list[list[list[tuple[int, int, int, str, dict[str, int]]]]] = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(items):
-            bounds = pieces_of(len(text), rate)
+            bounds = pieces_of(len(text), rates[k])
             for j, (a, b) in enumerate(bounds):
                 pieces.setdefault(text[a:b], []).append((k, j))
             self.parts.append(self._around(text, bounds))
-        self.bounds = [pieces_of(len(text), rate) for _, text in items]
+        self.bounds = [pieces_of(len(text), r) for (_, text), r in zip(items, rates)]
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, places)
@@ -140,11 +160,15 @@ class Matcher:
         if not len(self.automaton):
             return []
         starts: dict[int, list[int]] = {}
+        exact: dict[int, int] = {}
         for last, places in self.automaton.iter(text):
             for k, j in places:
-                if self._holds(text, k, j, last + 1):
+                if self.short[k]:
+                    if k not in exact and _whole(text, last + 1 - len(self.items[k][1]), last + 1):
+                        exact[k] = last + 1
+                elif self._holds(text, k, j, last + 1):
                     starts.setdefault(k, []).append(last + 1 - self.bounds[k][j][1])
-        found = []
+        found = [(k, 0, end) for k, end in exact.items()]
         for k, begin in starts.items():
             _, pattern, budget, masks = self.items[k]
             begin.sort()
@@ -163,8 +187,8 @@ class Matcher:
         return found
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, rate: float, min_chars: int, block_bytes: int):
-    """Lists of (id, normal text), each of about ``block_bytes``."""
+def _blocks(items: DataFrame, item_id: str, text: str, least: int, block_bytes: int):
+    """Lists of (id, normal text) of items of ``least`` characters or more, each of about ``block_bytes``."""
     size = items.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).head()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
     block = F.pmod(F.xxhash64(F.col(f"`{item_id}`"), F.col(f"`{text}`")), F.lit(n))
@@ -172,7 +196,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, rate: float, min_chars: i
         rows = items.where(block == b).select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t")).toArrow()
         normal = normal_text(rows.column("t").combine_chunks().fill_null("")) if rows.num_rows else pa.array([], pa.string())
         pairs = list(zip(rows.column("i").to_pylist(), normal.to_pylist()))
-        yield [(i, t) for i, t in pairs if len(t) >= max(1, min_chars)]
+        yield [(i, t) for i, t in pairs if len(t) >= max(1, least)]
 
 
 def find_items(
@@ -196,11 +220,11 @@ def find_items(
     schema = f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}, distance int, budget int, end long"
     chosen = df.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
     found = None
-    for block in _blocks(items, item_id, item_text, rate, min_chars, block_bytes):
+    for block in _blocks(items, item_id, item_text, 1, block_bytes):
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def make(shared=shared):
-            matcher = Matcher(shared.value, rate)
+            matcher = Matcher(shared.value, rate, min_chars)
             item_type = pa.array([i for i, _ in shared.value]).type if shared.value else pa.int64()
 
             def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -231,17 +255,35 @@ def drop_contaminated(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of ``df`` whose text holds no item, with their columns as they are."""
-    for block in _blocks(items, item_id, item_text, rate, min_chars, block_bytes):
-        df = df.where(_holds_none(df.sparkSession.sparkContext.broadcast(block), rate)(F.col(f"`{text}`")))
+    least = _least_length(df, text, items, item_text, min_chars, block_bytes)
+    for block in _blocks(items, item_id, item_text, least, block_bytes):
+        df = df.where(_holds_none(df.sparkSession.sparkContext.broadcast(block), rate, min_chars)(F.col(f"`{text}`")))
     return df
 
 
-def _holds_none(shared, rate: float):
+def _least_length(df: DataFrame, text: str, items: DataFrame, item_text: str, min_chars: int, block_bytes: int) -> int:
+    """The length above that of the longest short item that is a phrase; one pass over ``df`` if there are short ones."""
+
+    @F.pandas_udf("string")
+    def normal(part: pd.Series) -> pd.Series:
+        return pd.Series(normal_text(pa.array(part, pa.string(), from_pandas=True).fill_null("")).to_pylist(), dtype=object)
+
+    short = items.select(normal(F.col(f"`{item_text}`")).alias("item")).where(F.length("item").between(1, min_chars - 1)).distinct()
+    if short.isEmpty():
+        return 1
+    docs = df.select(F.lit(1).alias("document"), F.col(f"`{text}`").alias("text"))
+    hits = find_items(docs, "document", "text", short.withColumn("copy", F.col("item")), "item", "copy", 0.0, min_chars, block_bytes)
+    common = max(PHRASE_DOCUMENTS, PHRASE_SHARE * docs.count())
+    phrases = hits.groupBy("item").count().where(F.col("count") > common)
+    return 1 + (phrases.agg(F.max(F.length("item"))).head()[0] or 0)
+
+
+def _holds_none(shared, rate: float, min_chars: int):
     """A condition on texts: none of the items of a block is in them."""
 
     @F.pandas_udf("boolean")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(shared.value, rate)
+        matcher = Matcher(shared.value, rate, min_chars)
         for part in parts:
             batch = pa.RecordBatch.from_arrays([pa.array(part, pa.string(), from_pandas=True)], names=["t"])
             free = [not matcher.find(t) for piece in slices(batch, "t") for t in normal_text(piece.column(0)).to_pylist()]

@@ -87,3 +87,15 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame(items, "number long, question string")
     assert d.find_items(df, "doc_id", "text", bench.limit(0), "number", "question").count() == 0
     assert d.find_items(df.limit(0), "doc_id", "text", bench, "number", "question").count() == 0
+
+
+def test_short_items_are_matched_as_whole_words(spark):
+    texts = ["x Who wrote 'Emma'? y", "who wrote emmas", "who  WROTE emma", "who wrote emna", "他问中国的首都是哪里然后走了", None, *["so and so on"] * 8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Who wrote Emma?"), (2, "中国的首都是哪里"), (3, "and so"), (4, ""), (5, None)], "number long, question string")
+    out = d.find_items(df, "doc_id", "text", bench, "number", "question").collect()
+    want = [(0, 1, 0, 0), (2, 1, 0, 0), (4, 2, 0, 0), *((i, 3, 0, 0) for i in range(6, 14))]
+    assert sorted((r.doc_id, r.number, r.distance, r.budget) for r in out) == want
+    # "and so" is in more documents than a leak would be; longer items count.
+    left = d.drop_contaminated(df, "text", bench, "number", "question")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3, 5, *range(6, 14)]
