@@ -46,9 +46,16 @@ ASSIGN = Rule(
 ACCESS = Rule("access", r"AKIA[A-Z0-9]{12,}")
 HEX = Rule("hex", r"[0-9a-f]{32,}")
 BASE_RULES = (ASSIGN, ACCESS, HEX)
+# A private key runs to its END line, over lines of base64 where that is missing, and to the end of a text that
+# breaks off (one group of base64, four characters, at least). Runs are classes of characters: matching needs no stack, however long a body is.
+_PEM_BODY = (
+    r"[^-]*(?:-{1,4}[^-]+){0,16}-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    r"(?:\s{0,4}(?:Proc-Type|DEK-Info): [^\r\n]*){0,4}\s{0,4}[A-Za-z0-9+/=\\]{16,}[A-Za-z0-9+/=\r\n\\]*",
+    r"\s{0,4}[A-Za-z0-9+/=\\]{4,}\z",
+)
 #: What the scan finds beside them.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{'|'.join(_PEM_BODY)})?", version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )

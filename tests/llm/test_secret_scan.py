@@ -81,3 +81,23 @@ def test_empty_table_and_no_python(spark, tmp_path):
     assert out.count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_bodies_of_private_keys_are_masked(spark, tmp_path):
+    body = "\n".join("MIIEpAIBAAKCAQEA7+/x" * 3 for _ in range(5))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    secret = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" + body
+    cases = [
+        (f"a {begin}\n{body}\n{end} b", "a [secret] b"),
+        (f"a {begin}\n{secret}\n{end} b {begin}\n{body}\n{end}\nc", "a [secret] b [secret]\nc"),
+        (f"a {begin}\n{body}", "a [secret]"),
+        (f"a {begin}\n{secret}", "a [secret]"),
+        (f"a {begin}\n{body}\n, b", "a [secret], b"),
+        (f"a {begin}\nMIIE", "a [secret]"),
+        (f"a {begin} is a line - and no key", "a [secret] is a line - and no key"),
+        ("a " + begin + "\\n" + body.replace("\n", "\\n") + "\\n" + end + " b", "a [secret] b"),
+        (f"a {begin}\n" + ("A1b2" * 16 + "\n") * 20000 + f"{end} b", "a [secret] b"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in s.redact(df, "text", str(tmp_path / "ledger")).collect()}
+    assert [out[i] for i in range(len(cases))] == [want for _, want in cases]
