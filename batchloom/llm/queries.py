@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import bpe, decontaminate, langid, lines, minhash, quality, secret_scan, suffix, toxicity, warc
+from batchloom.llm import bpe, decontaminate, langid, lines, minhash, pii, quality, secret_scan, suffix, toxicity, warc
 from batchloom.llm.common import crc_fold
 from batchloom.llm.oracle import ORACLE  # noqa: F401
 from batchloom.session import scratch_path
@@ -116,6 +116,18 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.apply_rules(table(spark, folder, "documents"), "doc_id", "text", "source").drop("host")
 
 
+def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document: counts, a digest of the base spans, and all spans."""
+    found = pii.find(table(spark, folder, "documents"), "text", ("doc_id",))
+    counts = [_number_of("base", kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+        pii.span_text(F.concat("base", "added")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
@@ -127,4 +139,5 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_lines": op10_lines,
+    "op13_pii": op13_pii,
 }
