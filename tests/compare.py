@@ -60,7 +60,7 @@ def compare(spark, con, name: str, query, sql: str | None, folder: str) -> str:
         return f"columns {columns} != {other}"
     if len(rows) != len(expected):
         return f"{len(rows)} rows != {len(expected)}"
-    same = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     odd = [c for c in columns if same.get(kinds[c]) != other_kinds[c]]
     if odd:
         return f"types differ: {[(c, kinds[c], other_kinds[c]) for c in odd]}"
