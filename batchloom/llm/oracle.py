@@ -69,4 +69,24 @@ a AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transfor
 b AS (SELECT *, n_words < {lines.MIN_WORDS} OR 100 * n_repeat_words > {lines.MAX_REPEATED} * n_words AS base_failed FROM a)
 SELECT *, NOT base_failed AND n_words - n_removed_words >= {lines.MIN_KEPT} * n_words AS kept FROM b"""
 
-ORACLE = {"op4_suffix": OP4, "op6_warc": OP6, "op7_secrets": OP7, "op10_lines": OP10}
+# Every document, order and step; a filter of position p in an order removes what fails none before it.
+OP12 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+f AS (SELECT r, doc_id, part, unnest([{{'f': 'A', 'x': len(ws) < 200}}, {{'f': 'B', 'x': 100 * len(list_distinct(ws)) < 50 * len(ws)}},
+             {{'f': 'C', 'x': 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * len(t)}}, {{'f': 'D', 'x': regexp_matches(t, '[#$%&*|]')}},
+             {{'f': 'E', 'x': coalesce(first < doc_id, false)}}], recursive := true) FROM w),
+s AS (SELECT r, part, any_value(doc_id) AS doc_id, coalesce(string_agg(f, '' ORDER BY f) FILTER (x), '') AS fails FROM f GROUP BY r, part),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad FROM s LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM a, a b, a c, a d, a e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+p AS (SELECT o, i, substr(o, i, 1) AS x, substr(o, 1, i - 1) AS done FROM o, unnest(range(1, 6)) AS u(i)),
+v AS (SELECT part, o, i, x, n, good, bad, contains(fails, x) AS bad_here, fails = x AS only_here,
+             len(done) > 0 AND regexp_matches(fails, '[' || done || '0]') AS gone FROM m, p),
+g AS (SELECT part, o AS filter_order, i::INTEGER AS step, x, coalesce(sum(n) FILTER (NOT bad_here AND NOT gone), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (bad_here AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (bad_here AND gone), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (only_here), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (bad_here AND NOT gone), 0)::BIGINT AS good_lost,
+             coalesce(sum(bad) FILTER (bad_here AND NOT gone), 0)::BIGINT AS toxic_lost FROM v GROUP BY part, o, i, x)
+SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM g"""
+
+ORACLE = {"op4_suffix": OP4, "op6_warc": OP6, "op7_secrets": OP7, "op10_lines": OP10, "op12_audit": OP12}

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import bpe, decontaminate, langid, lines, minhash, pii, quality, secret_scan, suffix, toxicity, warc
+from batchloom.llm import audit, bpe, decontaminate, langid, lines, minhash, pii, quality, secret_scan, suffix, toxicity, warc
 from batchloom.llm.common import crc_fold
 from batchloom.llm.oracle import ORACLE  # noqa: F401
 from batchloom.session import scratch_path
@@ -116,6 +116,12 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.apply_rules(table(spark, folder, "documents"), "doc_id", "text", "source").drop("host")
 
 
+def op12_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Five filters in every order: what each removes in each language."""
+    marked = audit.masks(table(spark, folder, "documents"), "doc_id", "text", "lang")
+    return audit.audit(audit.mask_counts(marked, table(spark, folder, "labels"), "doc_id", "quality", "toxic"), "ABCDE")
+
+
 def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of every document: counts, a digest of the base spans, and all spans."""
     found = pii.find(table(spark, folder, "documents"), "text", ("doc_id",))
@@ -139,5 +145,6 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_lines": op10_lines,
+    "op12_audit": op12_audit,
     "op13_pii": op13_pii,
 }
