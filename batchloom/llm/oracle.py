@@ -89,4 +89,16 @@ g AS (SELECT part, o AS filter_order, i::INTEGER AS step, x, coalesce(sum(n) FIL
              coalesce(sum(bad) FILTER (bad_here AND NOT gone), 0)::BIGINT AS toxic_lost FROM v GROUP BY part, o, i, x)
 SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM g"""
 
-ORACLE = {"op4_suffix": OP4, "op6_warc": OP6, "op7_secrets": OP7, "op10_lines": OP10, "op12_audit": OP12}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '{TERM}') AS ws FROM documents WHERE doc_id IS NOT NULL),
+n AS (SELECT count(*) FILTER (len(ws) > 0) AS n_all, sum(len(ws))::BIGINT AS l_all FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{TERM}')) AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT r, doc_id, n, w, count(*) AS tf FROM (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY r, doc_id, n, w),
+f AS (SELECT w, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, n GROUP BY w, n_all),
+i AS (SELECT r, doc_id, w, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_all) // l_all))) AS x FROM p JOIN f USING (w), n),
+s AS (SELECT item_id, r, doc_id, sum(x)::BIGINT AS score FROM q JOIN i USING (w) GROUP BY item_id, r, doc_id HAVING sum(x) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s
+QUALIFY rank <= 10"""
+
+ORACLE = {"op4_suffix": OP4, "op6_warc": OP6, "op7_secrets": OP7, "op10_lines": OP10, "op11_search": OP11, "op12_audit": OP12}

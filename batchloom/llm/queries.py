@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import audit, bpe, decontaminate, langid, lines, minhash, pii, quality, secret_scan, suffix, toxicity, warc
+from batchloom.llm import audit, bpe, decontaminate, langid, lines, minhash, pii, quality, search, secret_scan, suffix, toxicity, warc
 from batchloom.llm.common import crc_fold
 from batchloom.llm.oracle import ORACLE  # noqa: F401
 from batchloom.session import scratch_path
@@ -116,6 +116,12 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.apply_rules(table(spark, folder, "documents"), "doc_id", "text", "source").drop("host")
 
 
+def op11_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    items = table(spark, folder, "benchmark").withColumnRenamed("text", "item_text")
+    return search.search(table(spark, folder, "documents"), "doc_id", "text", items, "item_id", "item_text")
+
+
 def op12_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Five filters in every order: what each removes in each language."""
     marked = audit.masks(table(spark, folder, "documents"), "doc_id", "text", "lang")
@@ -145,6 +151,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_lines": op10_lines,
+    "op11_search": op11_search,
     "op12_audit": op12_audit,
     "op13_pii": op13_pii,
 }
