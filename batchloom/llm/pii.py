@@ -1,12 +1,13 @@
 """Personal data by weak supervision, in SQL functions only.
 
-*Base* spans come from four strict patterns (email, ip, card, phone) and always stay. *Candidates* come from
-looser patterns (written-out mail addresses, phone numbers without a country code, national ids, IBANs, names of
-persons) outside the base spans. Labelers vote on every candidate: for (1), against (-1), or not at all (0). Two are
-regular expressions (the shape, and a check of the value), one is a gazetteer, two read the context. Expectation
-maximisation over the vote patterns estimates, for each kind, how common true spans are and how reliable every
-labeler is; the probabilities it gives to the candidates train the final span classifier, a naive Bayes model over votes and
-traits of the span. Candidates that it believes are added to the base spans.
+*Base* spans come from four strict patterns (email, ip, card, phone) with a test of the value, and always stay. They are
+*candidates* as well, beside matches that fail the test, and beside matches of looser patterns outside the base spans:
+written-out mail addresses, phone numbers without a country code, national ids, IBANs, names of persons. Labelers vote
+on every candidate: for (1), against (-1), or not at all (0). Two are regular expressions (the shape, and a check of the
+value), one is a gazetteer, two read the context. Expectation maximisation over the vote patterns estimates, for each
+kind, how common true spans are and how reliable every labeler is; the probabilities it gives to the candidates train
+the final span classifier, a naive Bayes model over votes and traits of the span. It gives every span a probability, and
+candidates that it believes are added to the base spans.
 
 The text is read once, row by row. What is collected is a count for each vote pattern (at most kinds x 3^labelers)
 and for each feature value (bounded by the code); texts and spans never leave their rows. Positions count code
@@ -33,10 +34,8 @@ EMAIL = r"(?=[A-Za-z0-9._%+-])(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-
 IP = r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-BASE_KINDS = ("email", "ip", "card", "phone")
-BASE_PATTERNS = dict(zip(BASE_KINDS, (EMAIL, IP, CARD, PHONE)))
 #: Texts in which a pattern can match hold one of these; looking for them is cheaper.
-NEEDS = {"email": ("@",), "phone": ("+",), "ip": (".",), "mail": ("(at)", "[at]", " at ")}
+NEEDS = {"email": ("@",), "phone": ("+",), "ip": (".",), "mail": ("(at)", "[at]", " at "), "plus": ("+",)}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 #: Characters of context before and after a candidate, as far as the last and the next one of its kind.
@@ -45,9 +44,11 @@ LABELERS = ("shape", "check", "gazetteer", "context", "against")
 #: Beliefs before any data, as counts of votes -1, 0, 1 on true and on false spans: labelers are more often right than
 #: wrong, and a span that none speaks for is more often false.
 BELIEF = {1: (2.0, 8.0, 16.0), 0: (10.0, 16.0, 2.0)}
+#: Of the check, which true spans seldom fail.
+CHECK_BELIEF = {1: (0.1, 8.0, 16.0), 0: (10.0, 16.0, 2.0)}
 #: True and false candidates of a kind before any data.
 BELIEF_PRIOR = (2.0, 6.0)
-ROUNDS, THRESHOLD = 40, 0.6
+ROUNDS, THRESHOLD = 40, 0.8
 SPAN = "struct<start:bigint,stop:bigint,value:string,before:string,after:string>"
 
 # Gazetteers.
@@ -76,7 +77,59 @@ class Kind:
     against: str
 
 
-KINDS = (
+CALLS = r"(?i)\b(?:call|phone|tel|telephone|mobile|cell|fax|whatsapp|telefon|téléphone|teléfono|contact)\b"
+NUMBERS = r"(?i)\b(?:isbn|issn|version|order|invoice|part|page|pages|figure|section|score|ratio|date|no|number of)\b"
+MAILS = r"(?i)\b(?:e-?mail|mail|contact|write|reach|courriel|correo|kontakt)\b"
+CODES = r"^\+(?:1|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
+#: The base kinds; their check is the test of the value.
+STRICT = (
+    Kind(
+        "email",
+        EMAIL,
+        shape=r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9]",
+        good="",
+        bad=r"\.\.|\.@|^\.",
+        listed=rf"(?i)\.(?:{MAIL_ENDS})$",
+        unlisted=r"(?i)\.(?:html?|php|js|png|jpe?g)$",
+        context=MAILS,
+        against=r"(?i)\b(?:package|version|regex|pattern)\b",
+    ),
+    Kind(
+        "ip",
+        IP,
+        shape=r"^[1-9][0-9]{0,2}(?:\.[0-9]{1,3}){3}$",
+        good="",
+        bad="",
+        listed="",
+        unlisted=r"^(?:0|10|127|192\.168|255|2[34][0-9])\.",
+        context=r"(?i)\b(?:ip|address|client|host|login|visitor|user|from)\b",
+        against=r"(?i)\b(?:version|release|build|section|chapter|v|firmware)\b",
+    ),
+    Kind(
+        "card",
+        CARD,
+        shape=r"^[0-9]{4}(?:[\x20-]?[0-9]{4}){3}$|^3[0-9]{3}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}$",
+        good="",
+        bad="",
+        listed=r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
+        unlisted=r"^(?:0{4}|1{4}|9{4})",
+        context=r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta|payment)\b",
+        against=r"(?i)\b(?:isbn|order|invoice|serial|tracking|id|build|barcode|ean)\b",
+    ),
+    Kind(
+        "phone",
+        PHONE,
+        shape=r"^\+[1-9][0-9]{0,2}[\x20(.-]",
+        good="",
+        bad="",
+        listed=CODES,
+        unlisted=r"^\+0",
+        context=CALLS,
+        against=NUMBERS,
+    ),
+)
+#: Looser kinds, sought outside the base spans.
+LOOSE = (
     Kind(
         "mail",
         r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:[(\[]at[)\]]|(?<=\x20)at(?=\x20))\x20?[A-Za-z0-9-]{1,63}+"
@@ -86,19 +139,31 @@ KINDS = (
         bad=r"\x20at\x20(?:www|the|https?|all|any)\b",
         listed=rf"(?i)(?:\.|dot[)\]]?)\x20?(?:{MAIL_ENDS})$",
         unlisted=r"(?i)\.(?:html?|php|pdf|jpe?g|png|txt)$",
-        context=r"(?i)\b(?:e-?mail|mail|contact|write|reach|courriel|correo|kontakt)\b",
+        context=MAILS,
         against=r"(?i)\b(?:look|looking|meet|available|visit|hosted)\b",
     ),
     Kind(
         "line",
-        r"(?=[(0-9])(?<![0-9A-Za-z+.,/-])\(?[0-9]{2,5}+\)?(?:[\x20./-]{1,2}[0-9]{2,4}+){2,4}+(?![0-9A-Za-z]|[.,-][0-9])",
+        r"(?=[(0-9])(?<![0-9A-Za-z+.,/-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{2,5}+\)?(?:[\x20./-]{1,2}[0-9]{2,4}+){2,4}+(?![0-9A-Za-z]|[.,-][0-9])",
         shape=r"^\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$|^\(?0[0-9]",
         good=r"^(?:[^0-9]*[0-9]){9,12}[^0-9]*$",
         bad=r"\b(?:19|20)[0-9]{2}[./-][01]?[0-9][./-]|[./-](?:19|20)[0-9]{2}$|^(?:[^0-9]*[0-9]){1,7}[^0-9]*$",
         listed=r"\b555\b|^\(?0(?:1|2|3|4|5|6|7|8|9)[0-9]",
         unlisted=r"^\(?000|[.].*[/]|[/].*[.]",
-        context=r"(?i)\b(?:call|phone|tel|telephone|mobile|cell|fax|whatsapp|telefon|téléphone|teléfono|contact)\b",
-        against=r"(?i)\b(?:isbn|issn|version|order|invoice|part|page|pages|figure|section|score|ratio|date|no|number of)\b",
+        context=CALLS,
+        against=NUMBERS,
+    ),
+    # A phone number that runs into the number after it: together they are too long for the strict kind.
+    Kind(
+        "plus",
+        r"\+[0-9]{1,3}+[\x20.-]?\(?[0-9]{2,4}+\)?(?:[\x20.-][0-9]{3,4}+){2}+(?![0-9])",
+        shape=r"^\+[1-9]",
+        good=r"^(?:[^0-9]*[0-9]){9,15}[^0-9]*$",
+        bad=r"^(?:[^0-9]*[0-9]){1,8}[^0-9]*$",
+        listed=CODES,
+        unlisted=r"^\+00",
+        context=CALLS,
+        against=NUMBERS,
     ),
     Kind(
         "national",
@@ -135,7 +200,8 @@ KINDS = (
         against=r"(?i)\b(?:street|avenue|university|church|museum|award|prize|saint|chapter)\b",
     ),
 )
-ALL_KINDS = (*BASE_KINDS, *(k.kind for k in KINDS))
+KINDS = (*STRICT, *LOOSE)
+BASE_KINDS = tuple(k.kind for k in STRICT)
 
 
 def _spans(gaps: Column, found: Column) -> Column:
@@ -210,6 +276,8 @@ def votes(kind: Kind, span: Column) -> dict[str, Column]:
     check = _vote(value, kind.good, kind.bad)
     if kind.kind == "iban":
         check = F.when(_iban_rest(value) == 1, 1).otherwise(-1)
+    elif kind.kind in BASE_KINDS:
+        check = F.when(valid(kind.kind, value) & (~value.rlike(kind.bad) if kind.bad else F.lit(True)), 1).otherwise(-1)
     return {
         "shape": _vote(value, kind.shape, ""),
         "check": check,
@@ -229,10 +297,6 @@ def traits(span: Column) -> dict[str, Column]:
     }
 
 
-def _kept(kind: str) -> Callable[[Column], Column]:
-    return lambda span: valid(kind, span["value"])
-
-
 def _hidden(kind: str) -> Callable[[Column], Column]:
     return lambda value: F.when(valid(kind, value), F.repeat(F.lit("\x01"), F.length(value))).otherwise(value)
 
@@ -244,15 +308,12 @@ def _judged(kind: Kind) -> Callable[[Column], Column]:
         said = votes(kind, span)
         features = F.array(*(F.concat(F.lit(f"{name}="), v.cast("string")) for name, v in (said | traits(span)).items()))
         place = F.lit(kind.kind).alias("kind"), span["start"].alias("start"), span["stop"].alias("stop")
-        return F.struct(*place, F.array(*said.values()).alias("votes"), features.alias("features"))
+        base = valid(kind.kind, span["value"]) if kind.kind in BASE_KINDS else F.lit(False)
+        return F.struct(*place, base.alias("base"), F.array(*said.values()).alias("votes"), features.alias("features"))
 
     return judge
 
 
-def _as_base(kind: str) -> Callable[[Column], Column]:
-    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(1.0).alias("probability"))
-
-
 def _split_by(df: DataFrame, text: str, name: str, kind: str, pattern: str) -> DataFrame:
     """``df`` with the pieces between matches of the kind's ``pattern`` and the matches, empty where nothing matches.
 
@@ -267,27 +328,27 @@ def _split_by(df: DataFrame, text: str, name: str, kind: str, pattern: str) -> D
 
 
 def candidates(df: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns, base spans of every kind as its column, and ``candidates`` with votes and traits."""
+    """``keep`` columns and ``candidates`` by kind, then start: place, ``base`` (it stays), votes and features."""
     out = df.select(*(F.col(f"`{c}`").alias(f"kept {i}") for i, c in enumerate(keep)), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     out = out.withColumn("masked", F.col("t"))
-    for kind, pattern in BASE_PATTERNS.items():
-        out = _split_by(out, "t", kind, kind, pattern)
-        spans = F.filter(_spans(F.col(f"{kind} gaps"), F.col(f"{kind} found")), _kept(kind))
-        out = out.withColumn(f"base {kind}", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
-        # Candidates are sought in what the base spans leave: their characters become a sign that no pattern holds.
-        out = _split_by(out, "masked", "mask", kind, pattern) if kind != "email" else out.withColumns({"mask gaps": F.col("email gaps"), "mask found": F.col("email found")})
-        hide = F.transform("mask found", _hidden(kind))
-        hidden = F.array_join(F.zip_with("mask gaps", hide, lambda gap, v: F.concat(gap, F.coalesce(v, F.lit("")))), "")
-        out = out.withColumn("masked", F.when(F.size("mask found") > 0, hidden).otherwise(F.col("masked")))
-        out = out.drop(f"{kind} gaps", f"{kind} found", "mask gaps", "mask found")
     parts = []
-    for k in KINDS:
+    for k in STRICT:
+        out = _split_by(out, "t", k.kind, k.kind, k.pattern)
+        out = out.withColumn(f"spans {k.kind}", _spans(F.col(f"{k.kind} gaps"), F.col(f"{k.kind} found")))
+        parts.append(F.transform(f"spans {k.kind}", _judged(k)))
+        out = out.drop(f"{k.kind} gaps", f"{k.kind} found")
+    # Other candidates are sought in what the base spans leave: their characters become a sign that no pattern holds. Phone
+    # numbers first: they are the ones that run into others.
+    for k in sorted(STRICT, key=lambda k: k.kind != "phone"):
+        out = _split_by(out, "masked", "mask", k.kind, k.pattern)
+        hidden = F.array_join(F.zip_with("mask gaps", F.transform("mask found", _hidden(k.kind)), lambda gap, v: F.concat(gap, F.coalesce(v, F.lit("")))), "")
+        out = out.withColumn("masked", F.when(F.size("mask found") > 0, hidden).otherwise(F.col("masked")))
+        out = out.drop("mask gaps", "mask found")
+    for k in LOOSE:
         out = _split_by(out, "masked", k.kind, k.kind, k.pattern)
         out = out.withColumn(f"spans {k.kind}", _spans(F.col(f"{k.kind} gaps"), F.col(f"{k.kind} found")))
         parts.append(F.transform(f"spans {k.kind}", _judged(k)))
-    kept = [F.col(f"kept {i}").alias(c) for i, c in enumerate(keep)]
-    bases = [F.col(f"base {kind}").alias(kind) for kind in BASE_KINDS]
-    return out.select(*kept, *bases, F.concat(*parts).alias("candidates"))
+    return out.select(*(F.col(f"kept {i}").alias(c) for i, c in enumerate(keep)), F.concat(*parts).alias("candidates"))
 
 
 @dataclass
@@ -300,16 +361,21 @@ class SpanModel:
     weights: dict[str, float] = field(default_factory=dict)
 
 
+def believed(labeler: int) -> dict[int, tuple[float, float, float]]:
+    return CHECK_BELIEF if LABELERS[labeler] == "check" else BELIEF
+
+
 def learn_labelers(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = ROUNDS) -> SpanModel:
     """Priors and reliabilities by expectation maximisation over (kind, votes, number of candidates)."""
     model = SpanModel()
     n_labelers = len(LABELERS)
+    beliefs = {(j, y, v): believed(j)[y][v + 1] for j in range(n_labelers) for y in (0, 1) for v in (-1, 0, 1)}
     for kind in (k.kind for k in KINDS):
         rows = sorted((v, n) for k, v, n in patterns if k == kind)
         prior = BELIEF_PRIOR[0] / sum(BELIEF_PRIOR)
-        says = {(j, y, v): BELIEF[y][v + 1] / sum(BELIEF[y]) for j in range(n_labelers) for y in (0, 1) for v in (-1, 0, 1)}
+        says = {(j, y, v): n / sum(believed(j)[y]) for (j, y, v), n in beliefs.items()}
         for _ in range(rounds):
-            counts = {(j, y, v): BELIEF[y][v + 1] for j in range(n_labelers) for y in (0, 1) for v in (-1, 0, 1)}
+            counts = dict(beliefs)
             classes = [BELIEF_PRIOR[1], BELIEF_PRIOR[0]]
             for vote, n in rows:
                 p = _posterior(prior, says, vote)
@@ -367,19 +433,22 @@ def belief(model: SpanModel, candidate: Column) -> Column:
 
 
 def find(df: DataFrame, text: str, keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
-    """``keep`` columns, and ``base`` and ``added`` spans of every text: kind, start, stop, probability (1 for base spans).
+    """``keep`` columns and ``spans`` of every text, by kind, then start: kind, start, stop, base, probability.
 
-    Base spans come by kind, then start, and so do the added ones. ``df`` may have any other columns.
+    Base spans are always there, other candidates from a probability of ``threshold`` on; one that fails its check also
+    needs a context that speaks for it. ``df`` may have any other columns.
     """
-    taken = {"base", "added", "candidates", *BASE_KINDS} & set(keep)
+    taken = {"spans", "candidates"} & set(keep)
     if taken:
         raise ValueError(f"columns to keep need other names: {sorted(taken)}")
     found = materialize(candidates(df, text, keep), "personal")
     model = fit(found)
-    bases = [F.transform(kind, _as_base(kind)) for kind in BASE_KINDS]
-    scored = F.transform("candidates", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), belief(model, c).alias("probability")))
-    added = F.filter(scored, lambda s: s["probability"] >= threshold)
-    return found.select(*(F.col(f"`{c}`") for c in keep), F.concat(*bases).alias("base"), added.alias("added"))
+    place = ("kind", "start", "stop", "base")
+    check, context = LABELERS.index("check"), LABELERS.index("context")
+    backed = F.filter("candidates", lambda c: c["base"] | (c["votes"][check] >= 0) | (c["votes"][context] == 1))
+    scored = F.transform(backed, lambda c: F.struct(*(c[x].alias(x) for x in place), belief(model, c).alias("probability")))
+    spans = F.filter(scored, lambda s: s["base"] | (s["probability"] >= threshold))
+    return found.select(*(F.col(f"`{c}`") for c in keep), spans.alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

@@ -79,8 +79,12 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(spark, path)
 
 
+def _is_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def _number_of(spans: str, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    return F.size(F.filter(spans, _is_kind(kind))).cast("long")
 
 
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,13 +135,9 @@ def op12_audit(spark: SparkSession, folder: str) -> DataFrame:
 def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of every document: counts, a digest of the base spans, and all spans."""
     found = pii.find(table(spark, folder, "documents"), "text", ("doc_id",))
-    counts = [_number_of("base", kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
-    return found.select(
-        "doc_id",
-        *counts,
-        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
-        pii.span_text(F.concat("base", "added")).alias("spans"),
-    )
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, _is_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
 
 
 QUERIES: dict[str, Query] = {
