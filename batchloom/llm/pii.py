@@ -144,7 +144,7 @@ LOOSE = (
     ),
     Kind(
         "line",
-        r"(?=[(0-9])(?<![0-9A-Za-z+.,/-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{2,5}+\)?(?:[\x20./-]{1,2}[0-9]{2,4}+){2,4}+(?![0-9A-Za-z]|[.,-][0-9])",
+        r"(?=[(0-9])(?<![0-9A-Za-z+.,/(-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{2,5}+\)?(?:[\x20./-]{1,2}[0-9]{2,4}+){2,4}+(?![0-9A-Za-z]|[.,-][0-9])",
         shape=r"^\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$|^\(?0[0-9]",
         good=r"^(?:[^0-9]*[0-9]){9,12}[^0-9]*$",
         bad=r"\b(?:19|20)[0-9]{2}[./-][01]?[0-9][./-]|[./-](?:19|20)[0-9]{2}$|^(?:[^0-9]*[0-9]){1,7}[^0-9]*$",
