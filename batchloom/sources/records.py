@@ -11,6 +11,7 @@ from batchloom.functions.text import unix_newlines
 from batchloom.operators.prepare import project_fields
 from batchloom.session import materialize
 from batchloom.sources.files import ANY_NAME, NameFilter, folder_reader, matching
+from batchloom.sources.json_index import only_one, read_json_pieces
 from batchloom.spec import DatasetSpec
 
 # JSON texts that count as no record, besides zero in its spellings.
@@ -121,11 +122,23 @@ def read_json_arrays(
     names: NameFilter = NameFilter(suffix="json"),
     recursive: bool = True,
 ) -> DataFrame:
-    """Files that hold one JSON array of records each. Nothing is skipped: bad JSON aborts."""
-    schema = ", ".join(f"`{f}` STRING" for f in fields)
-    reader = folder_reader(spark, names, recursive).schema(schema)
-    records = reader.option("multiLine", "true").option("mode", "FAILFAST").json(folder)
-    return matching(records, names).select(*fields)
+    """Files that hold one JSON array of records each, or one record. Nothing is skipped: bad JSON aborts.
+
+    A file is read in as many tasks as it has splits (``json_index``).
+    """
+    return numbered_json(spark, folder, fields, names, recursive).select(*fields)
+
+
+def numbered_json(
+    spark: SparkSession, folder: str, fields: Sequence[str], names: NameFilter, recursive: bool = True
+) -> DataFrame:
+    """``read_json_arrays`` with ``seq_id``, the number of the record in the files in order of their paths."""
+    pieces = read_json_pieces(spark, folder, names, "[{", recursive)
+    struct = ", ".join(f"`{f}`: STRING" for f in fields)
+    records = only_one(F.from_json("piece", f"ARRAY<STRUCT<{struct}>>", {"mode": "FAILFAST"}), "record")
+    nothing = F.raise_error(F.lit("bad JSON: a record is null"))
+    record = pieces.select(F.col("number").alias("seq_id"), records[0].alias("__record"))
+    return record.select("seq_id", *(F.when(F.col("__record").isNull(), nothing).otherwise(F.col("__record")[f]).alias(f) for f in fields))
 
 
 def read_strict_jsonl(
@@ -159,11 +172,14 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] = ()) ->
 def read_keyed_json(
     spark: SparkSession, folder: str, fields: Sequence[str], names: NameFilter = NameFilter(suffix="json")
 ) -> DataFrame:
-    """Files that hold one JSON object ``id -> record`` each: (record_id, field…)."""
+    """Files that hold one JSON object ``id -> record`` each: (record_id, field…). Bad JSON aborts.
+
+    A file is read in as many tasks as it has splits (``json_index``).
+    """
     struct = ", ".join(f"`{f}`: STRING" for f in fields)
-    files = matching(folder_reader(spark, names).text(folder, wholetext=True), names)
-    objects = F.from_json("value", f"MAP<STRING, STRUCT<{struct}>>", {"mode": "FAILFAST"})
-    entries = files.select(F.explode(objects).alias("record_id", "__record"))
+    pieces = read_json_pieces(spark, folder, names, "{")
+    objects = F.from_json("piece", f"MAP<STRING, STRUCT<{struct}>>", {"mode": "FAILFAST"})
+    entries = pieces.select(F.explode(only_one(objects, "entry")).alias("record_id", "__record"))
     return entries.select("record_id", *(F.col("__record")[f].alias(f) for f in fields))
 
 
@@ -187,9 +203,8 @@ def read_dataset(
         rows = positioned(matching(reader.text(spec.folder_path), names), "value")
         records = parse_json_lines(rows, fields, observation=observation)
     elif spec.file_format == "json":
-        strict = reader.schema(", ".join(f"`{f}` STRING" for f in fields)).option("multiLine", "true")
-        rows = positioned(matching(strict.option("mode", "FAILFAST").json(spec.folder_path), names), *fields)
-        records = rows
+        records = numbered_json(spark, spec.folder_path, fields, names)
+        return project_fields(records, fields, keep=("seq_id",) if numbered else ())
     else:
         rows = positioned(matching(reader.text(spec.folder_path, wholetext=True), names), "value")
         records = rows.withColumn("content", unix_newlines(F.col("value")))

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import Observation
@@ -193,3 +194,78 @@ def test_folder_of_sets(spark, tmp_path):
     merged = read_token_folder(spark, str(tmp_path))
     assert merged.count() == 5
     assert [r["total_len"] for r in merged.orderBy("seq_id").collect()] == [0, 1, 2, 0, 1]
+
+
+def awkward_records(n, seed=1):
+    rng = random.Random(seed)
+    bits = ['"', "\\", "[", "]", "{", "}", ",", ":", "\n", "é", "中", "😀", " ", "\\\"", "],[", "x" * 50]
+    text = lambda: "".join(rng.choice(bits) for _ in range(rng.randrange(12)))
+    return [{"source": text(), "more": [text(), {"deep": [text(), [1, {"a": text()}]]}], "target": text() or None} for _ in range(n)]
+
+
+@pytest.mark.parametrize("split", ["128m", "1000", "113"])
+def test_json_files_are_cut_by_an_index(spark, tmp_path, split):
+    """Strings with signs and escapes, nested values, multi-byte characters and any layout, in any splits."""
+    records = awkward_records(60)
+    layouts = [dict(), dict(indent=2), dict(ensure_ascii=False), dict(separators=(",", ":")), dict(indent="\t", ensure_ascii=False)]
+    arrays, keyed = tmp_path / "arrays", tmp_path / "keyed"
+    want, entries = [], []
+    for folder in (arrays, keyed):
+        (folder / "sub").mkdir(parents=True)
+    for i, layout in enumerate(layouts):
+        part = records[i * 12 : i * 12 + 12]
+        (arrays / f"{i}.json").write_text("\n " + json.dumps(part, **layout) + "\r\n", encoding="utf-8")
+        (keyed / f"{i}.json").write_text(json.dumps({f'{i} ", {k}': r for k, r in enumerate(part)}, **layout), encoding="utf-8")
+        want += part
+        entries += [(f'{i} ", {k}', r["source"], r["target"]) for k, r in enumerate(part)]
+    for i, text in enumerate(["[]", " [ ]\n", "", "  \n", '{"source": "one", "target": "object, [alone]"}', '﻿[{"source": "bom"}]']):
+        (arrays / "sub" / f"{i}.json").write_text(text, encoding="utf-8")
+    for i, text in enumerate(["{}", "", " { } "]):
+        (keyed / "sub" / f"{i}.json").write_text(text, encoding="utf-8")
+    want += [{"source": "one", "target": "object, [alone]"}, {"source": "bom", "target": None}]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = R.numbered_json(spark, str(arrays), ["source", "target"], NameFilter(suffix="json"))
+        assert sorted(map(tuple, rows.collect())) == [(i, r["source"], r["target"]) for i, r in enumerate(want)]
+        assert R.read_json_arrays(spark, str(arrays), ["target"], recursive=False).count() == 60
+        rows = R.read_keyed_json(spark, str(keyed), ["source", "target"])
+        assert sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, entries))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_one_json_file_has_many_tasks(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps([{"a": f"text, {i}"} for i in range(20_000)]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        reader = spark.read.option("lineSep", ",").text(str(tmp_path))
+        assert reader.rdd.getNumPartitions() > 15
+        rows = R.numbered_json(spark, str(tmp_path), ["a"], NameFilter(suffix="json")).collect()
+        assert sorted(map(tuple, rows)) == [(i, f"text, {i}") for i in range(20_000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+BAD_JSON = ['[{"a":"1"', '[{"a":"1"},]', '[{"a":"1"},,{"a":"2"}]', '[{"a":"1}]', '[{"a":"1"}}', '[{"a":"1"}] x', '[{"a":"1"}],[{"a":"2"}]', '[null]', "[1]", "null", "x", '[{"a":"1" oops}]', ']{"a":1}[', '{"a":"1"} {"a":"2"}']
+
+
+@pytest.mark.parametrize("text", BAD_JSON)
+def test_bad_json_aborts(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(Exception, match="JSON|Malformed|malformed"):
+        R.read_json_arrays(spark, str(tmp_path), ["a"]).collect()
+    keyed = text.replace("[", "{", 1)[::-1].replace("]", "}", 1)[::-1]
+    (tmp_path / "bad.json").write_text(keyed)
+    with pytest.raises(Exception, match="JSON|Malformed|malformed"):
+        R.read_keyed_json(spark, str(tmp_path), ["a"]).collect()
+
+
+def test_numbered_json_dataset(spark, tmp_path):
+    for name, n in (("b", 3), ("a", 2), ("c", 0)):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"prompt": f"{name}{i}", "chosen": "x"} for i in range(n)]))
+    rows = R.read_dataset(spark, bl.sft_spec(str(tmp_path), file_format="json"), numbered=True)
+    assert sorted((r.seq_id, r.prompt) for r in rows.collect()) == [(0, "a0"), (1, "a1"), (2, "b0"), (3, "b1"), (4, "b2")]

@@ -199,6 +199,8 @@ ORACLE: dict[str, str] = {
     "project_fields": "SELECT doc_id, source, text AS content FROM documents",
     "source_jsonl": "SELECT doc_id, text AS content FROM documents",
     "source_json_array": "SELECT doc_id, text AS content FROM documents",
+    "source_json_numbered": f"""SELECT row_number() OVER (ORDER BY (doc_id // {DOCS_PER_FILE})::VARCHAR || '/', doc_id) - 1 AS seq_id,
+        doc_id, md5(text) AS text FROM documents""",
     "source_keyed_json": f"""SELECT doc_id, {template('user', 'lang')} AS prompt,
         {template('assistant', 'text || source')} AS chosen FROM documents""",
     "source_whole_text": f"WITH {FILES} SELECT bucket, content FROM files",

@@ -198,6 +198,18 @@ def source_json_array(spark, folder):
     return records.select(F.col("doc_id").cast("bigint").alias("doc_id"), "content")
 
 
+def source_json_numbered(spark, folder):
+    """JSON arrays of several documents, pretty-printed, cut in splits and numbered by file and place."""
+    path = scratch_path(spark, "json")
+    record = F.struct(F.col("doc_id").cast("string").alias("prompt"), F.col("text").alias("chosen"))
+    rows = F.sort_array(F.collect_list(F.struct("doc_id", record.alias("record"))))
+    files = _bucketed(spark, folder).groupBy("bucket").agg(F.to_json(F.transform(rows, lambda r: r["record"]), {"pretty": "true"}).alias("value"))
+    files.write.partitionBy("bucket").text(path)
+    spec = bl.sft_spec(path, SFT_MAX, file_format="json")
+    records = read_dataset(spark, spec, names=NameFilter(suffix="txt"), numbered=True)
+    return records.select("seq_id", F.col("prompt").cast("bigint").alias("doc_id"), F.md5("chosen").alias("text"))
+
+
 def source_keyed_json(spark, folder):
     """One JSON object ``id -> record`` per file, made into pairs."""
     path = scratch_path(spark, "keyed")
@@ -819,6 +831,7 @@ QUERIES: dict[str, Query] = {
     "source_jsonl": source_jsonl,
     "source_numbered": source_numbered,
     "source_json_array": source_json_array,
+    "source_json_numbered": source_json_numbered,
     "source_keyed_json": source_keyed_json,
     "source_whole_text": source_whole_text,
     "source_file_listing": source_file_listing,
