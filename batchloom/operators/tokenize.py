@@ -30,6 +30,10 @@ MAX_SHIPPED_VOCABULARY = 500_000
 MAX_SENT_BYTES = 1 << 28
 
 
+# A word is hot if more rows have it, and if they are more than this share of all rows: there are at most MAX_HOT.
+HOT_ROWS, MAX_HOT = 100_000, 10_000
+
+
 @dataclass(frozen=True)
 class SpecialTokens:
     """Ids a tokenizer reserves. ``tokenize`` adds the first two to a field only if it is asked to;
@@ -130,8 +134,8 @@ class VocabularyTokenizer(Tokenizer):
 
     The vocabulary is stored once. The ``max_shipped`` entries of the lowest ids, which are the most
     frequent words where ids are ranks, are sent to the executors and looked up column-wise on Arrow
-    batches: ids never leave their row. If the vocabulary is larger, words not found there are joined
-    with the rest of it by ``finish``. Ids are a function of the words alone, so that what is joined
+    batches: ids never leave their row. If the vocabulary is larger, words not found there are counted, and
+    joined with the rest of it by ``finish``: frequent ones in place, the others once for each record. Ids are a function of the words alone, so that what is joined
     goes back by the words, and the result does not depend on the other columns or on ``max_shipped``.
     """
 
@@ -185,7 +189,12 @@ class VocabularyTokenizer(Tokenizer):
         return df
 
     def _joined(self, df: DataFrame, field: str) -> DataFrame:
-        spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        """Ids of a field whose words are looked up in part and joined in part, split by frequency.
+
+        Places of words that are not found in place are written once, and their words counted. Hot words are
+        few by their definition: what they are, or that they are in no vocabulary, is sent to the tasks.
+        Of the others only the words that the vocabulary has are joined, each a single row.
+        """
         looked_up = df.withColumn("__found", self._lookup(F.col(field)))
         left_over = F.filter(
             F.transform(
@@ -196,32 +205,37 @@ class VocabularyTokenizer(Tokenizer):
         )
         # Records of the same words share their key, and one of them is joined.
         looked_up = looked_up.withColumn("__key", F.sha2(F.to_json(F.col(field)), 256))
-        places = (
+        places = materialize(
             looked_up.select("__key", F.explode(left_over).alias("__e"))
             .groupBy("__key", F.col("__e.w").alias("token"))
-            .agg(F.collect_set("__e.p").alias("__places"))
-            .withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(spread)))
-        )
-        # As many copies of the rest as tasks, so that a word in no vocabulary but in most records is
-        # joined in all of them.
-        salts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>"))
-        words_left = places.select("token").distinct()
-        salted = self._rest.join(words_left, "token", "left_semi").withColumn("__salt", salts)
-        known = F.coalesce(F.col("id"), F.lit(self.unknown_id))
-        numbered = places.join(salted, ["token", "__salt"], "left").select(
-            "__key",
-            F.transform("__places", lambda p: F.struct(p.alias("p"), known.alias("i"))).alias("__part"),
+            .agg(F.collect_set("__e.p").alias("__places")),
+            "places",
         )
-        joined = numbered.groupBy("__key").agg(F.flatten(F.collect_list("__part")).alias("__joined"))
+        numbered = self._numbered(places)
+        part = F.transform("__places", lambda p: F.struct(p.alias("p"), F.lit(1).alias("s"), F.col("id").alias("i")))
+        joined = numbered.select("__key", part.alias("__part")).groupBy("__key").agg(F.flatten(F.collect_list("__part")).alias("__joined"))
         others = [c for c in df.columns if c != field]
-        found = F.filter(
-            F.transform("__found", lambda i, p: F.struct(p.alias("p"), i.alias("i"))),
-            lambda e: e["i"].isNotNull(),
+        # Every place has an entry of its own, which gives way to one that was joined.
+        own = F.transform(
+            "__found", lambda i, p: F.struct(p.alias("p"), F.lit(2).alias("s"), F.coalesce(i, F.lit(self.unknown_id)).alias("i"))
         )
-        every = F.when(F.col("__joined").isNull(), found).otherwise(F.concat(found, F.col("__joined")))
-        merged = looked_up.select(*others, "__found", "__key").join(joined, "__key", "left")
-        ids = F.transform(F.array_sort(every), lambda e: e["i"])
-        return merged.select(*others, ids.alias(field)).select(*df.columns)
+        every = F.when(F.col("__joined").isNull(), own).otherwise(F.array_sort(F.concat("__joined", own)))
+        merged = looked_up.select(*others, "__found", "__key").join(joined, "__key", "left").withColumn("__every", every)
+        first = F.filter("__every", lambda e, at: (at == 0) | (F.get("__every", at - 1)["p"] != e["p"]))
+        return merged.withColumn(field, F.transform(first, lambda e: e["i"])).select(*df.columns)
+
+    def _numbered(self, places: DataFrame) -> DataFrame:
+        """The rows of ``places`` whose word the rest of the vocabulary has, with its ``id``."""
+        counts = places.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        hot_rows = max(HOT_ROWS, places.count() // MAX_HOT)
+        hot = F.col("n") > hot_rows
+        # The vocabulary meets distinct words. Those that it does not have end here, unless they are hot.
+        known = materialize(counts.join(self._rest, "token", "left").where(hot | F.col("id").isNotNull()), "words")
+        sent = F.broadcast(known.where(hot).select("token", F.col("id").alias("__hot_id"), F.lit(True).alias("__hot")))
+        marked = places.join(sent, "token", "left")
+        in_place = marked.where("__hot AND __hot_id IS NOT NULL").select("__key", "__places", F.col("__hot_id").alias("id"))
+        cold = marked.where("__hot IS NULL").join(known.where(~hot).select("token", "id"), "token")
+        return in_place.unionAll(cold.select("__key", "__places", "id"))
 
 
 def _vocabulary_lookup(spark: SparkSession, rows: pa.Table, missing: int | None):

@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import batchloom as bl
 from batchloom.functions.arrays import truncate
+from batchloom.operators import tokenize
 
 SPEC = bl.DatasetSpec
 
@@ -127,6 +130,29 @@ def test_ids_depend_on_the_words_alone(spark, max_shipped):
     assert sorted((r["ids"], r["n"]) for r in ids.collect()) == [([1, 2, 3], 3)] + [([3, 4], 2)] * 3
 
 
+@pytest.mark.parametrize("hot_rows", [0, 7, 10**9])
+def test_hot_words_are_sent_and_the_others_joined(spark, monkeypatch, hot_rows):
+    """Whatever counts as hot, ids are the same; words of the vocabulary are joined once, without copies."""
+    monkeypatch.setattr(tokenize, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(tokenize, "MAX_HOT", 10**6)
+    rng = random.Random(6)
+    names = ["hot", "foreign", *(f"w{i}" for i in range(30)), *(f"x{i}" for i in range(30))]
+    texts = [" ".join(rng.choice(names[:2] if rng.random() < 0.4 else names) for _ in range(rng.randrange(40))) for _ in range(80)]
+    texts += [texts[3]] * 40 + [""]
+    ids = {w: i for i, w in enumerate((w for w in names if w[0] not in "xf"), 1)}
+    df = records(spark, [(t,) for t in texts], ["content"])
+    vocabulary = spark.createDataFrame(list(ids.items()), "token string, id int")
+    tokenizer = bl.VocabularyTokenizer(vocabulary, max_shipped=5, unknown_id=99)
+    rows = bl.tokenize(df, bl.pretrain_spec(), tokenizer)
+    want = [[ids.get(w, 99) for w in t.split()] for t in texts]
+    assert [r["content"] for r in rows.orderBy("seq_id").collect()] == want
+    places = spark.createDataFrame([(f"k{i}", w, [0]) for i, t in enumerate(texts) for w in {*t.split()} if ids.get(w, 99) > 5], "__key string, token string, __places array<int>")
+    numbered = tokenizer._numbered(places)
+    assert numbered.count() == sum(1 for i, t in enumerate(texts) for w in {*t.split()} if 5 < ids.get(w, 99) < 99)
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # nothing is copied over salts
+
+
 def test_a_vocabulary_too_large_for_ids_in_place(spark, monkeypatch):
     vocabulary = spark.createDataFrame([("a", 1), ("b", 2)], "token string, id int")
     tokenizer = bl.VocabularyTokenizer(vocabulary, max_shipped=1)
