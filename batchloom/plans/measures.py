@@ -112,10 +112,4 @@ def preview(tokens: DataFrame, plan: BatchPlan, edge: int = 5) -> DataFrame:
 
 def plan_item(plan: BatchPlan, position: int) -> DataFrame:
     """The rows of the batch at ``position`` of the plan; negative ones count from the end."""
-    if position >= 0:
-        wanted = plan.batches.where(F.col("plan_pos") == position)
-    else:
-        count = plan.batches.agg(F.count(F.lit(1)).alias("n")).scalar()
-        wanted = plan.batches.where(F.col("plan_pos") == count + F.lit(position))
-    # One batch id: the other side is filtered by it before it moves.
-    return plan.assignment.join(F.broadcast(wanted.select("batch_id", "plan_pos")), "batch_id")
+    return plan.item(position)

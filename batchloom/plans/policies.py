@@ -45,6 +45,16 @@ class BatchPlan:
             batches=order_batches(self.batches, order, seed),
         )
 
+    def item(self, position: int) -> DataFrame:
+        """The rows of the batch at ``position``; negative ones count from the end."""
+        if position >= 0:
+            wanted = self.batches.where(F.col("plan_pos") == position)
+        else:
+            count = self.batches.agg(F.count(F.lit(1)).alias("n")).scalar()
+            wanted = self.batches.where(F.col("plan_pos") == count + F.lit(position))
+        # One batch id: the other side is filtered by it before it moves.
+        return self.assignment.join(F.broadcast(wanted.select("batch_id", "plan_pos")), "batch_id")
+
     def rebased(self, assignment: DataFrame) -> "BatchPlan":
         """The plan on a stored copy of its assignment, so that nothing is planned again."""
         return _plan(self.policy, self.knobs, assignment)

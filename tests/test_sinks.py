@@ -1,7 +1,10 @@
 import json
 
+import pytest
+
 import batchloom as bl
 from batchloom.operators.lengths import lengths_of
+from batchloom.sinks import commit
 from batchloom.sinks import writers as W
 from batchloom.sinks.mirror import process_to_mirror
 from batchloom.sources.files import NameFilter
@@ -105,3 +108,84 @@ def test_mirror(spark, tmp_path):
     assert sorted(r["relative_path"] for r in done.collect()) == ["a.txt", "d/b.txt", "d/e/c.txt"]
     assert (tmp_path / "out/d/e/c.txt").read_text() == "D/E/C.TXT"
     assert not (tmp_path / "out/d/skip.md").exists()
+
+
+def stored_plan(spark, path, n=4000, mode="errorifexists", order="pc_desc"):
+    df = spark.range(n).selectExpr("id AS seq_id", "cast(1 + id % 37 AS int) AS len")
+    plan = bl.plan_capacity(df, 60, order=order)
+    W.write_plan(plan, str(path), mode)
+    return plan, W.read_plan(spark, str(path))
+
+
+@pytest.mark.parametrize("n", [4000, 16000])
+def test_an_item_is_read_from_few_files(spark, tmp_path, monkeypatch, n):
+    monkeypatch.setattr(W, "ROWS_PER_FILE", 200)
+    plan, stored = stored_plan(spark, tmp_path / "p", n)
+    assert len(stored.assignment.inputFiles()) >= n // 400
+    count = plan.batches.count()
+    everything = plan.assignment.join(plan.batches.select("batch_id", "plan_pos"), "batch_id").collect()
+    for position in (0, 1, count // 2, count - 1, -1, -count):
+        item = stored.item(position)
+        assert len(item.inputFiles()) <= 2
+        want = sorted(tuple(r) for r in everything if r["plan_pos"] == position % count)
+        assert sorted(map(tuple, item.collect())) == want and want
+        assert item.columns == plan.item(position).columns
+    assert stored.item(count).collect() == [] and stored.item(-count - 1).collect() == []
+    # The order of delivery changes, the files don't know it.
+    assert sorted(map(tuple, stored.ordered("none").item(0).collect())) == sorted(map(tuple, plan.ordered("none").item(0).collect()))
+
+
+def test_a_batch_larger_than_a_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "ROWS_PER_FILE", 100)
+    df = spark.range(1000).selectExpr("id AS seq_id", "0 AS len")
+    W.write_plan(bl.plan_capacity(df, 60), str(tmp_path / "p"))
+    item = W.read_plan(spark, str(tmp_path / "p")).item(0)
+    assert item.count() == 1000 and len(item.inputFiles()) >= 8
+
+
+def test_batches_come_in_plan_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "ROWS_PER_FILE", 500)
+    _, stored = stored_plan(spark, tmp_path / "p")
+    ranges = stored.manifest.read(spark, "batches_files").orderBy("first").collect()
+    assert all(a["last"] < b["first"] for a, b in zip(ranges, ranges[1:])) and sum(r["rows"] for r in ranges) == stored.batches.count()
+    for r in ranges:
+        rows = spark.read.parquet(f"{stored.manifest.part_path('batches')}/{r['file']}").collect()
+        assert [x["plan_pos"] for x in rows] == list(range(r["first"], r["last"] + 1))
+
+
+def test_interrupted_writes_are_refused(spark, tmp_path):
+    path = str(tmp_path / "p")
+    with pytest.raises(FileNotFoundError):
+        W.read_plan(spark, path)
+    writer = commit.VersionWriter(spark, path)
+    writer.write("assignment", spark.range(5).toDF("seq_id"))
+    with pytest.raises(ValueError, match="interrupted.*assignment-"):
+        W.read_plan(spark, path)
+    plan, stored = stored_plan(spark, path)  # a repeated write succeeds, and clears what was left
+    assert stored.manifest.version == 1 and stored.assignment.count() == 4000
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "p").iterdir()) == ["_manifests", "assignment", "assignment_files", "batches", "batches_files"]
+    # A later one that ends early leaves the version as it is; so does a manifest that was cut off.
+    later = commit.VersionWriter(spark, path, "overwrite")
+    later.write("assignment", spark.range(7).toDF("seq_id"))
+    (tmp_path / "p" / "_manifests" / "000002.json").write_text('{"parts": {"assi')
+    assert W.read_plan(spark, path).assignment.count() == 4000
+    with pytest.raises(FileExistsError, match="version 1"):
+        W.write_plan(plan, path)
+    _, newer = stored_plan(spark, path, 500, "overwrite")
+    assert newer.manifest.version == 3 and newer.assignment.count() == 500
+    assert len(list((tmp_path / "p").iterdir())) == 5 and [p.name for p in (tmp_path / "p" / "_manifests").glob("*.json")] == ["000003.json"]
+    victim = next(p for p in (tmp_path / "p").glob("batches-*/*.parquet"))
+    victim.unlink()
+    with pytest.raises(ValueError, match="batches has"):
+        W.read_plan(spark, path)
+
+
+def test_plan_and_rows_in_one_version(spark, tmp_path):
+    df = spark.createDataFrame([(i, list(range(1, 2 + i % 6))) for i in range(41)], "seq_id bigint, content array<int>")
+    plan = bl.plan_fixed(lengths_of(df), 4)
+    placed = bl.place_rows(plan, bl.shard_batches(plan.batches, 3))
+    rows = bl.collate(df, plan, placement=placed, partition_by=W.ARRANGED)
+    W.write_training_set(rows, plan, str(tmp_path / "set"))
+    back, stored = W.read_training_set(spark, str(tmp_path / "set"))
+    assert back.count() == 45 and stored.batches.count() == 11 and stored.manifest.parts["rows"].rows == 45
+    assert back.select("rank").distinct().count() == 3
