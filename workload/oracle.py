@@ -228,6 +228,12 @@ ORACLE: dict[str, str] = {
     "sink_plan": f"""WITH RECURSIVE {CAPACITY}
         SELECT batch_id, row_number() OVER (ORDER BY padded DESC, batch_id) - 1 AS plan_pos, n AS n_records,
                mx AS max_len, padded::BIGINT AS padded_tokens FROM g""",
+    "sink_training_set": f"""WITH {PAIR_BATCHES},
+        n AS (SELECT count(DISTINCT batch_id) AS n FROM b),
+        o AS (SELECT unnest(range((n + 3) // 4 * 4)) AS p, n FROM n),
+        d AS (SELECT p % n AS batch_id, count(*) AS times FROM o GROUP BY p % n)
+        SELECT batch_id, batch_id AS plan_pos, count(*) AS n_records, (count(*) * max(w))::BIGINT AS padded_tokens,
+               (count(*) * any_value(times))::BIGINT AS n_rows, max(w)::BIGINT AS width FROM b JOIN d USING (batch_id) GROUP BY batch_id""",
     "sink_training_rows": f"""WITH {PAIR_BATCHES},
         n AS (SELECT count(DISTINCT batch_id) AS n FROM b),
         o AS (SELECT unnest(range((n + 3) // 4 * 4)) AS p, n FROM n)

@@ -32,10 +32,12 @@ from batchloom.sinks.mirror import process_to_mirror
 from batchloom.sinks.writers import (
     ARRANGED,
     read_plan,
+    read_training_set,
     write_jsonl,
     write_plan,
     write_token_set,
     write_training_rows,
+    write_training_set,
 )
 from batchloom.sources.files import NameFilter, list_files
 from batchloom.sources.records import (
@@ -339,6 +341,18 @@ def sink_training_rows(spark, folder):
     )
 
 
+def sink_training_set(spark, folder):
+    """A plan and its padded rows written as one version, read back and held against each other by batch."""
+    path = scratch_path(spark, "set")
+    tokens = _pair_tokens(spark, folder)
+    plan = bl.plan_fixed(lengths_of(tokens), BATCH)
+    placed = place_rows(plan, shard_batches(plan.batches, 4, accumulation=2))
+    write_training_set(collate(tokens, plan, ["prompt", "chosen"], ["prompt"], placement=placed, partition_by=ARRANGED), plan, path)
+    rows, stored = read_training_set(spark, path)
+    sizes = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("input_ids")).cast("bigint").alias("width"))
+    return stored.batches.select("batch_id", "plan_pos", "n_records", "padded_tokens").join(sizes, "batch_id")
+
+
 # ---- tokenization -----------------------------------------------------------------------------
 
 
@@ -838,6 +852,7 @@ QUERIES: dict[str, Query] = {
     "sink_jsonl": sink_jsonl,
     "sink_plan": sink_plan,
     "sink_training_rows": sink_training_rows,
+    "sink_training_set": sink_training_set,
     "mirror_tree": mirror_tree,
     "map_records": map_records,
     "merge_token_sets": merge_token_sets_query,
