@@ -14,8 +14,8 @@ documents: what a task holds does not grow with the benchmark. There is no shuff
 
 Null and empty texts match nothing. Items of fewer than ``min_chars`` characters in normal form are matched
 without edits and as whole words (scripts that set no spaces have no such bounds). A short item may be a
-common phrase: ``drop_contaminated`` measures in how many documents the short ones are, and leaves out those up
-to the length at which one is found too often. Repeated items and rows each get their own result rows.
+common phrase: ``drop_contaminated`` measures in how many documents each of the short ones is, and leaves out those
+that are found too often. Ids of documents and items may be of any type. Repeated items and rows each get their own result rows.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from batchloom.llm.common import map_texts, slices
+from batchloom.llm.common import fresh, map_texts, slices
+from batchloom.session import materialize
 
 #: Edits allowed for each character of an item.
 RATE = 0.1
@@ -219,13 +221,13 @@ def find_items(
     kinds = [df.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
     schema = f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}, distance int, budget int, end long"
     chosen = df.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     found = None
     for block in _blocks(items, item_id, item_text, 1, block_bytes):
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def make(shared=shared):
             matcher = Matcher(shared.value, rate, min_chars)
-            item_type = pa.array([i for i, _ in shared.value]).type if shared.value else pa.int64()
 
             def work(batch: pa.RecordBatch) -> pa.RecordBatch:
                 rows: list[tuple[int, int, int, int]] = []
@@ -255,27 +257,29 @@ def drop_contaminated(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of ``df`` whose text holds no item, with their columns as they are."""
-    least = _least_length(df, text, items, item_text, min_chars, block_bytes)
-    for block in _blocks(items, item_id, item_text, least, block_bytes):
+    leaks = _without_phrases(df, text, items, item_text, min_chars, block_bytes)
+    for block in _blocks(leaks, item_id, item_text, 1, block_bytes):
         df = df.where(_holds_none(df.sparkSession.sparkContext.broadcast(block), rate, min_chars)(F.col(f"`{text}`")))
     return df
 
 
-def _least_length(df: DataFrame, text: str, items: DataFrame, item_text: str, min_chars: int, block_bytes: int) -> int:
-    """The length above that of the longest short item that is a phrase; one pass over ``df`` if there are short ones."""
+def _without_phrases(df: DataFrame, text: str, items: DataFrame, item_text: str, min_chars: int, block_bytes: int) -> DataFrame:
+    """``items`` but for the short ones that are phrases; one pass over ``df`` if there are short ones."""
 
     @F.pandas_udf("string")
     def normal(part: pd.Series) -> pd.Series:
         return pd.Series(normal_text(pa.array(part, pa.string(), from_pandas=True).fill_null("")).to_pylist(), dtype=object)
 
-    short = items.select(normal(F.col(f"`{item_text}`")).alias("item")).where(F.length("item").between(1, min_chars - 1)).distinct()
+    form = fresh(items, "normal form")
+    known = items.withColumn(form, normal(F.col(f"`{item_text}`")))
+    short = known.select(F.col(f"`{form}`").alias("item")).where(F.length("item").between(1, min_chars - 1)).distinct()
     if short.isEmpty():
-        return 1
+        return items
     docs = df.select(F.lit(1).alias("document"), F.col(f"`{text}`").alias("text"))
     hits = find_items(docs, "document", "text", short.withColumn("copy", F.col("item")), "item", "copy", 0.0, min_chars, block_bytes)
     common = max(PHRASE_DOCUMENTS, PHRASE_SHARE * docs.count())
-    phrases = hits.groupBy("item").count().where(F.col("count") > common)
-    return 1 + (phrases.agg(F.max(F.length("item"))).head()[0] or 0)
+    phrases = materialize(hits.groupBy("item").count().where(F.col("count") > common), "phrases")
+    return known.join(phrases, F.col(f"`{form}`") == F.col("item"), "left_anti").drop(form)
 
 
 def _holds_none(shared, rate: float, min_chars: int):

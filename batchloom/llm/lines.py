@@ -1,10 +1,10 @@
 """Quality rules: what a text shows by itself, and lines that many documents of a host share.
 
 One pass over the texts gives the figures of every document and, for each of its distinct lines, a hash of
-the line in normal form (lower case, digits as one 0, single spaces) and its words. This narrow table is
-written to the shared folder. Lines are counted by distinct documents within their host, partly before
-the shuffle; lines above ``max_documents`` are removed, and a document that keeps less than
-``min_kept`` of its words is rejected. The join of lines with frequent lines has at most one row for a key
+the line in normal form (lower case, single spaces; digits stay, so that rows of numbers differ) and its words.
+This narrow table is written to the shared folder. Lines, and documents themselves, are counted by distinct documents
+within their host in one aggregation, partly before the shuffle. Lines in more than ``floor`` documents and more than
+``percent`` of their host's are removed, and a document that keeps less than ``min_kept`` of its words is rejected. The join of lines with frequent lines has at most one row for a key
 on one side, so that a line that a third of all documents share can be split over tasks.
 
 Null texts count as empty, null hosts as the host with the empty name. Documents without words fail the
@@ -23,8 +23,8 @@ from batchloom.llm.common import code_words, hash_strings, map_texts, sums_of
 from batchloom.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
-#: A line in more distinct documents of one host than this is boilerplate.
-MAX_DOCUMENTS = 100
+#: A line in more distinct documents of one host than this number and this share of the host is boilerplate.
+FLOOR, PERCENT = 5, 5
 #: A document must keep this share of its words.
 MIN_KEPT = 0.5
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -34,8 +34,7 @@ FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 def normal_lines(lines: pa.Array) -> pa.Array:
     """Lines in the form in which they are compared over documents."""
-    plain = pc.replace_substring_regex(pc.utf8_lower(lines), "[0-9]+", "0")
-    return pc.ascii_trim_whitespace(pc.replace_substring_regex(plain, "[ \t\n\v\f\r]+", " "))
+    return pc.ascii_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(lines), "[ \t\n\v\f\r]+", " "))
 
 
 def count_symbols(texts: pa.Array) -> np.ndarray:
@@ -133,12 +132,16 @@ def document_figures(df: DataFrame, doc_id: str, text: str, host: str) -> DataFr
     return map_texts(chosen, "text", make, schema)
 
 
-def frequent_lines(figures: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """(host, line_hash, n_documents) of lines in more than ``max_documents`` distinct documents."""
-    lines = figures.select("host", "doc_id", F.explode("line_hash").alias("line_hash"))
+def frequent_lines(figures: DataFrame, floor: int = FLOOR, percent: int = PERCENT) -> DataFrame:
+    """(host, line_hash, n_documents) of lines in more than ``floor`` documents and ``percent`` of their host's."""
+    # A row without a line stands for the document, so the host's size is counted along.
+    every = F.concat("line_hash", F.array(F.lit(None).cast("long")))
+    lines = figures.select("host", "doc_id", F.explode(every).alias("line_hash"))
     known = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    counted = lines.groupBy("host", "line_hash").agg(F.countDistinct(known).alias("n_documents"))
-    return counted.where(F.col("n_documents") > max_documents)
+    counted = lines.groupBy("host", "line_hash").agg(F.countDistinct(known).alias("n_documents")).where(F.col("n_documents") > floor)
+    hosts = counted.where(F.col("line_hash").isNull()).select("host", F.col("n_documents").alias("n_host"))
+    found = counted.where(F.col("line_hash").isNotNull()).join(hosts, "host")
+    return found.where(100 * F.col("n_documents") > percent * F.col("n_host")).drop("n_host")
 
 
 def apply_rules(
@@ -146,7 +149,8 @@ def apply_rules(
     doc_id: str,
     text: str,
     host: str,
-    max_documents: int = MAX_DOCUMENTS,
+    floor: int = FLOOR,
+    percent: int = PERCENT,
     min_kept: float = MIN_KEPT,
 ) -> DataFrame:
     """The figures and the verdict for every row.
@@ -154,7 +158,7 @@ def apply_rules(
     Returns ``doc_id`` (under its name), host, the five figures, n_removed_words, base_failed and kept.
     """
     figures = materialize(document_figures(df, doc_id, text, host), "lines")
-    frequent = frequent_lines(figures, max_documents)
+    frequent = materialize(frequent_lines(figures, floor, percent), "frequent")
     lines = figures.select("row", "host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l"))
     lines = lines.select("row", "host", F.col("l.line_hash").alias("line_hash"), F.col("l.line_words").alias("words"))
     removed = lines.join(frequent, ["host", "line_hash"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
@@ -173,12 +177,12 @@ def apply_rules(
 
 
 def remove_lines(
-    df: DataFrame, doc_id: str, text: str, host: str, max_documents: int = MAX_DOCUMENTS, into: str = "cleaned"
+    df: DataFrame, doc_id: str, text: str, host: str, floor: int = FLOOR, percent: int = PERCENT, into: str = "cleaned"
 ) -> DataFrame:
     """``df`` with ``into``: the text without the lines that are frequent in its host, else unchanged."""
     figures = materialize(document_figures(df, doc_id, text, host), "lines")
     lines = figures.select("doc_id", "host", F.explode("line_hash").alias("line_hash"))
-    hits = lines.join(frequent_lines(figures, max_documents), ["host", "line_hash"])
+    hits = lines.join(frequent_lines(figures, floor, percent), ["host", "line_hash"])
     # The frequent lines of one document are no more than its lines.
     gone = hits.groupBy(F.col("doc_id").alias("hit doc"), F.col("host").alias("hit host")).agg(F.collect_set("line_hash").alias("hit lines"))
     key_id = df[f"`{doc_id}`"].eqNullSafe(gone["`hit doc`"])

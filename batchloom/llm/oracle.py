@@ -59,8 +59,10 @@ c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2])
 l AS (SELECT r, x FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{WORD}')),
 u AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM l GROUP BY r),
 z AS (SELECT r, len(regexp_extract_all(x, '{WORD}')) AS n,
-             trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[ \t\n\v\f\r]+', ' ', 'g')) AS x FROM l),
-h AS (SELECT host, x FROM z JOIN d USING (r) GROUP BY host, x HAVING count(DISTINCT coalesce(doc_id::VARCHAR, '')) > {lines.MAX_DOCUMENTS}),
+             trim(regexp_replace(lower(x), '[ \t\n\v\f\r]+', ' ', 'g')) AS x FROM l),
+s AS (SELECT host, count(DISTINCT coalesce(doc_id::VARCHAR, '')) AS n_host FROM d GROUP BY host),
+h AS (SELECT host, x FROM z JOIN d USING (r) JOIN s USING (host) GROUP BY host, x, n_host
+      HAVING count(DISTINCT coalesce(doc_id::VARCHAR, '')) > 5 AND 100 * count(DISTINCT coalesce(doc_id::VARCHAR, '')) > 5 * n_host),
 o AS (SELECT r, sum(n) AS n FROM z JOIN d USING (r) JOIN h USING (host, x) GROUP BY r),
 a AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: len(x))), 0)::BIGINT AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(u.n, 0)::BIGINT AS n_dup_lines,

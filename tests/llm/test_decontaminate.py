@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 
 from batchloom.llm import decontaminate as d
 
@@ -99,3 +100,25 @@ def test_short_items_are_matched_as_whole_words(spark):
     # "and so" is in more documents than a leak would be; longer items count.
     left = d.drop_contaminated(df, "text", bench, "number", "question")
     assert sorted(r.doc_id for r in left.collect()) == [1, 3, 5, *range(6, 14)]
+
+
+def test_a_phrase_leaves_the_other_short_items_alone(spark):
+    texts = [*["we set it out in the text below, so it goes"] * 30, "x the capital of peru is lima, he said", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "set it out in the text below"), (2, "capital of Peru is Lima"), (2, "capital of Peru is Lima"), (None, "no text has it")], "number long, question string")
+    assert len(d.normal_text(pa.array(["set it out in the text below"]))[0].as_py()) > len("capital of peru is lima")
+    left = d.drop_contaminated(df, "text", bench, "number", "question")
+    assert sorted(r.doc_id for r in left.collect()) == [*range(30), 31, 32]
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "bigint", "string"])
+@pytest.mark.parametrize("own", ["int", "string"])
+def test_ids_of_any_type(spark, kind, own):
+    items, docs = case()
+    df = spark.createDataFrame([(k, t) for k, t, _ in docs], "doc_id long, text string").selectExpr(f"cast(doc_id AS {own}) AS doc_id", "text")
+    bench = spark.createDataFrame(items, "number long, question string").selectExpr(f"cast(number AS {kind}) AS number", "question")
+    out = d.find_items(df, "doc_id", "text", bench, "number", "question")
+    plain = d.find_items(spark.createDataFrame([(k, t) for k, t, _ in docs], "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "number long, question string"), "number", "question")
+    assert dict(out.dtypes)["number"] == kind and dict(out.dtypes)["doc_id"] == own
+    key = lambda rows: sorted((str(r.doc_id), str(r.number), r.distance, r.end) for r in rows)
+    assert key(out.collect()) == key(plain.collect())

@@ -20,19 +20,25 @@ def figures(text):
 
 
 def normal(line):
-    return re.sub(r"[ \t-\r]+", " ", re.sub("[0-9]+", "0", line.lower())).strip(" \t\n\v\f\r")
+    return re.sub(r"[ \t-\r]+", " ", line.lower()).strip(" \t\n\v\f\r")
 
 
-def brute(rows, limit, share):
-    holders = defaultdict(set)
+def brute(rows, floor, percent, share):
+    holders, hosts = defaultdict(set), defaultdict(set)
     for doc, text, host, *_ in rows:
+        hosts[host or ""].add(str(doc))
         for line in (text or "").split("\n"):
             holders[host or "", normal(line)].add(str(doc))
+
+    def common(host, line):
+        n = len(holders[host, normal(line)])
+        return n > floor and 100 * n > percent * len(hosts[host])
+
     out = []
     for doc, text, host, *_ in rows:
         text = text or ""
         figure = figures(text)
-        gone = sum(len(re.findall(SPACE, x)) for x in text.split("\n") if len(holders[host or "", normal(x)]) > limit and re.search(SPACE, x))
+        gone = sum(len(re.findall(SPACE, x)) for x in text.split("\n") if re.search(SPACE, x) and common(host or "", x))
         failed = figure[0] < 50 or 100 * figure[4] > 50 * figure[0]
         out.append((str(doc), *figure, gone, failed, not failed and figure[0] - gone >= share * figure[0]))
     return sorted(out)
@@ -47,20 +53,28 @@ def corpus():
     return rows
 
 
-def got(spark, rows, limit, share):
+def got(spark, rows, floor, percent, share):
     df = spark.createDataFrame(rows, SCHEMA)
-    out = lines.apply_rules(df, "doc_id", "text", "source", limit, share).drop("host")
+    out = lines.apply_rules(df, "doc_id", "text", "source", floor, percent, share).drop("host")
     return sorted((str(r[0]), *r[1:]) for r in out.collect())
 
 
 def test_rules_against_brute_force(spark):
     rows = corpus()
-    for limit, share in ((5, 0.5), (1, 0.9), (1000, 0.5)):
-        assert got(spark, rows, limit, share) == brute(rows, limit, share)
+    for rule in ((5, 0, 0.5), (1, 0, 0.9), (1000, 0, 0.5), (1, 60, 0.9), (1, 80, 0.9), (0, 0, 0.5), (0, 100, 0.5)):
+        assert got(spark, rows, *rule) == brute(rows, *rule)
+
+
+def test_the_limit_follows_the_host(spark):
+    """One line in 10 documents: boilerplate of a host of 100, not of one of 300; rows of numbers stay."""
+    rows = [(i, "all rights reserved\n" * (i % n < 10) + f"own words {i}", f"host{n}", "", "") for n in (100, 300) for i in range(1000 * n, 1001 * n)]
+    rows += [(10**6 + i, f"result of trial {i} was {i * i} units\n" * 2 + f"name{i}", "host100", "", "") for i in range(8)]
+    found = {r.source: r for r in lines.remove_lines(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "source").where("cleaned <> text").groupBy("source").count().collect()}
+    assert {k: v["count"] for k, v in found.items()} == {"host100": 10}
 
 
 def test_empty_table(spark):
-    assert got(spark, [], 5, 0.5) == []
+    assert got(spark, [], 5, 5, 0.5) == []
 
 
 def test_many_distinct_words_take_the_other_key():
@@ -73,7 +87,7 @@ def test_many_distinct_words_take_the_other_key():
 
 def test_cleaned_texts(spark):
     df = spark.createDataFrame(corpus(), SCHEMA)
-    out = lines.remove_lines(df, "doc_id", "text", "source", 5)
+    out = lines.remove_lines(df, "doc_id", "text", "source", 5, 0)
     assert out.columns == [*df.columns, "cleaned"] and out.count() == df.count()
     texts = {r.doc_id: r.cleaned for r in out.collect()}
     assert texts[200] is None and texts[201] == ""
