@@ -1,21 +1,28 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine, found in a block-max inverted index.
 
-Terms are the ``max_terms`` words that speak most for toxicity in a bounded, documented sample of labelled
-rows (log-likelihood ratio); their document frequencies are counted over all documents. An example or a
-document is the TF-IDF vector over these terms. Postings of the examples lie in blocks that know the
-largest weight of each term: blocks are scored in the order of their upper bounds until none can reach
-the ``k`` nearest any more, so the neighbours are exact, and all that tie with the last are in.
-
-The vote of the neighbours, weighted by squared cosine, is calibrated on the examples themselves, each
-without its own vote, with the classes weighted as they are among all labelled rows. Documents without
-any term get the share of toxic ones among the examples without any term.
-
-The index (bounded by the sample) is broadcast; documents are scored where they are read, and equal
-vectors once in a worker. Null and empty texts are documents without terms.
+Examples are a bounded, documented sample of labelled rows. The vector of a text has all its words: 1 + ln(occurrences),
+times the inverse document frequency over all documents, times DULL for words that don't speak for toxicity (by their
+log-likelihood ratio in the sample). So a text is judged by what it says where it says something, and by all its words
+where it doesn't: a copy of a toxic example is found whatever its words are. Words that no example holds count in the
+length of a vector like words of a single document.
+
+Examples that are alike lie in one block. Postings know the largest weight of a term in each block; terms that are dull
+and in many examples have no postings but a dense row, bounded by the lengths of both sides (Cauchy-Schwarz). A block is
+scored exactly only if its bound reaches NEAR and the least cosine that still counts. The neighbours of a text
+are the ``k`` nearest examples of a cosine of NEAR or more, and all that tie with the last to TIE; the search is exact.
+
+The vote of the neighbours, weighted by squared cosine, is calibrated on examples, each without itself, with the
+classes weighted as they are among all labelled rows. Texts without a neighbour get the share of toxic ones among the
+examples without any.
+
+The index (bounded by the sample) is broadcast; documents are scored where they are read, many at a time. Null and
+empty texts have no neighbour. Each of several rows of one id gets its own result, an empty table none; other columns
+don't matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,61 +30,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import gather, labelled_sample, map_texts
+from batchloom.llm.common import gather, labelled_sample, map_texts, slices, starts_of
 from batchloom.llm.langid import letter_words
 
-#: Examples of each class in the index, terms of a vector, neighbours that vote, examples in a block.
-EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK = 6000, 128, 15, 64
-#: A term must be in so many examples and have this log-likelihood ratio.
-MIN_DOCUMENTS, MIN_RATIO = 4, 12.0
+#: Examples of each class in the index, neighbours that vote, examples in a block.
+EXAMPLES, NEIGHBOURS, BLOCK = 3000, 15, 64
+#: A word speaks for toxicity if it is in so many examples and has this log-likelihood ratio; others weigh DULL of it.
+MIN_DOCUMENTS, MIN_RATIO, DULL = 4, 12.0, 0.005
+#: The least cosine of a neighbour; neighbours as near as the last one to this tie with it.
+NEAR, TIE = 0.5, 0.02
+#: A dull term in more than one of so many examples has a dense row.
+HEAVY = 10
 THRESHOLD = 0.3
 #: Examples that the votes are calibrated on.
 CALIBRATED = 1000
-CACHE_VECTORS = 100_000
+#: Texts that are compared with the index at a time, and blocks of each that are scored first.
+TOGETHER, SEEDS = 256, 2
+#: Of bounds against rounding.
+SLACK = 1e-5
 
 
 @dataclass
 class ToxicIndex:
-    """Terms with their weights, postings by term in blocks of examples, and the calibration."""
+    """Weights of terms, postings in blocks of examples, dense rows of heavy terms, and the calibration."""
 
     terms: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray
+    unknown: float
+    signal: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
-    rows: list[np.ndarray]
-    values: list[np.ndarray]
-    bounds: list[np.ndarray]
-    block_max: np.ndarray
-    slope: float
-    shift: float
-    without: float
+    heavy: np.ndarray
+    heavy_rows: np.ndarray
+    heavy_max: np.ndarray
+    first_entry: np.ndarray
+    entry_block: np.ndarray
+    entry_max: np.ndarray
+    first_posting: np.ndarray
+    posting_row: np.ndarray
+    posting_weight: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
+    without: float = 0.0
 
 
-def _term_counts(texts: pa.Array, terms: dict[str, int]) -> list[tuple[tuple[int, int], ...]]:
-    """Of every text, (term, occurrences) in order of the terms."""
-    codes, words, counts = letter_words(texts)
-    known = np.fromiter((terms.get(w, -1) for w in words.to_pylist()), np.int64, len(words))
-    text = np.repeat(np.arange(len(texts)), counts)
-    term = known[codes] if len(words) else codes
-    hit = term >= 0
-    width = max(1, len(terms))
-    pair, times = np.unique(text[hit] * width + term[hit], return_counts=True)
-    out: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
-    for p, n in zip(pair.tolist(), times.tolist()):
-        out[p // width].append((p % width, n))
-    return [tuple(x) for x in out]
+Vectors = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _vector(signature: tuple[tuple[int, int], ...], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and weights of length 1."""
-    term = np.array([t for t, _ in signature], dtype=np.int64)
-    weight = (1 + np.log([n for _, n in signature])) * idf[term]
-    return term, weight / np.sqrt((weight**2).sum())
+def text_vectors(texts: pa.Array, terms: dict[str, int], weight: np.ndarray, unknown: float) -> Vectors:
+    """(text, term, weight) of the known terms of every text; with the unknown ones, vectors have length 1."""
+    codes, words, counts = letter_words(texts)
+    known = np.fromiter((terms.get(w, -1) for w in words.to_pylist()), np.int64, len(words))
+    kinds = max(1, len(words))
+    pair, times = np.unique(np.repeat(np.arange(len(texts)), counts) * kinds + codes, return_counts=True)
+    text, term = pair // kinds, known[pair % kinds] if len(pair) else pair
+    raw = (1 + np.log(times)) * (np.where(term >= 0, weight[term], unknown) if len(weight) else unknown)
+    length = np.sqrt(np.bincount(text, raw**2, minlength=len(texts)))
+    own = term >= 0
+    return text[own], term[own], (raw / length[text])[own]
 
 
-def _select_terms(sample: DataFrame, max_terms: int) -> list[str]:
-    """Words by how much more frequent they are in toxic examples than in clean ones.
+def _word_counts(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float, float]:
+    """Words of the sample, in how many toxic and other texts each is, and the number of both.
 
     Examples of equal text count once, so that a text that was copied does not make its words terms.
     """
@@ -100,149 +115,231 @@ def _select_terms(sample: DataFrame, max_terms: int) -> list[str]:
         return work
 
     counted = map_texts(once.select("text", (F.col("label") == 1).alias("toxic")), "text", make, "word string, bad long, good long")
+    found = counted.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).orderBy("word").toArrow()
     totals = once.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("b"), F.count("*").alias("n")).head()
-    bad_all, good_all = float(totals["b"]), float(totals["n"] - totals["b"])
-    if not bad_all or not good_all:
-        return []
-    words = counted.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    share = (F.col("bad") + F.col("good")) / (bad_all + good_all)
+    bad, good = (found.column(c).to_numpy().astype(float) for c in ("bad", "good"))
+    return found.column("word").to_pylist(), bad, good, float(totals["b"]), float(totals["n"] - totals["b"])
 
-    def part(seen, all_rows):
-        return F.when(seen > 0, seen * F.log(seen / (all_rows * share))).otherwise(0.0)
 
-    ratio = 2 * (part(F.col("bad"), bad_all) + part(F.col("good"), good_all))
-    strong = words.where((F.col("bad") + F.col("good") >= MIN_DOCUMENTS) & (F.col("bad") * good_all > F.col("good") * bad_all))
-    rows = strong.withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "word").limit(max_terms)
-    return [r["word"] for r in rows.collect()]
+def speaks(bad: np.ndarray, good: np.ndarray, all_bad: float, all_good: float) -> np.ndarray:
+    """Which words are in toxic texts more often than by chance, by their log-likelihood ratio."""
+    if not all_bad or not all_good:
+        return np.zeros(len(bad), bool)
+    share = (bad + good) / (all_bad + all_good)
 
+    def part(seen: np.ndarray, rows: float) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / (rows * share)), 0.0)
 
-def _document_frequencies(df: DataFrame, text: str, terms: list[str]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term is, and the number of documents."""
-    place = {w: i for i, w in enumerate(terms)}
+    ratio = 2 * (part(bad, all_bad) + part(good, all_good))
+    return (bad + good >= MIN_DOCUMENTS) & (bad * all_good > good * all_bad) & (ratio >= MIN_RATIO)
 
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.zeros(len(place) + 1, dtype=np.int64)
-            for signature in _term_counts(batch.column(0), place):
-                found[[t for t, _ in signature]] += 1
-            found[-1] = batch.num_rows
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], names=["term", "n"])
 
-        return work
+def _document_frequencies(df: DataFrame, text: str, terms: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term is, and the number of documents; a task adds up what it reads."""
+    shared = df.sparkSession.sparkContext.broadcast(terms)
 
-    counted = map_texts(df.select(F.col(f"`{text}`").alias("t")), "t", make, "term long, n long")
-    rows = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return np.array([rows.get(i, 0) for i in range(len(terms))], dtype=float), rows.get(len(terms), 0)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = shared.value
+        found = np.zeros(len(place) + 1, dtype=np.int64)
+        for batch in batches:
+            for piece in slices(batch, "t"):
+                codes, words, counts = letter_words(piece.column(0))
+                kinds = max(1, len(words))
+                own = np.unique(np.repeat(np.arange(len(counts)), counts) * kinds + codes) % kinds
+                known = np.fromiter((place.get(w, -1) for w in words.to_pylist()), np.int64, len(words))
+                term = known[own] if len(own) else own
+                found[:-1] += np.bincount(term[term >= 0], minlength=len(place))
+                found[-1] += piece.num_rows
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(found[held])], names=["term", "n"])
 
+    counted = df.select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms) + 1)
+    out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    return out[:-1], int(out[-1])
 
-def fit(
-    documents: DataFrame,
-    labels: DataFrame,
-    key: str,
-    text: str,
-    label: str,
-    examples: int = EXAMPLES,
-    max_terms: int = MAX_TERMS,
-) -> ToxicIndex:
+
+def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, examples: int = EXAMPLES) -> ToxicIndex:
     """Index about ``examples`` labelled documents of each class, chosen by a hash of ``key``.
 
     ``documents`` are all documents, for the document frequencies; ``labels`` has the keys that may be
     learned from, with ``label`` 0 or 1.
     """
     sample, all_counts = labelled_sample(documents, labels, key, text, label, examples)
-    words = _select_terms(sample, max_terms)
+    words, bad, good, all_bad, all_good = _word_counts(sample)
     terms = {w: i for i, w in enumerate(words)}
-    frequency, n = _document_frequencies(documents, text, words)
-    idf = np.log((1 + n) / (1 + frequency)) + 1
+    frequency, n = _document_frequencies(documents, text, terms)
+    signal = speaks(bad, good, all_bad, all_good)
+    weight = (np.log((1 + n) / (1 + frequency)) + 1) * np.where(signal, 1.0, DULL)
+    unknown = (np.log((1 + n) / 2) + 1) * DULL if n else DULL
+    shared = sample.sparkSession.sparkContext.broadcast((terms, weight, unknown))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = _term_counts(batch.column(2), terms)
-            flat = [pa.array([[p[i] for p in s] for s in found], pa.list_(pa.int64())) for i in (0, 1)]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *flat], names=["key", "label", "terms", "times"])
+            doc, term, value = text_vectors(batch.column(2), *shared.value)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((term, pa.int64()), (value, pa.float64()))]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["key", "label", "terms", "values"])
 
         return work
 
     kind = sample.schema["key"].dataType.simpleString()
-    vectors = map_texts(sample.select("key", "label", "text"), "text", make, f"key {kind}, label long, terms array<long>, times array<long>")
-    rows = sorted(vectors.collect(), key=lambda r: ([-t for t in r["terms"]], str(r["key"])))
-    return _build([(r["key"], r["label"], tuple(zip(r["terms"], r["times"]))) for r in rows], terms, idf, all_counts)
+    rows = map_texts(sample.select("key", "label", "text"), "text", make, f"key {kind}, label long, terms array<long>, values array<double>").orderBy("key").toArrow()
+    sizes = np.array([len(x) for x in rows.column("terms")], np.int64)
+    flat = [rows.column(c).combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0) for c in ("terms", "values")]
+    vectors = np.repeat(np.arange(len(sizes)), sizes), flat[0].astype(np.int64), flat[1]
+    return build(rows.column("key").to_pylist(), rows.column("label").to_numpy(), vectors, terms, weight, unknown, signal, all_counts)
 
 
-def _build(examples: list, terms: dict[str, int], idf: np.ndarray, all_counts: dict) -> ToxicIndex:
-    held = {c: sum(1 for e in examples if e[1] == c) for c in (0, 1)}
+def build(
+    ids: list, labels: np.ndarray, vectors: Vectors, terms: dict[str, int], weight: np.ndarray, unknown: float, signal: np.ndarray, all_counts: dict
+) -> ToxicIndex:
+    """The index of examples given by their vectors, calibrated. ``all_counts``: labelled rows of each class."""
+    n = len(ids)
+    row, term, value = vectors
+    # Examples of the same heaviest terms become neighbours in the order of the index.
+    by = np.lexsort((term, -np.round(value, 9), row))
+    rank = np.arange(len(by)) - starts_of(np.bincount(row, minlength=n))[row[by]]
+    lead = np.full((n, 6), -1, np.int64)
+    lead[row[by][rank < 6], rank[rank < 6]] = term[by][rank < 6]
+    order = np.lexsort(lead.T[::-1]) if n else np.zeros(0, np.int64)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    row = place[row]
+    labels = np.asarray(labels, np.int64)[order]
+    held = {c: int((labels == c).sum()) for c in (0, 1)}
     share = [all_counts.get(c, 0) / max(1, held[c]) for c in (0, 1)]  # what an example stands for
-    bare = [e for e in examples if not e[2]]
-    toxic_bare, clean_bare = (share[c] * sum(1 for e in bare if e[1] == c) for c in (1, 0))
-    without = (toxic_bare + 0.5) / (toxic_bare + clean_bare + 5)
-    full = [e for e in examples if e[2]]
-    postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for row, (_, _, signature) in enumerate(full):
-        for t, w in zip(*(x.tolist() for x in _vector(signature, idf))):
-            postings[t].append((row, w))
-    n_blocks = -(-len(full) // BLOCK)
-    rows = [np.array([r for r, _ in p], dtype=np.int64) for p in postings]
-    values = [np.array([w for _, w in p]) for p in postings]
-    bounds = [np.searchsorted(r, np.arange(n_blocks + 1) * BLOCK) for r in rows]
-    block_max = np.zeros((len(terms), n_blocks))
-    for t, (r, v) in enumerate(zip(rows, values)):
-        np.maximum.at(block_max[t], r // BLOCK, v)
-    labels = np.array([e[1] for e in full], dtype=np.int64)
-    ids = np.array([e[0] for e in full], dtype=object)
-    weights = np.array([share[c] for c in labels.tolist()])
-    index = ToxicIndex(terms, idf, ids, labels, weights, rows, values, bounds, block_max, 1.0, 0.0, without)
-    index.slope, index.shift = _calibrate(index, [e[2] for e in full])
+
+    width = max(1, len(terms))
+    heavy = np.full(width, -1, np.int64)
+    many = np.bincount(term, minlength=width) * HEAVY > n
+    many[: len(signal)] &= ~signal
+    heavy[many] = np.arange(many.sum())
+    dense = np.zeros((n, int(many.sum())), np.float32)
+    at = heavy[term]
+    dense[row[at >= 0], at[at >= 0]] = value[at >= 0]
+    blocks = max(1, -(-n // BLOCK))
+    longest = np.zeros(blocks)
+    np.maximum.at(longest, np.arange(n) // BLOCK, np.sqrt((dense.astype(float) ** 2).sum(axis=1)))
+
+    light = np.flatnonzero(at < 0)
+    light = light[np.lexsort((row[light], term[light]))]
+    key = term[light] * blocks + row[light] // BLOCK
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    peak = np.maximum.reduceat(value[light], first) if len(first) else np.zeros(0)
+    index = ToxicIndex(
+        terms, weight, float(unknown), signal, np.array(ids, dtype=object)[order], labels, np.array([share[c] for c in labels.tolist()]),
+        heavy, dense, longest,
+        np.searchsorted(key[first], np.arange(width + 1) * blocks), key[first] % blocks, peak,
+        np.append(first, len(light)), row[light], value[light],
+    )
+    by = np.argsort(row, kind="stable")
+    _calibrate(index, (row[by], term[by], value[by]))
     return index
 
 
-def nearest(index: ToxicIndex, signature: tuple[tuple[int, int], ...], k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and cosines of the ``k`` nearest examples and all that tie with the last; nearest first.
+def neighbours(index: ToxicIndex, vectors: Vectors, n: int, k: int = NEIGHBOURS, but: np.ndarray | None = None) -> Vectors:
+    """(text, row of the example, cosine) for the neighbours of ``n`` texts: by text, nearest first.
 
-    Only examples that share a term are neighbours. The example ``but`` is left out.
+    ``but`` gives a row for each text that does not count.
     """
-    term, weight = _vector(signature, index.idf)
-    upper = weight @ index.block_max[term]
-    order = np.argsort(-upper, kind="stable")
-    order = order[upper[order] > 0]
-    score = np.zeros(len(index.labels))
-    least, at, step = 0.0, 0, 1
-    while at < len(order) and upper[order[at]] >= least - 1e-9:
-        # Twice as many blocks each time, as far as their bounds allow.
-        blocks = order[at : at + step]
-        blocks = blocks[upper[blocks] >= least - 1e-9]
-        for t, w in zip(term.tolist(), weight.tolist()):
-            rows, values, bounds = index.rows[t], index.values[t], index.bounds[t]
-            start, size = bounds[blocks], bounds[blocks + 1] - bounds[blocks]
-            spot = gather(start, size)
-            score[rows[spot]] += w * values[spot]
-        if but >= 0:
-            score[but] = 0.0
-        at, step = at + len(blocks), 2 * step
-        if np.count_nonzero(score) >= k:
-            least = np.partition(score, -k)[-k]
-    row = np.flatnonzero((score > 0) & (score >= least - 1e-9))
-    score = score[row]
-    order = np.lexsort((row, -np.round(score, 9)))
-    return row[order], score[order]
-
-
-def _vote(index: ToxicIndex, row: np.ndarray, cosine: np.ndarray) -> float:
-    """Share of toxic neighbours by squared cosine, as a logarithm of odds with half a vote each way."""
-    weight = cosine**2 * index.weights[row] / index.weights.mean()
-    toxic = float(weight[index.labels[row] == 1].sum())
-    return float(np.log((toxic + 0.25) / (weight.sum() - toxic + 0.25)))
-
-
-def _calibrate(index: ToxicIndex, signatures: list) -> tuple[float, float]:
-    """Slope and shift of the vote by logistic regression on examples, each without itself.
-
-    CALIBRATED of them at equal steps are enough for two numbers.
+    blocks = len(index.heavy_max)
+    doc, term, value = vectors
+    column = index.heavy[term]
+    dense = np.zeros((n, index.heavy_rows.shape[1]), np.float32)
+    dense[doc[column >= 0], column[column >= 0]] = value[column >= 0]
+    light = column < 0
+    doc, term, value = doc[light], term[light], value[light]
+    count = index.first_entry[term + 1] - index.first_entry[term]
+    entry = gather(index.first_entry[term], count)
+    doc, value, block = np.repeat(doc, count), np.repeat(value, count), index.entry_block[entry]
+    tile = doc * blocks + block
+    bound = np.bincount(tile, value * index.entry_max[entry], n * blocks).astype(float).reshape(n, blocks)
+    bound += np.sqrt((dense.astype(float) ** 2).sum(axis=1))[:, None] * index.heavy_max + SLACK
+
+    def score(wanted: np.ndarray) -> Vectors:
+        """Exact cosines of NEAR or more in the wanted blocks of each text."""
+        tiles = np.flatnonzero(wanted)
+        number = np.full(n * blocks, -1, np.int64)
+        number[tiles] = np.arange(len(tiles))
+        here = np.flatnonzero(number[tile] >= 0)
+        e = entry[here]
+        size = index.first_posting[e + 1] - index.first_posting[e]
+        at = gather(index.first_posting[e], size)
+        spot = np.repeat(number[tile[here]], size) * BLOCK + index.posting_row[at] % BLOCK
+        total = np.bincount(spot, np.repeat(value[here], size) * index.posting_weight[at], len(tiles) * BLOCK).astype(float).reshape(-1, BLOCK)
+        of, in_block = tiles // blocks, tiles % blocks
+        for b in np.unique(in_block).tolist():
+            rows = index.heavy_rows[b * BLOCK : (b + 1) * BLOCK]
+            mine = in_block == b
+            total[mine, : len(rows)] += dense[of[mine]] @ rows.T
+        t, i = np.nonzero(total >= NEAR - SLACK)
+        found = of[t], in_block[t] * BLOCK + i, total[t, i]
+        if but is None:
+            return found
+        other = found[1] != but[found[0]]
+        return tuple(x[other] for x in found)
+
+    def least(found: Vectors) -> np.ndarray:
+        """The least cosine that counts for each text, by what has been found."""
+        by = np.lexsort((-found[2], found[0]))
+        sizes = np.bincount(found[0], minlength=n)
+        out = np.full(n, NEAR)
+        full = sizes >= k
+        out[full] = np.maximum(NEAR, found[2][by][starts_of(sizes)[full] + k - 1] - TIE)
+        return out
+
+    seeds = np.zeros((n, blocks), bool)
+    few = min(SEEDS, blocks)
+    np.put_along_axis(seeds, np.argpartition(-bound, few - 1, axis=1)[:, :few], True, axis=1)
+    found = score(seeds & (bound >= NEAR))
+    rest = score(~seeds & (bound >= least(found)[:, None]))
+    found = tuple(np.concatenate(x) for x in zip(found, rest))
+    near = found[2] >= least(found)[found[0]] - SLACK
+    found = tuple(x[near] for x in found)
+    by = np.lexsort((found[1], -np.round(found[2], 6), found[0]))
+    return tuple(x[by] for x in found)
+
+
+def _votes(index: ToxicIndex, found: Vectors, n: int) -> np.ndarray:
+    """Share of toxic neighbours by squared cosine, as a logarithm of odds with a quarter of a vote each way; nan without any."""
+    doc, row, cosine = found
+    weight = cosine**2 * index.weights[row] / max(1e-9, index.weights.mean()) if len(row) else cosine
+    total = np.bincount(doc, weight, minlength=n)
+    toxic = np.bincount(doc, weight * (index.labels[row] == 1), minlength=n)
+    return np.where(np.bincount(doc, minlength=n) > 0, np.log((toxic + 0.25) / (total - toxic + 0.25)), np.nan)
+
+
+def _parts(vectors: Vectors, n: int) -> Iterator[tuple[int, int, Vectors]]:
+    """Texts in groups of TOGETHER: first, last, and vectors with texts counted from the first."""
+    for a in range(0, n, TOGETHER):
+        b = min(n, a + TOGETHER)
+        lo, hi = np.searchsorted(vectors[0], [a, b])
+        yield a, b, (vectors[0][lo:hi] - a, vectors[1][lo:hi], vectors[2][lo:hi])
+
+
+def _calibrate(index: ToxicIndex, vectors: Vectors) -> None:
+    """Slope and shift of the vote by logistic regression on examples, each without itself, and the share without neighbours.
+
+    CALIBRATED of them at equal steps are enough for three numbers.
     """
-    if len(signatures) < 20 or len(set(index.labels.tolist())) < 2:
-        return 1.0, 0.0
-    some = np.unique(np.linspace(0, len(signatures) - 1, min(CALIBRATED, len(signatures))).astype(np.int64))
-    x = np.array([_vote(index, *nearest(index, signatures[i], but=i)) for i in some.tolist()])
-    y, w = index.labels[some], index.weights[some] / index.weights[some].mean()
+    n = len(index.labels)
+    some = np.unique(np.linspace(0, n - 1, min(CALIBRATED, n)).astype(np.int64)) if n else np.zeros(0, np.int64)
+    row, term, value = vectors
+    number = np.full(n, -1, np.int64)
+    number[some] = np.arange(len(some))
+    own = number[row] >= 0
+    chosen = number[row[own]], term[own], value[own]
+    x = np.full(len(some), np.nan)
+    for a, b, part in _parts(chosen, len(some)):
+        x[a:b] = _votes(index, neighbours(index, part, b - a, but=some[a:b]), b - a)
+    y, w = index.labels[some], index.weights[some]
+    bare = np.isnan(x)
+    index.without = float((w[bare & (y == 1)].sum() + 0.5) / (w[bare].sum() + 5))
+    x, y, w = x[~bare], y[~bare], w[~bare]
+    if len(x) < 20 or len(set(y.tolist())) < 2:
+        return
+    w = w / w.mean()
     slope, shift = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-(slope * x + shift)))
@@ -253,7 +350,26 @@ def _calibrate(index: ToxicIndex, signatures: list) -> tuple[float, float]:
         slope, shift = slope - float(step[0]), shift - float(step[1])
         if np.abs(step).max() < 1e-8:
             break
-    return (slope, shift) if slope > 0 else (1.0, 0.0)
+    if slope > 0:
+        index.slope, index.shift = slope, shift
+
+
+def judge(index: ToxicIndex, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of every text: the probability, the number of terms that speak for toxicity, and the nearest three examples."""
+    n = len(texts)
+    vectors = text_vectors(texts, index.terms, index.weight, index.unknown)
+    score, names = np.full(n, index.without), [""] * n
+    for a, b, part in _parts(vectors, n) if len(index.labels) else ():
+        found = neighbours(index, part, b - a)
+        vote = _votes(index, found, b - a)
+        voted = ~np.isnan(vote)
+        score[a:b][voted] = 1 / (1 + np.exp(-(index.slope * vote[voted] + index.shift)))
+        first = np.searchsorted(found[0], np.arange(b - a))
+        last = np.searchsorted(found[0], np.arange(b - a), side="right")
+        for i, (x, y) in enumerate(zip(first.tolist(), last.tolist()), a):
+            names[i] = ",".join(str(k) for k in index.ids[found[1][x : min(y, x + 3)]])
+    loud = np.bincount(vectors[0][index.signal[vectors[1]]], minlength=n) if len(index.signal) else np.zeros(n, np.int64)
+    return score, loud, names
 
 
 def score(df: DataFrame, doc_id: str, text: str, index: ToxicIndex, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -266,28 +382,10 @@ def score(df: DataFrame, doc_id: str, text: str, index: ToxicIndex, threshold: f
 
     def make():
         index = ToxicIndex(**shared.value)
-        known: dict[tuple, tuple[float, list[str]]] = {(): (index.without, [])}
-
-        def judge(signature):
-            if len(known) > CACHE_VECTORS:
-                known.clear()
-                known[()] = index.without, []
-            if signature not in known:
-                row, cosine = nearest(index, signature)
-                value = 1 / (1 + np.exp(-(index.slope * _vote(index, row, cosine) + index.shift)))
-                known[signature] = float(value), [str(i) for i in index.ids[row[:3]]]
-            return known[signature]
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            signatures = _term_counts(batch.column(batch.num_columns - 1), index.terms)
-            results = [judge(s) for s in signatures]
-            value = np.array([r[0] for r in results])
-            arrays = [
-                pa.array(value),
-                pa.array((value >= threshold).astype(np.int32)),
-                pa.array([len(s) for s in signatures], pa.int32()),
-                pa.array([",".join(r[1]) for r in results]),
-            ]
+            value, loud, names = judge(index, batch.column(batch.num_columns - 1))
+            arrays = [pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(loud.astype(np.int32)), pa.array(names, pa.string())]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             return pa.RecordBatch.from_arrays([*kept, *arrays], names=[*batch.schema.names[:-1], *made])
 

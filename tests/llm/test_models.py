@@ -1,6 +1,7 @@
 """Toxicity and quality: exact neighbours, calibrated scores, odd rows."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -48,27 +49,76 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), "doc_id", "text", index).count() == 0
 
 
-def test_neighbours_are_exact(spark):
-    """Against cosines with all examples; ties with the last are in."""
-    rng = random.Random(3)
-    terms = {f"t{i}": i for i in range(12)}
-    idf = np.array([1 + rng.random() for _ in terms])
-    signature = lambda: tuple((t, rng.randrange(1, 4)) for t in sorted(rng.sample(range(12), rng.randrange(1, 5))))
-    examples = sorted(((i, rng.randrange(2), signature()) for i in range(900)), key=lambda e: [-t for t, _ in e[2]])
-    index = toxicity._build(examples, terms, idf, {0: 450, 1: 450})
-    dense = np.zeros((900, 12))
-    for row, (_, _, s) in enumerate(examples):
-        t, w = toxicity._vector(s, idf)
-        dense[row, t] = w
-    for _ in range(100):
-        s = signature()
-        t, w = toxicity._vector(s, idf)
-        cosine = dense[:, t] @ w
-        row, value = toxicity.nearest(index, s, 15)
-        least = np.sort(cosine)[-15]
-        want = np.flatnonzero((cosine >= least - 1e-9) & (cosine > 0))
-        assert sorted(row.tolist()) == want.tolist() and np.allclose(value, cosine[row])
-        assert np.all(np.diff(np.round(value, 9)) <= 0)
+def dense_vectors(texts, terms, weight, unknown):
+    """TF-IDF rows of length 1 over the known terms, word by word."""
+    import math
+    import re
+    from collections import Counter
+
+    out = np.zeros((len(texts), len(terms)))
+    for i, text in enumerate(texts):
+        own = Counter(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        raw = {w: (1 + math.log(c)) * (weight[terms[w]] if w in terms else unknown) for w, c in own.items()}
+        length = math.sqrt(sum(v * v for v in raw.values()))
+        for w, v in raw.items():
+            if w in terms:
+                out[i, terms[w]] = v / length
+    return out
+
+
+def real_texts():
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    return pq.read_table(path).column("text").to_pylist() if Path(path).exists() else [words(random.Random(3), 80) for _ in range(200)]
+
+
+@pytest.mark.parametrize("near,dull", [(0.5, 0.005), (0.1, 1.0), (0.02, 0.3)])
+def test_neighbours_are_those_of_all_cosines(monkeypatch, near, dull):
+    """On whole texts: postings, dense rows and bounds together give what comparing with every example gives."""
+    monkeypatch.setattr(toxicity, "NEAR", near)
+    rng = np.random.default_rng(4)
+    texts = real_texts()
+    texts = [*texts, *texts[:40], "", None]
+    examples, queries = texts[20:], texts
+    names = sorted({w for t in examples for w in toxicity.letter_words(pa.array([t or ""]))[1].to_pylist()})
+    terms = {w: i for i, w in enumerate(names)}
+    signal = rng.random(len(names)) < 0.02
+    weight = rng.uniform(1, 8, len(names)) * np.where(signal, 1, dull)
+    vectors = toxicity.text_vectors(pa.array([t or "" for t in examples]), terms, weight, 9 * dull)
+    labels = rng.integers(0, 2, len(examples))
+    index = toxicity.build(list(range(len(examples))), labels, vectors, terms, weight, 9 * dull, signal, {0: 450, 1: 450})
+    assert index.heavy_rows.shape[1] > 0 and len(index.posting_row) > 0 and 0 <= index.without <= 1
+    cosine = dense_vectors(queries, terms, weight, 9 * dull) @ dense_vectors([examples[i] for i in index.ids], terms, weight, 9 * dull).T
+    got = toxicity.neighbours(index, toxicity.text_vectors(pa.array([t or "" for t in queries]), terms, weight, 9 * dull), len(queries))
+    some = 0
+    for i in range(len(queries)):
+        row, value = got[1][got[0] == i], got[2][got[0] == i]
+        least = max(near, np.sort(cosine[i])[-toxicity.NEIGHBOURS] - toxicity.TIE)
+        assert set(np.flatnonzero(cosine[i] >= least + 1e-4)) <= set(row.tolist()) <= set(np.flatnonzero(cosine[i] >= least - 1e-4))
+        assert np.allclose(value, cosine[i, row], atol=1e-5) and np.all(np.diff(np.round(value, 5)) <= 1e-5)
+        some += len(row)
+    assert some > len(queries)
+
+
+def test_rare_toxic_words_and_copies(spark):
+    """Words that speak for toxicity count beyond the first 128, and copies of examples whatever their words are."""
+    rng = random.Random(9)
+    kinds = [f"bad{''.join(chr(97 + int(c)) for c in str(i))}x" for i in range(200)]
+    rows = []
+    for i in range(4600):
+        toxic = i < 1600
+        text = words(rng, 40) + (f" {kinds[i % 200]} {kinds[i % 200]}" if toxic else "")
+        rows.append((i, text, int(toxic)))
+    plain = [(5000 + i, f"{words(rng, 30)} zq{chr(97 + i)}only zq{chr(97 + i)}once", 1) for i in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows + plain] + [(2000 + i, t) for i, t, _ in plain] + [(8000 + k, words(rng, 200) + " " + w) for k, w in enumerate(kinds)] + [(9000 + k, words(rng, 60)) for k in range(100)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, y) for i, _, y in rows + plain], "doc_id long, toxic long")
+    index = toxicity.fit(docs, labelled, "doc_id", "text", "toxic")
+    assert index.signal.sum() > 128
+    out = {r.doc_id: r for r in toxicity.score(docs, "doc_id", "text", index).collect()}
+    assert sum(out[8000 + k].predicted for k in range(200)) >= 198
+    assert all(out[7000 + i].n_terms == 0 and out[7000 + i].predicted == 1 for i in range(20))
+    assert sum(out[9000 + k].predicted for k in range(100)) <= 2
 
 
 def test_nothing_to_learn_from(spark):
