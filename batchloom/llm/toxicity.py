@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ HEAVY = 10
 THRESHOLD = 0.3
 #: Examples that the votes are calibrated on.
 CALIBRATED = 1000
-#: Texts that are compared with the index at a time, and blocks of each that are scored first.
-TOGETHER, SEEDS = 256, 2
+#: Texts, and their postings, that are compared with the index at a time, and blocks of each that are scored first.
+TOGETHER, POSTINGS, SEEDS = 256, 1 << 20, 2
 #: Of bounds against rounding.
 SLACK = 1e-5
 
@@ -185,10 +186,12 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str
 
     kind = sample.schema["key"].dataType.simpleString()
     rows = map_texts(sample.select("key", "label", "text"), "text", make, f"key {kind}, label long, terms array<long>, values array<double>").orderBy("key").toArrow()
-    sizes = np.array([len(x) for x in rows.column("terms")], np.int64)
+    sizes = pc.list_value_length(rows.column("terms")).to_numpy().astype(np.int64)
     flat = [rows.column(c).combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0) for c in ("terms", "values")]
     vectors = np.repeat(np.arange(len(sizes)), sizes), flat[0].astype(np.int64), flat[1]
-    return build(rows.column("key").to_pylist(), rows.column("label").to_numpy(), vectors, terms, weight, unknown, signal, all_counts)
+    ids, labels_of = rows.column("key").to_pylist(), rows.column("label").to_numpy()
+    del rows, flat, words, bad, good, frequency
+    return build(ids, labels_of, vectors, terms, weight, unknown, signal, all_counts)
 
 
 def build(
@@ -202,6 +205,7 @@ def build(
     rank = np.arange(len(by)) - starts_of(np.bincount(row, minlength=n))[row[by]]
     lead = np.full((n, 6), -1, np.int64)
     lead[row[by][rank < 6], rank[rank < 6]] = term[by][rank < 6]
+    del by, rank
     order = np.lexsort(lead.T[::-1]) if n else np.zeros(0, np.int64)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
@@ -227,14 +231,18 @@ def build(
     key = term[light] * blocks + row[light] // BLOCK
     first = np.flatnonzero(np.diff(key, prepend=-1))
     peak = np.maximum.reduceat(value[light], first) if len(first) else np.zeros(0)
+    del at
     index = ToxicIndex(
         terms, weight, float(unknown), signal, np.array(ids, dtype=object)[order], labels, np.array([share[c] for c in labels.tolist()]),
         heavy, dense, longest,
         np.searchsorted(key[first], np.arange(width + 1) * blocks), key[first] % blocks, peak,
-        np.append(first, len(light)), row[light], value[light],
+        np.append(first, len(light)), row[light].astype(np.int32), value[light],
     )
+    del key, light, first, peak
     by = np.argsort(row, kind="stable")
-    _calibrate(index, (row[by], term[by], value[by]))
+    row, term, value = row[by], term[by], value[by]
+    del by
+    _calibrate(index, (row, term, value))
     return index
 
 
@@ -310,12 +318,17 @@ def _votes(index: ToxicIndex, found: Vectors, n: int) -> np.ndarray:
     return np.where(np.bincount(doc, minlength=n) > 0, np.log((toxic + 0.25) / (total - toxic + 0.25)), np.nan)
 
 
-def _parts(vectors: Vectors, n: int) -> Iterator[tuple[int, int, Vectors]]:
-    """Texts in groups of TOGETHER: first, last, and vectors with texts counted from the first."""
-    for a in range(0, n, TOGETHER):
-        b = min(n, a + TOGETHER)
-        lo, hi = np.searchsorted(vectors[0], [a, b])
-        yield a, b, (vectors[0][lo:hi] - a, vectors[1][lo:hi], vectors[2][lo:hi])
+def _parts(index: ToxicIndex, vectors: Vectors, n: int) -> Iterator[tuple[int, int, Vectors]]:
+    """Texts in groups of up to TOGETHER and about POSTINGS: first, last, and vectors with texts counted from the first."""
+    doc, term, _ = vectors
+    postings = index.first_posting[index.first_entry[term + 1]] - index.first_posting[index.first_entry[term]]
+    upto = np.cumsum(np.bincount(doc, postings, minlength=n))
+    a = 0
+    while a < n:
+        b = min(n, a + TOGETHER, max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + POSTINGS, side="right"))))
+        lo, hi = np.searchsorted(doc, [a, b])
+        yield a, b, (doc[lo:hi] - a, term[lo:hi], vectors[2][lo:hi])
+        a = b
 
 
 def _calibrate(index: ToxicIndex, vectors: Vectors) -> None:
@@ -331,7 +344,7 @@ def _calibrate(index: ToxicIndex, vectors: Vectors) -> None:
     own = number[row] >= 0
     chosen = number[row[own]], term[own], value[own]
     x = np.full(len(some), np.nan)
-    for a, b, part in _parts(chosen, len(some)):
+    for a, b, part in _parts(index, chosen, len(some)):
         x[a:b] = _votes(index, neighbours(index, part, b - a, but=some[a:b]), b - a)
     y, w = index.labels[some], index.weights[some]
     bare = np.isnan(x)
@@ -359,7 +372,7 @@ def judge(index: ToxicIndex, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, l
     n = len(texts)
     vectors = text_vectors(texts, index.terms, index.weight, index.unknown)
     score, names = np.full(n, index.without), [""] * n
-    for a, b, part in _parts(vectors, n) if len(index.labels) else ():
+    for a, b, part in _parts(index, vectors, n) if len(index.labels) else ():
         found = neighbours(index, part, b - a)
         vote = _votes(index, found, b - a)
         voted = ~np.isnan(vote)
