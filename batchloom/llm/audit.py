@@ -17,20 +17,14 @@ table has no parts, so no rows. Columns are read by name; ``documents`` and ``la
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from itertools import permutations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.llm.sketch import sketch, with_maybe
 from batchloom.session import materialize
 
-#: Cells for each document, cells of a chunk (a row of the sketch), and the most chunks.
-CELLS, CHUNK, MAX_CHUNKS = 16, 1 << 13, 1 << 16
-#: Partial counts that a task gathers before it passes them on.
-BATCH_CELLS = 1 << 21
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -47,71 +41,6 @@ def text_filters(text: Column) -> dict[str, Column]:
     }
 
 
-def _cells(h: Column, chunks: int) -> tuple[Column, Column, Column]:
-    """The chunk of a text and its two cells in it, from a hash of the text."""
-    place = F.pmod(F.shiftrightunsigned(h, 26), F.lit(chunks)).cast("int")
-    return place, h.bitwiseAND(CHUNK - 1).cast("int"), F.shiftrightunsigned(h, 13).bitwiseAND(CHUNK - 1).cast("int")
-
-
-def _partial_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, cells that were met, cells that were met twice) of what a task has read, as 16-bit numbers."""
-    held: list[np.ndarray] = []
-
-    def flush() -> pa.RecordBatch:
-        cell, times = np.unique(np.concatenate(held), return_counts=True)
-        chunk, first = np.unique(cell // CHUNK, return_index=True)
-        parts = [x.astype(np.uint16) for x in np.split(cell % CHUNK, first[1:])]
-        twice = [p[t >= 2] for p, t in zip(parts, np.split(times, first[1:]))]
-        binary = [pa.array([x.tobytes() for x in y], pa.binary()) for y in (parts, twice)]
-        return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), *binary], names=["chunk", "once", "twice"])
-
-    for batch in batches:
-        chunk, a, b = (c.to_numpy().astype(np.int64) for c in batch.columns)
-        held += [chunk * CHUNK + a, (chunk * CHUNK + b)[a != b]]
-        if sum(map(len, held)) >= BATCH_CELLS:
-            yield flush()
-            held.clear()
-    if sum(map(len, held)):
-        yield flush()
-
-
-def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts in order of chunks as one row of bits for each: was a cell met twice or more?"""
-    now, counts = None, np.zeros(CHUNK, np.uint8)
-
-    def row() -> pa.RecordBatch:
-        words = np.packbits(counts >= 2, bitorder="little").view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([words], pa.list_(pa.int64()))], names=["chunk", "bits"])
-
-    for batch in batches:
-        for chunk, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
-            if chunk != now:
-                if now is not None:
-                    yield row()
-                now, counts = chunk, np.zeros(CHUNK, np.uint8)
-            for cells in (once, twice):
-                at = np.frombuffer(cells, np.uint16)
-                counts[at] = np.minimum(counts[at] + 1, 2)
-    if now is not None:
-        yield row()
-
-
-def sketch(hashes: DataFrame, h: str, rows: int) -> tuple[DataFrame, int]:
-    """The merged sketch of the texts with these hashes, (chunk, bits), and its number of chunks."""
-    chunks = min(MAX_CHUNKS, max(1, -(-rows * CELLS // CHUNK)))
-    partial = hashes.select(*_cells(F.col(h), chunks)).mapInArrow(_partial_counts, "chunk int, once binary, twice binary")
-    merged = partial.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merge, "chunk int, bits array<bigint>")
-    return materialize(merged, "sketch"), chunks
-
-
-def _maybe_repeated(df: DataFrame, h: str, merged: DataFrame, chunks: int) -> DataFrame:
-    """``df`` with ``maybe``: false if the text is in no other row."""
-    chunk, a, b = _cells(F.col(h), chunks)
-    bits = F.broadcast(merged.select(F.col("chunk").alias("sketch chunk"), F.col("bits").alias("sketch bits")))
-    met = lambda cell: F.getbit(F.col("sketch bits")[F.shiftright(cell, 6)], cell.bitwiseAND(63)) == 1
-    return df.join(bits, chunk == F.col("sketch chunk")).withColumn("maybe", met(a) & met(b)).drop("sketch chunk", "sketch bits")
-
-
 def masks(documents: DataFrame, doc_id: str, text: str, part: str, conditions: dict[str, Column] | None = None) -> DataFrame:
     """(id, part, mask) of every document: bit i of the mask for failure condition i, the last bit for repeats.
 
@@ -124,11 +53,11 @@ def masks(documents: DataFrame, doc_id: str, text: str, part: str, conditions: d
     for bit, failed in enumerate(conditions.values()):
         own = own + F.when(failed, 1 << bit).otherwise(0)
     rows = materialize(docs.select("id", "part", own.alias("mask"), *hashes), "flags")
-    merged, chunks = sketch(rows, "h", rows.count())
-    texts = _maybe_repeated(docs.where(F.col("id").isNotNull()).select("id", "text", hashes[0]), "h", merged, chunks)
+    merged, chunks = sketch(rows, "h", rows.count(), 2)
+    texts = with_maybe(docs.where(F.col("id").isNotNull()).select("id", "text", hashes[0]), "h", merged, chunks)
     least = texts.where("maybe").groupBy("text").agg(F.min("id").alias("first"))
     least = least.select(F.col("first"), F.xxhash64("text").alias("first h"), F.xxhash64(F.lit("again"), "text").alias("first g"))
-    marked = _maybe_repeated(rows, "h", merged, chunks)
+    marked = with_maybe(rows, "h", merged, chunks)
     same = (F.col("id") == F.col("first")) & (F.col("h") == F.col("first h")) & (F.col("g") == F.col("first g"))
     repeated = F.col("maybe") & F.col("id").isNotNull() & F.col("first").isNull()
     bit = 1 << len(conditions)

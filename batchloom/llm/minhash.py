@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from batchloom.llm.common import code_words, hash_strings, map_texts, mix64, slices, starts_of
 from batchloom.llm.components import connected_components
+from batchloom.llm.sketch import sketch, with_maybe
 from batchloom.session import materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -282,6 +283,14 @@ def _open_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with these ids. A Bloom sketch of the ids keeps the other texts from travelling."""
+    wanted = materialize(ids, "wanted")
+    merged, chunks = sketch(wanted.select(F.xxhash64("id").alias("h")), "h", wanted.count(), 1)
+    near = with_maybe(docs.withColumn("h", F.xxhash64("id")), "h", merged, chunks).where("maybe")
+    return near.select("id", "text").join(wanted, "id", "left_semi")
+
+
 def near_duplicates(df: DataFrame, doc_id: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Classes of near-duplicates, and the verified links between different texts.
 
@@ -308,8 +317,7 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     star = buckets.drop("m").join(leaders, ["band", "key"])
     star = star.select(F.col("l.id").alias("a"), F.col("id").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
     star = materialize(star.where(F.col("a") != F.col("b")).where(sizes[0] & sizes[1]).select("a", "b").distinct(), "pairs")
-    # Only texts in a bucket with another one travel.
-    texts = materialize(docs.join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = materialize(_texts_of(docs, buckets.select("id").distinct()), "texts")
     links = _links(materialize(_compared(star, texts, threshold), "compared"))
     found = materialize(connected_components(links, "a", "b"), "components")
 

@@ -5,7 +5,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.llm import audit
+from batchloom.llm import audit, sketch
 
 DOCS = "doc_id long, text string, lang string, id long, part string, mask int"
 LABELS = "doc_id long, quality int, toxic int, id int"
@@ -79,12 +79,22 @@ def test_empty_tables(spark):
 
 @pytest.mark.parametrize("chunks", [1, 3])
 def test_only_possible_repeats_are_left(spark, monkeypatch, chunks):
-    monkeypatch.setattr(audit, "MAX_CHUNKS", chunks)
+    monkeypatch.setattr(sketch, "MAX_CHUNKS", chunks)
     texts = [f"text {i % 700}" for i in range(1000)] + ["hot"] * 500
     df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(6).withColumn("h", F.xxhash64("t"))
-    merged, n = audit.sketch(df, "h", len(texts))
+    merged, n = sketch.sketch(df, "h", len(texts), 2)
     assert n <= chunks
-    rows = audit._maybe_repeated(df, "h", merged, n).collect()
+    rows = sketch.with_maybe(df, "h", merged, n).collect()
     seen = Counter(texts)
     assert len(rows) == 1500 and all(r.maybe for r in rows if seen[r.t] > 1)
     assert sum(not r.maybe for r in rows) > (300 if chunks == 3 else 100)
+
+
+def test_a_set_loses_no_member(spark):
+    ids = spark.range(3000).select((F.col("id") * 7).alias("id"))
+    merged, n = sketch.sketch(ids.select(F.xxhash64("id").alias("h")), "h", 3000, 1)
+    rows = sketch.with_maybe(spark.range(42000).withColumn("h", F.xxhash64("id")), "h", merged, n).collect()
+    assert len(rows) == 42000 and all(r.maybe for r in rows if r.id % 7 == 0 and r.id < 21000)
+    assert sum(r.maybe for r in rows) < 3000 + 0.1 * 39000
+    merged, n = sketch.sketch(ids.limit(0).select(F.xxhash64("id").alias("h")), "h", 0, 1)
+    assert not any(r.maybe for r in sketch.with_maybe(spark.range(9).withColumn("h", F.xxhash64("id")), "h", merged, n).collect())
