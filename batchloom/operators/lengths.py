@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.operators.ordinal import ID_BITS, with_ordinal
+
 
 def field_length(df: DataFrame, field: str) -> Column:
     """Tokens of one field, from its stored length column if the table has one."""
@@ -52,8 +54,6 @@ def lengths_of(
     )
 
 
-def sort_by_length(lengths: DataFrame) -> DataFrame:
+def sort_by_length(lengths: DataFrame, id_bits: int = ID_BITS) -> DataFrame:
     """(seq_id, len, rank): stable ascending order of length, as 0-based positions."""
-    from batchloom.operators.ordinal import with_ordinal
-
-    return with_ordinal(lengths.select("seq_id", "len"), key="len", seq="seq_id", out="rank")
+    return with_ordinal(lengths.select("seq_id", "len"), key="len", seq="seq_id", out="rank", id_bits=id_bits)

@@ -5,13 +5,15 @@ without partitions would give it, but moves every record through one task. Here
 sum of exclusive prefix sums over a fixed hierarchy of the order ``(key, seq)``::
 
     key                    records with a smaller key              (one row per distinct key)
-    key, seq >> 36         earlier super-blocks of the same key
+    key, seq >> 54         earlier ranges of the same key          (at most 2^9 of them)
+    key, seq >> 36         earlier super-blocks of the same range  (at most 2^18 of them)
     key, seq >> 18         earlier blocks of the same super-block  (at most 2^18 of them)
     key, seq               earlier records of the same block       (at most 2^18 of them)
 
-Every window partition is bounded by the id arithmetic and not by the data: a key that holds a third
-of all records (typically the maximum length, after truncation) is spread over its blocks like any
-other. Only aggregates of blocks travel upwards, only their offsets travel back, and every join is
+Every window partition is bounded by the id arithmetic and not by the data, for any ids: a key that holds a
+third of all records (typically the maximum length, after truncation) is spread over its blocks like any
+other, whether its ids are counters or hashes. Ids that are known to be small need fewer levels (``id_bits``).
+Only aggregates of blocks travel upwards, only their offsets travel back, and every join is
 on a key that is unique on the aggregate side and bounded on the other.
 
 A group of rows is named by its first id at every level, so that the level tables all have the
@@ -27,7 +29,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 18
+# Bits of an id that a level takes, and all bits that an id has.
+BLOCK_BITS, ID_BITS = 18, 63
 
 
 def _sum_before(value: str, *, partition: Sequence[str], order: Sequence[str]) -> str:
@@ -52,6 +55,7 @@ def with_ordinal(
     out: str = "ordinal",
     per_key: Callable[[DataFrame], DataFrame] | None = None,
     block_bits: int = BLOCK_BITS,
+    id_bits: int = ID_BITS,
 ) -> DataFrame:
     """Add ``out``, the sum of ``weight`` over all rows before a row in the order ``(key, seq)``.
 
@@ -61,22 +65,31 @@ def with_ordinal(
 
     ``per_key`` may extend the key table ``(key, n, base)`` (rows, first position) with columns
     that then arrive on every record; it needs a ``key``.
+
+    ``id_bits`` says that all ids are below ``2^id_bits``; a larger one is an error. Counters of up to 36 bits
+    take a single level.
     """
     keys = [key] if key else []
+    levels = max(1, -(-id_bits // BLOCK_BITS) - 1)
+    first = never_null(seq)
+    if id_bits < ID_BITS:
+        beyond = f"cast(raise_error('{seq} has more than {id_bits} bits') AS bigint)"
+        first = f"if({first} < {1 << id_bits}L, {first}, coalesce({beyond}, 0L))"
     if weight is not None:
         df = df.withColumn("__weight", weight)
     records = df.selectExpr(
         *[f"{never_null(k)} AS {k}" for k in keys],
-        f"{never_null(seq)} AS __first",
+        f"{first} AS __first",
         *carry,
         f"{'1L' if weight is None else 'cast(__weight AS bigint)'} AS __n",
     )
     digest = f"xxhash64({', '.join(carry)})" if carry else "0L"
-    widths = [block_bits, 2 * block_bits]
+    widths = [block_bits * (i + 1) for i in range(levels)]
     level, before = _level(records, keys, widths[0], carry=carry, digest=digest)
     befores = [before]
-    level, before = _level(level, keys, widths[1])
-    befores.append(before)
+    for bits in widths[1:]:
+        level, before = _level(level, keys, bits)
+        befores.append(before)
 
     kept: list[str] = []
     order = ["__first", "__digest"]
@@ -91,7 +104,7 @@ def with_ordinal(
             kept = [c for c in table.columns if c not in (key, "n", "base")]
         offsets = table.selectExpr(key, "base AS __base", *kept)
     else:
-        # One row per super-block is left, 2^36 ids each.
+        # One row per group of the last level is left: 2^18 at most.
         group = f"shiftright(__first, {widths.pop()})"
         base = _sum_before("__n", partition=[], order=order)
         offsets = level.selectExpr(f"{group} AS __group", f"{base} AS __base")

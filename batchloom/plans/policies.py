@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.operators.ordinal import random_ordinal, with_ordinal
+from batchloom.operators.ordinal import ID_BITS, random_ordinal, with_ordinal
 from batchloom.plans.fold import attach_capacity_runs, attach_difference_runs, batch_of
 
 # Policy names as they appear in job configurations.
@@ -22,6 +22,10 @@ POLICIES = (FIXED, CAPACITY, DIFFERENCE, MAX_LENGTH)
 ORDERS = ("none", "bs_asc", "bs_desc", "pc_asc", "pc_desc", "rc_asc", "rc_desc", "random")
 
 
+# Batches are counted, and there are fewer than 2^54 of them.
+BATCH_BITS = 54
+
+
 @dataclass(frozen=True)
 class BatchPlan:
     """Which record goes where.
@@ -116,7 +120,7 @@ def order_batches(batches: DataFrame, order: str = "none", seed: int = 0) -> Dat
     measure = "n_records" if order.startswith("rc") else "padded_tokens"
     sign = "-" if order.endswith("desc") else ""
     keyed = batches.selectExpr("batch_id", *body, f"{sign}{measure} AS __key")
-    out = with_ordinal(keyed, key="__key", seq="batch_id", carry=body, out="plan_pos")
+    out = with_ordinal(keyed, key="__key", seq="batch_id", carry=body, out="plan_pos", id_bits=BATCH_BITS)
     return out.select(*_BATCH_COLUMNS)
 
 
@@ -135,18 +139,21 @@ def _lengths(df: DataFrame) -> DataFrame:
     return df.selectExpr("seq_id", "len", "row_len" if "row_len" in df.columns else "len AS row_len")
 
 
-def plan_fixed(lengths: DataFrame, batch_size: int, smart: bool = True) -> BatchPlan:
-    """Slices of ``batch_size`` records, in input order or (``smart``) in ascending length."""
+def plan_fixed(lengths: DataFrame, batch_size: int, smart: bool = True, id_bits: int = ID_BITS) -> BatchPlan:
+    """Slices of ``batch_size`` records, in input order or (``smart``) in ascending length.
+
+    Here and below, ``id_bits`` says that record ids are below ``2^id_bits`` (``with_ordinal``).
+    """
     _at_least_one(batch_size=batch_size)
     if smart:
-        ranked = _by_length(lengths)
+        ranked = _by_length(lengths, id_bits)
     else:
-        ranked = with_ordinal(_lengths(lengths), seq="seq_id", carry=["len", "row_len"])
+        ranked = with_ordinal(_lengths(lengths), seq="seq_id", carry=["len", "row_len"], id_bits=id_bits)
     assignment = _assignment(ranked, f"ordinal div {batch_size}", f"ordinal % {batch_size}")
     return _plan(FIXED, {"batch_size": batch_size, "smart": smart}, assignment)
 
 
-def _by_length(lengths: DataFrame, per_key=None) -> DataFrame:
+def _by_length(lengths: DataFrame, id_bits: int, per_key=None) -> DataFrame:
     """Records ranked by (len, seq_id), carrying a row length of its own only if there is one."""
     own_row = "row_len" in lengths.columns
     ranked = with_ordinal(
@@ -155,27 +162,32 @@ def _by_length(lengths: DataFrame, per_key=None) -> DataFrame:
         seq="seq_id",
         carry=["row_len"] if own_row else [],
         per_key=per_key,
+        id_bits=id_bits,
     )
     return ranked if own_row else ranked.selectExpr("*", "len AS row_len")
 
 
-def plan_capacity(lengths: DataFrame, limit: int, order: str = "none", seed: int = 0) -> BatchPlan:
+def plan_capacity(
+    lengths: DataFrame, limit: int, order: str = "none", seed: int = 0, id_bits: int = ID_BITS
+) -> BatchPlan:
     """As many records per batch as ``records * longest <= limit`` allows, in ascending length.
 
     A record longer than the limit becomes a batch of its own.
     """
     _at_least_one(limit=limit)
-    ranked = _by_length(lengths, attach_capacity_runs(limit))
+    ranked = _by_length(lengths, id_bits, attach_capacity_runs(limit))
     knobs = {"limit": limit, "order": order, "seed": seed}
     return _plan(CAPACITY, knobs, _assignment(ranked, *batch_of()))
 
 
-def plan_difference(lengths: DataFrame, max_token_diff: int, max_plan_size: int) -> BatchPlan:
+def plan_difference(
+    lengths: DataFrame, max_token_diff: int, max_plan_size: int, id_bits: int = ID_BITS
+) -> BatchPlan:
     """Batches of at most ``max_plan_size`` records whose lengths differ by ``max_token_diff``."""
     _at_least_one(max_plan_size=max_plan_size)
     if max_token_diff < 0:
         raise ValueError("max_token_diff must not be negative")
-    ranked = _by_length(lengths, attach_difference_runs(max_token_diff, max_plan_size))
+    ranked = _by_length(lengths, id_bits, attach_difference_runs(max_token_diff, max_plan_size))
     knobs = {"max_token_diff": max_token_diff, "max_plan_size": max_plan_size}
     return _plan(DIFFERENCE, knobs, _assignment(ranked, *batch_of()))
 
@@ -186,6 +198,7 @@ def plan_max_length(
     batch_size: int,
     smart: bool = False,
     key: str | None = None,
+    id_bits: int = ID_BITS,
 ) -> BatchPlan:
     """Records over ``max_field_length`` are cut into chunks; ``batch_size`` chunks per batch.
 
@@ -202,6 +215,7 @@ def plan_max_length(
         seq="seq_id",
         carry=["row_len"] if smart else ["len", "row_len"],
         weight=F.expr(count),
+        id_bits=id_bits,
     )
     pieces = ranked.selectExpr("*", f"explode(sequence(0, cast({count} - 1 AS int))) AS chunk")
     piece = f"least(len - chunk * {max_field_length}, {max_field_length})"
@@ -237,7 +251,7 @@ _BUILDERS = {
 }
 
 
-def plan(lengths: DataFrame, policy: str, **knobs) -> BatchPlan:
+def plan(lengths: DataFrame, policy: str, id_bits: int = ID_BITS, **knobs) -> BatchPlan:
     """Plan by policy name, the way job configurations do; sorting is off unless asked for."""
     if policy not in _BUILDERS:
         raise ValueError(f"unknown policy {policy!r}, use one of {POLICIES}")
@@ -249,4 +263,4 @@ def plan(lengths: DataFrame, policy: str, **knobs) -> BatchPlan:
         raise ValueError(f"{policy}: missing knobs {missing}, unknown knobs {unknown}")
     if "smart" in optional:
         given.setdefault("smart", False)
-    return _BUILDERS[policy](lengths, **given)
+    return _BUILDERS[policy](lengths, id_bits=id_bits, **given)

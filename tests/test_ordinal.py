@@ -97,3 +97,34 @@ def test_a_key_of_all_rows_is_spread(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def window_groups(ids, levels):
+    """Rows of every window partition of the hierarchy over these ids, level by level."""
+    from collections import Counter
+
+    for i in range(levels + 1):
+        rows = {x >> 18 * i for x in ids}
+        yield max(Counter(x >> 18 for x in rows).values()) if i < levels else len(rows)
+
+
+@pytest.mark.parametrize("bits,levels", [(63, 3), (62, 3), (54, 2), (36, 1), (20, 1)])
+def test_windows_are_bounded_for_any_ids(spark, bits, levels):
+    """Hashed ids of any width under one hot key: no window holds more than 2^18 rows, and results are exact."""
+    rng = random.Random(bits)
+    ids = sorted({rng.randrange(1 << bits) for _ in range(3000)})
+    assert all(n <= 1 << 18 for n in window_groups(ids, levels))
+    # The worst that ids of so many bits can do: full groups at every level.
+    assert 1 << max(0, bits - 18 * levels) <= 1 << 18
+    rows = [(i, 7 if k % 10 else k % 13, 1) for k, i in enumerate(ids)]
+    out = with_ordinal(frame(spark, rows), seq="seq", key="k", id_bits=bits)
+    assert {r["seq"]: r["ordinal"] for r in out.collect()} == expected(rows, False)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [f"shiftright(__first" in plan and f", {18 * (i + 1)})" in plan for i in range(4)] == [i < levels for i in range(4)]
+    out = with_ordinal(frame(spark, rows), seq="seq", id_bits=bits)
+    assert [r["ordinal"] for r in out.orderBy("seq").collect()] == list(range(len(ids)))
+
+
+def test_an_id_beyond_its_bits_is_an_error(spark):
+    with pytest.raises(Exception, match="more than 20 bits"):
+        with_ordinal(frame(spark, [(1 << 20, 1, 1)]), seq="seq", key="k", id_bits=20).collect()
