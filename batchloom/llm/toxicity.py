@@ -36,8 +36,9 @@ from batchloom.llm.langid import letter_words
 
 #: Examples of each class in the index, neighbours that vote, examples in a block.
 EXAMPLES, NEIGHBOURS, BLOCK = 3000, 15, 64
-#: A word speaks for toxicity if it is in so many examples and has this log-likelihood ratio; others weigh DULL of it.
-MIN_DOCUMENTS, MIN_RATIO, DULL = 4, 12.0, 0.005
+#: A word speaks for toxicity if it is in so many examples, has this log-likelihood ratio, and is in toxic ones so many times
+#: as often as in others (words of a language that toxic texts prefer are not toxic); others weigh DULL of it.
+MIN_DOCUMENTS, MIN_RATIO, MIN_LIFT, DULL = 4, 12.0, 3.0, 0.005
 #: The least cosine of a neighbour; neighbours as near as the last one to this tie with it.
 NEAR, TIE = 0.5, 0.02
 #: A dull term in more than one of so many examples has a dense row.
@@ -132,7 +133,7 @@ def speaks(bad: np.ndarray, good: np.ndarray, all_bad: float, all_good: float) -
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / (rows * share)), 0.0)
 
     ratio = 2 * (part(bad, all_bad) + part(good, all_good))
-    return (bad + good >= MIN_DOCUMENTS) & (bad * all_good > good * all_bad) & (ratio >= MIN_RATIO)
+    return (bad + good >= MIN_DOCUMENTS) & (bad * all_good >= MIN_LIFT * good * all_bad) & (ratio >= MIN_RATIO)
 
 
 def _document_frequencies(df: DataFrame, text: str, terms: dict[str, int]) -> tuple[np.ndarray, int]:
