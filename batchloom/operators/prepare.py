@@ -37,25 +37,29 @@ def conversation_pairs(
     Turns 1, 3, 5, … by position are the answers, whatever their role, and all turns before one
     are its prompt. Conversations of fewer than two turns give nothing.
 
-    The prompts of a conversation grow with the square of its length. Every conversation is therefore
-    cut into ranges of pairs for ``spread_turns`` turns, one range for a short one, and the ranges are
-    dealt out before any text is joined: the input is read once, whatever the lengths.
+    The prompts of a conversation grow with the square of its length. Conversations of more than
+    ``spread_turns`` turns are therefore cut into ranges of pairs, which are dealt out evenly before any
+    text is joined. All others, equal or not, are worked on where they are read.
     """
     others = [c for c in conversations.columns if c != messages]
     turns = F.transform(
         messages, lambda m: templated(required(m["role"], "role"), required(m["content"], "content"))
     )
     step = spread_turns + spread_turns % 2
+    size = F.size(messages)
+    short = conversations.where((size >= 2) & (size <= step + 1))
+    short = short.select(*others, F.lit(1).alias("__from"), turns.alias("__turns"))
     # A fixed number of partitions: a range can be small and its work not, and adaptive execution would
     # put ranges together again by size.
     partitions = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    starts = F.explode(F.sequence(F.lit(1), F.size(messages) - 1, F.lit(step)))
-    ranges = (
-        conversations.where(F.size(messages) >= 2)
+    starts = F.explode(F.sequence(F.lit(1), size - 1, F.lit(step)))
+    long = (
+        conversations.where(size > step + 1)
         .select(*others, turns.alias("__all"), starts.alias("__from"))
         .select(*others, "__from", F.slice("__all", F.lit(1), F.col("__from") + step).alias("__turns"))
-        .repartition(partitions, F.xxhash64("__turns"))
+        .repartition(partitions)
     )
+    ranges = short.unionAll(long)
     numbers = F.explode(F.sequence(F.col("__from"), F.size("__turns") - 1, F.lit(2)))
     return ranges.select(*others, "__turns", numbers.alias("turn")).select(
         *others,

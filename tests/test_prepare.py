@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import batchloom as bl
 
@@ -47,6 +48,20 @@ def test_a_hot_conversation(spark):
     assert hot[-1][2] + hot[-1][3] == whole
 
 
+def test_a_conversation_that_most_rows_repeat(spark):
+    """Equal conversations are not gathered: short ones stay where they are, ranges of long ones are dealt evenly."""
+    messages = [("u" if t % 2 == 0 else "a", f"text {t}") for t in range(6)]
+    df = spark.createDataFrame([(i, messages) for i in range(400)], "conv_id int, messages array<struct<role: string, content: string>>").repartition(8)
+    for spread in (512, 2):
+        out = bl.conversation_pairs(df, spread_turns=spread)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 1200 and max(sizes) <= 1200 // 4
+        assert out.distinct().count() == 1200
+    plan = bl.conversation_pairs(df)._jdf.queryExecution().optimizedPlan().toString()
+    # Only what was cut is shuffled, by turns and not by a hash of the text.
+    assert "xxhash64" not in plan and "RepartitionByExpression" not in plan and plan.count("Repartition 8, true") == 3
+
+
 def test_pairs_of_tables(spark):
     df = spark.createDataFrame([("s", "r", "t")], "source string, rationale string, target string")
     assert tuple(bl.reasoning_pairs(df).first()) == (turn("user", "s"), turn("assistant", "rt"))
