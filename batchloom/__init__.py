@@ -37,6 +37,7 @@ from batchloom.plans.policies import (
     plan_difference,
     plan_fixed,
     plan_max_length,
+    rank_lengths,
 )
 from batchloom.sources.records import number_records, read_dataset
 from batchloom.spec import DatasetSpec, inference_spec, pretrain_spec, sft_spec

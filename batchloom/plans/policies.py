@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from batchloom.operators.ordinal import ID_BITS, random_ordinal, with_ordinal
 from batchloom.plans.fold import attach_capacity_runs, attach_difference_runs, batch_of
+from batchloom.session import materialize
 
 # Policy names as they appear in job configurations.
 FIXED = "FixedBatchSize"
@@ -153,8 +154,23 @@ def plan_fixed(lengths: DataFrame, batch_size: int, smart: bool = True, id_bits:
     return _plan(FIXED, {"batch_size": batch_size, "smart": smart}, assignment)
 
 
+def rank_lengths(lengths: DataFrame, id_bits: int = ID_BITS) -> DataFrame:
+    """``lengths`` with ``ordinal``, the position in ascending length, stored once for several sorted plans.
+
+    The policies that sort take it in place of ``lengths`` and rank nothing themselves.
+    """
+    return materialize(_by_length(lengths, id_bits), "ranks")
+
+
 def _by_length(lengths: DataFrame, id_bits: int, per_key=None) -> DataFrame:
     """Records ranked by (len, seq_id), carrying a row length of its own only if there is one."""
+    if "ordinal" in lengths.columns:
+        ranked = lengths.select(*(c for c in ("seq_id", "len", "row_len", "ordinal") if c in lengths.columns))
+        if per_key is not None:
+            # One row for each length; equal lengths of most records are split by Spark like any skewed join.
+            table = per_key(ranked.groupBy("len").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("base")))
+            ranked = ranked.join(table.drop("n", "base"), "len")
+        return ranked if "row_len" in lengths.columns else ranked.selectExpr("*", "len AS row_len")
     own_row = "row_len" in lengths.columns
     ranked = with_ordinal(
         _lengths(lengths) if own_row else lengths.select("seq_id", "len"),

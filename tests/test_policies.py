@@ -181,3 +181,19 @@ def test_refused(spark, policy, knobs):
 def test_empty_input_gives_no_batches(spark):
     plan = P.plan_capacity(frame(spark, numbered(1)).where("false"), 10, order="pc_desc")
     assert plan.batches.collect() == [] and plan.assignment.collect() == []
+
+
+@pytest.mark.parametrize("own_row", [False, True])
+def test_plans_of_lengths_that_are_ranked_once(spark, own_row):
+    """The same plans as from the lengths, without ranking again."""
+    rng = random.Random(12)
+    rows = [(i * 3, 9 if rng.random() < 0.6 else rng.randrange(30), rng.randrange(30, 60)) for i in range(500)]
+    lengths = spark.createDataFrame(rows, "seq_id bigint, len int, row_len int")
+    lengths = lengths if own_row else lengths.drop("row_len")
+    ranked = P.rank_lengths(lengths)
+    for make in (lambda x: P.plan_fixed(x, 7), lambda x: P.plan_capacity(x, 100, order="pc_desc"), lambda x: P.plan_difference(x, 3, 8)):
+        a, b = make(lengths), make(ranked)
+        for part in ("assignment", "batches"):
+            x, y = getattr(a, part), getattr(b, part)
+            assert x.columns == y.columns and sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
+        assert "Window" not in b.assignment._jdf.queryExecution().optimizedPlan().toString()

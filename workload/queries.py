@@ -26,7 +26,7 @@ from batchloom.operators.shard import (
     with_loss_weight,
 )
 from batchloom.plans import measures, probe
-from batchloom.plans.policies import POLICIES, BatchPlan, order_batches, plan as plan_by_name
+from batchloom.plans.policies import POLICIES, BatchPlan, order_batches, plan as plan_by_name, rank_lengths
 from batchloom.session import scratch_path
 from batchloom.sinks.mirror import process_to_mirror
 from batchloom.sinks.writers import (
@@ -59,6 +59,9 @@ DOCS_PER_FILE = 64
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Documents are numbered from 0; fewer than 2^36 of them need a level less to be ranked.
+DOC_ID_BITS = 36
+
 
 # ---- inputs -----------------------------------------------------------------------------------
 
@@ -479,7 +482,7 @@ def _exhausted_query(on_exhausted: str) -> Query:
 
 
 def smart_sort_rank(spark, folder):
-    ranked = sort_by_length(_word_lengths(spark, folder))
+    ranked = sort_by_length(_word_lengths(spark, folder), DOC_ID_BITS)
     return _big(ranked.select(F.col("seq_id").alias("doc_id"), "len", "rank"))
 
 
@@ -488,15 +491,15 @@ def _assigned(plan: BatchPlan, *more: str) -> DataFrame:
 
 
 def plan_fixed(spark, folder):
-    return _assigned(bl.plan_fixed(_word_lengths(spark, folder), BATCH, smart=False))
+    return _assigned(bl.plan_fixed(_word_lengths(spark, folder), BATCH, smart=False, id_bits=DOC_ID_BITS))
 
 
 def plan_fixed_sorted(spark, folder):
-    return _assigned(bl.plan_fixed(_word_lengths(spark, folder), BATCH))
+    return _assigned(bl.plan_fixed(_word_lengths(spark, folder), BATCH, id_bits=DOC_ID_BITS))
 
 
 def _capacity(spark, folder, order: str = "none") -> BatchPlan:
-    return bl.plan_capacity(_word_lengths(spark, folder), LIMIT, order=order, seed=7)
+    return bl.plan_capacity(_word_lengths(spark, folder), LIMIT, order=order, seed=7, id_bits=DOC_ID_BITS)
 
 
 def plan_token_capacity(spark, folder):
@@ -513,15 +516,15 @@ def plan_length_difference(spark, folder):
 
 
 def plan_length_difference_documents(spark, folder):
-    return _assigned(bl.plan_difference(_word_lengths(spark, folder), 16, 64))
+    return _assigned(bl.plan_difference(_word_lengths(spark, folder), 16, 64, id_bits=DOC_ID_BITS))
 
 
 def plan_max_length(spark, folder):
-    return _assigned(bl.plan_max_length(_word_lengths(spark, folder), PIECE, BATCH), "chunk")
+    return _assigned(bl.plan_max_length(_word_lengths(spark, folder), PIECE, BATCH, id_bits=DOC_ID_BITS), "chunk")
 
 
 def plan_max_length_sorted(spark, folder):
-    return _assigned(bl.plan_max_length(_word_lengths(spark, folder), PIECE, BATCH, smart=True), "chunk")
+    return _assigned(bl.plan_max_length(_word_lengths(spark, folder), PIECE, BATCH, smart=True, id_bits=DOC_ID_BITS), "chunk")
 
 
 def plan_by_policy_name(spark, folder):
@@ -621,9 +624,11 @@ def collate_one_field(spark, folder):
 
 
 def collate_split_records(spark, folder):
-    """Documents cut at 512 code points, 8 pieces per batch."""
-    tokens = _document_tokens(spark, folder)
-    plan = bl.plan_max_length(lengths_of(tokens, key="content"), 512, BATCH, key="content")
+    """Documents cut at 512 code points, 8 pieces per batch; tokenized once, planned from the stored lengths."""
+    path = scratch_path(spark, "tokens")
+    write_token_set(_document_tokens(spark, folder), path)
+    tokens = read_token_set(spark, path)
+    plan = bl.plan_max_length(lengths_of(tokens, key="content"), 512, BATCH, key="content", id_bits=DOC_ID_BITS)
     rows = collate(tokens, plan, ["content"])
     return _big(
         rows.select(
@@ -726,13 +731,14 @@ def _plan_item_query(position: int) -> Query:
 
 
 def padding_report(spark, folder):
-    lengths = _word_lengths(spark, folder)
+    """Four plans over lengths that are counted and ranked once."""
+    ranked = rank_lengths(_word_lengths(spark, folder), DOC_ID_BITS)
     report = measures.padding_summary(
         {
-            "fixed": bl.plan_fixed(lengths, BATCH, smart=False),
-            "fixed sorted": bl.plan_fixed(lengths, BATCH),
-            "capacity": bl.plan_capacity(lengths, LIMIT),
-            "length difference": bl.plan_difference(lengths, 16, 64),
+            "fixed": bl.plan_fixed(ranked.select("seq_id", "len"), BATCH, smart=False, id_bits=DOC_ID_BITS),
+            "fixed sorted": bl.plan_fixed(ranked, BATCH),
+            "capacity": bl.plan_capacity(ranked, LIMIT),
+            "length difference": bl.plan_difference(ranked, 16, 64),
         }
     )
     return report
