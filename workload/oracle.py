@@ -228,6 +228,7 @@ ORACLE: dict[str, str] = {
     "sink_plan": f"""WITH RECURSIVE {CAPACITY}
         SELECT batch_id, row_number() OVER (ORDER BY padded DESC, batch_id) - 1 AS plan_pos, n AS n_records,
                mx AS max_len, padded::BIGINT AS padded_tokens FROM g""",
+    "stream_tokens": f"SELECT doc_id, length(text)::BIGINT AS n_tokens, {joined(codes('text'))} AS ids FROM documents",
     "sink_training_set": f"""WITH {PAIR_BATCHES},
         n AS (SELECT count(DISTINCT batch_id) AS n FROM b),
         o AS (SELECT unnest(range((n + 3) // 4 * 4)) AS p, n FROM n),

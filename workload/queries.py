@@ -40,6 +40,7 @@ from batchloom.sinks.writers import (
     write_training_set,
 )
 from batchloom.sources.files import NameFilter, list_files
+from batchloom.streaming.tokens import stream_token_set
 from batchloom.sources.records import (
     read_json_arrays,
     read_dataset,
@@ -356,6 +357,24 @@ def sink_training_set(spark, folder):
     return stored.batches.select("batch_id", "plan_pos", "n_records", "padded_tokens").join(sizes, "batch_id")
 
 
+def stream_tokens(spark, folder):
+    """Documents as JSON lines, tokenized as a stream of a few files at a time, stopped and gone on with."""
+    path = scratch_path(spark, "stream")
+    docs = _table(spark, folder, "documents")
+    value = F.to_json(F.struct(F.col("doc_id").cast("string").alias("prompt"), F.col("text").alias("chosen")))
+    for part in (0, 1):
+        lines = docs.where(F.col("doc_id") % 2 == part).select(value.alias("value"))
+        lines.repartition(4).write.mode("append").text(f"{path}/in")
+        query = stream_token_set(
+            spark, bl.sft_spec(f"{path}/in", 1 << 30, file_format="jsonl"), bl.CodepointTokenizer(), f"{path}/out", f"{path}/checkpoint",
+            NameFilter(suffix="txt"), files_at_once=3, until_done=True,
+        )
+        query.awaitTermination()
+    tokens = spark.read.parquet(f"{path}/out")
+    number = F.array_join(F.transform("prompt", lambda c: F.char(c)), "").cast("bigint")
+    return tokens.select(number.alias("doc_id"), F.col("chosen_len").cast("bigint").alias("n_tokens"), _joined(F.col("chosen")).alias("ids"))
+
+
 # ---- tokenization -----------------------------------------------------------------------------
 
 
@@ -859,6 +878,7 @@ QUERIES: dict[str, Query] = {
     "sink_plan": sink_plan,
     "sink_training_rows": sink_training_rows,
     "sink_training_set": sink_training_set,
+    "stream_tokens": stream_tokens,
     "mirror_tree": mirror_tree,
     "map_records": map_records,
     "merge_token_sets": merge_token_sets_query,
