@@ -4,7 +4,7 @@ import pytest
 
 import batchloom as bl
 from batchloom.operators.lengths import lengths_of
-from batchloom.sinks import commit
+from batchloom.sinks import commit, filetree
 from batchloom.sinks import writers as W
 from batchloom.sinks.mirror import process_to_mirror
 from batchloom.sources.files import NameFilter
@@ -189,3 +189,61 @@ def test_plan_and_rows_in_one_version(spark, tmp_path):
     back, stored = W.read_training_set(spark, str(tmp_path / "set"))
     assert back.count() == 45 and stored.batches.count() == 11 and stored.manifest.parts["rows"].rows == 45
     assert back.select("rank").distinct().count() == 3
+
+
+def tree_of(root):
+    return {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file()}
+
+
+def test_mirror_without_mounts(spark, tmp_path):
+    """Bytes come from Spark and go through the sink; the function opens nothing, and the root is a URI."""
+    want = {}
+    for name in ("a.txt", "d/b.txt", "d/e/ü c.txt", "d/skip.md", "d/none.txt"):
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(name.encode() + bytes(range(256)) * 9)
+        if name.endswith(".txt") and "none" not in name:
+            want[name] = path.read_bytes()[::-1]
+    (tmp_path / "in" / "empty.txt").write_bytes(b"")  # Spark does not list it
+    turn = lambda place, content: None if "none" in place else content[::-1]
+    filetree.mirror_files(spark, str(tmp_path / "in"), f"file://{tmp_path}/out", turn, NameFilter(suffix=".txt"))
+    assert tree_of(tmp_path / "out") == want
+    filetree.mirror_files(spark, f"file:{tmp_path}/in", str(tmp_path / "out"), turn, NameFilter(regex=".*txt$"))  # again
+    assert tree_of(tmp_path / "out") == want
+
+
+def test_a_failed_mirror_leaves_nothing(spark, tmp_path):
+    for i in range(20):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.txt").write_text(str(i))
+
+    def fail(place, content):
+        if place == "7.txt":
+            raise RuntimeError("lost")
+        return content
+
+    with pytest.raises(Exception, match="lost"):
+        filetree.mirror_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), fail)
+    # Tasks that end after the abort may have staged something; nothing is in its place, nor read.
+    assert all(place.startswith("_staging-") for place in tree_of(tmp_path / "out"))
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).where("path NOT LIKE '%/in/%'").count() == 0
+
+
+def test_a_repeated_task_leaves_one_copy(tmp_path):
+    import pyarrow as pa
+
+    def batches(tag):
+        yield pa.RecordBatch.from_pydict({"relative_path": ["x/a", "b"], "content": [tag, b"2"]})
+        yield pa.RecordBatch.from_pydict({"relative_path": ["x/c"], "content": pa.array([None], pa.binary())})
+
+    writer = filetree.FileTreeWriter(f"file://{tmp_path}/out")
+    writer.write(batches(b"first try"))
+    second, empty = writer.write(batches(b"second")), writer.write(iter([]))
+    assert tree_of(tmp_path / "out") and not (tmp_path / "out" / "b").exists()
+    writer.commit([second, empty, None])
+    assert tree_of(tmp_path / "out") == {"x/a": b"second", "b": b"2", "x/c": b""}
+    for bad in ("../up", "/abs", "", None, "."):
+        with pytest.raises(ValueError, match="no place"):
+            writer.write(iter([pa.RecordBatch.from_pydict({"relative_path": pa.array([bad], pa.string()), "content": [b""]})]))
+    writer.abort([])
+    assert tree_of(tmp_path / "out") == {"x/a": b"second", "b": b"2", "x/c": b""}

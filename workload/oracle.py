@@ -206,6 +206,7 @@ ORACLE: dict[str, str] = {
     "source_whole_text": f"WITH {FILES} SELECT bucket, content FROM files",
     "source_file_listing": f"SELECT DISTINCT {BUCKET}, true AS is_text FROM documents",
     "sink_jsonl": "SELECT doc_id, text, lang FROM documents",
+    "mirror_bytes": f"WITH {FILES} SELECT bucket, md5(replace(content, ' ', '_')) AS content FROM files",
     "mirror_tree": f"WITH {FILES} SELECT bucket, md5(replace(content, ' ', '_')) AS content FROM files",
     "map_records": """SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines,
         list_max(list_transform(string_split(text, chr(10)), lambda x: length(x)))::BIGINT AS longest FROM documents""",

@@ -28,6 +28,7 @@ from batchloom.operators.shard import (
 from batchloom.plans import measures, probe
 from batchloom.plans.policies import POLICIES, BatchPlan, order_batches, plan as plan_by_name, rank_lengths
 from batchloom.session import scratch_path
+from batchloom.sinks.filetree import mirror_files
 from batchloom.sinks.mirror import process_to_mirror
 from batchloom.sinks.writers import (
     ARRANGED,
@@ -270,6 +271,14 @@ def mirror_tree(spark, folder):
     )
 
 
+def mirror_bytes(spark, folder):
+    """The same through Spark's file source and a sink that commits: no file is opened by a path."""
+    source, target = _text_tree(spark, folder), scratch_path(spark, "mirror")
+    mirror_files(spark, source, target, lambda place, content: content.replace(b" ", b"_"), NameFilter(suffix=".txt"))
+    copies = read_texts(spark, target, NameFilter(suffix=".txt"), with_path=True)
+    return copies.select(_bucket_of("path").alias("bucket"), F.md5("content").alias("content"))
+
+
 def map_records(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
 
@@ -880,6 +889,7 @@ QUERIES: dict[str, Query] = {
     "sink_training_set": sink_training_set,
     "stream_tokens": stream_tokens,
     "mirror_tree": mirror_tree,
+    "mirror_bytes": mirror_bytes,
     "map_records": map_records,
     "merge_token_sets": merge_token_sets_query,
     "merge_token_folder": merge_token_folder,
