@@ -4,7 +4,7 @@ One model per language gives the probability of each letter of a word after the
 begins with a space and ends with one, and the context does not reach over words. Counts of the longest
 n-grams are made by Spark over a bounded sample of labelled rows; the model itself (its size is that of
 the distinct n-grams of the sample) is put into sorted arrays of 64-bit hashes with the log probability
-of every language beside each hash, and broadcast. Documents are scored where they are read: the distinct
+of every language beside each hash, and broadcast; it grows with the number of languages times the sample of each. Documents are scored where they are read: the distinct
 words of a slice once, each document as the sum over its words. There is no shuffle of texts.
 
 A document goes to the language of the lowest cross-entropy per letter. It is rejected if that entropy
@@ -34,6 +34,8 @@ UNKNOWN = "und"
 ORDER = 4
 #: Labelled documents of each language that the counts are made from, and the entropies calibrated on.
 SAMPLE, CALIBRATION = 3000, 1000
+#: A language with fewer documents to calibrate on is small: it is trained on all and calibrated by halves.
+HELD = 20
 #: How far above its language's usual entropy a document is rejected: in standard deviations, and in nats.
 REJECT_SIGMA, LEAST_EXCESS = 8.0, 1.0
 #: Words beyond which a worker forgets the word scores that it has.
@@ -164,13 +166,32 @@ def _kneser_ney(grams: dict[str, int], letters: int) -> tuple[list[dict[str, flo
 def fit(df: DataFrame, text: str, lang: str, key: str, sample: int = SAMPLE, calibration: int = CALIBRATION) -> LanguageModel:
     """Train on rows with a language: about ``sample`` documents of each, chosen by a hash of ``key``.
 
-    The entropies are calibrated on about ``calibration`` of each that the counts have not seen, or on
-    the same ones if there are no more.
+    The entropies of each language are calibrated on about ``calibration`` documents that the counts have not seen.
+    A language that has fewer than HELD of them is counted on all its documents, and calibrated on either half of
+    them by counts of the other half; one whose documents are all in one half, on what its counts have seen.
     """
     known = pick(df, key, text, lang).where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     chosen = known.where(sample_rows(known, key, lang, sample + calibration))
     side = F.pmod(F.xxhash64(F.lit("side"), F.col(f"`{key}`")), F.lit(sample + calibration)) < calibration
-    table = _count_grams(chosen.where(~side), text, lang)
+    counted = chosen.groupBy(F.col(f"`{lang}`").alias("l")).agg(F.count_if(side).alias("n")).collect()
+    little = F.col(f"`{lang}`").isin([r["l"] for r in counted if r["n"] < HELD])
+    model = _train(chosen.where(~side | little), text, lang)
+    found = _measured(model, chosen.where(side & ~little), text, lang)
+    if any(r["n"] < HELD for r in counted):
+        half = F.pmod(F.xxhash64(F.lit("half"), F.col(f"`{key}`")), F.lit(2))
+        for fold in (0, 1):
+            others = _train(chosen.where(little & (half != fold)), text, lang)
+            for name, values in _measured(others, chosen.where(little & (half == fold)), text, lang).items():
+                found.setdefault(name, []).extend(values)
+    missing = [name for name in model.languages if name not in found]
+    if missing:
+        found |= _measured(model, chosen.where(F.col(f"`{lang}`").isin(missing)), text, lang)
+    return _calibrate(model, found)
+
+
+def _train(chosen: DataFrame, text: str, lang: str) -> LanguageModel:
+    """Models of all languages in ``chosen``, not calibrated."""
+    table = _count_grams(chosen, text, lang)
     grams: dict[str, dict[str, int]] = {}
     for name, gram, n in zip(*(table.column(i).to_pylist() for i in range(3))):
         grams.setdefault(name, {})[gram] = n
@@ -189,7 +210,7 @@ def fit(df: DataFrame, text: str, lang: str, key: str, sample: int = SAMPLE, cal
     k = len(languages)
     model = LanguageModel(languages, hashes, log_p, contexts, log_back, np.asarray(unseen), np.zeros(k), np.zeros(k), np.ones(k))
     _resolve(model)
-    return _calibrate(model, chosen.where(side), chosen, text, lang)
+    return model
 
 
 def _merge_tables(tables: list[dict[str, float]], order: int, missing: float) -> tuple[np.ndarray, np.ndarray]:
@@ -279,13 +300,9 @@ class Scorer:
         return -sums_of(self.scores[place], counts) / np.maximum(letters, 1)[:, None], letters
 
 
-def _calibrate(model: LanguageModel, held: DataFrame, chosen: DataFrame, text: str, lang: str) -> LanguageModel:
-    """Mean entropy of each language's documents, its spread among long ones and its noise per letter.
-
-    The three are robust (medians), so that a few wrong labels do not move them.
-    """
-    state = vars(model)
-    shared = held.sparkSession.sparkContext.broadcast(state)
+def _measured(model: LanguageModel, df: DataFrame, text: str, lang: str) -> dict[str, list[tuple[float, int]]]:
+    """Of the documents of each language: cross-entropy in it, and letters."""
+    shared = df.sparkSession.sparkContext.broadcast(vars(model))
 
     def make():
         scorer = Scorer(LanguageModel(**shared.value))
@@ -299,16 +316,18 @@ def _calibrate(model: LanguageModel, held: DataFrame, chosen: DataFrame, text: s
 
         return work
 
-    def measured(df: DataFrame) -> dict[str, list[tuple[float, int]]]:
-        rows = map_texts(pick(df, text, lang), text, make, "lang string, h double, n long").where("n > 0 AND h IS NOT NULL").toArrow()
-        out: dict[str, list[tuple[float, int]]] = {}
-        for name, h, n in zip(*(rows.column(i).to_pylist() for i in range(3))):
-            out.setdefault(name, []).append((h, n))
-        return out
+    rows = map_texts(pick(df, text, lang), text, make, "lang string, h double, n long").where("n > 0 AND h IS NOT NULL").toArrow()
+    out: dict[str, list[tuple[float, int]]] = {}
+    for name, h, n in zip(*(rows.column(i).to_pylist() for i in range(3))):
+        out.setdefault(name, []).append((h, n))
+    return out
 
-    found = measured(held)
-    if any(len(found.get(name, ())) < 20 for name in model.languages):
-        found = measured(chosen)
+
+def _calibrate(model: LanguageModel, found: dict[str, list[tuple[float, int]]]) -> LanguageModel:
+    """Mean entropy of each language's documents, its spread among long ones and its noise per letter.
+
+    The three are robust (medians), so that a few wrong labels do not move them.
+    """
     for k, name in enumerate(model.languages):
         h, n = (np.array(x, dtype=float) for x in zip(*found[name]))
         model.mean[k] = np.median(h)
@@ -316,7 +335,6 @@ def _calibrate(model: LanguageModel, held: DataFrame, chosen: DataFrame, text: s
         long = n >= np.median(n)
         model.spread[k] = max(1.4826 * np.median(off[long]), 0.01)
         model.noise[k] = max(1.4826 * np.median(off * np.sqrt(n)), 1.0)
-    shared.unpersist()
     return model
 
 
