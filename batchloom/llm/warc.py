@@ -11,7 +11,8 @@ gap are one link, so the rounds work on a few rows for each split.
 
 A record whose payload holds the magic line is put together from its pieces, and only such pieces keep
 their text. Null payloads count as empty. Candidates without a valid length end their chain. Files that
-hold nothing give no rows. Pages without an id are not archived.
+hold nothing give no rows. Pages without an id are not archived. Records of other archives whose ids are no
+``urn:page:`` have a null page_id.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from batchloom.session import materialize
 
 # Fixed values of the format: the first line of a record, line ends, and the end of a record.
 MAGIC, LINE, END = "WARC/1.1\r\n", "\r\n", "\r\n\r\n"
+PROFILE = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE = re.compile(rb"^WARC-Record-ID: <urn:page:(-?\d+)>\r?$", re.M)
 _KIND = re.compile(rb"^WARC-Type: (\w+)\r?$", re.M)
 _LENGTH = re.compile(rb"^Content-Length: (\d+)\r?$", re.M)
@@ -53,12 +55,15 @@ def write_archives(
     least: int = 0,
     compression: str = "gzip",
     records_per_file: int = 20_000,
+    written: str | None = None,
 ) -> None:
     """Write one record for every page: of equal payloads of ``least`` bytes or more, the page of the
     smallest id is the response and the others revisit it.
 
     Payloads are compared by SHA-256 and length; rows that repeat the smallest id are all responses. A
-    compressed file is read by one task, so files have a bounded number of records.
+    compressed file is one gzip member, which is read by one task and in which no reader can seek, so files have a
+    bounded number of records. Records carry the mandatory fields of WARC 1.1; their date is ``written`` (as in
+    2024-01-31T00:00:00Z), by default now, and revisits name the profile of identical payloads.
     """
     chosen = pages.select(
         F.col(f"`{page_id}`").cast("long").alias("page_id"),
@@ -73,19 +78,22 @@ def write_archives(
     again = again.select("page_id", "sha", F.col("first").alias("refers_to")).distinct()
     rows = chosen.withColumn("sha", F.sha2("payload", 256)).join(again, ["page_id", "sha"], "left")
     revisit = F.col("refers_to").isNotNull()
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(
         F.lit(MAGIC),
         F.when(revisit, "WARC-Type: revisit").otherwise("WARC-Type: response"),
         F.lit(LINE + "WARC-Record-ID: <urn:page:"),
         F.col("page_id").cast("string"),
-        F.lit(">" + LINE + "WARC-Target-URI: "),
+        F.lit(">" + LINE + "WARC-Date: "),
+        now if written is None else F.lit(written),
+        F.lit(LINE + "WARC-Target-URI: "),
         F.col("url"),
         F.lit(LINE + "WARC-Payload-Digest: sha1:"),
         base32_sha1(F.col("payload")),
         F.lit(LINE + "X-Payload-Length: "),
         F.octet_length("payload").cast("string"),
-        F.when(revisit, F.concat(F.lit(LINE + "WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
-        F.lit(LINE + "Content-Length: "),
+        F.when(revisit, F.concat(F.lit(LINE + PROFILE + LINE + "WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
+        F.lit(LINE + "Content-Type: text/html" + LINE + "Content-Length: "),
         F.when(revisit, "0").otherwise(F.octet_length("payload").cast("string")),
         F.lit(END),
         F.when(revisit, "").otherwise(F.col("payload")),

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import re
 
 import pytest
 
@@ -66,3 +67,16 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     assert rows == [(1, "response", 0), (1, "response", 0), (2, "revisit", 1)]
     warc.write_archives(df.limit(0), "page_id", "url", "html", str(tmp_path / "b"))
     assert warc.read_archives(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_mandatory_fields(spark, tmp_path):
+    df = spark.createDataFrame([(1, "http://a", "x"), (2, None, "x")], "page_id long, url string, html string")
+    for name, written in (("a", "2024-01-31T00:00:00Z"), ("b", None)):
+        warc.write_archives(df, "page_id", "url", "html", str(tmp_path / name), compression="none", written=written)
+        text = "".join(p.read_bytes().decode() for p in (tmp_path / name).glob("part-*"))
+        records = [dict(line.split(": ", 1) for line in r.split("\r\n\r\n")[0].split("\r\n") if line) for r in text.split(warc.MAGIC)[1:]]
+        by = {r["WARC-Type"]: r for r in records}
+        for r in records:
+            assert {"WARC-Record-ID", "WARC-Date", "WARC-Type", "Content-Length"} <= set(r)
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r["WARC-Date"]) and (written is None or r["WARC-Date"] == written)
+        assert by["revisit"]["WARC-Profile"].endswith("revisit/identical-payload-digest") and by["revisit"]["WARC-Refers-To"] == "<urn:page:1>"
