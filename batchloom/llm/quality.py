@@ -2,8 +2,8 @@
 
 Every token (a run of letters and digits, or a run of other signs) has a sparse random index vector that
 follows from its hash. The vector of a token is the sum of the index vectors of its neighbours over **all**
-documents; rare tokens share hashed rows, so that the table has ``ROWS`` x ``SIZE`` numbers whatever the
-corpus. Tasks add up their own table and Spark adds the tables. A document is the mean and the spread of the
+documents. All tokens, frequent ones too, are hashed to ``ROWS`` rows, so that the table has ``ROWS`` x ``SIZE``
+numbers whatever the corpus: a row is the mix of the tokens that share it, above all of the frequent ones. Tasks add up their own table and Spark adds the tables. A document is the mean and the spread of the
 vectors of its tokens, and how often a token is repeated at once, how varied and how long the text is.
 
 A network of two layers is trained with numpy on a bounded, documented sample of labelled rows; a
