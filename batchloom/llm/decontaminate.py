@@ -285,12 +285,12 @@ def _without_phrases(df: DataFrame, text: str, items: DataFrame, item_text: str,
 def _holds_none(shared, rate: float, min_chars: int):
     """A condition on texts: none of the items of a block is in them."""
 
-    @F.pandas_udf("boolean")
-    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = Matcher(shared.value, rate, min_chars)
         for part in parts:
-            batch = pa.RecordBatch.from_arrays([pa.array(part, pa.string(), from_pandas=True)], names=["t"])
+            batch = pa.RecordBatch.from_arrays([part], names=["t"])
             free = [not matcher.find(t) for piece in slices(batch, "t") for t in normal_text(piece.column(0)).to_pylist()]
-            yield pd.Series(free, dtype=bool)
+            yield pa.array(free, pa.bool_())
 
     return clean

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -366,13 +365,13 @@ def keep_identified(
     """The rows of ``df`` that are not rejected, with their columns as they are."""
     shared = df.sparkSession.sparkContext.broadcast(vars(model))
 
-    @F.pandas_udf("boolean")
-    def accepted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def accepted(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         judge = _judge(LanguageModel(**shared.value), reject_sigma, least_excess)
         for part in parts:
-            batch = pa.RecordBatch.from_arrays([pa.array(part, pa.string(), from_pandas=True)], names=["t"])
+            batch = pa.RecordBatch.from_arrays([part], names=["t"])
             found = [judge(piece.column(0))[3].to_numpy(zero_copy_only=False) for piece in slices(batch, "t")]
-            yield pd.Series(~np.concatenate(found) if found else np.zeros(0, bool))
+            yield pa.array(~np.concatenate(found) if found else np.zeros(0, bool))
 
     return df.where(accepted(F.col(f"`{text}`")))
 
