@@ -108,8 +108,11 @@ _BATCH_COLUMNS = (
 )
 
 
-def order_batches(batches: DataFrame, order: str = "none", seed: int = 0) -> DataFrame:
-    """Set ``plan_pos``, the 0-based position of delivery. Ties keep the order of ``batch_id``."""
+def order_batches(batches: DataFrame, order: str = "none", seed: int = 0, batch_bits: int = BATCH_BITS) -> DataFrame:
+    """Set ``plan_pos``, the 0-based position of delivery. Ties keep the order of ``batch_id``.
+
+    ``batch_bits`` says that there are fewer than ``2^batch_bits`` batches (``with_ordinal``).
+    """
     if order not in ORDERS:
         raise ValueError(f"unknown order {order!r}, use one of {ORDERS}")
     body = [c for c in _BATCH_COLUMNS if c not in ("batch_id", "plan_pos")]
@@ -121,17 +124,17 @@ def order_batches(batches: DataFrame, order: str = "none", seed: int = 0) -> Dat
     measure = "n_records" if order.startswith("rc") else "padded_tokens"
     sign = "-" if order.endswith("desc") else ""
     keyed = batches.selectExpr("batch_id", *body, f"{sign}{measure} AS __key")
-    out = with_ordinal(keyed, key="__key", seq="batch_id", carry=body, out="plan_pos", id_bits=BATCH_BITS)
+    out = with_ordinal(keyed, key="__key", seq="batch_id", carry=body, out="plan_pos", id_bits=batch_bits)
     return out.select(*_BATCH_COLUMNS)
 
 
-def _plan(policy: str, knobs: dict, assignment: DataFrame) -> BatchPlan:
+def _plan(policy: str, knobs: dict, assignment: DataFrame, batch_bits: int = BATCH_BITS) -> BatchPlan:
     batches = batch_table(assignment)
     return BatchPlan(
         policy,
         knobs,
         assignment,
-        order_batches(batches, knobs.get("order", "none"), knobs.get("seed", 0)),
+        order_batches(batches, knobs.get("order", "none"), knobs.get("seed", 0), batch_bits),
     )
 
 
@@ -193,7 +196,8 @@ def plan_capacity(
     _at_least_one(limit=limit)
     ranked = _by_length(lengths, id_bits, attach_capacity_runs(limit))
     knobs = {"limit": limit, "order": order, "seed": seed}
-    return _plan(CAPACITY, knobs, _assignment(ranked, *batch_of()))
+    # There are no more batches than records.
+    return _plan(CAPACITY, knobs, _assignment(ranked, *batch_of()), min(id_bits, BATCH_BITS))
 
 
 def plan_difference(
