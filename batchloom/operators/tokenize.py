@@ -8,10 +8,11 @@ thousand tokens therefore never become long id arrays.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +35,10 @@ MAX_SENT_BYTES = 1 << 28
 HOT_ROWS, MAX_HOT = 100_000, 10_000
 
 
+# Words that a Python worker has in hand at a time, if no record has more.
+MAX_PART_WORDS = 1 << 18
+
+
 @dataclass(frozen=True)
 class SpecialTokens:
     """Ids a tokenizer reserves. ``tokenize`` adds the first two to a field only if it is asked to;
@@ -135,8 +140,9 @@ class VocabularyTokenizer(Tokenizer):
     The vocabulary is stored once. The ``max_shipped`` entries of the lowest ids, which are the most
     frequent words where ids are ranks, are sent to the executors and looked up column-wise on Arrow
     batches: ids never leave their row. If the vocabulary is larger, words not found there are counted, and
-    joined with the rest of it by ``finish``: frequent ones in place, the others once for each record. Ids are a function of the words alone, so that what is joined
-    goes back by the words, and the result does not depend on the other columns or on ``max_shipped``.
+    joined with the rest of it by ``finish``: frequent ones in place, the others once for each record. ``finish`` writes
+    the records once and numbers them there, so that what is joined goes back by that number, and the result depends
+    on the words alone, not on the other columns or on ``max_shipped``.
     """
 
     def __init__(
@@ -158,8 +164,10 @@ class VocabularyTokenizer(Tokenizer):
             first = rows.column("id")[max_shipped].as_py()
             self._rest = self._entries.where(F.col("id") >= first)
             rows = rows.slice(0, max_shipped)
-        missing = None if self._rest is not None else unknown_id
-        self._lookup = _vocabulary_lookup(vocabulary.sparkSession, rows, missing)
+        if self._rest is None:
+            self._lookup = _vocabulary_lookup(vocabulary.sparkSession, rows, unknown_id)
+        else:
+            self._lookup = _vocabulary_split(vocabulary.sparkSession, rows)
         self._whole = None
 
     def units(self, text: Column) -> Column:
@@ -182,47 +190,48 @@ class VocabularyTokenizer(Tokenizer):
         return self._whole
 
     def finish(self, df: DataFrame, fields: Sequence[str], seq: str) -> DataFrame:
-        if self._rest is None:
-            return super().finish(df, fields, seq)
-        for field in fields:
-            df = self._joined(df, field)
-        return df
+        return super().finish(df, fields, seq) if self._rest is None else self._joined(df, fields)
 
-    def _joined(self, df: DataFrame, field: str) -> DataFrame:
-        """Ids of a field whose words are looked up in part and joined in part, split by frequency.
+    def _joined(self, df: DataFrame, fields: Sequence[str]) -> DataFrame:
+        """Ids of fields whose words are looked up in part and joined in part, split by frequency.
 
-        Places of words that are not found in place are written once, and their words counted. Hot words are
-        few by their definition: what they are, or that they are in no vocabulary, is sent to the tasks.
-        Of the others only the words that the vocabulary has are joined, each a single row.
+        What is looked up in place is written once, with a number for the record, which is all that the other words
+        carry: each of them once for a record, however often it occurs. Words stay there, and the fields meet what was
+        joined as integers. Hot words are few by their definition: what they are, or that they are in no vocabulary, is
+        sent to the tasks. Of the others only the words that the vocabulary has are joined, each a single row.
         """
-        looked_up = df.withColumn("__found", self._lookup(F.col(field)))
-        left_over = F.filter(
-            F.transform(
-                F.arrays_zip(F.col(field).alias("w"), F.col("__found").alias("i")),
-                lambda e, p: F.struct(p.alias("p"), e["w"].alias("w"), e["i"].alias("i")),
-            ),
-            lambda e: e["i"].isNull(),
-        )
-        # Records of the same words share their key, and one of them is joined.
-        looked_up = looked_up.withColumn("__key", F.sha2(F.to_json(F.col(field)), 256))
-        places = materialize(
-            looked_up.select("__key", F.explode(left_over).alias("__e"))
-            .groupBy("__key", F.col("__e.w").alias("token"))
-            .agg(F.collect_set("__e.p").alias("__places")),
-            "places",
-        )
-        numbered = self._numbered(places)
-        part = F.transform("__places", lambda p: F.struct(p.alias("p"), F.lit(1).alias("s"), F.col("id").alias("i")))
-        joined = numbered.select("__key", part.alias("__part")).groupBy("__key").agg(F.flatten(F.collect_list("__part")).alias("__joined"))
-        others = [c for c in df.columns if c != field]
-        # Every place has an entry of its own, which gives way to one that was joined.
-        own = F.transform(
-            "__found", lambda i, p: F.struct(p.alias("p"), F.lit(2).alias("s"), F.coalesce(i, F.lit(self.unknown_id)).alias("i"))
-        )
-        every = F.when(F.col("__joined").isNull(), own).otherwise(F.array_sort(F.concat("__joined", own)))
-        merged = looked_up.select(*others, "__found", "__key").join(joined, "__key", "left").withColumn("__every", every)
-        first = F.filter("__every", lambda e, at: (at == 0) | (F.get("__every", at - 1)["p"] != e["p"]))
-        return merged.withColumn(field, F.transform(first, lambda e: e["i"])).select(*df.columns)
+        others = [c for c in df.columns if c not in fields]
+        nothing = F.array().cast("array<string>")
+        units = F.concat(*(F.coalesce(F.col(f), nothing) for f in fields))
+        sizes = F.struct(*(F.when(F.col(f).isNotNull(), F.size(f)).alias(f) for f in fields))
+        split = df.select(*others, sizes.alias("__sizes"), self._lookup(units).alias("__split"))
+        stage = materialize(split.withColumn("__row", F.monotonically_increasing_id()), "words")
+        places = stage.select("__row", F.posexplode("__split.left").alias("__slot", "token"))
+        numbered = self._numbered(places).select("__row", _slot(F.col("__slot"), 0, F.col("id")).alias("__id"))
+        joined = numbered.groupBy("__row").agg(F.collect_list("__id").alias("__joined"))
+        left = F.size("__split.left").alias("__left")
+        kept = stage.select(*others, "__sizes", "__row", "__split.found", "__split.slots", left)
+        # Every slot has an entry of its own, which gives way to one that was joined.
+        every = F.transform(F.array_repeat(F.lit(1), F.col("__left")), lambda _, at: _slot(at, 1, F.lit(self.unknown_id)))
+        every = F.when(F.col("__joined").isNull(), every).otherwise(F.array_sort(F.concat("__joined", every)))
+        merged = kept.join(joined, "__row", "left")
+
+        def without_own(every: Column) -> Column:
+            return F.filter(every, lambda e, at: (at == 0) | (_slot_of(F.get(every, at - 1)) != _slot_of(e)))
+
+        def filled(ids: Column) -> Column:
+            return F.zip_with("found", "slots", lambda i, s: F.coalesce(i, F.get(ids, s), F.lit(self.unknown_id)))
+
+        # What every entry asks for is bound once for a record; a column could be put in its place and computed for each.
+        ids = F.transform(_bound(every, without_own), _id_of)
+        merged = merged.withColumn("__all", _bound(ids, filled))
+        start: Column = F.lit(1)
+        cut = {}
+        for field in fields:
+            size = F.col(f"__sizes.`{field}`")
+            cut[field] = F.slice("__all", start, size)
+            start = start + F.coalesce(size, F.lit(0))
+        return merged.select(*(cut[c].alias(c) if c in cut else F.col(c) for c in df.columns))
 
     def _numbered(self, places: DataFrame) -> DataFrame:
         """The rows of ``places`` whose word the rest of the vocabulary has, with its ``id``."""
@@ -233,37 +242,116 @@ class VocabularyTokenizer(Tokenizer):
         known = materialize(counts.join(self._rest, "token", "left").where(hot | F.col("id").isNotNull()), "words")
         sent = F.broadcast(known.where(hot).select("token", F.col("id").alias("__hot_id"), F.lit(True).alias("__hot")))
         marked = places.join(sent, "token", "left")
-        in_place = marked.where("__hot AND __hot_id IS NOT NULL").select("__key", "__places", F.col("__hot_id").alias("id"))
+        others = [c for c in places.columns if c != "token"]
+        in_place = marked.where("__hot AND __hot_id IS NOT NULL").select(*others, F.col("__hot_id").alias("id"))
         cold = marked.where("__hot IS NULL").join(known.where(~hot).select("token", "id"), "token")
-        return in_place.unionAll(cold.select("__key", "__places", "id"))
+        return in_place.unionAll(cold.select(*others, "id"))
 
 
-def _vocabulary_lookup(spark: SparkSession, rows: pa.Table, missing: int | None):
-    """Word arrays to id arrays; words that are not in ``rows`` become ``missing``."""
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _slot(slot: Column, rank: int, ids: Column) -> Column:
+    """Slot, rank and id in one integer, in this order; 32 bits are the id."""
+    return F.shiftleft(slot.cast("bigint") * 2 + rank, 32) + ids.cast("bigint") + (1 << 31)
+
+
+def _slot_of(packed: Column) -> Column:
+    return F.shiftright(packed, 33)
+
+
+def _id_of(packed: Column) -> Column:
+    return (packed.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int")
+
+
+def _shipped(spark: SparkSession, rows: pa.Table) -> Callable[[], tuple[pa.Array, pa.Array]]:
+    """Words and ids of ``rows`` on the executors, made once per Python worker."""
     shipped = spark.sparkContext.broadcast(
         (rows.column("token").to_pylist(), rows.column("id").to_pylist())
     )
     cache: dict[str, tuple[pa.Array, pa.Array]] = {}
 
-    @F.arrow_udf("array<int>")
-    def lookup(batch: pa.Array) -> pa.Array:
+    def table() -> tuple[pa.Array, pa.Array]:
         if not cache:
             tokens, ids = shipped.value
             cache["table"] = (pa.array(tokens, pa.string()), pa.array(ids, pa.int32()))
-        tokens, ids = cache["table"]
+        return cache["table"]
+
+    return table
+
+
+def _vocabulary_lookup(spark: SparkSession, rows: pa.Table, missing: int):
+    """Word arrays to id arrays; words that are not in ``rows`` become ``missing``."""
+    table = _shipped(spark, rows)
+
+    @F.arrow_udf("array<int>")
+    def lookup(batch: pa.Array) -> pa.Array:
+        tokens, ids = table()
         flat = batch.flatten()
         place = pc.index_in(flat.cast(pa.string()), value_set=tokens)
-        found = ids.take(place)
-        if missing is not None:
-            found = pc.fill_null(found, pa.scalar(missing, pa.int32()))
-        sizes = pc.fill_null(pc.list_value_length(batch), 0)
-        ends = pc.cumulative_sum(sizes.cast(pa.int32()))
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), _one_chunk(ends)])
-        return pa.ListArray.from_arrays(offsets, _one_chunk(found), mask=batch.is_null())
+        found = pc.fill_null(ids.take(place), pa.scalar(missing, pa.int32()))
+        return pa.ListArray.from_arrays(_offsets(_sizes(batch)), _one_chunk(found), mask=batch.is_null())
 
     return lookup
 
 
+def _vocabulary_split(spark: SparkSession, rows: pa.Table):
+    """Word arrays to ``found``, ids or null for words that are not in ``rows``; ``left``, these words, each once; and
+    ``slots``, the index in ``left`` of every word that is there."""
+    table = _shipped(spark, rows)
+
+    @F.arrow_udf("found array<int>, slots array<int>, left array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens, ids = table()
+        for batch in batches:
+            for part in _parts(batch, _sizes(batch), MAX_PART_WORDS):
+                yield _split(part, tokens, ids)
+
+    return split
+
+
+def _split(batch: pa.Array, tokens: pa.Array, ids: pa.Array) -> pa.Array:
+    sizes = _sizes(batch)
+    flat = _one_chunk(batch.flatten().cast(pa.string()))
+    place = _one_chunk(pc.index_in(flat, value_set=tokens))
+    at = np.flatnonzero(pc.and_(place.is_null(), flat.is_valid()).to_numpy(zero_copy_only=False))
+    words = _one_chunk(flat.take(pa.array(at))).dictionary_encode()
+    n_words = max(len(words.dictionary), 1)
+    row = np.repeat(np.arange(len(sizes)), sizes)[at]
+    # Words of a record in one order, each once.
+    pairs, which = np.unique(row * n_words + words.indices.to_numpy(), return_inverse=True)
+    first = np.searchsorted(pairs // n_words, np.arange(len(sizes) + 1))
+    slots, absent = np.zeros(len(flat), np.int32), np.ones(len(flat), bool)
+    slots[at], absent[at] = which - first[row], False
+    offsets = _offsets(sizes)
+    lists = [
+        pa.ListArray.from_arrays(offsets, _one_chunk(ids.take(place))),
+        pa.ListArray.from_arrays(offsets, pa.array(slots, mask=absent)),
+        pa.ListArray.from_arrays(pa.array(first, pa.int32()), words.dictionary.take(pa.array(pairs % n_words))),
+    ]
+    return pa.StructArray.from_arrays(lists, ["found", "slots", "left"])
+
+
+def _sizes(batch: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+
+def _parts(batch: pa.Array, sizes: np.ndarray, most: int) -> Iterator[pa.Array]:
+    """Rows of ``batch`` in their order, in parts of at most ``most`` units, or of one row."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(batch):
+        before = ends[start - 1] if start else 0
+        end = max(int(np.searchsorted(ends, before + most, "right")), start + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _one_chunk(values: Any) -> pa.Array:
     return values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
 

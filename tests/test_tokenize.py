@@ -153,6 +153,32 @@ def test_hot_words_are_sent_and_the_others_joined(spark, monkeypatch, hot_rows):
     assert "Generate" not in plan  # nothing is copied over salts
 
 
+def test_joined_words_are_written_by_record(spark, monkeypatch):
+    """A record is written once for all its fields, without a row for each of its words."""
+    rng = random.Random(7)
+    written = []
+
+    def recorded(df, name="stage"):
+        out = materialize(df, name)
+        written.append(out.count())
+        return out
+
+    materialize = tokenize.materialize
+    monkeypatch.setattr(tokenize, "materialize", recorded)
+    monkeypatch.setattr(tokenize, "MAX_PART_WORDS", 50, raising=False)
+    names = [f"w{i}" for i in range(40)] + [f"x{i}" for i in range(40)]
+    texts = [tuple(" ".join(rng.choice(names) for _ in range(rng.randrange(30))) for _ in "fg") for _ in range(90)] + [("", "w3 x3 w3")]
+    ids = {f"w{i}": (i - 20) * 10**8 for i in range(40)}
+    df = records(spark, texts, ["f", "g"])
+    vocabulary = spark.createDataFrame(list(ids.items()), "token string, id int")
+    tokenizer = bl.VocabularyTokenizer(vocabulary, unknown_id=-7, max_shipped=3)
+    rows = bl.tokenize(df, SPEC(field_names=["f", "g"]), tokenizer)
+    assert [(r["f"], r["g"], r["f_len"], r["g_len"]) for r in rows.orderBy("seq_id").collect()] == [
+        (*([ids.get(w, -7) for w in t.split()] for t in row), *(len(t.split()) for t in row)) for row in texts
+    ]
+    assert max(written) <= len(texts)
+
+
 def test_a_vocabulary_too_large_for_ids_in_place(spark, monkeypatch):
     vocabulary = spark.createDataFrame([("a", 1), ("b", 2)], "token string, id int")
     tokenizer = bl.VocabularyTokenizer(vocabulary, max_shipped=1)
