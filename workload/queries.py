@@ -171,13 +171,17 @@ def source_jsonl(spark, folder):
     return every.select(F.col("doc_id").cast("bigint").alias("doc_id"), "content")
 
 
+def _numbered_lines(docs: DataFrame) -> DataFrame:
+    """Documents as JSON lines of seven folders, in order over the tasks: a folder is written by as many as its size needs."""
+    docs = docs.withColumn("part", F.expr(f"lpad(doc_id div {DOCS_PER_FILE} % 7, 3, '0')"))
+    docs = docs.repartitionByRange("part", "doc_id").sortWithinPartitions("part", "doc_id")
+    return docs.select("part", F.to_json(F.struct(F.col("doc_id").cast("string").alias("prompt"), F.col("text").alias("chosen"))).alias("value"))
+
+
 def source_numbered(spark, folder):
     """Several files of documents, numbered by file and line whatever the splits: the order is checked."""
     path = scratch_path(spark, "numbered")
-    docs = _table(spark, folder, "documents").withColumn("part", F.expr(f"lpad(doc_id div {DOCS_PER_FILE} % 7, 3, '0')"))
-    value = F.to_json(F.struct(F.col("doc_id").cast("string").alias("prompt"), F.col("text").alias("chosen")))
-    lines = docs.select("part", "doc_id", value.alias("value")).repartition(4, "part").sortWithinPartitions("part", "doc_id")
-    lines.drop("doc_id").write.partitionBy("part").text(path)
+    _numbered_lines(_table(spark, folder, "documents")).write.partitionBy("part").text(path)
     records = read_dataset(spark, bl.sft_spec(path, SFT_MAX, file_format="jsonl"), names=NameFilter(suffix="txt"), numbered=True)
     return records.select("seq_id", F.col("prompt").cast("bigint").alias("doc_id"), F.md5("chosen").alias("text"))
 
