@@ -8,7 +8,7 @@ thousand tokens therefore never become long id arrays.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -38,6 +38,9 @@ HOT_ROWS, MAX_HOT = 100_000, 10_000
 # Words that a Python worker has in hand at a time, if no record has more.
 MAX_PART_WORDS = 1 << 18
 
+# The same for texts that a tokenizer object is given, in bytes: their ids are Python objects for a while.
+MAX_PART_BYTES = 1 << 20
+
 
 @dataclass(frozen=True)
 class SpecialTokens:
@@ -356,11 +359,15 @@ def _one_chunk(values: Any) -> pa.Array:
     return values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
 
 
+def _id_lists(lists: Iterable[Iterable[int]]) -> pa.Array:
+    return pa.array([ids if isinstance(ids, list) else list(ids) for ids in lists], pa.list_(pa.int32()))
+
+
 class ObjectTokenizer(Tokenizer):
     """Any Python tokenizer, made by ``factory`` once per Python worker.
 
     ``factory`` returns a function from a list of texts to a list of id lists. It runs where the
-    data is, on Arrow batches.
+    data is, on parts of Arrow batches: texts of MAX_PART_BYTES at a time, or a longer one by itself.
     """
 
     def __init__(
@@ -372,12 +379,16 @@ class ObjectTokenizer(Tokenizer):
         made: list[Callable[[list[str]], list[list[int]]]] = []
 
         @F.arrow_udf("array<int>")
-        def encode(batch: pa.Array) -> pa.Array:
-            if not made:
-                made.append(factory())
-            return pa.array(
-                [list(ids) for ids in made[0](batch.to_pylist())], pa.list_(pa.int32())
-            )
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                if not made:
+                    made.append(factory())
+                sizes = pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                for part in _parts(batch, sizes, MAX_PART_BYTES):
+                    ids = _id_lists(made[0](part.to_pylist()))
+                    if len(ids) != len(part):
+                        raise ValueError(f"the tokenizer gave {len(ids)} lists for {len(part)} texts")
+                    yield ids
 
         self._encode = encode
 

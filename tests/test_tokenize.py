@@ -209,6 +209,34 @@ def test_user_tokenizer(spark):
     assert [r["content"] for r in rows] == [[1, 1, 9], [1, 1, 1], []]
 
 
+def test_a_user_tokenizer_is_given_texts_in_parts(spark):
+    """Parts of a megabyte, a longer text by itself, empty ones too; two fields, and every list with its text."""
+
+    def factory():
+        def run(texts):
+            size = sum(len(t.encode()) for t in texts)
+            return [(int(t[:4]) if t else -1, size, len(texts)) for t in texts]
+
+        return run
+
+    rng = random.Random(8)
+    texts = [f"{i:04d}" + "é" * rng.randrange(3000) if i % 7 else "" for i in range(1500)]
+    texts[1000] = "1000" + "a" * (3 << 20)
+    df = records(spark, [(t, texts[-1 - i]) for i, t in enumerate(texts)], ["f", "g"]).coalesce(1)
+    rows = bl.tokenize(df, SPEC(field_names=["f", "g"]), bl.ObjectTokenizer(factory)).orderBy("seq_id").collect()
+    first = [i if t else -1 for i, t in enumerate(texts)]
+    assert [(r["f"][0], r["g"][0]) for r in rows] == list(zip(first, first[::-1], strict=True))
+    sizes = {tuple(r[f][1:]) for r in rows for f in "fg"}
+    assert all(size <= 1 << 20 or (size == 4 + (3 << 20) and n == 1) for size, n in sizes)
+    assert len(sizes) > 3  # several texts at a time, not one
+
+
+def test_a_user_tokenizer_gives_a_list_for_every_text(spark):
+    df = records(spark, [("a",), ("b",)], ["content"]).coalesce(1)
+    with pytest.raises(Exception, match="1 lists for 2 texts"):
+        bl.tokenize(df, bl.pretrain_spec(), bl.ObjectTokenizer(lambda: lambda texts: [[1]])).collect()
+
+
 def test_subword_tokenizer_object(spark):
     tokenizers = pytest.importorskip("tokenizers")
     corpus = ["low lower lowest", "new newer newest"] * 20
