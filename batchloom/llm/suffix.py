@@ -13,12 +13,16 @@ piece. Then
    whole: first among the texts a task reads, so that a text with very many copies sends one block for
    each task, then over all.
 2. Pieces with one kind of block left are done: no window of theirs is in another place.
-3. The other blocks are brought together by piece and their windows are compared exactly: tasks sort all
-   suffixes of their blocks by the difference-cover algorithm (sort the triples at two of three positions,
-   recurse on their names, merge the remaining suffixes) and compare adjacent prefixes of ``length``
-   bytes. Of equal windows, all but the earliest are repeats.
+3. The other blocks are brought together by piece and their windows are compared exactly: tasks leave out
+   the ends of blocks whose windows have hashes of their own, sort all suffixes of what is left by the
+   difference-cover algorithm (sort the triples at two of three positions, recurse on their names, merge
+   the remaining suffixes) and compare adjacent prefixes of ``length`` bytes. Of equal windows, all but
+   the earliest are repeats.
 
-Windows of pieces with very many kinds of blocks are dealt out by their own content instead. Spans are gathered by document and applied to its text.
+The number of kinds of a common piece grows with the corpus. Equal windows are as far from their piece, so
+blocks of pieces with many kinds are cut into runs of windows of about one distance, which are dealt out by the
+bytes that all windows of a run hold, and of pieces with very many kinds into single windows. A run that is
+alone, or equal to the first of its group, needs no sorting. Spans are gathered by document and applied to its text.
 
 Texts are bytes of UTF-8; null texts are empty. Rows that repeat an id count as one document: the text
 that is least as bytes stands for it. Null ids are documents before all others and get one row.
@@ -27,6 +31,7 @@ that is least as bytes stands for it. Null ids are documents before all others a
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +42,13 @@ from batchloom.llm.common import gather, map_texts, mix64, slices, starts_of
 from batchloom.session import materialize
 
 LENGTH, GRAM = 100, 28
-#: Blocks that a task holds before it drops those it has seen; bytes of blocks sorted at a time.
-HELD_BLOCKS, SORTED_BYTES = 1 << 19, 1 << 21
-#: Bytes of text that are cut into blocks at a time.
-SEGMENT = 1 << 20
-#: Kinds of blocks of a piece above which its windows are dealt out one by one.
-HOT_KINDS = 2000
+#: Blocks that a task holds before it drops those it has seen; bytes of blocks compared at a time, whose arrays
+#: should stay in a core's cache.
+HELD_BLOCKS, SORTED_BYTES = 1 << 19, 1 << 18
+#: Bytes of text that are cut into blocks at a time; as many for the same reason.
+SEGMENT = 1 << 18
+#: Kinds of blocks of a piece above which its windows are dealt out in runs of RUN; one by one above HOTTEST times as many.
+HOT_KINDS, RUN, HOTTEST = 2000, 8, 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,14 +98,22 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+_VALUES = mix64(np.arange(1, 257, dtype=np.uint64))
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse."""
+    bases = (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n - 1, base)), dtype=np.uint64) for base in bases)
+
+
 def _range_hash(data: np.ndarray):
-    """A function of starts and stops that hashes these ranges of ``data`` (64 bits, by content)."""
-    value = mix64(data.astype(np.uint64) + np.uint64(1))
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), _BASE)]), dtype=np.uint64)
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), inverse)]), dtype=np.uint64)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(value * power[:-1], dtype=np.uint64)])
-    return lambda a, b: mix64((total[b] - total[a]) * back[a])
+    """A function of starts and stops, or of slices of them, that hashes these ranges of ``data`` (64 bits, by content)."""
+    power, back = _powers(1 << len(data).bit_length())
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_VALUES[data] * power[: len(data)], out=total[1:])
+    return lambda a, b: mix64((total[b] - total[a]) * back[: len(total)][a])
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -120,8 +134,8 @@ def blocks_of(data: np.ndarray, lengths: np.ndarray, length: int, gram: int) ->
     if len(data) < length:
         return empty
     hashed = _range_hash(data)
-    spots = np.arange(len(data) - gram + 1)
-    ranks = (hashed(spots, spots + gram) & np.uint64(0xFFFFFFFF00000000)) | spots.astype(np.uint64)
+    spots = np.arange(len(data) - gram + 1, dtype=np.uint64)
+    ranks = (hashed(slice(0, len(spots)), slice(gram, None)) & np.uint64(0xFFFFFFFF00000000)) | spots
     piece = (_least(ranks, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     starts = starts_of(lengths)
     inside = gather(starts, np.maximum(lengths - length + 1, 0))
@@ -260,11 +274,12 @@ PIECES = "key long, part long, doc long, first long, data binary, windows int"
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of blocks (doc, key, first, last, piece, hot), by key and part.
+    """The bytes of blocks (doc, key, first, last, piece, run), by key and part.
 
-    The windows of a hot piece go one by one, parted by a hash of their bytes; other blocks are whole.
+    Blocks are whole where ``run`` is 0. Others are cut where the distance of a window to the piece is a
+    multiple of ``run``, and parted by that multiple and a hash of the bytes that windows of these distances share.
     """
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "first", "last", "piece", "hot")).alias("blocks"))
+    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "first", "last", "piece", "run")).alias("blocks"))
     both = docs.join(lists, "doc").select("text", "doc", "blocks")
     names = [c.split()[0] for c in PIECES.split(", ")]
 
@@ -276,11 +291,17 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for text, doc, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = text.encode()
                 for b in blocks:
-                    if b["hot"]:
-                        windows = ((w, data[w : w + length]) for w in range(b["first"], b["last"] + 1))
-                        out += ((b["key"], xxh3_64_intdigest(x) >> 1, doc, w, x, 1) for w, x in windows)
-                    else:
-                        out.append((b["key"], -1, doc, b["first"], data[b["first"] : b["last"] + length], b["last"] - b["first"] + 1))
+                    key, first, last, piece, run = b["key"], b["first"], b["last"], b["piece"], b["run"]
+                    if not run:
+                        out.append((key, -1, doc, first, data[first : last + length], last - first + 1))
+                        continue
+                    while first <= last:
+                        multiple = (piece - first) // run
+                        common = piece - multiple * run  # the last window of these distances
+                        end = min(last, common)
+                        part = xxh3_64_intdigest(data[common : common - run + 1 + length], multiple) >> 1
+                        out.append((key, part, doc, first, data[first : end + length], end - first + 1))
+                        first = end + 1
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
             columns = list(zip(*out)) if out else [[]] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
@@ -293,18 +314,33 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def repeated_windows(data: list[bytes], doc: np.ndarray, first: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
     """Of all windows of the blocks, one after another: is it equal to an earlier one (by doc, start)?"""
     sizes = np.array([len(d) for d in data], dtype=np.int64)
-    # A zero ends every block; bytes are raised by one above it.
     flat = np.frombuffer(b"".join(data), dtype=np.uint8)
+    block = np.repeat(np.arange(len(data)), windows)
+    out = np.zeros(len(block), dtype=bool)
+    # Equal windows have equal hashes: of every block, only what lies between windows whose hash is met again matters.
+    window_offsets = starts_of(windows)
+    at = gather(starts_of(sizes), windows)
+    hashes = _range_hash(flat)(at, at + length)
+    met = np.flatnonzero(_met_again(hashes))
+    if not len(met):
+        return out
+    new = np.ones(len(met), dtype=bool)
+    new[1:] = block[met[1:]] != block[met[:-1]]
+    lowest, highest = met[new], met[np.append(np.flatnonzero(new)[1:], len(met)) - 1]
+    windows = highest - lowest + 1
+    sizes = windows + length - 1
+    of_all = gather(lowest, windows)
     starts = starts_of(sizes + 1)
+    # A zero ends every block; bytes are raised by one above it.
     symbols = np.ones(int((sizes + 1).sum()), dtype=np.int64)
-    symbols[gather(starts, sizes)] = flat.astype(np.int64) + 2
+    symbols[gather(starts, sizes)] = flat[gather(at[lowest], sizes)].astype(np.int64) + 2
     order = suffix_array(symbols)
     window_start = gather(starts, windows)
     of = np.full(len(symbols), -1, dtype=np.int64)
     of[window_start] = np.arange(len(window_start))
     order = of[order]
     order = order[order >= 0]  # windows in the order of their suffixes
-    # Adjacent prefixes, compared in eight-byte steps.
+    # Adjacent prefixes, byte by byte.
     padded = np.concatenate([flat_bytes(symbols), np.zeros(length, np.uint8)])
     same = np.ones(max(0, len(order) - 1), dtype=bool)
     a, b = window_start[order[:-1]], window_start[order[1:]]
@@ -314,14 +350,23 @@ def repeated_windows(data: list[bytes], doc: np.ndarray, first: np.ndarray, wind
         if not equal.all():
             same[live[~equal]] = False
             live = live[equal]
-    block = np.repeat(np.arange(len(data)), windows)
-    where = first[block] + (np.arange(len(block)) - np.repeat(starts_of(windows), windows))
-    group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
+    block = block[of_all]
+    where = first[block] + of_all - window_offsets[block]
+    group = np.concatenate([[0], np.cumsum(~same)])
     ranked = np.lexsort((where[order], doc[block[order]], group))
     again = np.zeros(len(order), dtype=bool)
     again[1:] = group[ranked[1:]] == group[ranked[:-1]]
-    out = np.zeros(len(block), dtype=bool)
-    out[order[ranked]] = again
+    out[of_all[order[ranked]]] = again
+    return out
+
+
+def _met_again(values: np.ndarray) -> np.ndarray:
+    """Is there another such value?"""
+    order = np.argsort(values)
+    equal = values[order[1:]] == values[order[:-1]]
+    out = np.zeros(len(values), dtype=bool)
+    out[order[1:][equal]] = True
+    out[order[:-1][equal]] = True
     return out
 
 
@@ -336,23 +381,26 @@ def _compare(pieces: DataFrame, length: int) -> DataFrame:
     dealt = pieces.repartition(n, "key", "part").sortWithinPartitions("key", "part", "doc", "first")
 
     def run(batches):
-        held, size, at, top = [], 0, None, None
+        held, size, at, group = [], 0, None, []
         for batch in batches:
             again = []
             for key, part, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if (key, part) != at:
+                    if len(group) > 1:  # no window of a block is in it again
+                        held += group
+                        size += sum(len(r[2]) for r in group)
                     if size >= SORTED_BYTES:
                         yield spans(*zip(*held))
                         held, size = [], 0
-                    at, top = (key, part), row[2]
-                elif part >= 0 and row[2] == top:  # a window of its own, after its first
-                    again.append(row[:2])
+                    at, group = (key, part), []
+                elif part >= 0 and row[2] == group[0][2]:  # equal to the first, throughout
+                    again.append((row[0], row[1], row[1] + row[3] - 1))
                     continue
-                held.append(row)
-                size += len(row[2])
+                group.append(row)
             if again:
-                doc, first = np.array(again, dtype=np.int64).T
-                yield _batch(list(_merged(doc, first, first)), ["doc", "first", "last"])
+                yield _batch(list(_merged(*np.array(again, dtype=np.int64).T)), ["doc", "first", "last"])
+        if len(group) > 1:
+            held += group
         if held:
             yield spans(*zip(*held))
 
@@ -370,8 +418,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """(doc, first, last): runs of starts of windows of (doc, text) that also start earlier."""
     found = materialize(_settle(_blocks(docs.select("doc", "text"), length, gram)), "blocks")
     mixed = found.where("piece >= 0")
-    hot = mixed.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT_KINDS).select("key", F.lit(True).alias("hot"))
-    wanted = mixed.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    run = F.when(F.col("kinds") > HOTTEST * HOT_KINDS, 1).otherwise(min(RUN, length - gram + 1))
+    hot = mixed.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT_KINDS).select("key", run.alias("run"))
+    wanted = mixed.join(hot, "key", "left").withColumn("run", F.coalesce("run", F.lit(0)))
     compared = _compare(_cut(docs, wanted, length), length)
     return found.where("piece < 0").select("doc", "first", "last").unionAll(compared)
 

@@ -94,3 +94,53 @@ def test_empty_table_null_and_repeated_ids(spark):
     assert got(spark, []) == {}
     out = got(spark, [(5, long), (5, long), (None, long), (7, "q" + long)])
     assert out[None][1] == 0 and out[5][1] == 300 and out[7][1] == 300 and len(out) == 3
+
+
+def letters(rng, n):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+
+@pytest.mark.parametrize("hottest", [1, 100])
+def test_hot_pieces_travel_in_runs(spark, monkeypatch, hottest):
+    """A passage in many contexts: its windows go in runs, one by one only if it is very hot, and none is lost."""
+    rng = random.Random(11)
+    passage, edge = letters(rng, 60), letters(rng, 30)
+    rows = [(i, letters(rng, 150) + (edge if i % 3 else "") + passage + (edge if i % 2 else "") + letters(rng, 150)) for i in range(60)]
+    monkeypatch.setattr(suffix, "HOT_KINDS", 10)
+    monkeypatch.setattr(suffix, "HOTTEST", hottest)
+    dealt, compare = [], suffix._compare
+
+    def counted(pieces, length):
+        dealt.extend((r["part"], r["windows"]) for r in pieces.collect())
+        return compare(pieces, length)
+
+    monkeypatch.setattr(suffix, "_compare", counted)
+    assert got(spark, rows) == brute(rows, 100)
+    runs = [n for part, n in dealt if part >= 0]
+    assert sum(runs) > 1000
+    if hottest > 1:
+        assert max(runs) == suffix.RUN and len(runs) < sum(runs) / 4
+    else:
+        assert set(runs) == {1}
+
+
+def test_only_windows_that_may_be_equal_are_sorted(monkeypatch):
+    rng = random.Random(12)
+    texts = [letters(rng, rng.randrange(100, 170)).encode() for _ in range(300)]
+    twin = letters(rng, 105).encode()  # six windows in three blocks
+    for i in (7, 130, 131):
+        texts[i] = letters(rng, 5 * i % 40).encode() + twin + letters(rng, 20).encode()
+    doc, first = np.arange(300)[::-1] // 2, np.array([rng.randrange(50) + 200 * (i % 2) for i in range(300)])
+    windows = np.array([len(t) - 99 for t in texts])
+    sizes, sort = [], suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda s: sizes.append(len(s)) or sort(s))
+    out = suffix.repeated_windows(texts, doc, first, windows, 100)
+    places = [(doc[i], first[i] + k, i, k) for i in range(300) for k in range(windows[i])]
+    seen, expected = set(), {}
+    for _, _, i, k in sorted(places):
+        window = texts[i][k : k + 100]
+        expected[i, k] = window in seen
+        seen.add(window)
+    assert out.tolist() == [expected[i, k] for _, _, i, k in places] and out.sum() == 12
+    assert sizes[0] == 3 * 106
+    assert not suffix.repeated_windows(texts[:7], doc[:7], first[:7], windows[:7], 100).any()
